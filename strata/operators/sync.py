@@ -87,3 +87,10 @@ def verify_copy(source: DataFrame, target: DataFrame, key: Sequence[str], length
               .when(~F.col("source_length").eqNullSafe(F.col("target_length")), F.lit("LENGTH_DIFFERS")))
     return (g.withColumn("status", status).where(F.col("status").isNotNull())
              .select(*key, "status", "source_length", "target_length"))
+
+
+def latest_per_key(df: DataFrame, key: Sequence[str], ts: str, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Newest row per key (a snapshot from a change log); partial aggregate."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    order = F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
+    return df.groupBy(*key).agg(F.max_by(row, order).alias("_w")).select("_w.*")

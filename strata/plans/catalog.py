@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import overlay
+from strata.functions import versions as vfn
+from strata.operators import overlay, quality, sync, versions
 from strata.plans.fixtures import fixture
+from strata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -31,3 +33,139 @@ def register(fn: Query) -> Query:
 def q_layered_overlay(spark, sf):
     """Last layer wins per (l_orderkey, l_linenumber); A < N < R."""
     return overlay.layered_overlay(fixture(spark, sf, "layers"), LAYER_KEY, tiebreak=LAYER_TIEBREAK)
+
+
+@register
+def q_overlay_newer(spark, sf):
+    """A replace, N newer-wins on l_shipdate, R replace: one aggregate for the chain."""
+    return overlay.layered_overlay(fixture(spark, sf, "layers"), LAYER_KEY, tiebreak=LAYER_TIEBREAK,
+                                   newer=[2], ts="l_shipdate")
+
+
+@register
+def q_dedupe_first(spark, sf):
+    """First shipment per part, in a total order."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey",
+                                             "l_shipdate", "l_extendedprice", "l_quantity")
+    return overlay.dedupe_first(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey",
+                                                    "l_extendedprice", "l_quantity"])
+
+
+@register
+def q_union_layers(spark, sf):
+    """Three differently shaped trees unioned by column name."""
+    docs = fixture(spark, sf, "paths").select(F.lit("documents").alias("layer"), "path", "length")
+    scr = fixture(spark, sf, "scripts").select(F.lit("scripts").alias("layer"),
+                                               F.concat(F.lit("src/sql/"), "file_name").alias("path"), "component")
+    dsc = fixture(spark, sf, "descriptors").select(F.lit("descriptors").alias("layer"), "path")
+    return overlay.union_layers(docs, scr, dsc)
+
+
+@register
+def q_flatten_to(spark, sf):
+    """All files put directly in WEB-INF/lib/ by base name; newer wins on collision."""
+    p = fixture(spark, sf, "paths").select("path", "mtime", "doc_id")
+    return overlay.flatten_to(p, "WEB-INF/lib/", tiebreak=["doc_id"])
+
+
+# -------------------------------------------------------------------- sync
+EVENT_KEY = ("user_id", "event_type")
+
+
+def _event_pair(spark, sf):
+    src = sync.latest_per_key(fixture(spark, sf, "events_source"), EVENT_KEY, "ts")
+    tgt = sync.latest_per_key(fixture(spark, sf, "events_target"), EVENT_KEY, "ts")
+    return src, tgt
+
+
+@register
+def q_incremental_sync(spark, sf):
+    src, tgt = _event_pair(spark, sf)
+    return sync.incremental_sync(src, tgt, EVENT_KEY, "ts")
+
+
+@register
+def q_sync_plan(spark, sf):
+    src, tgt = _event_pair(spark, sf)
+    return sync.sync_plan(src, tgt, EVENT_KEY, "ts")
+
+
+@register
+def q_verify_copy(spark, sf):
+    """Event id as the 'length': keys whose copies differ or are missing."""
+    src, tgt = _event_pair(spark, sf)
+    return sync.verify_copy(src.withColumnRenamed("event_id", "length"),
+                            tgt.withColumnRenamed("event_id", "length"), EVENT_KEY)
+
+
+@register
+def q_run_counters(spark, sf):
+    """Rows per (event_type, sync action)."""
+    src, tgt = _event_pair(spark, sf)
+    return quality.run_counters(sync.sync_plan(src, tgt, EVENT_KEY, "ts"), layer="event_type")
+
+
+# ---------------------------------------------------------------- versions
+ART_KEY = ("group_id", "artifact_id")
+
+
+def _version_sides(spark, sf):
+    pv = fixture(spark, sf, "part_versions")
+    cand = pv.where("p_partkey % 2 = 0 AND artifact_id NOT LIKE 'cold%'").select(*ART_KEY, "version")
+    cur = pv.where("p_partkey % 2 = 1 AND group_id <> 'LARGE'").select(*ART_KEY, "version")
+    return cand, cur
+
+
+@register
+def q_version_reconcile(spark, sf):
+    cand, cur = _version_sides(spark, sf)
+    return versions.version_reconcile(cand, cur, ART_KEY)
+
+
+@register
+def q_apply_plan(spark, sf):
+    cand, cur = _version_sides(spark, sf)
+    return versions.apply_plan(cur, versions.version_reconcile(cand, cur, ART_KEY), ART_KEY)
+
+
+@register
+def q_accumulate(spark, sf):
+    cand, cur = _version_sides(spark, sf)
+    return versions.accumulate(cur, cand)
+
+
+@register
+def q_max_version(spark, sf):
+    """Newest version per group, 'cold' artifacts excluded."""
+    pv = fixture(spark, sf, "part_versions")
+    return versions.max_version(pv, ["group_id"], exclude=F.col("artifact_id").startswith("cold"))
+
+
+@register
+def q_version_drift(spark, sf):
+    """Groups whose newest candidate exceeds the newest current (declared) version."""
+    cand, cur = _version_sides(spark, sf)
+    declared = versions.max_version(cur, ["group_id"]).withColumnRenamed("max_version", "declared_version")
+    return versions.version_drift(cand, declared, ["group_id"])
+
+
+@register
+def q_version_key(spark, sf):
+    pv = fixture(spark, sf, "part_versions")
+    k = vfn.version_key("version")
+    return pv.select("p_partkey", "version",
+                     F.array_join(k["nums"], ".").alias("key_numbers"), k["rank"].alias("key_rank"),
+                     k["qnum"].alias("key_qualifier_number"),
+                     vfn.release_version("version").alias("release_version"),
+                     vfn.is_snapshot("version").alias("is_snapshot"))
+
+
+@register
+def q_remove_named(spark, sf):
+    """Drop from WEB-INF/lib the jars of the DELETE rows of the reconcile plan."""
+    cand, cur = _version_sides(spark, sf)
+    jar = F.concat(F.col("artifact_id"), F.lit("-"), F.col("version"), F.lit(".jar"))
+    files = cur.select(F.concat(F.lit("WEB-INF/lib/"), jar).alias("path")).distinct()
+    plan = versions.version_reconcile(cand, cur, ART_KEY)
+    names = plan.where(F.col("action") == versions.DELETE).select(jar.alias("name"))
+    return versions.remove_named(files, names, "WEB-INF/lib")

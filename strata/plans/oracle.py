@@ -24,3 +24,162 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
         ORDER BY priority DESC, l_shipdate DESC, l_suppkey DESC, l_partkey DESC, l_extendedprice DESC) AS rn
       FROM {fx('layers')}) WHERE rn = 1
 """)
+
+_LAYER_ORDER = "l_shipdate DESC, l_suppkey DESC, l_partkey DESC, l_extendedprice DESC"
+sql("overlay_newer", f"""
+WITH L AS {fx('layers')},
+seg AS (
+  SELECT *, CASE priority WHEN 2 THEN 'n' WHEN 1 THEN 'a' ELSE 'r' END AS seg,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber, priority ORDER BY {_LAYER_ORDER}) AS rn
+  FROM L),
+w AS (SELECT * FROM seg WHERE rn = 1),
+pick AS (
+  SELECT k.l_orderkey, k.l_linenumber,
+         CASE WHEN r.l_orderkey IS NOT NULL THEN 'r'
+              WHEN n.l_orderkey IS NOT NULL AND (a.l_orderkey IS NULL OR n.l_shipdate > a.l_shipdate) THEN 'n'
+              ELSE 'a' END AS seg
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM L) k
+  LEFT JOIN w a ON a.seg = 'a' AND a.l_orderkey = k.l_orderkey AND a.l_linenumber = k.l_linenumber
+  LEFT JOIN w n ON n.seg = 'n' AND n.l_orderkey = k.l_orderkey AND n.l_linenumber = k.l_linenumber
+  LEFT JOIN w r ON r.seg = 'r' AND r.l_orderkey = k.l_orderkey AND r.l_linenumber = k.l_linenumber)
+SELECT w.l_orderkey, w.l_linenumber, layer, priority, l_shipdate, l_suppkey, l_partkey, l_extendedprice, l_quantity
+FROM w JOIN pick USING (l_orderkey, l_linenumber, seg)
+""")
+
+sql("dedupe_first", """
+SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice, l_quantity
+FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber,
+        l_suppkey, l_extendedprice, l_quantity) AS rn FROM lineitem) WHERE rn = 1
+""")
+
+sql("union_layers", f"""
+SELECT 'documents' AS layer, path, length, NULL::VARCHAR AS component FROM {fx('paths')}
+UNION ALL SELECT 'scripts', 'src/sql/' || file_name, NULL, component FROM {fx('scripts')}
+UNION ALL SELECT 'descriptors', path, NULL, NULL FROM {fx('descriptors')}
+""")
+
+sql("flatten_to", f"""
+SELECT path, mtime, doc_id, source_path FROM (
+  SELECT 'WEB-INF/lib/' || regexp_extract(path, '([^/]*)$', 1) AS path, mtime, doc_id, path AS source_path,
+         row_number() OVER (PARTITION BY regexp_extract(path, '([^/]*)$', 1)
+                            ORDER BY mtime DESC, path DESC, doc_id DESC) AS rn
+  FROM {fx('paths')}) WHERE rn = 1
+""")
+
+_EVENTS_LATEST = """(SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, max(ts) AS ts,
+   arg_max(value, ts) AS value FROM {src} GROUP BY user_id, event_type)"""
+_SYNC_JOIN = f"""
+WITH t AS {_EVENTS_LATEST.format(src=fx('events_target'))},
+     s AS {_EVENTS_LATEST.format(src=fx('events_source'))},
+j AS (SELECT coalesce(t.user_id, s.user_id) AS user_id, coalesce(t.event_type, s.event_type) AS event_type,
+             t.user_id IS NOT NULL AS has_t, s.user_id IS NOT NULL AS has_s,
+             s.user_id IS NOT NULL AND (t.user_id IS NULL OR s.ts > t.ts) AS copy,
+             s.event_id AS s_id, s.ts AS s_ts, s.value AS s_value, t.event_id AS t_id, t.ts AS t_ts, t.value AS t_value
+      FROM t FULL OUTER JOIN s ON t.user_id = s.user_id AND t.event_type = s.event_type)"""
+_SYNC_PLAN = f"""{_SYNC_JOIN},
+plan AS (SELECT user_id, event_type,
+           CASE WHEN NOT has_t THEN 'NEW' WHEN NOT has_s THEN 'TARGET_ONLY' WHEN copy THEN 'UPDATED'
+                ELSE 'UNCHANGED' END AS action, s_ts AS source_ts, t_ts AS target_ts FROM j)"""
+
+sql("incremental_sync", f"""{_SYNC_JOIN}
+SELECT user_id, event_type, CASE WHEN copy THEN s_id ELSE t_id END AS event_id,
+       CASE WHEN copy THEN s_ts ELSE t_ts END AS ts, CASE WHEN copy THEN s_value ELSE t_value END AS value
+FROM j
+""")
+
+sql("sync_plan", f"""{_SYNC_PLAN}
+SELECT * FROM plan
+""")
+
+sql("verify_copy", f"""{_SYNC_JOIN}
+SELECT user_id, event_type,
+       CASE WHEN NOT has_t THEN 'MISSING_IN_TARGET' WHEN NOT has_s THEN 'MISSING_IN_SOURCE'
+            ELSE 'LENGTH_DIFFERS' END AS status, s_id AS source_length, t_id AS target_length
+FROM j WHERE NOT has_t OR NOT has_s OR s_id IS DISTINCT FROM t_id
+""")
+
+sql("run_counters", f"""{_SYNC_PLAN}
+SELECT event_type, action, count(*) AS n FROM plan GROUP BY event_type, action
+""")
+
+
+# ---------------------------------------------------------------- versions
+def _vkey(v: str) -> str:
+    """DuckDB version key columns: nums (list), rnk, qn."""
+    qual = f"CASE WHEN strpos({v}, '-') > 0 THEN lower(substr({v}, strpos({v}, '-') + 1)) ELSE '' END"
+    word = f"regexp_extract({qual}, '^([a-z]*)', 1)"
+    return (f"list_transform(string_split(regexp_replace(split_part({v}, '-', 1), '(\\.0+)+$', ''), '.'),"
+            f" lambda x: TRY_CAST(x AS INTEGER)) AS nums,"
+            f" CASE WHEN {word} IN ('alpha', 'a') THEN 1 WHEN {word} IN ('beta', 'b') THEN 2"
+            f" WHEN {word} IN ('milestone', 'm') THEN 3 WHEN {word} IN ('rc', 'cr') THEN 4"
+            f" WHEN {word} = 'snapshot' THEN 5 WHEN {word} IN ('', 'ga', 'final', 'release') THEN 6"
+            f" WHEN {word} = 'sp' THEN 7 ELSE 8 END AS rnk,"
+            f" coalesce(TRY_CAST(regexp_extract({qual}, '([0-9]+)$', 1) AS INTEGER), 0) AS qn")
+
+
+def _gt(a: str, b: str) -> str:
+    return (f"({a}.nums > {b}.nums OR ({a}.nums = {b}.nums AND ({a}.rnk > {b}.rnk"
+            f" OR ({a}.rnk = {b}.rnk AND {a}.qn > {b}.qn))))")
+
+
+_PV = f"(SELECT *, {_vkey('version')} FROM {fx('part_versions')})"
+_NEWEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}
+   ORDER BY nums DESC, rnk DESC, qn DESC) AS rn FROM pv WHERE {where}) WHERE rn = 1)"""
+_CAND_WHERE = "p_partkey % 2 = 0 AND artifact_id NOT LIKE 'cold%'"
+_CUR_WHERE = "p_partkey % 2 = 1 AND group_id <> 'LARGE'"
+_RECONCILE = f"""
+WITH pv AS {_PV},
+c AS {_NEWEST.format(key='group_id, artifact_id', where=_CAND_WHERE)},
+u AS {_NEWEST.format(key='group_id, artifact_id', where=_CUR_WHERE)},
+j AS (SELECT c.group_id, c.artifact_id, c.version, u.version AS cur_version, u.group_id IS NOT NULL AS has_u,
+             u.group_id IS NULL OR {_gt('c', 'u')} AS newer
+      FROM c LEFT JOIN u ON c.group_id = u.group_id AND c.artifact_id = u.artifact_id),
+plan AS (
+  SELECT group_id, artifact_id, 'COPY' AS action, version FROM j WHERE newer
+  UNION ALL SELECT group_id, artifact_id, 'DELETE', cur_version FROM j WHERE has_u AND newer
+  UNION ALL SELECT group_id, artifact_id, 'SKIP', version FROM j WHERE NOT newer),
+cur AS (SELECT DISTINCT group_id, artifact_id, version FROM pv WHERE {_CUR_WHERE}),
+cand AS (SELECT DISTINCT group_id, artifact_id, version FROM pv WHERE {_CAND_WHERE})"""
+
+sql("version_reconcile", f"""{_RECONCILE}
+SELECT * FROM plan
+""")
+
+sql("apply_plan", f"""{_RECONCILE}
+SELECT DISTINCT * FROM (
+  SELECT * FROM cur s WHERE NOT EXISTS (SELECT 1 FROM plan p WHERE p.action = 'DELETE'
+      AND p.group_id = s.group_id AND p.artifact_id = s.artifact_id AND p.version = s.version)
+  UNION ALL SELECT group_id, artifact_id, version FROM plan WHERE action = 'COPY')
+""")
+
+sql("accumulate", f"""{_RECONCILE}
+SELECT * FROM cur UNION SELECT * FROM cand
+""")
+
+sql("max_version", f"""
+WITH pv AS {_PV}
+SELECT group_id, version AS max_version FROM {_NEWEST.format(key='group_id', where="artifact_id NOT LIKE 'cold%'")}
+""")
+
+sql("version_drift", f"""
+WITH pv AS {_PV},
+c AS {_NEWEST.format(key='group_id', where=_CAND_WHERE)},
+u AS {_NEWEST.format(key='group_id', where=_CUR_WHERE)}
+SELECT c.group_id, u.version AS declared_version, c.version AS newest_version
+FROM c JOIN u ON c.group_id = u.group_id WHERE {_gt('c', 'u')}
+""")
+
+sql("version_key", f"""
+SELECT p_partkey, version, array_to_string(nums, '.') AS key_numbers, rnk AS key_rank, qn AS key_qualifier_number,
+       CASE WHEN suffix(version, '-SNAPSHOT') THEN split_part(version, '-SNAPSHOT', 1) ELSE version END
+         AS release_version,
+       suffix(upper(version), 'SNAPSHOT') OR regexp_full_match(version, '(.*)-([0-9]{{8}}\\.[0-9]{{6}})-([0-9]+)')
+         AS is_snapshot
+FROM {_PV}
+""")
+
+sql("remove_named", f"""{_RECONCILE}
+SELECT DISTINCT 'WEB-INF/lib/' || artifact_id || '-' || version || '.jar' AS path FROM cur
+EXCEPT
+SELECT 'WEB-INF/lib/' || artifact_id || '-' || version || '.jar' FROM plan WHERE action = 'DELETE'
+""")
