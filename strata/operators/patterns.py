@@ -138,14 +138,14 @@ def _rules_list(rules: Sequence[Mapping] | DataFrame) -> list[dict]:
 
 
 def package_membership(files: DataFrame, rules: Sequence[Mapping] | DataFrame, path: str = "path",
-                       layer: str = "layer", resolve: bool = True) -> DataFrame:
+                       layer: str = "layer", resolve: bool = True, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Which files go into which package, at which entry path.
 
     A rule: ``package``, optional ``layer`` (source layer), ``include`` and
     ``exclude`` globs, ``entry_prefix``, ``rule_order``. A file may be in
     several packages. Output ``(package, entry_path, source_path, rule_order,
     ...)``. With ``resolve`` a duplicated entry path inside a package keeps
-    the file of the latest rule (then the greatest source path).
+    the file of the latest rule (then the greatest source path, then ``tiebreak``).
     """
     rs = _rules_list(rules)
     if not rs:
@@ -165,4 +165,4 @@ def package_membership(files: DataFrame, rules: Sequence[Mapping] | DataFrame, p
         return m
     row = F.struct(*[F.col(c) for c in m.columns])
     return (m.groupBy("package", "entry_path")
-             .agg(F.max_by(row, F.struct("rule_order", "source_path")).alias("_w")).select("_w.*"))
+             .agg(F.max_by(row, F.struct("rule_order", "source_path", *tiebreak)).alias("_w")).select("_w.*"))

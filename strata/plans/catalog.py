@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import text
 from strata.functions import versions as vfn
-from strata.operators import overlay, quality, sync, versions
+from strata.operators import overlay, packages, patterns, quality, sync, versions
 from strata.plans.fixtures import fixture
 from strata.sources.tables import table
 
@@ -169,3 +170,118 @@ def q_remove_named(spark, sf):
     plan = versions.version_reconcile(cand, cur, ART_KEY)
     names = plan.where(F.col("action") == versions.DELETE).select(jar.alias("name"))
     return versions.remove_named(files, names, "WEB-INF/lib")
+
+
+# ---------------------------------------------------------------- patterns
+def _paths(spark, sf):
+    return fixture(spark, sf, "paths").select("doc_id", "path", "layer")
+
+
+@register
+def q_glob_filter(spark, sf):
+    """The webapp packaging profile over all document paths."""
+    return patterns.profile_filter(_paths(spark, sf), "path", "package_webapp")
+
+
+@register
+def q_pattern_profile(spark, sf):
+    """Every profile over every path: one row per (profile, path) selected."""
+    return patterns.profile_membership(_paths(spark, sf).drop("layer"), "path")
+
+
+@register
+def q_path_exclude(spark, sf):
+    return patterns.path_exclude(_paths(spark, sf).drop("layer"), "path")
+
+
+@register
+def q_remap_prefix(spark, sf):
+    return patterns.remap_prefix(_paths(spark, sf).drop("layer"), "path", "WEB-INF/sql/", "src/sql/")
+
+
+@register
+def q_relative_path(spark, sf):
+    return patterns.relative_path(_paths(spark, sf).drop("layer"), "path", "webapp")
+
+
+@register
+def q_normalize_path(spark, sf):
+    """Windows-style spellings of the paths, normalised back."""
+    win = F.concat(
+        F.when(F.col("doc_id") % 3 == 0, F.lit("\\C:\\")).otherwise(F.lit("")),
+        F.replace(F.col("path"), F.lit("/"), F.lit("\\")),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("\\")).otherwise(F.lit("")))
+    p = _paths(spark, sf).select("doc_id", win.alias("raw_path"))
+    return p.withColumn("path", text.normalize_path("raw_path"))
+
+
+@register
+def q_has_extension(spark, sf):
+    p = _paths(spark, sf)
+    return p.select("doc_id", "path", text.has_extension("path", ".sql").alias("is_sql"),
+                    text.has_extension("path", ".sql", case_sensitive=True).alias("is_sql_exact"),
+                    text.has_extension("path", ".xml").alias("is_xml"))
+
+
+@register
+def q_extract_subtree(spark, sf):
+    """webapp/WEB-INF/** re-rooted to WEB-INF/, replacing entries already there."""
+    p = _paths(spark, sf).drop("layer")
+    existing = p.where(F.col("path").startswith("WEB-INF/"))
+    return patterns.extract_subtree(p, "path", "webapp/WEB-INF", "WEB-INF/", existing=existing)
+
+
+@register
+def q_purge(spark, sf):
+    """Drop target/ and src/java/ trees, plus xml files other than plugin_1*."""
+    return patterns.purge(_paths(spark, sf).drop("layer"), "path", ["target", "src/java"],
+                          includes=["**/*.xml"], excludes=["**/plugin_1*.xml"])
+
+
+@register
+def q_purge_roots_table(spark, sf):
+    """Roots as a table (every French source tree): ancestor equi-join, no nested loop."""
+    docs = table(spark, sf, "documents")
+    roots = docs.where(F.col("lang") == "fr").select(F.concat("source", F.lit("/fr")).alias("root"))
+    return patterns.purge(_paths(spark, sf).drop("layer"), "path", roots)
+
+
+PACKAGE_RULES = (
+    dict(package="webapp", include=["webapp/**"], exclude=["**/WEB-INF/classes/**"], entry_prefix="",
+         rule_order=1),
+    dict(package="webapp", include=["WEB-INF/lib/*.xml", "WEB-INF/lib/*.html"], entry_prefix="webapp/",
+         rule_order=2),
+    dict(package="sql", include=["**/*.sql", "**/*.SQL"], exclude=["**/.svn/**"], entry_prefix="sql/",
+         rule_order=3),
+    dict(package="site", layer="site", include=["**/user/**"], entry_prefix="", rule_order=4),
+    dict(package="sources", include=["**/src/**"], exclude=["**/target/**", "**/webapp/**", "**/.svn/**"],
+         entry_prefix="src-archive/", rule_order=5),
+    dict(package="resources", include=["**/resources/**"],
+         exclude=["**/fr/paris/lutece/**/business/**", "**/package.html"], entry_prefix="", rule_order=6),
+)
+
+
+@register
+def q_package_membership(spark, sf):
+    return patterns.package_membership(_paths(spark, sf), PACKAGE_RULES, tiebreak=["doc_id"])
+
+
+def _script_files(spark, sf):
+    s = fixture(spark, sf, "scripts")
+    return s.select(F.concat(F.lit("src/sql/plugins/"), "component", F.lit("/"), "file_name").alias("path"))
+
+
+@register
+def q_release_packages(spark, sf):
+    return packages.release_packages(_paths(spark, sf), "2.0.0")
+
+
+@register
+def q_upgrade_packages(spark, sf):
+    return packages.upgrade_packages(_script_files(spark, sf), "2.0.0", "1.0.0")
+
+
+@register
+def q_or_default(spark, sf):
+    """No update script targets 9.9.9: one default upgrade package row."""
+    return packages.upgrade_packages(_script_files(spark, sf), "9.9.9", "1.0.0")

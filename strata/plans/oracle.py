@@ -183,3 +183,166 @@ SELECT DISTINCT 'WEB-INF/lib/' || artifact_id || '-' || version || '.jar' AS pat
 EXCEPT
 SELECT 'WEB-INF/lib/' || artifact_id || '-' || version || '.jar' FROM plan WHERE action = 'DELETE'
 """)
+
+
+# ---------------------------------------------------------------- patterns
+# Hand-written full-match regexes (RE2), one per glob used by the queries.
+G = {
+    "**/**": r".*",
+    "**/user/**": r"(.*/)?user(/.*)?",
+    "**/resources/**": r"(.*/)?resources(/.*)?",
+    "**/WEB-INF/classes/**": r"(.*/)?WEB-INF/classes(/.*)?",
+    "WEB-INF/lib/**": r"WEB-INF/lib(/.*)?",
+    "**/.svn/**": r"(.*/)?\.svn(/.*)?",
+    "**/target/**": r"(.*/)?target(/.*)?",
+    "**/src/**": r"(.*/)?src(/.*)?",
+    "**/webapp/**": r"(.*/)?webapp(/.*)?",
+    "**/.settings/**": r"(.*/)?\.settings(/.*)?",
+    "*.*": r"[^/]*\.[^/]*",
+    "**/package.html": r"(.*/)?package\.html",
+    "**/fr/paris/lutece/**/resources/**": r"(.*/)?fr/paris/lutece/(.*/)?resources(/.*)?",
+    "**/fr/paris/lutece/**/business/**": r"(.*/)?fr/paris/lutece/(.*/)?business(/.*)?",
+    "**/fr/paris/lutece/**/web/**": r"(.*/)?fr/paris/lutece/(.*/)?web(/.*)?",
+    "**/fr/paris/lutece/**/service/**": r"(.*/)?fr/paris/lutece/(.*/)?service(/.*)?",
+    "**/fr/paris/lutece/**/utils/**": r"(.*/)?fr/paris/lutece/(.*/)?utils(/.*)?",
+    "**/fr/paris/lutece/**/util/**": r"(.*/)?fr/paris/lutece/(.*/)?util(/.*)?",
+    "**/WEB-INF/test/**": r"(.*/)?WEB-INF/test(/.*)?",
+    "**/create*.sql": r"(.*/)?create[^/]*\.sql",
+    "**/init*.sql": r"(.*/)?init[^/]*\.sql",
+    "**/*.xml": r"(.*/)?[^/]*\.xml",
+    "**/plugin_1*.xml": r"(.*/)?plugin_1[^/]*\.xml",
+    "webapp/**": r"webapp(/.*)?",
+    "WEB-INF/lib/*.xml": r"WEB-INF/lib/[^/]*\.xml",
+    "WEB-INF/lib/*.html": r"WEB-INF/lib/[^/]*\.html",
+    "**/*.sql": r"(.*/)?[^/]*\.sql",
+    "**/*.SQL": r"(.*/)?[^/]*\.SQL",
+    "**/update*2.0.0.sql": r"(.*/)?update[^/]*2\.0\.0\.sql",
+    "**/update*9.9.9.sql": r"(.*/)?update[^/]*9\.9\.9\.sql",
+}
+
+
+def _any(globs, col="path") -> str:
+    return "(" + " OR ".join(f"regexp_full_match({col}, '{G[g]}')" for g in globs) + ")" if globs else "FALSE"
+
+
+def _sel(inc, exc, col="path") -> str:
+    return f"({_any(inc, col)} AND NOT {_any(exc, col)})"
+
+
+_PROFILES_SQL = {  # the profiles again, as lists of the globs above
+    "package_classes": (["**/**"], ["**/package.html", "**/fr/paris/lutece/**/resources/**"]),
+    "package_webapp": (["**/**"], ["**/WEB-INF/classes/**", "WEB-INF/lib/**", "**/.svn/**"]),
+    "package_site": (["**/user/**"], ["**/.svn/**"]),
+    "package_resources": (["**/resources/**"], [
+        "**/fr/paris/lutece/**/business/**", "**/fr/paris/lutece/**/web/**", "**/fr/paris/lutece/**/service/**",
+        "**/fr/paris/lutece/**/utils/**", "**/fr/paris/lutece/**/util/**", "**/WEB-INF/test/**",
+        "**/package.html", "**/.svn/**"]),
+    "assembly_webapp": (["**/**"], ["**/WEB-INF/classes/**", "WEB-INF/lib/**", "**/.svn/**"]),
+    "assembly_site": (["**/user/**"], ["**/.svn/**"]),
+    "updater": (["**/**"], ["**/WEB-INF/classes/**", "WEB-INF/lib/**", "**/.svn/**", "**/target/**",
+                            "**/src/**", "**/.settings/**", "*.*"]),
+    "release": (["**/create*.sql", "**/init*.sql"], ["**/.svn/**"]),
+    "source_src": (["**/src/**"], ["**/.svn/**", "**/target/**", "**/webapp/**"]),
+    "source_webapp": (["**/webapp/**"], ["**/.svn/**", "**/WEB-INF/classes/**"]),
+}
+_P = f"(SELECT doc_id, path, layer FROM {fx('paths')})"
+
+sql("glob_filter", f"SELECT doc_id, path, layer FROM {_P} WHERE {_sel(*_PROFILES_SQL['package_webapp'])}")
+
+sql("pattern_profile", "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS profile, doc_id, path FROM {_P} WHERE {_sel(inc, exc)}"
+    for name, (inc, exc) in _PROFILES_SQL.items()))
+
+sql("path_exclude", rf"""
+SELECT doc_id, path FROM {_P}
+WHERE NOT regexp_full_match(path, '(.)*site/site(.)*.xml') AND NOT regexp_full_match(path, '(.)*/tech(/.)*')
+  AND NOT regexp_full_match(path, '(.)*/xdoc/[^/]*\.(.)*')
+  AND NOT regexp_full_match(path, '(.)*/resources/images/[^/]*\.(.)*')
+  AND NOT regexp_matches(path, '(^|/)\.svn/') AND NOT regexp_matches(path, '(^|/)tech/')
+""")
+
+sql("remap_prefix", f"""
+SELECT doc_id, CASE WHEN starts_with(path, 'src/sql/') THEN 'WEB-INF/sql/' || substr(path, 9) ELSE path END AS path
+FROM {_P}
+""")
+
+sql("relative_path", f"""
+SELECT doc_id, CASE WHEN starts_with(path, 'webapp/') THEN substr(path, 8) ELSE path END AS path FROM {_P}
+""")
+
+sql("normalize_path", f"""
+WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(92) || 'C:' || chr(92) ELSE '' END
+                  || replace(path, '/', chr(92)) || CASE WHEN doc_id % 2 = 0 THEN chr(92) ELSE '' END AS raw_path
+           FROM {_P}),
+a AS (SELECT doc_id, raw_path, replace(CASE WHEN length(raw_path) > 3 AND strpos(raw_path, ':') = 3
+                 THEN substr(raw_path, 2) ELSE raw_path END, chr(92), '/') AS p FROM w)
+SELECT doc_id, raw_path, CASE WHEN suffix(p, '/') THEN substr(p, 1, length(p) - 1) ELSE p END AS path FROM a
+""")
+
+sql("has_extension", f"""
+SELECT doc_id, path, suffix(lower(path), '.sql') AS is_sql, suffix(path, '.sql') AS is_sql_exact,
+       suffix(lower(path), '.xml') AS is_xml FROM {_P}
+""")
+
+sql("extract_subtree", f"""
+WITH sub AS (SELECT doc_id, 'WEB-INF/' || substr(path, 16) AS path FROM {_P}
+             WHERE starts_with(path, 'webapp/WEB-INF/'))
+SELECT doc_id, path FROM {_P} e WHERE starts_with(path, 'WEB-INF/')
+  AND NOT EXISTS (SELECT 1 FROM sub WHERE sub.path = e.path)
+UNION ALL SELECT doc_id, path FROM sub
+""")
+
+sql("purge", f"""
+SELECT doc_id, path FROM {_P}
+WHERE NOT (path = 'target' OR starts_with(path, 'target/') OR path = 'src/java' OR starts_with(path, 'src/java/'))
+  AND NOT {_sel(['**/*.xml'], ['**/plugin_1*.xml'])}
+""")
+
+sql("purge_roots_table", f"""
+WITH r AS (SELECT DISTINCT source || '/fr' AS root FROM documents WHERE lang = 'fr')
+SELECT doc_id, path FROM {_P} p
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE p.path = r.root OR starts_with(p.path, r.root || '/'))
+""")
+
+_RULES_SQL = [  # (package, layer, include, exclude, prefix, order)
+    ("webapp", None, ["webapp/**"], ["**/WEB-INF/classes/**"], "", 1),
+    ("webapp", None, ["WEB-INF/lib/*.xml", "WEB-INF/lib/*.html"], [], "webapp/", 2),
+    ("sql", None, ["**/*.sql", "**/*.SQL"], ["**/.svn/**"], "sql/", 3),
+    ("site", "site", ["**/user/**"], [], "", 4),
+    ("sources", None, ["**/src/**"], ["**/target/**", "**/webapp/**", "**/.svn/**"], "src-archive/", 5),
+    ("resources", None, ["**/resources/**"], ["**/fr/paris/lutece/**/business/**", "**/package.html"], "", 6),
+]
+_MEMBERS = "\nUNION ALL\n".join(
+    f"SELECT '{pk}' AS package, '{pre}' || path AS entry_path, {o} AS rule_order, path AS source_path, doc_id, layer"
+    f" FROM {_P} WHERE {_sel(inc, exc)}" + (f" AND layer = '{ly}'" if ly else "")
+    for pk, ly, inc, exc, pre, o in _RULES_SQL)
+sql("package_membership", f"""
+SELECT package, entry_path, rule_order, source_path, doc_id, layer FROM (
+  SELECT *, row_number() OVER (PARTITION BY package, entry_path
+                               ORDER BY rule_order DESC, source_path DESC, doc_id DESC) AS rn
+  FROM ({_MEMBERS})) WHERE rn = 1
+""")
+
+sql("release_packages", f"""
+SELECT 'release-2.0.0' AS package, path AS entry_path, path AS source_path FROM {_P}
+WHERE {_sel(['**/create*.sql', '**/init*.sql'], ['**/.svn/**'])}
+""")
+
+_SF = f"(SELECT 'src/sql/plugins/' || component || '/' || file_name AS path FROM {fx('scripts')})"
+_VFROM = ("CASE WHEN regexp_full_match(regexp_extract(path, '([^/]*)$', 1), '[^-]*-.*-[^-]*')"
+          " THEN regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^[^-]*-(.*)-[^-]*$', 1) END")
+
+
+def _upgrade(version: str) -> str:
+    g = f"**/update*{version}.sql"
+    return f"""
+WITH m AS (SELECT path, {_VFROM} AS vfrom FROM {_SF} WHERE {_any([g])})
+SELECT 'upgrade-' || vfrom || '-{version}' AS package, path AS entry_path, path AS source_path
+FROM m WHERE vfrom IS NOT NULL
+UNION ALL
+SELECT 'upgrade-1.0.0-{version}', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM m)
+"""
+
+
+sql("upgrade_packages", _upgrade("2.0.0"))
+sql("or_default", _upgrade("9.9.9"))
