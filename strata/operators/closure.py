@@ -18,38 +18,67 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.session import checkpoint_dir
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint computed once: persist, checkpoint (which reads the
+    cached rows instead of recomputing), then drop the cache. The result
+    keeps the input's hash partitioning."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent",
                        child: str = "child", stop: Column | None = None, max_rounds: int = 100_000,
-                       partitions: int | None = None) -> DataFrame:
+                       partitions: int | None = None, hops: int = 4) -> DataFrame:
     """All nodes reachable from ``roots`` (roots included) with their BFS ``depth``.
 
     ``stop``: a predicate on column ``node``; matching nodes are neither
-    included nor expanded (nothing is pruned without one).
+    included nor expanded (nothing is pruned without one). ``hops``: BFS
+    levels expanded per round (per job and checkpoint).
     """
     spark = roots.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = edges.select(F.col(parent).alias("_from"), F.col(child).alias("node")).distinct()
+    # Edges once, de-duplicated and hash-partitioned on the join key: every
+    # round's frontier (partitioned on the same key, same count) joins them
+    # without an exchange on either side.
+    e = materialize(edges.select(F.col(parent).alias("node"), F.col(child).alias("_to"))
+                    .distinct().repartition(n, "node"))
     start = roots.select(F.col(node).alias("node")).distinct()
     if stop is not None:
         start = start.where(~F.coalesce(stop, F.lit(False)))
-    parts = [start.withColumn("depth", F.lit(0)).repartition(n, "node").checkpoint()]
-    frontier = parts[0]
-    for depth in range(1, max_rounds + 1):
+    parts = [materialize(start.withColumn("depth", F.lit(0)).repartition(n, "node"))]
+    frontier, base = parts[0], 0
+    for _ in range(max_rounds):
         visited = reduce(DataFrame.unionByName, parts)
-        nxt = (frontier.select(F.col("node").alias("_from")).join(e, on="_from").select("node").distinct()
+        # ``hops`` BFS levels in one job: hop h reaches nodes h steps from the
+        # frontier; a node's depth is its smallest hop. Every shortest path to
+        # an unvisited node crosses the frontier (the deepest finished
+        # level), so depths stay exact; only the last level is expanded next.
+        level, reached = frontier.select("node"), []
+        for h in range(1, hops + 1):
+            # Both sides are hash-partitioned on node with the same count: a
+            # shuffled hash join building on the (smaller) frontier needs no
+            # exchange and no broadcast job.
+            level = (level.hint("shuffle_hash").join(e, on="node").select(F.col("_to").alias("node"))
+                     .repartition(n, "node").distinct())
+            if stop is not None:
+                level = level.where(~F.coalesce(stop, F.lit(False)))
+            reached.append(level.withColumn("depth", F.lit(base + h)))
+        nxt = (reduce(DataFrame.unionByName, reached).groupBy("node").agg(F.min("depth").alias("depth"))
                .join(visited.select("node"), on="node", how="left_anti"))
-        if stop is not None:
-            nxt = nxt.where(~F.coalesce(stop, F.lit(False)))
-        nxt = nxt.withColumn("depth", F.lit(depth)).repartition(n, "node").checkpoint()
+        nxt = materialize(nxt.repartition(n, "node"))
         if nxt.isEmpty():
             return visited
         parts.append(nxt)
-        frontier = nxt
+        base += hops
+        frontier = nxt.where(F.col("depth") == base)
     raise RuntimeError(f"closure did not converge in {max_rounds} rounds")

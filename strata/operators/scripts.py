@@ -71,6 +71,14 @@ def _line_rules(rules: Sequence[Mapping] | DataFrame) -> list[dict]:
     return sorted((dict(r) for r in rules), key=lambda r: (r.get("vendor") or "", r.get("rule_order", 0)))
 
 
+def _folder(pairs: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    # One-argument function: ``transform`` passes an index too when the
+    # lambda declares two parameters.
+    def fold(line: Column) -> Column:
+        return T.fold_replace(line, pairs)
+    return fold
+
+
 def rewrite_lines(df: DataFrame, rules: Sequence[Mapping] | DataFrame, content: str = "content",
                   vendor: str | None = None, out: str | None = None) -> DataFrame:
     """Rewrite every line with ordered regex rules ``(vendor, rule_order, pattern, replacement)``.
@@ -90,7 +98,7 @@ def rewrite_lines(df: DataFrame, rules: Sequence[Mapping] | DataFrame, content:
             by_vendor.setdefault(r["vendor"], []).append((r["pattern"], r["replacement"]))
         new = None
         for v, pairs in by_vendor.items():
-            expr = T.map_lines(c, lambda line, pairs=pairs: T.fold_replace(line, pairs))
+            expr = T.map_lines(c, _folder(pairs))
             new = F.when(F.col(vendor) == v, expr) if new is None else new.when(F.col(vendor) == v, expr)
         new = c if new is None else new.otherwise(c)
     return df.withColumn(out or content, new)

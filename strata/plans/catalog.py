@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strata.functions import text
 from strata.functions import versions as vfn
-from strata.operators import overlay, packages, patterns, quality, sync, versions
-from strata.plans.fixtures import fixture
+from strata.operators import (artifacts, closure, descriptors, overlay, packages, patterns, quality, scripts,
+                              sync, versions)
+from strata.operators import assemble as assemble_op
+from strata.plans.fixtures import FIXTURES, fixture
 from strata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,3 +287,263 @@ def q_upgrade_packages(spark, sf):
 def q_or_default(spark, sf):
     """No update script targets 9.9.9: one default upgrade package row."""
     return packages.upgrade_packages(_script_files(spark, sf), "9.9.9", "1.0.0")
+
+
+# --------------------------------------------------------------- artifacts
+def _artifacts(spark, sf):
+    return fixture(spark, sf, "artifacts")
+
+
+@register
+def q_by_type(spark, sf):
+    return artifacts.by_type(_artifacts(spark, sf), artifacts.PLUGIN_TYPE)
+
+
+@register
+def q_third_party(spark, sf):
+    return artifacts.third_party(_artifacts(spark, sf))
+
+
+@register
+def q_direct_dependency(spark, sf):
+    return artifacts.direct_dependency(_artifacts(spark, sf))
+
+
+@register
+def q_transitive_dependency(spark, sf):
+    return artifacts.transitive_dependency(_artifacts(spark, sf))
+
+
+@register
+def q_multi_module_filter(spark, sf):
+    return artifacts.multi_module_filter(_artifacts(spark, sf))
+
+
+@register
+def q_artifact_filter(spark, sf):
+    """A caller's predicate: group g1, major version 3."""
+    return artifacts.artifact_filter(_artifacts(spark, sf),
+                                     lambda d: (d.group_id == "g1") & d.version.startswith("3."))
+
+
+@register
+def q_vendor_route(spark, sf):
+    ev = table(spark, sf, "events").select(
+        "event_id",
+        F.expr("CASE event_type WHEN 'view' THEN 'mysql' WHEN 'click' THEN 'postgresql' WHEN 'purchase' THEN 'auto'"
+               " WHEN 'signup' THEN 'none' ELSE 'sybase' END").alias("requested"),
+        F.expr("CASE WHEN user_id % 2 = 0 THEN 'oracle' END").alias("configured"))
+    return artifacts.vendor_route(ev, "requested", "configured")
+
+
+# ----------------------------------------------------------------- quality
+@register
+def q_cardinality_check(spark, sf):
+    """Zero-or-one pending order per customer; every customer judged."""
+    pending = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P") \
+        .select(F.col("o_custkey").alias("c_custkey"))
+    customers = table(spark, sf, "customer").select("c_custkey")
+    return quality.cardinality_check(pending, ["c_custkey"], expected=customers, min_count=0, max_count=1)
+
+
+@register
+def q_allowed_values(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return quality.allowed_values(o, "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"], on_fail="reject")
+
+
+# ----------------------------------------------------------------- scripts
+def _scripts(spark, sf):
+    s = fixture(spark, sf, "scripts")
+    return s.withColumn("path", F.concat(F.lit("src/sql/plugins/"), "component", F.lit("/"), "file_name"))
+
+
+@register
+def q_script_functions(spark, sf):
+    s = _scripts(spark, sf)
+    c = F.col("content")
+    return s.select("o_orderkey", "path", text.is_blank(c).alias("is_blank"),
+                    text.has_sql_orders(c).alias("has_sql_orders"), text.is_tagged(c).alias("is_tagged"),
+                    text.first_line_tagged(c).alias("first_line_tagged"),
+                    text.needs_fixing(c).alias("needs_fixing"), scripts.is_managed("path").alias("is_managed"),
+                    text.script_action(c).alias("action"))
+
+
+@register
+def q_process_scripts(spark, sf):
+    s = _scripts(spark, sf)
+    return scripts.process_scripts(s, file_name="file_name").select("o_orderkey", "path", "action", "content")
+
+
+@register
+def q_gate_scripts(spark, sf):
+    return scripts.gate_scripts(_scripts(spark, sf)).select("o_orderkey", "path", "gate")
+
+
+@register
+def q_readiness(spark, sf):
+    g = scripts.gate_scripts(_scripts(spark, sf))
+    return quality.readiness(g, rejected=F.col("gate") == scripts.REJECT)
+
+
+@register
+def q_substitute(spark, sf):
+    """Replace the component bookmark in each script."""
+    s = _scripts(spark, sf)
+    return s.select("o_orderkey", text.substitute(F.col("content"), "${plugin}", "x:").alias("content"))
+
+
+@register
+def q_add_tag(spark, sf):
+    s = _scripts(spark, sf)
+    return s.select("o_orderkey", text.add_tag("content", "component", "file_name").alias("content"),
+                    text.fix_comments("content").alias("fixed"))
+
+
+DOC_KEYWORDS = ("the", "und", "les", "que", "der", "est")
+
+
+@register
+def q_has_sql_orders(spark, sf):
+    """Whole-word keyword search over whole documents: default and a caller's list."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", text.has_sql_orders("text").alias("has_sql_orders"),
+                    text.has_sql_orders("text", DOC_KEYWORDS).alias("has_keywords"))
+
+
+@register
+def q_map_lines(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", text.map_lines("text", lambda line: F.concat(F.lit("> "), line)).alias("quoted"))
+
+
+LINE_RULES = (
+    dict(vendor="mysql", rule_order=1, pattern=" {2,}", replacement=" "),
+    dict(vendor="oracle", rule_order=1, pattern="[ \t]+$", replacement=""),
+    dict(vendor="oracle", rule_order=2, pattern="e", replacement="E"),
+)
+
+
+@register
+def q_rewrite_lines(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "doc_id", "lang", F.col("text").alias("content"),
+        F.expr("CASE lang WHEN 'en' THEN 'mysql' WHEN 'fr' THEN 'oracle' END").alias("vendor"))
+    return scripts.rewrite_lines(d, LINE_RULES, vendor="vendor").select("doc_id", "lang", "content")
+
+
+@register
+def q_last_line(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", text.last_line("text").alias("last_line"), text.line_count("text").alias("n_lines"))
+
+
+# ------------------------------------------------------------- descriptors
+@register
+def q_scan_descriptors(spark, sf):
+    d = fixture(spark, sf, "descriptors")
+    p = descriptors.parse_descriptors(d, which="last")
+    return p.select("p_partkey", "path", "valid",
+                    descriptors.descriptor_field("xml", "name", "first").alias("name_first"),
+                    F.col("name").alias("name_last"), "version", "db_required")
+
+
+@register
+def q_plugin_state(spark, sf):
+    return descriptors.plugin_state(fixture(spark, sf, "descriptors"))
+
+
+@register
+def q_descriptor_rejects(spark, sf):
+    return descriptors.descriptor_rejects(fixture(spark, sf, "descriptors"), keep=("p_partkey",))
+
+
+@register
+def q_descriptor_rejects_pages(spark, sf):
+    """Raw web pages as descriptors: the malformed branch at scale (row counts only)."""
+    p = table(spark, sf, "pages").select("page_id", F.col("html").alias("xml"))
+    return descriptors.descriptor_rejects(p, keep=("page_id",))
+
+
+@register
+def q_state_lines(spark, sf):
+    """Labels as plugin flags: quality=1 installs doc-<id>, toxic=1 adds a pool line."""
+    lb = table(spark, sf, "labels").where(descriptors.flag_is_one(F.col("quality").cast("string")))
+    return lb.select("doc_id", F.explode(descriptors.state_lines(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")),
+        descriptors.flag_is_one(F.col("toxic").cast("string")))).alias("kv")).select("doc_id", "kv.key", "kv.value")
+
+
+# ------------------------------------------------------------------ naming
+@register
+def q_naming(spark, sf):
+    ev = table(spark, sf, "events").select(
+        "event_id", "ts", F.concat(F.lit("app-"), "event_type").alias("base"),
+        F.expr("CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'webapp' END").alias("classifier"),
+        F.expr("'1.' || CAST(user_id % 7 AS STRING) || CASE WHEN event_id % 2 = 0 THEN '-SNAPSHOT' ELSE '' END")
+        .alias("version"))
+    return ev.select("event_id",
+                     vfn.archive_name("base", "classifier", "version", "ts", "zip").alias("archive_name"),
+                     vfn.stamp_name(F.concat_ws("-", "base", "version"), "version", "ts").alias("stamp_name"),
+                     vfn.release_version("version").alias("release_version"),
+                     vfn.is_snapshot("version").alias("is_snapshot"))
+
+
+@register
+def q_version_from(spark, sf):
+    s = _scripts(spark, sf)
+    return s.select("o_orderkey", "path", vfn.version_from("path").alias("version_from"),
+                    vfn.version_from("path", use_path=True).alias("version_from_path"))
+
+
+# ----------------------------------------------------------------- closure
+@register
+def q_dependency_closure(spark, sf):
+    edges = fixture(spark, sf, "edges_half").unionByName(fixture(spark, sf, "edges_jump"))
+    c = closure.dependency_closure(fixture(spark, sf, "roots"), edges)
+    return c.select("node")
+
+
+# ---------------------------------------------------------------- assemble
+def _assembly_layers(spark, sf):
+    files = fixture(spark, sf, "paths").select("layer", "priority", "path", "mtime", "doc_id", "content")
+    conf = fixture(spark, sf, "scripts").select(
+        F.lit("conf").alias("layer"), F.lit(4).alias("priority"),
+        F.concat(F.lit("WEB-INF/sql/"), "file_name").alias("path"),
+        (F.lit(1700000000000) + F.col("o_orderkey") * 1000).alias("mtime"), "o_orderkey", "content")
+    return files, conf
+
+
+@register
+def q_assemble(spark, sf):
+    """core < plugins (newer-wins on mtime) < site < conf scripts; then the script gate."""
+    files, conf = _assembly_layers(spark, sf)
+    out = assemble_op.assemble([files, conf], tiebreak=["mtime", "doc_id", "o_orderkey"], newer=[2])
+    return out.select("path", "layer", "priority", "doc_id", "o_orderkey", "gate")
+
+
+@register
+def q_assemble_readiness(spark, sf):
+    files, conf = _assembly_layers(spark, sf)
+    out = assemble_op.assemble([files, conf], tiebreak=["mtime", "doc_id", "o_orderkey"], newer=[2])
+    return assemble_op.assemble_readiness(out)
+
+
+# --------------------------------------------------------------- streaming
+@register
+def q_sync_stream(spark, sf):
+    """The source window of events as a file stream merged into the target
+    snapshot by foreachBatch; the final state equals incremental_sync."""
+    from strata.session import scratch_path
+    from strata.streaming import sync_stream as ss
+    schema = table(spark, sf, "events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    src = stream.where(F.expr(FIXTURES["events_source"].where)).select("user_id", "event_type", "event_id",
+                                                                       "ts", "value")
+    _, tgt = _event_pair(spark, sf)
+    state_dir, ckpt = scratch_path(spark, "sync-stream-state"), scratch_path(spark, "sync-stream-ckpt")
+    ss.seed_state(tgt, state_dir)
+    q = ss.sync_stream(src, state_dir, ckpt, EVENT_KEY, "ts")
+    q.awaitTermination()
+    return ss.read_state(spark, state_dir)

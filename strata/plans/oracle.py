@@ -346,3 +346,248 @@ SELECT 'upgrade-1.0.0-{version}', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM m)
 
 sql("upgrade_packages", _upgrade("2.0.0"))
 sql("or_default", _upgrade("9.9.9"))
+
+
+# --------------------------------------------------------------- artifacts
+_A = f"(SELECT l_orderkey, l_linenumber, group_id, artifact_id, version, type, scope FROM {fx('artifacts')})"
+
+
+def _is(col: str, *vals: str) -> str:
+    return f"coalesce({col} IN ({', '.join(repr(v) for v in vals)}), false)"
+
+
+sql("by_type", f"SELECT * FROM {_A} WHERE {_is('type', 'lutece-plugin')}")
+sql("third_party", f"SELECT * FROM {_A} WHERE {_is('type', 'jar')} AND {_is('scope', 'runtime', 'compile')}")
+sql("direct_dependency", f"""SELECT * FROM {_A}
+WHERE NOT {_is('type', 'lutece-core', 'lutece-plugin')} AND NOT {_is('scope', 'provided', 'test')}""")
+sql("transitive_dependency", f"""SELECT * FROM {_A}
+WHERE NOT {_is('scope', 'provided', 'test')} AND NOT {_is('artifact_id', 'junit', 'servlet-api')}""")
+sql("multi_module_filter", f"""SELECT * FROM {_A}
+WHERE NOT {_is('artifact_id', 'lutece-core', 'servlet-api')} AND NOT {_is('scope', 'provided', 'test')}""")
+sql("artifact_filter", f"SELECT * FROM {_A} WHERE group_id = 'g1' AND starts_with(version, '3.')")
+
+sql("vendor_route", """
+WITH e AS (SELECT event_id,
+             CASE event_type WHEN 'view' THEN 'mysql' WHEN 'click' THEN 'postgresql' WHEN 'purchase' THEN 'auto'
+                             WHEN 'signup' THEN 'none' ELSE 'sybase' END AS requested,
+             CASE WHEN user_id % 2 = 0 THEN 'oracle' END AS configured FROM events),
+s AS (SELECT *,
+        CASE WHEN requested IS NULL OR requested = 'none' THEN 'PASS'
+             WHEN requested = 'auto' AND configured IS NULL THEN 'ERROR'
+             WHEN requested = 'auto' OR requested IN ('hsqldb', 'mysql', 'oracle', 'postgresql') THEN 'ROUTED'
+             ELSE 'ERROR' END AS route_status FROM e)
+SELECT event_id, requested, configured,
+       CASE WHEN requested IS NULL OR requested = 'none' THEN NULL WHEN requested = 'auto' THEN configured
+            WHEN requested IN ('hsqldb', 'mysql', 'oracle', 'postgresql') THEN requested END AS target_vendor,
+       route_status,
+       CASE WHEN route_status = 'ERROR' THEN 'Unknown targetDatabaseVendor : '''
+            || coalesce(CASE WHEN requested = 'auto' THEN configured END, requested, '') || '''' END AS route_error
+FROM s
+""")
+
+# ----------------------------------------------------------------- quality
+sql("cardinality_check", """
+SELECT c.c_custkey, coalesce(o.n, 0) AS n, coalesce(o.n, 0) >= 0 AND coalesce(o.n, 0) <= 1 AS ok
+FROM (SELECT DISTINCT c_custkey FROM customer) c
+LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o
+  ON c.c_custkey = o.c_custkey
+""")
+
+sql("allowed_values", """
+SELECT o_orderkey, o_orderpriority, false AS allowed,
+       'o_orderpriority ''' || coalesce(o_orderpriority, 'null')
+       || ''' is not allowed; allowed values: 1-URGENT, 2-HIGH, 3-MEDIUM' AS message
+FROM orders WHERE NOT coalesce(o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM'), false)
+""")
+
+# ----------------------------------------------------------------- scripts
+_WORD = r"[\p{L}\p{Nd}\p{Mn}_]"
+_NOTWORD = r"[^\p{L}\p{Nd}\p{Mn}_]"
+
+
+def _has_words(col: str, words) -> str:
+    alt = "|".join(w.lower() for w in words)
+    return f"regexp_matches({col}, '(^|{_NOTWORD})({alt})({_NOTWORD}|$)', 'i')"
+
+
+_SQLKW = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "TRUNCATE", "GRANT", "REVOKE")
+_COMPACT = "(?m)^--(liquibase formatted sql|changeset|preconditions)"
+_S = f"""(SELECT *, path_ AS path FROM (SELECT *, 'src/sql/plugins/' || component || '/' || file_name AS path_
+   FROM {fx('scripts')}))"""
+_SCLASS = f"""(SELECT *,
+   NOT regexp_matches(content, '[^\\x00-\\x20]') AS is_blank,
+   {_has_words('content', _SQLKW)} AS has_sql_orders,
+   starts_with(content, '-- liquibase formatted sql') OR starts_with(content, '--liquibase formatted sql') AS is_tagged,
+   regexp_matches(content, '{_COMPACT}') AS needs_fixing,
+   coalesce(regexp_matches(path, '(?i)(^|/)(create|init|update)[^/]*\\.sql$'), false) AS is_managed
+ FROM {_S})"""
+_ACTION = ("CASE WHEN content IS NULL THEN NULL WHEN is_blank OR NOT has_sql_orders THEN 'IGNORED'"
+           " WHEN NOT is_tagged THEN 'TAGGED' WHEN needs_fixing THEN 'FIXED' ELSE 'UNCHANGED' END")
+_HEADER = ("'-- liquibase formatted sql' || chr(10) || '-- changeset ' || coalesce(component, 'core') || ':'"
+           " || file_name || chr(10) || '-- preconditions onFail:MARK_RAN onError:WARN' || chr(10)")
+_GATE = f"""(SELECT *, CASE WHEN regexp_extract(path, '([^/]*)$', 1) = 'build.properties' THEN 'PASS'
+   WHEN NOT suffix(lower(path), '.sql') OR coalesce(strlen(content), 1) = 0 THEN 'DROP'
+   WHEN NOT is_managed THEN 'DROP' WHEN coalesce(is_tagged, false) THEN 'PASS' ELSE 'REJECT' END AS gate
+ FROM {_SCLASS})"""
+
+sql("script_functions", f"""
+SELECT o_orderkey, path, is_blank, has_sql_orders, is_tagged, coalesce(is_tagged, false) AS first_line_tagged,
+       needs_fixing, is_managed, {_ACTION} AS action FROM {_SCLASS}
+""")
+
+sql("process_scripts", f"""
+SELECT o_orderkey, path, action,
+       CASE action WHEN 'TAGGED' THEN {_HEADER} || content
+                   WHEN 'FIXED' THEN regexp_replace(content, '{_COMPACT}', '-- \\1', 'g')
+                   ELSE content END AS content
+FROM (SELECT *, {_ACTION} AS action FROM {_SCLASS})
+""")
+
+sql("gate_scripts", f"SELECT o_orderkey, path, gate FROM {_GATE}")
+
+sql("readiness", f"""
+SELECT count(*) = 0 AS ready, count(*) AS n_rejected, coalesce(string_agg(path, ',' ORDER BY path), '') AS rejected
+FROM {_GATE} WHERE gate = 'REJECT'
+""")
+
+sql("substitute", f"SELECT o_orderkey, replace(content, 'x:', '${{plugin}}') AS content FROM {_S}")
+
+sql("add_tag", f"""
+SELECT o_orderkey, {_HEADER} || content AS content, regexp_replace(content, '{_COMPACT}', '-- \\1', 'g') AS fixed
+FROM {_S}
+""")
+
+sql("has_sql_orders", f"""
+SELECT doc_id, {_has_words('text', _SQLKW)} AS has_sql_orders,
+       {_has_words('text', ('the', 'und', 'les', 'que', 'der', 'est'))} AS has_keywords
+FROM documents
+""")
+
+_LINES = r"string_split_regex(regexp_replace({c}, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r')"
+
+
+def _map_lines(c: str, fn: str) -> str:
+    return (f"CASE WHEN {c} = '' THEN {c} ELSE array_to_string(list_transform({_LINES.format(c=c)},"
+            f" lambda l: {fn}), chr(10)) || chr(10) END")
+
+
+sql("map_lines", f"SELECT doc_id, {_map_lines('text', chr(39) + '> ' + chr(39) + ' || l')} AS quoted FROM documents")
+
+sql("rewrite_lines", f"""
+SELECT doc_id, lang,
+  CASE lang WHEN 'en' THEN {_map_lines('text', "regexp_replace(l, ' {2,}', ' ', 'g')")}
+            WHEN 'fr' THEN {_map_lines('text', "regexp_replace(regexp_replace(l, '[ ' || chr(9) || ']+$', '', 'g'), 'e', 'E', 'g')")}
+            ELSE text END AS content
+FROM documents
+""")
+
+sql("last_line", f"""
+SELECT doc_id, CASE WHEN text = '' THEN '' ELSE coalesce({_LINES.format(c='text')}[-1], '') END AS last_line,
+       CASE WHEN text = '' THEN 0 ELSE len({_LINES.format(c='text')}) END AS n_lines
+FROM documents
+""")
+
+# ------------------------------------------------------------- descriptors
+_D = f"(SELECT p_partkey, path FROM {fx('descriptors')})"
+_DV = ("(SELECT d.*, p.p_name, p.p_size, d.p_partkey % 7 <> 0 AS valid,"
+       " d.p_partkey % 7 <> 0 AND d.p_partkey % 11 <> 0 AS named"
+       f" FROM {_D} d JOIN part p ON p.p_partkey = d.p_partkey)")
+
+sql("scan_descriptors", f"""
+SELECT p_partkey, path, valid, CASE WHEN named THEN replace(p_name, ' ', '-') END AS name_first,
+       CASE WHEN named THEN 'app-' || CAST(p_partkey AS VARCHAR) END AS name_last,
+       CASE WHEN valid THEN CAST(p_size AS VARCHAR) || '.0' END AS version,
+       named AND p_size % 2 = 0 AS db_required
+FROM {_DV}
+""")
+
+sql("plugin_state", f"""
+SELECT path, 'app-' || CAST(p_partkey AS VARCHAR) || '.installed' AS key, '1' AS value FROM {_DV} WHERE named
+UNION ALL
+SELECT path, 'app-' || CAST(p_partkey AS VARCHAR) || '.pool', 'portal' FROM {_DV} WHERE named AND p_size % 2 = 0
+""")
+
+sql("descriptor_rejects", f"""
+SELECT p_partkey, CASE WHEN NOT valid THEN 'MALFORMED' ELSE 'NO_NAME' END AS reason FROM {_DV} WHERE NOT named
+""")
+
+sql("state_lines", """
+SELECT doc_id, 'doc-' || CAST(doc_id AS VARCHAR) || '.installed' AS key, '1' AS value FROM labels WHERE quality = 1
+UNION ALL
+SELECT doc_id, 'doc-' || CAST(doc_id AS VARCHAR) || '.pool', 'portal' FROM labels WHERE quality = 1 AND toxic = 1
+""")
+
+# ------------------------------------------------------------------ naming
+sql("naming", """
+WITH e AS (SELECT event_id, ts, 'app-' || event_type AS base,
+             CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'webapp' END AS classifier,
+             '1.' || CAST(user_id % 7 AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN '-SNAPSHOT' ELSE '' END AS version
+           FROM events),
+f AS (SELECT *, suffix(upper(version), 'SNAPSHOT')
+                OR regexp_full_match(version, '(.*)-([0-9]{8}\\.[0-9]{6})-([0-9]+)') AS is_snapshot FROM e)
+SELECT event_id,
+       concat_ws('-', base, classifier, version, strftime(ts, '%y%m%d-%I%M')) || '.zip' AS archive_name,
+       CASE WHEN is_snapshot THEN replace(base || '-' || version, 'SNAPSHOT', strftime(ts, '%Y%m%d.%H%M%S'))
+            ELSE base || '-' || version END AS stamp_name,
+       CASE WHEN suffix(version, '-SNAPSHOT') THEN split_part(version, '-SNAPSHOT', 1) ELSE version END
+         AS release_version,
+       is_snapshot
+FROM f
+""")
+
+
+def _vfrom(s: str) -> str:
+    return (f"CASE WHEN regexp_full_match({s}, '[^-]*-.*-[^-]*')"
+            f" THEN regexp_extract({s}, '^[^-]*-(.*)-[^-]*$', 1) END")
+
+
+sql("version_from", f"""
+SELECT o_orderkey, path, {_vfrom("regexp_extract(path, '([^/]*)$', 1)")} AS version_from,
+       {_vfrom('path')} AS version_from_path FROM {_S}
+""")
+
+# ----------------------------------------------------------------- closure
+sql("dependency_closure", f"""
+WITH RECURSIVE edges AS (SELECT * FROM {fx('edges_half')} UNION ALL SELECT * FROM {fx('edges_jump')}),
+r(node) AS (SELECT node FROM {fx('roots')}
+            UNION SELECT e.child FROM r JOIN edges e ON e.parent = r.node)
+SELECT node FROM r
+""")
+
+
+# ---------------------------------------------------------------- assemble
+_ASM = f"""
+WITH L AS (
+  SELECT layer, priority, path, mtime, doc_id, NULL::BIGINT AS o_orderkey, content FROM {fx('paths')}
+  UNION ALL
+  SELECT 'conf', 4, 'WEB-INF/sql/' || file_name, 1700000000000 + o_orderkey * 1000, NULL, o_orderkey, content
+  FROM {fx('scripts')}),
+seg AS (SELECT *, CASE WHEN priority < 2 THEN 'a' WHEN priority = 2 THEN 'n' ELSE 'r' END AS seg FROM L),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, seg ORDER BY
+        CASE WHEN seg = 'n' THEN mtime ELSE priority END DESC NULLS LAST, mtime DESC NULLS LAST,
+        doc_id DESC NULLS LAST, o_orderkey DESC NULLS LAST) AS rn FROM seg) WHERE rn = 1),
+pick AS (
+  SELECT k.path, CASE WHEN r.path IS NOT NULL THEN 'r'
+                      WHEN n.path IS NOT NULL AND (a.path IS NULL OR n.mtime > a.mtime) THEN 'n' ELSE 'a' END AS seg
+  FROM (SELECT DISTINCT path FROM L) k
+  LEFT JOIN w a ON a.seg = 'a' AND a.path = k.path
+  LEFT JOIN w n ON n.seg = 'n' AND n.path = k.path
+  LEFT JOIN w r ON r.seg = 'r' AND r.path = k.path),
+m AS (SELECT w.* FROM w JOIN pick USING (path, seg)),
+g AS (SELECT *, CASE WHEN regexp_extract(path, '([^/]*)$', 1) = 'build.properties' THEN 'PASS'
+        WHEN NOT suffix(lower(path), '.sql') OR coalesce(strlen(content), 1) = 0 THEN 'DROP'
+        WHEN NOT coalesce(regexp_matches(path, '(?i)(^|/)(create|init|update)[^/]*\\.sql$'), false) THEN 'DROP'
+        WHEN coalesce(starts_with(content, '-- liquibase formatted sql')
+                      OR starts_with(content, '--liquibase formatted sql'), false) THEN 'PASS'
+        ELSE 'REJECT' END AS gate FROM m)"""
+
+sql("assemble", f"""{_ASM}
+SELECT path, layer, priority, doc_id, o_orderkey, gate FROM g
+""")
+
+sql("assemble_readiness", f"""{_ASM}
+SELECT count(*) = 0 AS ready, count(*) AS n_rejected, coalesce(string_agg(path, ',' ORDER BY path), '') AS rejected
+FROM g WHERE gate = 'REJECT'
+""")
+
+sql("sync_stream", ORACLE["incremental_sync"])
