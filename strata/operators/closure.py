@@ -6,12 +6,12 @@ RECURSIVE`` in Spark accepts only ``UNION ALL``, which never terminates on
 a cycle, hence the loop. The driver only sees the emptiness test of each
 frontier (one row at most).
 
-Scale: every round's new nodes are hash-partitioned on the node and
-checkpointed with that partitioning; ``visited`` is the union of those
-co-partitioned pieces, so it is never reshuffled: the per-round anti-join
-moves only the new frontier. Rounds equal the graph depth, not its size. Checkpoints go to
-the shared ``spark.checkpoint.dir``, so a lost executor never loses a
-round (no ``localCheckpoint``).
+Scale: every round's new nodes are hash-partitioned on the node;
+``visited`` is the union of those co-partitioned pieces, so it is never
+reshuffled: the per-round anti-join moves only the new frontier. Rounds equal the graph depth, not its size. Every round is
+reliably checkpointed to the shared ``spark.checkpoint.dir`` (no
+``localCheckpoint``), so a lost executor never costs more than the round in
+flight.
 """
 
 from __future__ import annotations
@@ -42,13 +42,14 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
 
     ``stop``: a predicate on column ``node``; matching nodes are neither
     included nor expanded (nothing is pruned without one). ``hops``: BFS
-    levels expanded per round (per job and checkpoint).
+    levels expanded per round; each round is computed once (persist +
+    count, which is also the emptiness test) and reliably checkpointed.
     """
     spark = roots.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Edges once, de-duplicated and hash-partitioned on the join key: every
-    # round's frontier (partitioned on the same key, same count) joins them
+    # hop's level (partitioned on the same key, same count) joins them
     # without an exchange on either side.
     e = materialize(edges.select(F.col(parent).alias("node"), F.col(child).alias("_to"))
                     .distinct().repartition(n, "node"))
@@ -65,9 +66,9 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
         # level), so depths stay exact; only the last level is expanded next.
         level, reached = frontier.select("node"), []
         for h in range(1, hops + 1):
-            # Both sides are hash-partitioned on node with the same count: a
-            # shuffled hash join building on the (smaller) frontier needs no
-            # exchange and no broadcast job.
+            # Both sides hash-partitioned on node with the same count: a
+            # shuffled hash join building on the (smaller) level needs no
+            # exchange and no broadcast job; one exchange re-keys the children.
             level = (level.hint("shuffle_hash").join(e, on="node").select(F.col("_to").alias("node"))
                      .repartition(n, "node").distinct())
             if stop is not None:
@@ -75,9 +76,14 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
             reached.append(level.withColumn("depth", F.lit(base + h)))
         nxt = (reduce(DataFrame.unionByName, reached).groupBy("node").agg(F.min("depth").alias("depth"))
                .join(visited.select("node"), on="node", how="left_anti"))
-        nxt = materialize(nxt.repartition(n, "node"))
-        if nxt.isEmpty():
+        cached = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        if cached.count() == 0:       # computes the round once and tests emptiness
+            cached.unpersist()
             return visited
+        # The checkpoint reads the cached rows, cuts the plan (a persisted
+        # frame still carries its whole history) and keeps the partitioning.
+        nxt = cached.checkpoint(eager=True)
+        cached.unpersist()
         parts.append(nxt)
         base += hops
         frontier = nxt.where(F.col("depth") == base)
