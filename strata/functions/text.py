@@ -160,7 +160,7 @@ def map_lines(c: ColumnOrName, fn: Callable[[Column], Column] | None = None) ->
 
 def last_line(c: ColumnOrName) -> Column:
     """Last line, '' when there is none; a trailing terminator is ignored."""
-    return F.coalesce(F.element_at(split_lines(c), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(split_lines(c), F.lit(-1)), F.lit(""))
 
 
 def line_count(c: ColumnOrName) -> Column:
