@@ -16,6 +16,7 @@ flight.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -25,19 +26,34 @@ from pyspark.sql import functions as F
 from strata.session import checkpoint_dir
 
 
+@contextmanager
+def _static_plan(spark):
+    """Plan without AQE inside the block. An adaptive plan reports its output
+    partitioning as unknown until it has run, and a checkpoint records the
+    partitioning at planning time; with a static plan the checkpoint keeps
+    ``hashpartitioning(node, n)`` so later joins on ``node`` need no exchange."""
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint computed once: persist, checkpoint (which reads the
-    cached rows instead of recomputing), then drop the cache. The result
-    keeps the input's hash partitioning."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
+    """Reliable checkpoint computed once that keeps the hash partitioning:
+    persist, checkpoint (which reads the cached rows instead of recomputing),
+    then drop the cache."""
+    with _static_plan(df.sparkSession):
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
 
 
 def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent",
                        child: str = "child", stop: Column | None = None, max_rounds: int = 100_000,
-                       partitions: int | None = None, hops: int = 4) -> DataFrame:
+                       hops: int = 4) -> DataFrame:
     """All nodes reachable from ``roots`` (roots included) with their BFS ``depth``.
 
     ``stop``: a predicate on column ``node``; matching nodes are neither
@@ -47,7 +63,10 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
     """
     spark = roots.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Hop outputs are shuffled by aggregation into spark.sql.shuffle.partitions
+    # partitions; everything checkpointed uses the same count, so all joins and
+    # anti-joins on ``node`` are co-partitioned.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Edges once, de-duplicated and hash-partitioned on the join key: every
     # hop's level (partitioned on the same key, same count) joins them
     # without an exchange on either side.
@@ -68,21 +87,24 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
         for h in range(1, hops + 1):
             # Both sides hash-partitioned on node with the same count: a
             # shuffled hash join building on the (smaller) level needs no
-            # exchange and no broadcast job; one exchange re-keys the children.
+            # exchange and no broadcast job. ``distinct`` de-duplicates
+            # children map-side before its one exchange, so a child shared
+            # by very many parents (a hot key) arrives once per map task.
             level = (level.hint("shuffle_hash").join(e, on="node").select(F.col("_to").alias("node"))
-                     .repartition(n, "node").distinct())
+                     .distinct())
             if stop is not None:
                 level = level.where(~F.coalesce(stop, F.lit(False)))
             reached.append(level.withColumn("depth", F.lit(base + h)))
         nxt = (reduce(DataFrame.unionByName, reached).groupBy("node").agg(F.min("depth").alias("depth"))
                .join(visited.select("node"), on="node", how="left_anti"))
-        cached = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if cached.count() == 0:       # computes the round once and tests emptiness
-            cached.unpersist()
-            return visited
-        # The checkpoint reads the cached rows, cuts the plan (a persisted
-        # frame still carries its whole history) and keeps the partitioning.
-        nxt = cached.checkpoint(eager=True)
+        with _static_plan(spark):
+            cached = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            if cached.count() == 0:   # computes the round once and tests emptiness
+                cached.unpersist()
+                return visited
+            # The checkpoint reads the cached rows, cuts the plan (a persisted
+            # frame still carries its whole history) and keeps the partitioning.
+            nxt = cached.checkpoint(eager=True)
         cached.unpersist()
         parts.append(nxt)
         base += hops
