@@ -71,34 +71,34 @@ PROFILES: dict[str, dict[str, tuple[str, ...]]] = {
 # ---------------------------------------------------------------------------
 
 
-def glob_to_regex(glob: str) -> str:
-    """Translate one Ant glob to an anchored JVM regex (also valid RE2)."""
-    out = ["^"]
-    i, n = 0, len(glob)
-    while i < n:
-        if glob.startswith("**/", i):
-            out.append("(?:.*/)?")           # zero or more leading segments
-            i += 3
-        elif glob.startswith("/**", i) and i + 3 == n:
-            out.append("(?:/.*)?")           # the directory itself or anything below
-            i += 3
-        elif glob.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif glob[i] == "*":
-            out.append("[^/]*")
-            i += 1
-        elif glob[i] == "?":
+def _segment_regex(seg: str) -> str:
+    out = []
+    for ch in seg:
+        if ch == "*":
+            if not out or out[-1] != "[^/]*":   # "a**b" inside a segment is "a*b"
+                out.append("[^/]*")
+        elif ch == "?":
             out.append("[^/]")
-            i += 1
         else:
-            ch = glob[i]
             out.append("\\" + ch if ch in r"\.[]{}()+^$|" else ch)
-            i += 1
-    out.append("$")
     return "".join(out)
 
 
+def glob_to_regex(glob: str) -> str:
+    """Translate one Ant glob to an anchored regex over ``"/" + path``.
+
+    Matching against the path with a leading slash lets every piece carry its
+    own separator: a segment is ``/seg``, and ``**`` is ``(?:/[^/]*)*``, zero
+    or more whole segments. So ``a/**/**`` matches ``a``, ``**/x`` matches
+    ``x`` and ``a/**`` matches ``a`` and everything below it. The result is a
+    valid JVM regex and RE2 (the oracle's dialect).
+    """
+    parts = []
+    for seg in glob.strip("/").split("/"):
+        parts.append("(?:/[^/]*)*" if seg == "**" else "/" + _segment_regex(seg))
+    return "^" + "".join(parts) + "$"
+
+
 def globs_regex(globs: Sequence[str]) -> str | None:
     """One alternation for a set of globs: a single ``rlike`` per row."""
     if not globs:
@@ -109,7 +109,9 @@ def globs_regex(globs: Sequence[str]) -> str | None:
 def glob_match(path: ColumnOrName, globs: Sequence[str]) -> Column:
     """True when the path matches any of the globs (false for none)."""
     rx = globs_regex(globs)
-    return F.lit(False) if rx is None else F.coalesce(_c(path).rlike(rx), F.lit(False))
+    if rx is None:
+        return F.lit(False)
+    return F.coalesce(F.concat(F.lit("/"), _c(path)).rlike(rx), F.lit(False))
 
 
 def selected(path: ColumnOrName, includes: Sequence[str] | None, excludes: Sequence[str] | None) -> Column:

@@ -1,8 +1,8 @@
 """Layer merging: union, last-wins / newer-wins overlay, first-per-key, flatten.
 
-Design. Every merge here is ONE hash aggregate keyed on the merge key:
-``max_by(struct(row), struct(order))`` per layer segment, then the segment
-winners are folded in a projection. ``max_by`` has a partial (map-side)
+Design. Every merge here is ONE aggregate keyed on the merge key:
+``max(struct(order..., row...))`` per layer segment, then the segment
+winners are folded in a projection. The aggregate has a partial (map-side)
 phase, so a key repeated in millions of rows (a hot path, a popular
 artifact) is reduced to one row per map task before the shuffle; a
 ``row_number`` window would instead send every row of the hot key to one
@@ -45,14 +45,31 @@ def _row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def pick(order: Sequence[Column], cols: Sequence[str], cond: Column | None = None, least: bool = False) -> Column:
+    """Aggregate: the row (``cols``) with the greatest (``least``: smallest) ``order``.
+
+    ``max(struct(order..., row...))``: one struct buffer, partial aggregation
+    before the shuffle, and full ties resolved by the row itself, so the
+    winner is deterministic. Rows where ``cond`` is false do not take part.
+    """
+    s = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(f"`{c}`") for c in cols])
+    s = s if cond is None else F.when(cond, s)
+    return F.min(s) if least else F.max(s)
+
+
+def unpick(c: Column, cols: Sequence[str]) -> list[Column]:
+    return [c[x].alias(x) for x in cols]
+
+
 def layered_overlay(layers: DataFrame, key: Sequence[str], priority: str = "priority",
                     tiebreak: Sequence[str] = (), newer: Sequence[int] | Mapping[int, str] = (),
                     ts: str | None = None) -> DataFrame:
     """Merge prioritised layers: per key, the highest layer wins.
 
     ``layers`` holds all layers unioned, with an integer ``priority`` column
-    (low to high). ``tiebreak`` columns give a total order within a layer
-    (without one, equal-priority rows tie and the winner is arbitrary).
+    (low to high). ``tiebreak`` columns order rows within a layer; rows
+    still tied are ordered by their remaining columns, so the winner never
+    depends on arrival order.
 
     ``newer`` lists priorities that are *newer-wins* layers: such a layer
     replaces what lies below it only when its ``ts`` is strictly greater (a
@@ -64,12 +81,12 @@ def layered_overlay(layers: DataFrame, key: Sequence[str], priority: str = "prio
     newer = sorted(set(newer))
     if newer and ts is None:
         raise ValueError("newer-wins layers need a ts column")
-    row = _row(layers)
+    cols = layers.columns
     p = F.col(priority)
     tb = [F.col(t) for t in tiebreak]
     if not newer:
-        w = layers.groupBy(*key).agg(F.max_by(row, F.struct(p, *tb)).alias("_w"))
-        return w.select("_w.*")
+        w = layers.groupBy(*key).agg(pick([p, *tb], cols).alias("_w"))
+        return w.select(*unpick(F.col("_w"), cols))
 
     # Segments in order: replace ranges between the newer priorities, and each newer one.
     segments: list[tuple[str, Column]] = []
@@ -83,9 +100,13 @@ def layered_overlay(layers: DataFrame, key: Sequence[str], priority: str = "prio
 
     aggs = []
     for i, (mode, cond) in enumerate(segments):
-        order = F.struct(p, *tb) if mode == REPLACE else F.struct(F.col(ts), *tb)
-        aggs.append(F.max_by(row, F.when(cond, order)).alias(f"_w{i}"))
+        order = [p, *tb] if mode == REPLACE else [F.col(ts), *tb]
+        aggs.append(pick(order, cols, cond).alias(f"_w{i}"))
     w = layers.groupBy(*key).agg(*aggs)
+    # Segment winners as plain rows (their order fields differ in type).
+    for i in range(len(segments)):
+        wi = F.col(f"_w{i}")
+        w = w.withColumn(f"_w{i}", F.when(wi.isNotNull(), F.struct(*unpick(wi, cols))))
 
     # Fold the segment winners, one projection per step (keeps expressions small).
     w = w.withColumn("_s", F.col("_w0"))
@@ -96,18 +117,17 @@ def layered_overlay(layers: DataFrame, key: Sequence[str], priority: str = "prio
         else:
             nxt = F.when(cur.isNotNull() & (st.isNull() | newer_than(cur[ts], st[ts])), cur).otherwise(st)
         w = w.withColumn("_s", nxt)
-    return w.where(F.col("_s").isNotNull()).select("_s.*")
+    return w.where(F.col("_s").isNotNull()).select(*unpick(F.col("_s"), cols))
 
 
 def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row per key in ``order`` (ascending; give a total order).
 
-    ``min_by`` aggregates partially before the shuffle, unlike a window.
+    A ``min`` over a struct aggregates partially before the shuffle, unlike a window.
     Use ``dropDuplicates`` only when any row will do.
     """
-    row = _row(df)
-    w = df.groupBy(*key).agg(F.min_by(row, F.struct(*[F.col(o) for o in order])).alias("_w"))
-    return w.select("_w.*")
+    w = df.groupBy(*key).agg(pick([F.col(o) for o in order], df.columns, least=True).alias("_w"))
+    return w.select(*unpick(F.col("_w"), df.columns))
 
 
 def flatten_to(df: DataFrame, dir_prefix: str, path: str = "path", mtime: str = "mtime",
@@ -120,6 +140,5 @@ def flatten_to(df: DataFrame, dir_prefix: str, path: str = "path", mtime: str =
     """
     flat = (df.withColumn("source_path", F.col(path))
               .withColumn(path, F.concat(F.lit(dir_prefix), base_name(path))))
-    row = _row(flat)
-    order = F.struct(F.col(mtime), F.col("source_path"), *[F.col(t) for t in tiebreak])
-    return flat.groupBy(path).agg(F.max_by(row, order).alias("_w")).select("_w.*")
+    order = [F.col(mtime), F.col("source_path"), *[F.col(t) for t in tiebreak]]
+    return flat.groupBy(path).agg(pick(order, flat.columns).alias("_w")).select(*unpick(F.col("_w"), flat.columns))

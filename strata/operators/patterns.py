@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.globs import PROFILES, pattern_profile, selected
 from strata.functions.text import ColumnOrName, _c
+from strata.operators.overlay import pick, unpick
 
 MAX_LITERAL_RULES = 1000
 
@@ -163,6 +164,6 @@ def package_membership(files: DataFrame, rules: Sequence[Mapping] | DataFrame, p
               .select("_m.*", "source_path", *[c for c in files.columns if c != path]))
     if not resolve:
         return m
-    row = F.struct(*[F.col(c) for c in m.columns])
+    order = [F.col("rule_order"), F.col("source_path"), *[F.col(t) for t in tiebreak]]
     return (m.groupBy("package", "entry_path")
-             .agg(F.max_by(row, F.struct("rule_order", "source_path", *tiebreak)).alias("_w")).select("_w.*"))
+             .agg(pick(order, m.columns).alias("_w")).select(*unpick(F.col("_w"), m.columns)))

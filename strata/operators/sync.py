@@ -3,7 +3,7 @@
 A source row replaces the target row of its key when the key is new or the
 source time is strictly greater; target-only keys are never deleted; equal
 times are no-ops. Both sides are unioned and reduced by ONE keyed
-aggregate (``max_by`` per side), instead of a full outer join: a full outer
+aggregate (the newest row per side), instead of a full outer join: a full outer
 sort-merge join cannot be split by AQE's skew handling and has no map-side
 reduction, while the aggregate collapses a hot key before the shuffle and
 tolerates duplicate rows per key on either side (latest wins).
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.overlay import newer_than
+from strata.operators.overlay import newer_than, pick, unpick
 
 NEW, UPDATED, UNCHANGED, TARGET_ONLY = "NEW", "UPDATED", "UNCHANGED", "TARGET_ONLY"
 
@@ -26,12 +26,11 @@ def _sides(source: DataFrame, target: DataFrame, key: Sequence[str], ts: str,
     cols = list(dict.fromkeys(target.columns + source.columns))
     u = (target.withColumn("_side", F.lit(0))
          .unionByName(source.withColumn("_side", F.lit(1)), allowMissingColumns=True))
-    row = F.struct(*[F.col(f"`{c}`") for c in cols])
-    order = F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
+    order = [F.col(ts), *[F.col(t) for t in tiebreak]]
     side = F.col("_side")
     g = u.groupBy(*key).agg(
-        F.max_by(row, F.when(side == 0, order)).alias("_t"),
-        F.max_by(row, F.when(side == 1, order)).alias("_s"),
+        pick(order, cols, side == 0).alias("_t"),
+        pick(order, cols, side == 1).alias("_s"),
         F.max((side == 0).cast("int")).alias("_has_t"),
         F.max((side == 1).cast("int")).alias("_has_s"),
     )
@@ -91,6 +90,5 @@ def verify_copy(source: DataFrame, target: DataFrame, key: Sequence[str], length
 
 def latest_per_key(df: DataFrame, key: Sequence[str], ts: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Newest row per key (a snapshot from a change log); partial aggregate."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    order = F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
-    return df.groupBy(*key).agg(F.max_by(row, order).alias("_w")).select("_w.*")
+    order = [F.col(ts), *[F.col(t) for t in tiebreak]]
+    return df.groupBy(*key).agg(pick(order, df.columns).alias("_w")).select(*unpick(F.col("_w"), df.columns))

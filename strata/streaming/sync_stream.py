@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.sync import incremental_sync
+from strata.operators.sync import incremental_sync, latest_per_key
 
 
 def _fs(spark: SparkSession, path: str):
@@ -50,8 +50,7 @@ def seed_state(initial: DataFrame, state_dir: str) -> None:
 def sync_batch(batch: DataFrame, batch_id: int, state_dir: str, key: Sequence[str], ts: str,
                columns: Sequence[str]) -> None:
     spark = batch.sparkSession
-    row = F.struct(*[F.col(c) for c in columns])
-    latest = batch.groupBy(*key).agg(F.max_by(row, F.col(ts)).alias("_w")).select("_w.*")
+    latest = latest_per_key(batch.select(*columns), key, ts)
     prev = read_state(spark, state_dir, before=batch_id)
     if prev is None:
         new = latest

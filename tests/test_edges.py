@@ -218,7 +218,7 @@ def test_substitute_and_normalize(spark):
 # ----------------------------------------------------------------- patterns
 def test_glob_semantics():
     import re
-    m = lambda g, p: re.fullmatch(globs.glob_to_regex(g)[1:-1], p) is not None
+    m = lambda g, p: re.fullmatch(globs.glob_to_regex(g)[1:-1], "/" + p) is not None
     assert m("**/package.html", "package.html") and m("**/package.html", "a/b/package.html")
     assert m("*.*", "a.txt") and not m("*.*", "d/a.txt")
     assert m("WEB-INF/lib/**", "WEB-INF/lib/x.jar") and not m("WEB-INF/lib/**", "w/WEB-INF/lib/x.jar")
