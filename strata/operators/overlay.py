@@ -45,14 +45,26 @@ def _row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def pick(order: Sequence[Column], cols: Sequence[str], cond: Column | None = None, least: bool = False) -> Column:
+def pick(order: Sequence[Column | str], cols: Sequence[str], cond: Column | None = None,
+         least: bool = False) -> Column:
     """Aggregate: the row (``cols``) with the greatest (``least``: smallest) ``order``.
 
-    ``max(struct(order..., row...))``: one struct buffer, partial aggregation
-    before the shuffle, and full ties resolved by the row itself, so the
-    winner is deterministic. Rows where ``cond`` is false do not take part.
+    ``max(struct(order..., rest of row...))``: one struct buffer, partial
+    aggregation before the shuffle, and full ties resolved by the row itself,
+    so the winner is deterministic. Order items that are column names are
+    stored once (as themselves); expressions get ``_o<i>`` fields. Rows where
+    ``cond`` is false do not take part.
     """
-    s = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(f"`{c}`") for c in cols])
+    fields, seen = [], set()
+    for i, o in enumerate(order):
+        if isinstance(o, str):
+            if o not in seen:
+                fields.append(F.col(f"`{o}`"))
+                seen.add(o)
+        else:
+            fields.append(o.alias(f"_o{i}"))
+    fields += [F.col(f"`{c}`") for c in cols if c not in seen]
+    s = F.struct(*fields)
     s = s if cond is None else F.when(cond, s)
     return F.min(s) if least else F.max(s)
 
@@ -83,9 +95,9 @@ def layered_overlay(layers: DataFrame, key: Sequence[str], priority: str = "prio
         raise ValueError("newer-wins layers need a ts column")
     cols = layers.columns
     p = F.col(priority)
-    tb = [F.col(t) for t in tiebreak]
+    tb = list(tiebreak)
     if not newer:
-        w = layers.groupBy(*key).agg(pick([p, *tb], cols).alias("_w"))
+        w = layers.groupBy(*key).agg(pick([priority, *tb], cols).alias("_w"))
         return w.select(*unpick(F.col("_w"), cols))
 
     # Segments in order: replace ranges between the newer priorities, and each newer one.
@@ -100,7 +112,7 @@ def layered_overlay(layers: DataFrame, key: Sequence[str], priority: str = "prio
 
     aggs = []
     for i, (mode, cond) in enumerate(segments):
-        order = [p, *tb] if mode == REPLACE else [F.col(ts), *tb]
+        order = [priority, *tb] if mode == REPLACE else [ts, *tb]
         aggs.append(pick(order, cols, cond).alias(f"_w{i}"))
     w = layers.groupBy(*key).agg(*aggs)
     # Segment winners as plain rows (their order fields differ in type).
@@ -126,7 +138,7 @@ def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
     A ``min`` over a struct aggregates partially before the shuffle, unlike a window.
     Use ``dropDuplicates`` only when any row will do.
     """
-    w = df.groupBy(*key).agg(pick([F.col(o) for o in order], df.columns, least=True).alias("_w"))
+    w = df.groupBy(*key).agg(pick(list(order), df.columns, least=True).alias("_w"))
     return w.select(*unpick(F.col("_w"), df.columns))
 
 
@@ -140,5 +152,5 @@ def flatten_to(df: DataFrame, dir_prefix: str, path: str = "path", mtime: str =
     """
     flat = (df.withColumn("source_path", F.col(path))
               .withColumn(path, F.concat(F.lit(dir_prefix), base_name(path))))
-    order = [F.col(mtime), F.col("source_path"), *[F.col(t) for t in tiebreak]]
+    order = [mtime, "source_path", *tiebreak]
     return flat.groupBy(path).agg(pick(order, flat.columns).alias("_w")).select(*unpick(F.col("_w"), flat.columns))

@@ -164,6 +164,6 @@ def package_membership(files: DataFrame, rules: Sequence[Mapping] | DataFrame, p
               .select("_m.*", "source_path", *[c for c in files.columns if c != path]))
     if not resolve:
         return m
-    order = [F.col("rule_order"), F.col("source_path"), *[F.col(t) for t in tiebreak]]
+    order = ["rule_order", "source_path", *tiebreak]
     return (m.groupBy("package", "entry_path")
              .agg(pick(order, m.columns).alias("_w")).select(*unpick(F.col("_w"), m.columns)))

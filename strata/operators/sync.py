@@ -26,7 +26,7 @@ def _sides(source: DataFrame, target: DataFrame, key: Sequence[str], ts: str,
     cols = list(dict.fromkeys(target.columns + source.columns))
     u = (target.withColumn("_side", F.lit(0))
          .unionByName(source.withColumn("_side", F.lit(1)), allowMissingColumns=True))
-    order = [F.col(ts), *[F.col(t) for t in tiebreak]]
+    order = [ts, *tiebreak]
     side = F.col("_side")
     g = u.groupBy(*key).agg(
         pick(order, cols, side == 0).alias("_t"),
@@ -90,5 +90,5 @@ def verify_copy(source: DataFrame, target: DataFrame, key: Sequence[str], length
 
 def latest_per_key(df: DataFrame, key: Sequence[str], ts: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Newest row per key (a snapshot from a change log); partial aggregate."""
-    order = [F.col(ts), *[F.col(t) for t in tiebreak]]
+    order = [ts, *tiebreak]
     return df.groupBy(*key).agg(pick(order, df.columns).alias("_w")).select(*unpick(F.col("_w"), df.columns))

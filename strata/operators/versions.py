@@ -1,7 +1,7 @@
 """Version reconciliation: newest per key, COPY / DELETE / SKIP plans, drift.
 
 Versions are compared through ``version_key`` (a struct Spark orders
-field by field). Per-key maxima use ``max_by(version, key)``: a partial
+field by field). Per-key maxima are ``max(struct(key, version))``: a partial
 aggregate, so a popular artifact id cannot pile up in one task.
 """
 
@@ -18,16 +18,6 @@ from strata.functions.versions import version_key
 COPY, DELETE, SKIP = "COPY", "DELETE", "SKIP"
 
 
-def _newest(side: Column | None, version: Column) -> Column:
-    """Highest parseable version among the rows where ``side`` holds; else the
-    smallest unparseable one (so keys with only null-range versions survive)."""
-    k = version_key(version)
-    cond = F.lit(True) if side is None else side
-    best = F.max_by(version, F.when(cond & k.isNotNull(), k))
-    fallback = F.min(F.when(cond & k.isNull(), version))
-    return F.coalesce(best, fallback)
-
-
 def max_version(df: DataFrame, key: Sequence[str], version: str = "version",
                 exclude: Column | None = None) -> DataFrame:
     """Highest version per key; null and unparseable versions are ignored;
@@ -35,8 +25,8 @@ def max_version(df: DataFrame, key: Sequence[str], version: str = "version",
     if exclude is not None:
         df = df.where(~F.coalesce(exclude, F.lit(False)))
     k = version_key(version)
-    return (df.where(k.isNotNull()).groupBy(*key)
-              .agg(F.max_by(F.col(version), k).alias("max_version")))
+    best = F.max(F.struct(k.alias("k"), F.col(version).alias("v")))
+    return (df.where(k.isNotNull()).groupBy(*key).agg(best["v"].alias("max_version")))
 
 
 def version_reconcile(candidates: DataFrame, current: DataFrame, key: Sequence[str],
@@ -50,19 +40,22 @@ def version_reconcile(candidates: DataFrame, current: DataFrame, key: Sequence[s
     to their newest version per key first (first match only).
 
     One keyed aggregate over the union of both sides replaces the two
-    de-duplications and the join.
+    de-duplications and the join; the version key is computed once per row.
     """
     u = (current.select(*key, F.col(version).alias("_v"), F.lit(0).alias("_side"))
-         .unionByName(candidates.select(*key, F.col(version).alias("_v"), F.lit(1).alias("_side"))))
-    side, v = F.col("_side"), F.col("_v")
+         .unionByName(candidates.select(*key, F.col(version).alias("_v"), F.lit(1).alias("_side")))
+         .withColumn("_k", version_key("_v")))
+    side, v, k = F.col("_side"), F.col("_v"), F.col("_k")
+    best = lambda s: F.max(F.when((side == s) & k.isNotNull(), F.struct(k.alias("k"), v.alias("v"))))
+    loose = lambda s: F.min(F.when((side == s) & k.isNull(), v))
     g = u.groupBy(*key).agg(
-        _newest(side == 1, v).alias("_cand"),
-        _newest(side == 0, v).alias("_cur"),
+        best(1).alias("_cb"), loose(1).alias("_cn"), best(0).alias("_ub"), loose(0).alias("_un"),
         F.max((side == 1).cast("int")).alias("_has_c"),
         F.max((side == 0).cast("int")).alias("_has_u"),
     )
-    cand, cur = F.col("_cand"), F.col("_cur")
-    ck, uk = version_key(cand), version_key(cur)
+    cand = F.coalesce(F.col("_cb.v"), F.col("_cn"))
+    cur = F.coalesce(F.col("_ub.v"), F.col("_un"))
+    ck, uk = F.col("_cb.k"), F.col("_ub.k")
     row = lambda a, ver: F.struct(F.lit(a).alias("action"), ver.alias("version"))
     plan = (F.when(F.col("_has_u") == 0, F.array(row(COPY, cand)))
             .when(ck.isNull(), F.array(row(COPY, cand)))
