@@ -83,13 +83,15 @@ def _event_pair(spark, sf):
 
 @register
 def q_incremental_sync(spark, sf):
-    src, tgt = _event_pair(spark, sf)
+    """Both sides as raw change rows: the sync keeps the newest row per key and
+    side itself, so the whole merge is one shuffle."""
+    src, tgt = fixture(spark, sf, "events_source"), fixture(spark, sf, "events_target")
     return sync.incremental_sync(src, tgt, EVENT_KEY, "ts")
 
 
 @register
 def q_sync_plan(spark, sf):
-    src, tgt = _event_pair(spark, sf)
+    src, tgt = fixture(spark, sf, "events_source"), fixture(spark, sf, "events_target")
     return sync.sync_plan(src, tgt, EVENT_KEY, "ts")
 
 

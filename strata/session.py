@@ -8,6 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for large clusters (pass to spark-submit or ``get_session(**...)``).
+# Shuffle partitions start high and AQE coalesces them to the advisory size,
+# so one setting serves small and 100 TB inputs; skewed partitions (a hot
+# key holding a large share of rows) are split at run time for joins; file
+# splits of 256 MB keep scan tasks in the low tens of thousands at 100 TB.
+SCALE_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+}
+
+
 def get_session(master: str | None = None, app: str = "strata",
                 shuffle_partitions: int | None = None, **conf) -> SparkSession:
     """Build (or reuse) a session with the settings the operators expect.

@@ -279,3 +279,23 @@ def test_allowed_values_reject_and_raise(spark):
     assert rows(rej, "packaging") == [("jar",)]
     with pytest.raises(Exception):
         quality.allowed_values(df, "packaging", ["war"], on_fail="raise").collect()
+
+
+def test_observe_counters_and_assert_cardinality(spark):
+    import pytest
+    df = spark.createDataFrame([("a", "NEW"), ("b", "UPDATED"), ("c", "NEW")], "k string, action string")
+    observed, obs = quality.observe_counters(df, "sync")
+    observed.write.format("noop").mode("overwrite").save()
+    m = obs.get
+    assert (m["rows"], m["new"], m["updated"]) == (3, 2, 1)
+    ok = quality.cardinality_check(df, ["k"], max_count=1)
+    assert quality.assert_cardinality(ok).count() == 3
+    bad = quality.cardinality_check(df.unionByName(df), ["k"], max_count=1)
+    with pytest.raises(Exception):
+        quality.assert_cardinality(bad, "more than one").collect()
+
+
+def test_readiness_state_rows(spark):
+    df = spark.createDataFrame([("b.sql",), ("a.sql",)], "path string")
+    st = quality.readiness_state(quality.readiness(df))
+    assert rows(st) == [("liquibase.fileErrors", "a.sql,b.sql"), ("liquibase.readyToRun", "false")]
