@@ -132,6 +132,26 @@ def layered_overlay(layers: DataFrame, key: Sequence[str], priority: str = "prio
     return w.where(F.col("_s").isNotNull()).select(*unpick(F.col("_s"), cols))
 
 
+def overlay_decisions(layers: DataFrame, key: Sequence[str], priority: str = "priority",
+                      tiebreak: Sequence[str] = (), newer: Sequence[int] | Mapping[int, str] = (),
+                      ts: str | None = None) -> DataFrame:
+    """Every input row with ``won``: the overlay with its losers.
+
+    Winners come from the one-aggregate overlay (partial aggregation), then
+    every row is joined to its key's winner. The join's large side is the
+    input itself, which AQE's skew handling can split, so a hot key is not
+    forced through one task the way a ``row_number`` window would force it.
+    Identical copies of a winning row are all marked as won.
+    """
+    cols = layers.columns
+    win = layered_overlay(layers, key, priority, tiebreak, newer, ts)
+    win = win.select(*[F.col(f"`{c}`").alias(f"_w_{c}") for c in cols])
+    cond = [F.col(f"`{k}`") == F.col(f"_w_{k}") for k in key]
+    joined = layers.join(win, on=reduce(lambda a, b: a & b, cond), how="left")
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_w_{c}")) for c in cols])
+    return joined.select(*[F.col(f"`{c}`") for c in cols], same.alias("won"))
+
+
 def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row per key in ``order`` (ascending; give a total order).
 

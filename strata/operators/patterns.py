@@ -93,7 +93,8 @@ def extract_subtree(df: DataFrame, path: str, prefix: str, to: str,
     sub = remap_prefix(df.where(F.col(path).startswith(pre)), path, to, pre)
     if existing is None:
         return sub
-    return (existing.join(sub.select(path), on=path, how="left_anti")
+    # Distinct first: a re-rooted path repeated many times is reduced map-side.
+    return (existing.join(sub.select(path).distinct(), on=path, how="left_anti")
             .unionByName(sub, allowMissingColumns=True))
 
 

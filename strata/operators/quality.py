@@ -14,12 +14,15 @@ MAX_REPORT_PATHS = 1_000_000
 
 
 def cardinality_check(df: DataFrame, group: Sequence[str], expected: DataFrame | None = None,
-                      min_count: int = 0, max_count: int | None = None) -> DataFrame:
+                      min_count: int = 0, max_count: int | None = None,
+                      exempt: Column | None = None) -> DataFrame:
     """Per group: ``n`` rows and ``ok`` = min_count <= n <= max_count.
 
     With ``expected`` (the groups that must be judged, e.g. all projects),
-    groups without rows appear with n = 0. The count is a partial aggregate;
-    the join sees one row per group.
+    groups without rows appear with n = 0. ``exempt`` (a predicate on the
+    group columns, e.g. "the project is the core itself") makes a group ok
+    whatever its count. The count is a partial aggregate; the join sees one
+    row per group.
     """
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     if expected is not None:
@@ -28,6 +31,8 @@ def cardinality_check(df: DataFrame, group: Sequence[str], expected: DataFrame |
     ok = F.col("n") >= min_count
     if max_count is not None:
         ok = ok & (F.col("n") <= max_count)
+    if exempt is not None:
+        ok = ok | F.coalesce(exempt, F.lit(False))
     return counts.withColumn("ok", ok)
 
 

@@ -45,6 +45,20 @@ def q_overlay_newer(spark, sf):
                                    newer=[2], ts="l_shipdate")
 
 
+@register
+def q_overlay_decisions(spark, sf):
+    """Every layer row with won/lost (the overlay with its losers)."""
+    return overlay.overlay_decisions(fixture(spark, sf, "layers"), LAYER_KEY, tiebreak=LAYER_TIEBREAK)
+
+
+@register
+def q_layer_counters(spark, sf):
+    """Rows kept and overridden per layer."""
+    d = overlay.overlay_decisions(fixture(spark, sf, "layers"), LAYER_KEY, tiebreak=LAYER_TIEBREAK)
+    d = d.withColumn("action", F.when(F.col("won"), F.lit("KEPT")).otherwise(F.lit("OVERRIDDEN")))
+    return quality.run_counters(d)
+
+
 @register
 def q_dedupe_first(spark, sf):
     """First shipment per part, in a total order."""

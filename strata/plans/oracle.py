@@ -25,6 +25,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
       FROM {fx('layers')}) WHERE rn = 1
 """)
 
+_DECISIONS = f"""(SELECT l_orderkey, l_linenumber, layer, priority, l_shipdate, l_suppkey, l_partkey,
+     l_extendedprice, l_quantity,
+     row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY priority DESC, l_shipdate DESC,
+       l_suppkey DESC, l_partkey DESC, l_extendedprice DESC) = 1 AS won FROM {fx('layers')})"""
+sql("overlay_decisions", f"SELECT * FROM {_DECISIONS}")
+sql("layer_counters", f"""
+SELECT layer, CASE WHEN won THEN 'KEPT' ELSE 'OVERRIDDEN' END AS action, count(*) AS n FROM {_DECISIONS}
+GROUP BY 1, 2
+""")
+
 _LAYER_ORDER = "l_shipdate DESC, l_suppkey DESC, l_partkey DESC, l_extendedprice DESC"
 sql("overlay_newer", f"""
 WITH L AS {fx('layers')},

@@ -299,3 +299,15 @@ def test_readiness_state_rows(spark):
     df = spark.createDataFrame([("b.sql",), ("a.sql",)], "path string")
     st = quality.readiness_state(quality.readiness(df))
     assert rows(st) == [("liquibase.fileErrors", "a.sql,b.sql"), ("liquibase.readyToRun", "false")]
+
+
+def test_cardinality_core_project_exempt(spark):
+    cores = spark.createDataFrame([("lutece-core",), ("lutece-core",), ("p",), ("p",)], "project string")
+    out = quality.cardinality_check(cores, ["project"], max_count=1, exempt=F.col("project") == "lutece-core")
+    assert rows(out, "project", "ok") == [("lutece-core", True), ("p", False)]
+
+
+def test_overlay_decisions_marks_losers(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "path string, priority int, v string")
+    assert rows(overlay.overlay_decisions(df, ["path"]), "path", "v", "won") == [
+        ("a", "x", False), ("a", "y", True), ("b", "z", True)]
