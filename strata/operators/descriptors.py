@@ -18,9 +18,10 @@ from strata.functions.text import ColumnOrName, _c
 NAME_TAG, VERSION_TAG, DB_TAG = "name", "version", "db-pool-required"
 INSTALLED_SUFFIX, INSTALLED_VALUE = ".installed", "1"
 POOL_SUFFIX, POOL_VALUE = ".pool", "portal"
+# Default comment header of the state file (callers may pass their own
+# lines to ``write_state``; the tool-identification line is left out).
 STATE_HEADER = (
     "# plugins.dat file",
-    "# Version generated by the Lutece's Maven Plugin according to the current pom.xml file.",
     "# This file stores the state of each plugin available in the webapp ",
     "# and the database pool it may be using.",
     "",
