@@ -41,10 +41,6 @@ def newer_than(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), F.lit(False)).when(b.isNull(), F.lit(True)).otherwise(a > b)
 
 
-def _row(df: DataFrame) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
-
-
 def pick(order: Sequence[Column | str], cols: Sequence[str], cond: Column | None = None,
          least: bool = False) -> Column:
     """Aggregate: the row (``cols``) with the greatest (``least``: smallest) ``order``.
