@@ -563,3 +563,14 @@ def q_sync_stream(spark, sf):
     q = ss.sync_stream(src, state_dir, ckpt, EVENT_KEY, "ts")
     q.awaitTermination()
     return ss.read_state(spark, state_dir)
+
+
+@register
+def q_sync_into(spark, sf):
+    """The target snapshot seeded as a bucketed state table, then the source
+    merged in place: only touched buckets are read and rewritten."""
+    from strata.session import scratch_path
+    state = scratch_path(spark, "sync-into-state")
+    sync.sync_into(fixture(spark, sf, "events_target"), state, EVENT_KEY, "ts", buckets=64)
+    sync.sync_into(fixture(spark, sf, "events_source"), state, EVENT_KEY, "ts", buckets=64)
+    return spark.read.parquet(state).select("user_id", "event_type", "event_id", "ts", "value")

@@ -601,3 +601,5 @@ FROM g WHERE gate = 'REJECT'
 """)
 
 sql("sync_stream", ORACLE["incremental_sync"])
+
+sql("sync_into", ORACLE["incremental_sync"])

@@ -311,3 +311,21 @@ def test_overlay_decisions_marks_losers(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "path string, priority int, v string")
     assert rows(overlay.overlay_decisions(df, ["path"]), "path", "v", "won") == [
         ("a", "x", False), ("a", "y", True), ("b", "z", True)]
+
+
+def test_sync_into_rewrites_only_touched_buckets(spark, tmp_path):
+    import os
+    state = str(tmp_path / "state")
+    tgt = spark.createDataFrame([(f"k{i}", 1, "t") for i in range(40)], EV)
+    sync.sync_into(tgt, state, ["k"], "ts", buckets=16)
+    before = {d: sorted(os.listdir(f"{state}/{d}")) for d in os.listdir(state) if d.startswith("_bucket=")}
+    src = spark.createDataFrame([("k3", 2, "s"), ("k3", 1, "x"), ("new", 1, "s")], EV)
+    sync.sync_into(src, state, ["k"], "ts", buckets=16)
+    got = spark.read.parquet(state).select("k", "ts", "v")
+    expected = sync.incremental_sync(src, tgt, ["k"], "ts")
+    assert rows(got) == rows(expected)
+    touched = {r[0] for r in src.select(sync.key_bucket(["k"], 16)).collect()}
+    after = {d: sorted(os.listdir(f"{state}/{d}")) for d in os.listdir(state) if d.startswith("_bucket=")}
+    for d, files in before.items():
+        if int(d.split("=")[1]) not in touched:
+            assert after[d] == files          # untouched buckets: same files
