@@ -557,12 +557,12 @@ def q_sync_stream(spark, sf):
               .option("maxFilesPerTrigger", 1).parquet(sf))
     src = stream.where(F.expr(FIXTURES["events_source"].where)).select("user_id", "event_type", "event_id",
                                                                        "ts", "value")
-    _, tgt = _event_pair(spark, sf)
+    tgt = fixture(spark, sf, "events_target")
     state_dir, ckpt = scratch_path(spark, "sync-stream-state"), scratch_path(spark, "sync-stream-ckpt")
-    ss.seed_state(tgt, state_dir)
-    q = ss.sync_stream(src, state_dir, ckpt, EVENT_KEY, "ts")
+    ss.seed_state(tgt, state_dir, EVENT_KEY, "ts", buckets=64)
+    q = ss.sync_stream(src, state_dir, ckpt, EVENT_KEY, "ts", buckets=64)
     q.awaitTermination()
-    return ss.read_state(spark, state_dir)
+    return ss.read_state(spark, state_dir).select("user_id", "event_type", "event_id", "ts", "value")
 
 
 @register

@@ -1,12 +1,12 @@
 """Incremental sync as a stream: each micro-batch merges into a state table.
 
-``foreachBatch`` reduces the batch to one row per key (latest first), then
-runs ``incremental_sync`` against the last committed state and writes the
-new state as version ``batch_id`` under the state folder. A replayed batch
-(after a failure) recomputes the same version from the same predecessor,
-so the merge is idempotent; late or equal-time rows are no-ops under the
-strict ``>`` rule, so the final state does not depend on arrival order
-when (key, ts) is unique.
+``foreachBatch`` hands every micro-batch to ``sync_into``: the batch is
+reduced to its newest row per key, and only the state buckets it touches
+are read, merged and rewritten, so the work per batch follows the batch,
+not the state. A replayed batch (after a failure, before its offsets were
+committed) merges the same rows again, which is a no-op under the strict
+newer-wins rule; late or equal-time rows are no-ops as well, so the final
+state does not depend on arrival order when (key, ts) is unique.
 """
 
 from __future__ import annotations
@@ -15,55 +15,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.operators.sync import incremental_sync, latest_per_key
+from strata.operators.sync import sync_into
 
+BUCKET_COL = "_bucket"
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
+def seed_state(initial: DataFrame, state_dir: str, key: Sequence[str], ts: str, buckets: int = 1024) -> None:
+    """Write the starting state (newest row per key) as a bucketed table."""
+    sync_into(initial, state_dir, key, ts, buckets=buckets, bucket_col=BUCKET_COL)
 
-def committed_versions(spark: SparkSession, state_dir: str) -> list[int]:
-    fs, p = _fs(spark, state_dir)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
 
+def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    return spark.read.parquet(state_dir).drop(BUCKET_COL)
 
-def read_state(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame | None:
-    vs = [v for v in committed_versions(spark, state_dir) if before is None or v < before]
-    return spark.read.parquet(f"{state_dir}/v={vs[-1]}") if vs else None
 
-
-def seed_state(initial: DataFrame, state_dir: str) -> None:
-    """Write the starting state as version -1."""
-    initial.write.mode("overwrite").parquet(f"{state_dir}/v=-1")
-
-
-def sync_batch(batch: DataFrame, batch_id: int, state_dir: str, key: Sequence[str], ts: str,
-               columns: Sequence[str]) -> None:
-    spark = batch.sparkSession
-    latest = latest_per_key(batch.select(*columns), key, ts)
-    prev = read_state(spark, state_dir, before=batch_id)
-    if prev is None:
-        new = latest
-    else:
-        new = incremental_sync(latest, prev.select(*columns), key, ts)
-    new.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
+def sync_batch(batch: DataFrame, state_dir: str, key: Sequence[str], ts: str, columns: Sequence[str],
+               buckets: int = 1024) -> None:
+    sync_into(batch.select(*columns), state_dir, key, ts, buckets=buckets, bucket_col=BUCKET_COL)
 
 
 def sync_stream(stream: DataFrame, state_dir: str, checkpoint: str, key: Sequence[str], ts: str,
-                columns: Sequence[str] | None = None, trigger: dict | None = None):
+                columns: Sequence[str] | None = None, buckets: int = 1024, trigger: dict | None = None):
     """Start the streaming merge; returns the ``StreamingQuery``."""
     cols = list(columns or stream.columns)
     w = (stream.select(*cols).writeStream
-         .foreachBatch(lambda b, i: sync_batch(b, i, state_dir, key, ts, cols))
+         .foreachBatch(lambda b, _i: sync_batch(b, state_dir, key, ts, cols, buckets))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
