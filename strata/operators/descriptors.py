@@ -18,6 +18,7 @@ from strata.functions.text import ColumnOrName, _c
 NAME_TAG, VERSION_TAG, DB_TAG = "name", "version", "db-pool-required"
 INSTALLED_SUFFIX, INSTALLED_VALUE = ".installed", "1"
 POOL_SUFFIX, POOL_VALUE = ".pool", "portal"
+STATE_LINE_SEP = "\r\n"                      # plugin state files end lines with CRLF
 # Default comment header of the state file (callers may pass their own
 # lines to ``write_state``; the tool-identification line is left out).
 STATE_HEADER = (

@@ -25,9 +25,12 @@ def write_scripts(df: DataFrame, dest: str, dry_run: bool = False, dry_run_dest:
 
 
 def write_state(df: DataFrame, dest: str, header: Sequence[str] = (), key: str = "key", value: str = "value",
-                mode: str = "overwrite", order: Sequence[str] = ()) -> str:
+                mode: str = "overwrite", order: Sequence[str] = (), line_sep: str = "\n") -> str:
     """Write ``key=value`` text lines, preceded by literal header lines.
 
+    ``line_sep``: line terminator (plugin state files use CRLF, see
+    ``descriptors.STATE_LINE_SEP``).
+
     Header lines go first in sort order (they get ``_seq`` 0); rows follow
     in ``order`` (default: by key). The range sort keeps the write parallel:
     part files are in order, each written by its own task.
@@ -41,7 +44,7 @@ def write_state(df: DataFrame, dest: str, header: Sequence[str] = (), key: str =
         body = body.withColumn("_h", F.lit(0))
         body = h.unionByName(body, allowMissingColumns=True)
         sort_cols = ["_seq", "_h", *(order or ["value"])]
-    body.orderBy(*sort_cols).select("value").write.mode(mode).text(dest)
+    body.orderBy(*sort_cols).select("value").write.mode(mode).option("lineSep", line_sep).text(dest)
     return dest
 
 

@@ -37,13 +37,14 @@ def test_scan_descriptors_state_and_sink(spark):
     dsc = files.scan_descriptors(spark, f"{d}/plugins")
     assert sorted(r.path for r in dsc.collect()) == ["bad.xml", "p.xml"]
     state = descriptors.plugin_state(dsc)
-    out = sinks.write_state(state, f"{d}/out/plugins.dat", header=descriptors.STATE_HEADER)
-    lines = []
+    out = sinks.write_state(state, f"{d}/out/plugins.dat", header=descriptors.STATE_HEADER,
+                            line_sep=descriptors.STATE_LINE_SEP)
+    text = ""
     for part in sorted(os.listdir(out)):
         if part.startswith("part-"):
-            with open(f"{out}/{part}") as f:
-                lines += f.read().splitlines()
-    assert lines == list(descriptors.STATE_HEADER) + ["n.installed=1"]
+            with open(f"{out}/{part}", newline="") as f:
+                text += f.read()
+    assert text == "\r\n".join(list(descriptors.STATE_HEADER) + ["n.installed=1"]) + "\r\n"
 
 
 def test_write_scripts_and_manifest(spark):
