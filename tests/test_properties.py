@@ -69,3 +69,51 @@ def test_fix_comments_idempotent(spark, lines):
     once = df.select(text.fix_comments("c").alias("c"))
     assert once.first().c == once.select(text.fix_comments("c").alias("c")).first().c
     assert not once.select(text.needs_fixing("c").alias("n")).first().n
+
+
+QUALS = {"alpha": 1, "beta": 2, "milestone": 3, "rc": 4, "snapshot": 5, "": 6}
+VERSION = st.tuples(st.lists(st.integers(0, 12), min_size=1, max_size=4),
+                    st.sampled_from(list(QUALS))).map(
+    lambda t: ".".join(map(str, t[0])) + (f"-{t[1]}" if t[1] else ""))
+
+
+def py_key(v: str):
+    """Independent model of the version order: numbers without trailing zeros, then qualifier rank."""
+    base, _, qual = v.partition("-")
+    nums = [int(x) for x in base.split(".")]
+    while len(nums) > 1 and nums[-1] == 0:
+        nums.pop()
+    return (nums, QUALS[qual.lower()])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(VERSION, min_size=2, max_size=12))
+def test_version_key_order_matches_model(spark, vs):
+    from strata.functions.versions import version_key
+    df = spark.createDataFrame([(v,) for v in vs], "v string")
+    got = {r.v: r.k for r in df.select("v", version_key("v").alias("k")).collect()}
+    for a in vs:
+        for b in vs:
+            ka, kb = got[a], got[b]
+            assert (ka < kb) == (py_key(a) < py_key(b)), (a, b)
+            assert (ka == kb) == (py_key(a) == py_key(b)), (a, b)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), VERSION), max_size=6),
+       st.lists(st.tuples(st.sampled_from("abcd"), VERSION), min_size=1, max_size=6))
+def test_apply_plan_leaves_one_version_per_key(spark, cur_rows, cand_rows):
+    from strata.operators import versions
+    schema = "group_id string, artifact_id string, version string"
+    cur = spark.createDataFrame([("g", k, v) for k, v in cur_rows], schema)
+    cur = versions.max_version(cur, ["group_id", "artifact_id"]).withColumnRenamed("max_version", "version")
+    cand = spark.createDataFrame([("g", k, v) for k, v in cand_rows], schema)
+    plan = versions.version_reconcile(cand, cur, ["group_id", "artifact_id"])
+    state = versions.apply_plan(cur, plan, ["group_id", "artifact_id"])
+    per_key = {}
+    for r in state.collect():
+        per_key.setdefault(r.artifact_id, []).append(r.version)
+    assert all(len(v) == 1 for v in per_key.values()), per_key
+    for k in {k for k, _ in cand_rows}:          # the state holds the newest of both sides
+        best = max([v for kk, v in cand_rows if kk == k] + [v for kk, v in cur_rows if kk == k], key=py_key)
+        assert py_key(per_key[k][0]) == py_key(best)
