@@ -16,39 +16,13 @@ flight.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import checkpoint_dir
-
-
-@contextmanager
-def _static_plan(spark):
-    """Plan without AQE inside the block. An adaptive plan reports its output
-    partitioning as unknown until it has run, and a checkpoint records the
-    partitioning at planning time; with a static plan the checkpoint keeps
-    ``hashpartitioning(node, n)`` so later joins on ``node`` need no exchange."""
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint computed once that keeps the hash partitioning:
-    persist, checkpoint (which reads the cached rows instead of recomputing),
-    then drop the cache."""
-    with _static_plan(df.sparkSession):
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+from strata.session import checkpoint_dir, materialize, static_plan
 
 
 def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent",
@@ -100,7 +74,7 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
             reached.append(level.withColumn("depth", F.lit(base + h)))
         nxt = (reduce(DataFrame.unionByName, reached).groupBy("node").agg(F.min("depth").alias("depth"))
                .join(visited.select("node"), on="node", how="left_anti"))
-        with _static_plan(spark):
+        with static_plan(spark):
             cached = nxt.persist(StorageLevel.MEMORY_AND_DISK)
             if cached.count() == 0:   # computes the round once and tests emptiness
                 cached.unpersist()

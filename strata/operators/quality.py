@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from strata.session import materialize
+
 # A readiness report is one line listing every rejected path; it is only
 # built when the number of rejects is within this bound (checked with a
 # count first). Beyond it, ``rejected_paths`` gives the full, distributed list.
@@ -74,7 +76,9 @@ def readiness(df: DataFrame, path: str = "path", rejected: Column | None = None)
     """
     if rejected is not None:
         df = df.where(rejected)
-    rej = df.select(F.col(path).alias("_p"))
+    # One pass over the input: the rejected paths land in the shared
+    # checkpoint folder, and both the bound check and the report read them.
+    rej = materialize(df.select(F.col(path).alias("_p")))
     n = rej.count()
     if n > MAX_REPORT_PATHS:
         raise ValueError(f"{n} rejected paths exceed the one-line report bound; use rejected_paths()")

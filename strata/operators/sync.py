@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.overlay import newer_than, pick, unpick
+from strata.session import materialize
 
 NEW, UPDATED, UNCHANGED, TARGET_ONLY = "NEW", "UPDATED", "UNCHANGED", "TARGET_ONLY"
 
@@ -113,7 +114,6 @@ def sync_into(source: DataFrame, state_path: str, key: Sequence[str], ts: str, b
     cannot commit several partitions atomically; a table format (Delta,
     Iceberg) would add that.
     """
-    from strata.operators.closure import materialize   # reliable checkpoint helper
     spark = source.sparkSession
     src = source.withColumn(bucket_col, key_bucket(key, buckets))
     jvm = spark.sparkContext._jvm

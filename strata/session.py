@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Settings for large clusters (pass to spark-submit or ``get_session(**...)``).
@@ -78,3 +80,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def static_plan(spark):
+    """Plan without AQE inside the block. An adaptive plan reports its output
+    partitioning as unknown until it has run, and a checkpoint records the
+    partitioning at planning time; with a static plan the checkpoint keeps
+    ``hashpartitioning(node, n)`` so later joins on ``node`` need no exchange."""
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint computed once that keeps the hash partitioning:
+    persist, checkpoint (which reads the cached rows instead of recomputing),
+    then drop the cache."""
+    checkpoint_dir(df.sparkSession)
+    with static_plan(df.sparkSession):
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
