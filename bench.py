@@ -2,7 +2,8 @@
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_RUNS (timed runs per query, default 3; the median is reported after
-one warm-up run), BENCH_QUERIES (comma list, default the headline set).
+one warm-up run), BENCH_QUERIES (comma list, default the headline set),
+BENCH_SHUFFLE (shuffle partitions, default twice the cores; AQE coalesces).
 Each run executes the whole plan with a ``noop`` write (no collect).
 """
 
@@ -28,7 +29,8 @@ def main() -> None:
 
     from strata.plans.catalog import REGISTRY
     from strata.session import get_session
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus, spark__driver__memory="16g",
+    shuffle = int(os.environ.get("BENCH_SHUFFLE", str(2 * cpus)))
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=shuffle, spark__driver__memory="16g",
                         spark__sql__files__maxPartitionBytes=str(64 << 20))
 
     def run(name: str) -> float:
@@ -42,7 +44,7 @@ def main() -> None:
         times[name] = round(statistics.median(run(name) for _ in range(runs)), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "sum_median_sec_headline_queries", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "runs": runs,
+                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "runs": runs, "shuffle_partitions": shuffle,
                       "spark": spark.version}))
     spark.stop()
 
