@@ -493,7 +493,7 @@ FROM documents
 
 sql("last_line", f"""
 SELECT doc_id, CASE WHEN text = '' THEN '' ELSE coalesce({_LINES.format(c='text')}[-1], '') END AS last_line,
-       CASE WHEN text = '' THEN 0 ELSE len({_LINES.format(c='text')}) END AS n_lines
+       CAST(CASE WHEN text = '' THEN 0 ELSE len({_LINES.format(c='text')}) END AS INTEGER) AS n_lines
 FROM documents
 """)
 
