@@ -102,3 +102,20 @@ def rewrite_lines(df: DataFrame, rules: Sequence[Mapping] | DataFrame, content:
             new = F.when(F.col(vendor) == v, expr) if new is None else new.when(F.col(vendor) == v, expr)
         new = c if new is None else new.otherwise(c)
     return df.withColumn(out or content, new)
+
+
+def deploy_scripts(df: DataFrame, rules: Sequence[Mapping] | DataFrame, requested: str = "vendor",
+                   configured: Column | str | None = None, path: str = "path", content: str = "content",
+                   managed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The scripts copied for deployment: gate, then vendor route, then line rewrite.
+
+    Only PASS rows are kept; each gets ``target_vendor`` and its content
+    rewritten line by line with that vendor's rules (rows routed to no
+    vendor keep their bytes unchanged). Rows with an unknown vendor keep
+    ``route_status = 'ERROR'`` and their message, for the caller to raise on
+    or report. All narrow: one pass, no shuffle.
+    """
+    from strata.operators.artifacts import vendor_route
+    g = gate_scripts(df, path=path, content=content, managed=managed).where(F.col("gate") == PASS)
+    routed = vendor_route(g, requested, configured)
+    return rewrite_lines(routed, rules, content=content, vendor="target_vendor")

@@ -574,3 +574,12 @@ def q_sync_into(spark, sf):
     sync.sync_into(fixture(spark, sf, "events_target"), state, EVENT_KEY, "ts", buckets=64)
     sync.sync_into(fixture(spark, sf, "events_source"), state, EVENT_KEY, "ts", buckets=64)
     return spark.read.parquet(state).select("user_id", "event_type", "event_id", "ts", "value")
+
+
+@register
+def q_deploy_scripts(spark, sf):
+    """Deployable scripts: core scripts unrouted, plugin-o for mysql, others 'auto' (configured oracle)."""
+    s = _scripts(spark, sf).withColumn(
+        "vendor", F.expr("CASE component WHEN 'core' THEN 'none' WHEN 'plugin-o' THEN 'mysql' ELSE 'auto' END"))
+    out = scripts.deploy_scripts(s, LINE_RULES, requested="vendor", configured=F.lit("oracle"))
+    return out.select("o_orderkey", "path", "target_vendor", "content")

@@ -603,3 +603,15 @@ FROM g WHERE gate = 'REJECT'
 sql("sync_stream", ORACLE["incremental_sync"])
 
 sql("sync_into", ORACLE["incremental_sync"])
+
+sql("deploy_scripts", f"""
+WITH v AS (SELECT *, CASE component WHEN 'core' THEN NULL WHEN 'plugin-o' THEN 'mysql' ELSE 'oracle' END
+                       AS target_vendor
+           FROM {_GATE} WHERE gate = 'PASS')
+SELECT o_orderkey, path, target_vendor,
+  CASE target_vendor
+    WHEN 'mysql' THEN {_map_lines('content', "regexp_replace(l, ' {2,}', ' ', 'g')")}
+    WHEN 'oracle' THEN {_map_lines('content', "regexp_replace(regexp_replace(l, '[ ' || chr(9) || ']+$', '', 'g'), 'e', 'E', 'g')")}
+    ELSE content END AS content
+FROM v
+""")

@@ -329,3 +329,17 @@ def test_sync_into_rewrites_only_touched_buckets(spark, tmp_path):
     for d, files in before.items():
         if int(d.split("=")[1]) not in touched:
             assert after[d] == files          # untouched buckets: same files
+
+
+def test_deploy_scripts_routes_and_rewrites(spark):
+    tagged = "-- liquibase formatted sql\nselect  1;   \n"
+    df = spark.createDataFrame([("sql/create_a.sql", tagged, "mysql"), ("sql/create_b.sql", tagged, "none"),
+                                ("sql/create_c.sql", tagged, "db2"), ("sql/create_d.sql", "select 1;", "mysql")],
+                               "path string, content string, vendor string")
+    rules = [dict(vendor="mysql", rule_order=1, pattern=" {2,}", replacement=" ")]
+    out = scripts.deploy_scripts(df, rules, requested="vendor")
+    got = {r.path: (r.target_vendor, r.route_status, r.content) for r in out.collect()}
+    assert got["sql/create_a.sql"] == ("mysql", "ROUTED", "-- liquibase formatted sql\nselect 1; \n")
+    assert got["sql/create_b.sql"] == (None, "PASS", tagged)            # unrouted: bytes unchanged
+    assert got["sql/create_c.sql"][1] == "ERROR"                        # unknown vendor reported
+    assert "sql/create_d.sql" not in got                                # untagged: rejected by the gate
