@@ -343,3 +343,27 @@ def test_deploy_scripts_routes_and_rewrites(spark):
     assert got["sql/create_b.sql"] == (None, "PASS", tagged)            # unrouted: bytes unchanged
     assert got["sql/create_c.sql"][1] == "ERROR"                        # unknown vendor reported
     assert "sql/create_d.sql" not in got                                # untagged: rejected by the gate
+
+
+def test_overlay_newer_as_mapping_equals_list(spark):
+    df = spark.createDataFrame([("p", 1, 10, "a"), ("p", 2, 11, "b"), ("q", 2, 1, "c"), ("q", 3, 0, "d")],
+                               "path string, priority int, mtime long, v string")
+    a = overlay.layered_overlay(df, ["path"], newer={2: "newer", 1: "replace", 3: "replace"}, ts="mtime")
+    b = overlay.layered_overlay(df, ["path"], newer=[2], ts="mtime")
+    assert rows(a) == rows(b) == [("p", 2, 11, "b"), ("q", 3, 0, "d")]
+
+
+def test_sync_stamp_marks_copy_time(spark):
+    tgt = spark.createDataFrame([("a", 5, "t"), ("b", 5, "t")], EV)
+    src = spark.createDataFrame([("a", 7, "s"), ("b", 1, "s")], EV)
+    out = sync.incremental_sync(src, tgt, ["k"], "ts", stamp=F.lit(100).cast("long"))
+    assert rows(out) == [("a", 100, "s"), ("b", 5, "t")]
+
+
+def test_or_default_per_group_and_rejected_paths(spark):
+    keys = spark.createDataFrame([("p1",), ("p2",)], "package string")
+    matches = spark.createDataFrame([("p1", "a.sql")], "package string, entry string")
+    out = packages.or_default_per_group(keys, matches, ["package"], {"entry": F.lit("<none>")})
+    assert rows(out) == [("p1", "a.sql"), ("p2", "<none>")]
+    df = spark.createDataFrame([("b", True), ("a", True), ("c", False)], "path string, bad boolean")
+    assert [r.path for r in quality.rejected_paths(df, rejected=F.col("bad")).collect()] == ["a", "b"]

@@ -30,6 +30,8 @@ def test_scan_files_and_scripts(spark):
     sc = rows(files.scan_scripts(spark, f"{d}/sql"), "path", "content")
     assert sc == [("a.sql", "select 1;\n"), ("sub/B.SQL", "--liquibase formatted sql\n")]
     assert files.scan_files(spark, f"{d}/missing", missing="empty").count() == 0
+    tagged = files.scan_files(spark, f"{d}/sql", ext=".sql", layer="core", priority=1)
+    assert {(r.layer, r.priority) for r in tagged.collect()} == {("core", 1)}
 
 
 def test_scan_descriptors_state_and_sink(spark):
