@@ -130,8 +130,9 @@ ART_KEY = ("group_id", "artifact_id")
 
 def _version_sides(spark, sf):
     pv = fixture(spark, sf, "part_versions")
-    cand = pv.where("p_partkey % 2 = 0 AND artifact_id NOT LIKE 'cold%'").select(*ART_KEY, "version")
-    cur = pv.where("p_partkey % 2 = 1 AND group_id <> 'LARGE'").select(*ART_KEY, "version")
+    # Candidates from brands 1-15 (no 'cold' artifacts), current from brands 10-25 (no LARGE group).
+    cand = pv.where("brand_no <= 15 AND artifact_id NOT LIKE 'cold%'").select(*ART_KEY, "version")
+    cur = pv.where("brand_no >= 10 AND group_id <> 'LARGE'").select(*ART_KEY, "version")
     return cand, cur
 
 
@@ -162,9 +163,12 @@ def q_max_version(spark, sf):
 
 @register
 def q_version_drift(spark, sf):
-    """Groups whose newest candidate exceeds the newest current (declared) version."""
-    cand, cur = _version_sides(spark, sf)
-    declared = versions.max_version(cur, ["group_id"]).withColumnRenamed("max_version", "declared_version")
+    """Groups whose newest candidate script exceeds the declared version (the newest
+    current release of size 45 or less)."""
+    cand, _ = _version_sides(spark, sf)
+    pv = fixture(spark, sf, "part_versions")
+    released = pv.where("brand_no >= 10 AND group_id <> 'LARGE' AND size <= 45")
+    declared = versions.max_version(released, ["group_id"]).withColumnRenamed("max_version", "declared_version")
     return versions.version_drift(cand, declared, ["group_id"])
 
 

@@ -36,15 +36,18 @@ FIXTURES: dict[str, Fixture] = {
         "l_orderkey", "l_linenumber", "l_returnflag AS layer",
         "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS priority",
         "l_shipdate", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity")),
-    # Event snapshots: target before 2024-01-20, source 2024-01-10 .. 2024-01-21.
+    # Event snapshots: the target holds events before 2024-01-20 but never got signups; the
+    # source covers 2024-01-10 .. 2024-01-21 and no longer sends errors (so all four sync
+    # classes occur: new signup keys, target-only error keys, updated and unchanged ones).
     "events_target": Fixture("events", ("user_id", "event_type", "event_id", "ts", "value"),
-                             "ts < TIMESTAMP '2024-01-20 00:00:00' AND user_id % 10 <> 0"),
+                             "ts < TIMESTAMP '2024-01-20 00:00:00' AND event_type <> 'signup'"),
     "events_source": Fixture("events", ("user_id", "event_type", "event_id", "ts", "value"),
                              "ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-21 00:00:00'"
-                             " AND user_id % 10 <> 1"),
+                             " AND event_type <> 'error'"),
     # Artifacts with versions "size.brand[-SNAPSHOT]", key (group_id, artifact_id).
     "part_versions": Fixture("part", (
         "p_partkey", "p_type AS group_id", "p_name AS artifact_id",
+        "CAST(substr(p_brand, 7) AS INT) AS brand_no", "p_size AS size",
         "CAST(p_size AS STRING) || '.' || substr(p_brand, 7)"
         " || CASE WHEN p_partkey % 3 = 0 THEN '-SNAPSHOT' ELSE '' END AS version")),
     # SQL scripts, six content variants, five file-name shapes.
@@ -108,10 +111,10 @@ FIXTURES: dict[str, Fixture] = {
         " || '.0</version><db-pool-required>' || CASE WHEN p_size % 2 = 0 THEN '1' ELSE '0' END"
         " || '</db-pool-required><application><name>app-' || CAST(p_partkey AS STRING)"
         " || '</name></application></plug-in>' END AS xml")),
-    # Dependency edges: k -> floor(k / 2), and k -> 7k mod 2000 when k % 5 = 0 (cycles).
+    # Dependency edges: k -> floor(k / 2) for every part, and k -> 7k mod 2000 from PROMO parts (cycles).
     "edges_half": Fixture("part", ("p_partkey AS parent", "CAST(floor(p_partkey / 2) AS BIGINT) AS child")),
     "edges_jump": Fixture("part", ("p_partkey AS parent", "(7 * p_partkey) % 2000 AS child"),
-                          "p_partkey % 5 = 0"),
+                          "p_type = 'PROMO'"),
     "roots": Fixture("part", ("p_partkey AS node",), "p_size = 1"),
     # Artifacts: lineitem rows as (group, id, version, type, scope); scope null on line 7.
     "artifacts": Fixture("lineitem", (

@@ -135,8 +135,8 @@ def _gt(a: str, b: str) -> str:
 _PV = f"(SELECT *, {_vkey('version')} FROM {fx('part_versions')})"
 _NEWEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}
    ORDER BY nums DESC, rnk DESC, qn DESC) AS rn FROM pv WHERE {where}) WHERE rn = 1)"""
-_CAND_WHERE = "p_partkey % 2 = 0 AND artifact_id NOT LIKE 'cold%'"
-_CUR_WHERE = "p_partkey % 2 = 1 AND group_id <> 'LARGE'"
+_CAND_WHERE = "brand_no <= 15 AND artifact_id NOT LIKE 'cold%'"
+_CUR_WHERE = "brand_no >= 10 AND group_id <> 'LARGE'"
 _RECONCILE = f"""
 WITH pv AS {_PV},
 c AS {_NEWEST.format(key='group_id, artifact_id', where=_CAND_WHERE)},
@@ -174,7 +174,7 @@ SELECT group_id, version AS max_version FROM {_NEWEST.format(key='group_id', whe
 sql("version_drift", f"""
 WITH pv AS {_PV},
 c AS {_NEWEST.format(key='group_id', where=_CAND_WHERE)},
-u AS {_NEWEST.format(key='group_id', where=_CUR_WHERE)}
+u AS {_NEWEST.format(key='group_id', where=_CUR_WHERE + ' AND size <= 45')}
 SELECT c.group_id, u.version AS declared_version, c.version AS newest_version
 FROM c JOIN u ON c.group_id = u.group_id WHERE {_gt('c', 'u')}
 """)
