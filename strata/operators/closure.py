@@ -3,12 +3,13 @@
 Breadth-first: each round joins the frontier with the edges, keeps the
 children not yet visited (anti-join) and checkpoints them. ``WITH
 RECURSIVE`` in Spark accepts only ``UNION ALL``, which never terminates on
-a cycle, hence the loop. The driver only sees the emptiness test of each
-frontier (one row at most).
+a cycle, hence the loop. The driver only sees one number per round: the
+count of newly reached nodes, which is also the emptiness test.
 
 Scale: every round's new nodes are hash-partitioned on the node;
 ``visited`` is the union of those co-partitioned pieces, so it is never
-reshuffled: the per-round anti-join moves only the new frontier. Rounds equal the graph depth, not its size. Every round is
+reshuffled: the per-round anti-join moves only the new frontier. Rounds
+follow the graph depth, not its size. Every round is
 reliably checkpointed to the shared ``spark.checkpoint.dir`` (no
 ``localCheckpoint``), so a lost executor never costs more than the round in
 flight.
