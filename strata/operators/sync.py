@@ -121,11 +121,15 @@ def sync_into(source: DataFrame, state_path: str, key: Sequence[str], ts: str, b
     exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
     writer = lambda df: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                          .partitionBy(bucket_col).parquet(state_path))
+    # Rows are re-keyed by bucket before writing, so each bucket is written by
+    # one task (one file) instead of one file per task per bucket. The merge
+    # has already reduced the data to one row per key, so this shuffle cannot
+    # be skewed by a hot key.
     if not exists:
-        writer(latest_per_key(src, key, ts, tiebreak))
+        writer(latest_per_key(src, key, ts, tiebreak).repartition(bucket_col))
         return state_path
     touched = [r[0] for r in src.select(bucket_col).distinct().collect()]   # <= buckets ints
     target = spark.read.parquet(state_path).where(F.col(bucket_col).isin(touched))
     merged = incremental_sync(src, target.select(*src.columns), key, ts, tiebreak)
-    writer(materialize(merged))
+    writer(materialize(merged.repartition(bucket_col)))
     return state_path

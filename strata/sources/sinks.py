@@ -17,10 +17,11 @@ from strata.functions.text import FIXED, TAGGED
 def write_scripts(df: DataFrame, dest: str, dry_run: bool = False, dry_run_dest: str | None = None,
                   mode: str = "overwrite") -> str:
     """Write the TAGGED and FIXED scripts as ``(path, action, content)`` parquet,
-    partitioned by action; ``dry_run`` only changes the destination."""
+    partitioned by action (rebalanced first, see ``write_manifest``);
+    ``dry_run`` only changes the destination."""
     out = dry_run_dest if dry_run and dry_run_dest else (dest.rstrip("/") + "-dry-run" if dry_run else dest)
     (df.where(F.col("action").isin(TAGGED, FIXED)).select("path", "action", "content")
-       .write.mode(mode).partitionBy("action").parquet(out))
+       .hint("rebalance", "action").write.mode(mode).partitionBy("action").parquet(out))
     return out
 
 
@@ -49,6 +50,11 @@ def write_state(df: DataFrame, dest: str, header: Sequence[str] = (), key: str =
 
 
 def write_manifest(df: DataFrame, dest: str, mode: str = "overwrite") -> str:
-    """One output group (folder) per package."""
-    df.write.mode(mode).partitionBy("package").parquet(dest)
+    """One output group (folder) per package.
+
+    ``rebalance`` clusters rows by package before the write (few files per
+    package instead of one per task and package); AQE splits a package that
+    holds a large share of the rows across several tasks.
+    """
+    df.hint("rebalance", "package").write.mode(mode).partitionBy("package").parquet(dest)
     return dest

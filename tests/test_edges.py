@@ -367,3 +367,13 @@ def test_or_default_per_group_and_rejected_paths(spark):
     assert rows(out) == [("p1", "a.sql"), ("p2", "<none>")]
     df = spark.createDataFrame([("b", True), ("a", True), ("c", False)], "path string, bad boolean")
     assert [r.path for r in quality.rejected_paths(df, rejected=F.col("bad")).collect()] == ["a", "b"]
+
+
+def test_sync_into_writes_one_file_per_bucket(spark, tmp_path):
+    import os
+    state = str(tmp_path / "state")
+    df = spark.range(2000).selectExpr("CAST(id AS STRING) AS k", "id AS ts", "'v' AS v").repartition(8)
+    sync.sync_into(df, state, ["k"], "ts", buckets=16)
+    for d in os.listdir(state):
+        if d.startswith("_bucket="):
+            assert len([f for f in os.listdir(f"{state}/{d}") if f.endswith(".parquet")]) == 1
