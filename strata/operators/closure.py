@@ -26,15 +26,40 @@ from pyspark.sql import functions as F
 from strata.session import checkpoint_dir, materialize, static_plan
 
 
+def _salt_hot_parents(e: DataFrame, n: int, hot_degree: int | None):
+    """Spread the edges of very high out-degree parents over several partitions.
+
+    A parent holding a large share of all edges would make one task stream
+    all of them on every hop. Parents whose out-degree exceeds the threshold
+    (at least ``|edges| / n``, so fewer than ``n`` of them: a proven bound on
+    what is collected) get their edges salted by child into up to 64
+    partitions; the frontier replicates only those parents' rows across the
+    salts. Without such parents the edges are returned unchanged (no salt
+    column, no extra exchange per hop).
+    """
+    total = e.count()
+    threshold = hot_degree if hot_degree is not None else max(total // n, 100_000)
+    hot = [r[0] for r in e.groupBy("node").count().where(F.col("count") > threshold)
+           .select("node").limit(n + 1).collect()]
+    if not hot:
+        return e, [], 1
+    salts = min(n, 64)
+    salted = e.withColumn("_salt", F.when(F.col("node").isin(*hot), F.pmod(F.xxhash64("_to"), F.lit(salts)))
+                          .otherwise(F.lit(0)).cast("int"))
+    return materialize(salted.repartition(n, "node", "_salt")), hot, salts
+
+
 def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent",
                        child: str = "child", stop: Column | None = None, max_rounds: int = 100_000,
-                       hops: int = 2) -> DataFrame:
+                       hops: int = 2, hot_degree: int | None = None) -> DataFrame:
     """All nodes reachable from ``roots`` (roots included) with their BFS ``depth``.
 
     ``stop``: a predicate on column ``node``; matching nodes are neither
     included nor expanded (nothing is pruned without one). ``hops``: BFS
     levels expanded per round; each round is computed once (persist +
     count, which is also the emptiness test) and reliably checkpointed.
+    ``hot_degree``: out-degree above which a parent's edges are salted
+    (default ``max(|edges| / partitions, 100000)``; see ``_salt_hot_parents``).
     Level h of a round is built on level h-1 and the round's union reads
     every level, so larger ``hops`` trades fewer jobs for recomputed hops;
     2 measured best (latency-bound locally, and it recomputes least).
@@ -50,6 +75,7 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
     # without an exchange on either side.
     e = materialize(edges.select(F.col(parent).alias("node"), F.col(child).alias("_to"))
                     .distinct().repartition(n, "node"))
+    e, hot, salts = _salt_hot_parents(e, n, hot_degree)
     start = roots.select(F.col(node).alias("node")).distinct()
     if stop is not None:
         start = start.where(~F.coalesce(stop, F.lit(False)))
@@ -68,7 +94,10 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
             # exchange and no broadcast job. ``distinct`` de-duplicates
             # children map-side before its one exchange, so a child shared
             # by very many parents (a hot key) arrives once per map task.
-            level = (level.hint("shuffle_hash").join(e, on="node").select(F.col("_to").alias("node"))
+            src = level if not hot else level.withColumn("_salt", F.explode(
+                F.when(F.col("node").isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+            on = ["node"] if not hot else ["node", "_salt"]
+            level = (src.hint("shuffle_hash").join(e, on=on).select(F.col("_to").alias("node"))
                      .distinct())
             if stop is not None:
                 level = level.where(~F.coalesce(stop, F.lit(False)))

@@ -377,3 +377,17 @@ def test_sync_into_writes_one_file_per_bucket(spark, tmp_path):
     for d in os.listdir(state):
         if d.startswith("_bucket="):
             assert len([f for f in os.listdir(f"{state}/{d}") if f.endswith(".parquet")]) == 1
+
+
+def test_closure_salts_hot_parents_same_result(spark):
+    from strata.operators import closure
+    # node 0 has 3000 children (a hot parent); chains hang below some of them; a cycle back to 0
+    edges = spark.range(1, 3001).selectExpr("0L AS parent", "id AS child").unionByName(
+        spark.range(1, 3001).selectExpr("id AS parent", "id + 10000 AS child")).unionByName(
+        spark.createDataFrame([(10005, 0)], "parent long, child long"))
+    roots = spark.createDataFrame([(0,)], "node long")
+    plain = closure.dependency_closure(roots, edges)
+    salted = closure.dependency_closure(roots, edges, hot_degree=100)
+    assert rows(plain) == rows(salted)
+    assert len(rows(plain)) == 6001
+    assert {r.depth for r in salted.collect()} == {0, 1, 2}
