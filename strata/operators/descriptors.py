@@ -45,12 +45,14 @@ def _xp(xml: Column, path: str) -> Column:
     return F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
 
 
-def descriptor_field(xml: ColumnOrName, tag: str, which: str = "first") -> Column:
+def descriptor_field(xml: ColumnOrName, tag: str, which: str = "first", valid: ColumnOrName | None = None) -> Column:
     """Text of the first or last ``tag`` element at any depth; null when the
-    XML is malformed or the element is missing."""
+    XML is malformed or the element is missing. Pass ``valid`` (e.g. the
+    column from ``parse_descriptors``) to avoid parsing the XML again."""
     x = _c(xml)
     pos = "last()" if which == "last" else "1"
-    return F.when(xml_valid(x), _xp(x, f"(//{tag})[{pos}]"))
+    ok = xml_valid(x) if valid is None else _c(valid)
+    return F.when(ok, _xp(x, f"(//{tag})[{pos}]"))
 
 
 def parse_descriptors(df: DataFrame, xml: str = "xml", which: str = "last") -> DataFrame:

@@ -464,7 +464,7 @@ def q_scan_descriptors(spark, sf):
     d = fixture(spark, sf, "descriptors")
     p = descriptors.parse_descriptors(d, which="last")
     return p.select("p_partkey", "path", "valid",
-                    descriptors.descriptor_field("xml", "name", "first").alias("name_first"),
+                    descriptors.descriptor_field("xml", "name", "first", valid="valid").alias("name_first"),
                     F.col("name").alias("name_last"), "version", "db_required")
 
 
