@@ -12,7 +12,7 @@ from strata.session import materialize
 # A readiness report is one line listing every rejected path; it is only
 # built when the number of rejects is within this bound (checked with a
 # count first). Beyond it, ``rejected_paths`` gives the full, distributed list.
-MAX_REPORT_PATHS = 1_000_000
+MAX_REPORT_PATHS = 100_000
 
 
 def cardinality_check(df: DataFrame, group: Sequence[str], expected: DataFrame | None = None,

@@ -391,3 +391,12 @@ def test_closure_salts_hot_parents_same_result(spark):
     assert rows(plain) == rows(salted)
     assert len(rows(plain)) == 6001
     assert {r.depth for r in salted.collect()} == {0, 1, 2}
+
+
+def test_readiness_refuses_unbounded_report(spark, monkeypatch):
+    import pytest
+    monkeypatch.setattr(quality, "MAX_REPORT_PATHS", 2)
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    with pytest.raises(ValueError):
+        quality.readiness(df)
+    assert [r.path for r in quality.rejected_paths(df).collect()] == ["a", "b", "c"]
