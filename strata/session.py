@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -57,11 +56,11 @@ def get_session(master: str | None = None, app: str = "strata",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """The shared folder for checkpoints and written tables.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set *and* the master is local (tests) is a scratch folder
-    created; on a cluster an unset folder is an error, never a local path.
+    That is ``spark.checkpoint.dir`` (or the context's checkpoint folder). Where
+    neither is set, as in tests, a folder in the warehouse is used, which driver
+    and executors share as well.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -69,17 +68,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-        d = tempfile.mkdtemp(prefix="strata-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared folder, deleted when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
 
 
 @contextmanager
