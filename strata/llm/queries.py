@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import op2_winnow, op3_language, op5_secrets, op6_packing, op9_near, op10_url_rules
+from strata.llm import (op1_pii, op2_winnow, op3_language, op4_licenses, op5_secrets, op6_packing, op7_divergence, op8_chat, op9_near,
+                        op10_url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii.query,
     "op2_winnow": op2_winnow.query,
     "op3_language": op3_language.query,
+    "op4_licenses": op4_licenses.query,
     "op5_secrets": op5_secrets.query,
     "op6_packing": op6_packing.query,
+    "op7_divergence": op7_divergence.query,
+    "op8_chat": op8_chat.query,
     "op9_near": op9_near.query,
     "op10_url_rules": op10_url_rules.query,
 }
-SQL: dict[str, str] = {"op2_winnow": op2_winnow.SQL, "op10_url_rules": op10_url_rules.SQL}
+SQL: dict[str, str] = {"op2_winnow": op2_winnow.SQL, "op8_chat": op8_chat.SQL, "op10_url_rules": op10_url_rules.SQL}
