@@ -94,6 +94,7 @@ def glob_to_regex(glob: str) -> str:
     valid JVM regex and RE2 (the oracle's dialect).
     """
     parts = []
+    glob = glob + "**" if glob.endswith("/") else glob   # a directory: everything below it
     for seg in glob.strip("/").split("/"):
         parts.append("(?:/[^/]*)*" if seg == "**" else "/" + _segment_regex(seg))
     return "^" + "".join(parts) + "$"
@@ -116,7 +117,7 @@ def glob_match(path: ColumnOrName, globs: Sequence[str]) -> Column:
 
 def selected(path: ColumnOrName, includes: Sequence[str] | None, excludes: Sequence[str] | None) -> Column:
     """Matches an include (all paths when none given) and no exclude."""
-    inc = F.lit(True) if includes is None else glob_match(path, includes)
+    inc = F.lit(True) if not includes else glob_match(path, includes)
     exc = F.lit(False) if not excludes else glob_match(path, excludes)
     return inc & ~exc
 

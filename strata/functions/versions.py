@@ -39,26 +39,39 @@ def qualifier_rank(q: Column) -> Column:
 
 
 def version_key(c: ColumnOrName) -> Column:
-    """Comparable key ``struct(nums array<int>, rank int, qnum int)``.
+    """Comparable key ``struct(nums array<decimal>, rank int, qnum decimal, qtext string)``.
+
+    ``1.2.0-rc1`` -> ([1, 2], 4, 1, ''). The leading dotted numbers have
+    trailing zeros removed (``1.0`` equals ``1.0.0``); an array that is a
+    prefix of another sorts lower. What follows, behind ``.``, ``-``, ``_`` or
+    nothing (``5.4.0.Final``, ``1.0b2``), is the qualifier: alpha < beta <
+    milestone < rc < snapshot < release < sp < unknown words, which order by
+    their text. A version that does not begin with a number, has one of more
+    than 38 digits, or goes on with a dot and an unknown word (``1.x``) has no
+    key ("null version range").
 
-    ``1.2.0-rc1`` -> ([1, 2], 4, 1). Dotted numbers before the first ``-``
-    become ints with trailing zeros removed (``1.0`` equals ``1.0.0``); an
-    array that is a prefix of another sorts lower. The qualifier after the
-    first ``-`` ranks alpha < beta < milestone < rc < snapshot < release.
-    A non-numeric part makes the whole key null ("null version range").
     Structs and arrays compare field by field, so ``max``/``max_by`` and
     ``>`` order versions directly.
     """
     v = _c(c)
-    has_q = F.instr(v, "-") > 0
-    base = F.substring_index(v, "-", 1)
-    qual = F.when(has_q, F.lower(F.substring(v, F.instr(v, "-") + 1, 1 << 30))).otherwise(F.lit(""))
-    nums_txt = F.regexp_replace(base, "(\\.0+)+$", "")
-    nums = F.transform(F.split(nums_txt, "\\."), lambda x: x.try_cast("int"))
+    lead = F.regexp_extract(v, "^[0-9]+(?:\\.[0-9]+)*", 0)
+    qual = F.lower(F.regexp_replace(F.substring(v, F.length(lead) + 1, F.length(v)), "^[._-]+", ""))
+    nums = F.transform(F.split(F.regexp_replace(lead, "(\\.0+)+$", ""), "\\."), lambda x: x.try_cast("decimal(38,0)"))
     word = F.regexp_extract(qual, "^([a-z]*)", 1)
-    qnum = F.coalesce(F.regexp_extract(qual, "([0-9]+)$", 1).try_cast("int"), F.lit(0))
-    key = F.struct(nums.alias("nums"), qualifier_rank(word).alias("rank"), qnum.alias("qnum"))
-    return F.when(v.isNull() | F.exists(nums, lambda x: x.isNull()), F.lit(None)).otherwise(key)
+    qnum = F.coalesce(F.regexp_extract(qual, "([0-9]+)$", 1).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    rank = qualifier_rank(word)
+    qtext = F.when(rank == UNKNOWN_QUALIFIER_RANK, qual).otherwise(F.lit(""))
+    key = F.struct(nums.alias("nums"), rank.alias("rank"), qnum.alias("qnum"), qtext.alias("qtext"))
+    odd = F.substring(v, F.length(lead) + 1, 1).eqNullSafe(F.lit(".")) & (rank == UNKNOWN_QUALIFIER_RANK)
+    return F.when(v.isNull() | odd | F.exists(nums, lambda x: x.isNull()), F.lit(None)).otherwise(key)
+
+
+def target_version(c: ColumnOrName) -> Column:
+    """The version a script leads to: of an ``update...-A-B.sql`` (or
+    ``update...-B.sql``) file name the text after the last hyphen; null for any
+    other script."""
+    name = base_name(c)
+    return F.when(name.rlike("(?is)^update.*-[^-]*\\.sql$"), F.regexp_extract(name, "(?is)-([^-]*)\\.sql$", 1))
 
 
 def release_version(c: ColumnOrName) -> Column:

@@ -75,6 +75,6 @@ def vendor_route(df: DataFrame, requested: str = "vendor", configured: Column |
               .when((r == VENDOR_AUTO) & conf.isNull(), F.lit("ERROR"))
               .when((r == VENDOR_AUTO) | r.isin(*DATABASE_VENDORS), F.lit("ROUTED"))
               .otherwise(F.lit("ERROR")))
-    err = F.when(status == "ERROR", F.concat(F.lit("Unknown targetDatabaseVendor : '"), F.coalesce(
+    err = F.when(status == "ERROR", F.concat(F.lit("no such database vendor: '"), F.coalesce(
         F.when(r == VENDOR_AUTO, conf), r, F.lit("")), F.lit("'")))
     return df.withColumn("target_vendor", vendor).withColumn("route_status", status).withColumn("route_error", err)

@@ -1,119 +1,70 @@
-"""Dependency closure over an edge table, cycles allowed.
-
-Breadth-first: each round joins the frontier with the edges, keeps the
-children not yet visited (anti-join) and checkpoints them. ``WITH
-RECURSIVE`` in Spark accepts only ``UNION ALL``, which never terminates on
-a cycle, hence the loop. The driver only sees one number per round: the
-count of newly reached nodes, which is also the emptiness test.
-
-Scale: every round's new nodes are hash-partitioned on the node;
-``visited`` is the union of those co-partitioned pieces, so it is never
-reshuffled: the per-round anti-join moves only the new frontier. Rounds
-follow the graph depth, not its size. Every round is
-reliably checkpointed to the shared ``spark.checkpoint.dir`` (no
-``localCheckpoint``), so a lost executor never costs more than the round in
-flight.
-"""
+"""Transitive dependency closure: breadth-first, one written table per round."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import checkpoint_dir, materialize, static_plan
-
-
-def _salt_hot_parents(e: DataFrame, n: int, hot_degree: int | None):
-    """Spread the edges of very high out-degree parents over several partitions.
-
-    A parent holding a large share of all edges would make one task stream
-    all of them on every hop. Parents whose out-degree exceeds the threshold
-    (at least ``|edges| / n``, so fewer than ``n`` of them: a proven bound on
-    what is collected) get their edges salted by child into up to 64
-    partitions; the frontier replicates only those parents' rows across the
-    salts. Without such parents the edges are returned unchanged (no salt
-    column, no extra exchange per hop).
-    """
-    total = e.count()
-    threshold = hot_degree if hot_degree is not None else max(total // n, 100_000)
-    hot = [r[0] for r in e.groupBy("node").count().where(F.col("count") > threshold)
-           .select("node").limit(n + 1).collect()]
-    if not hot:
-        return e, [], 1
-    salts = min(n, 64)
-    salted = e.withColumn("_salt", F.when(F.col("node").isin(*hot), F.pmod(F.xxhash64("_to"), F.lit(salts)))
-                          .otherwise(F.lit(0)).cast("int"))
-    return materialize(salted.repartition(n, "node", "_salt")), hot, salts
+from strata.session import written
 
 
 def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent",
-                       child: str = "child", stop: Column | None = None, max_rounds: int = 100_000,
-                       hops: int = 2, hot_degree: int | None = None) -> DataFrame:
+                       child: str = "child", stop: Column | None = None, hops: int = 2,
+                       hot_degree: int = 100_000) -> DataFrame:
     """All nodes reachable from ``roots`` (roots included) with their BFS ``depth``.
 
     ``stop``: a predicate on column ``node``; matching nodes are neither
-    included nor expanded (nothing is pruned without one). ``hops``: BFS
-    levels expanded per round; each round is computed once (persist +
-    count, which is also the emptiness test) and reliably checkpointed.
-    ``hot_degree``: out-degree above which a parent's edges are salted
-    (default ``max(|edges| / partitions, 100000)``; see ``_salt_hot_parents``).
-    Level h of a round is built on level h-1 and the round's union reads
-    every level, so larger ``hops`` trades fewer jobs for recomputed hops;
-    2 measured best (latency-bound locally, and it recomputes least).
+    included nor expanded (nothing is pruned without one). Null parents,
+    children and roots are no nodes.
+
+    Each round expands ``hops`` BFS levels, is written once to the shared
+    scratch folder and read back; the loop ends when a round is empty. What
+    has been visited is kept in tables of geometrically growing size (two
+    neighbours of like size are merged), so a deep graph has few of them and
+    each node is rewritten a logarithmic number of times.
+
+    A parent of more than ``hot_degree`` children has its edges dealt over
+    ``ceil(degree / hot_degree)`` salts by child; its salt count is a row of a
+    small table, joined to the frontier, which is written once per salt.
     """
-    spark = roots.sparkSession
-    checkpoint_dir(spark)
-    # Hop outputs are shuffled by aggregation into spark.sql.shuffle.partitions
-    # partitions; everything checkpointed uses the same count, so all joins and
-    # anti-joins on ``node`` are co-partitioned.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Edges once, de-duplicated and hash-partitioned on the join key: every
-    # hop's level (partitioned on the same key, same count) joins them
-    # without an exchange on either side.
-    e = materialize(edges.select(F.col(parent).alias("node"), F.col(child).alias("_to"))
-                    .distinct().repartition(n, "node"))
-    e, hot, salts = _salt_hot_parents(e, n, hot_degree)
-    start = roots.select(F.col(node).alias("node")).distinct()
-    if stop is not None:
-        start = start.where(~F.coalesce(stop, F.lit(False)))
-    parts = [materialize(start.withColumn("depth", F.lit(0)).repartition(n, "node"))]
-    frontier, base = parts[0], 0
-    for _ in range(max_rounds):
-        visited = reduce(DataFrame.unionByName, parts)
-        # ``hops`` BFS levels in one job: hop h reaches nodes h steps from the
-        # frontier; a node's depth is its smallest hop. Every shortest path to
-        # an unvisited node crosses the frontier (the deepest finished
-        # level), so depths stay exact; only the last level is expanded next.
+    e = (edges.select(F.col(parent).alias("node"), F.col(child).alias("_to"))
+         .where("node IS NOT NULL AND _to IS NOT NULL").distinct())
+    salts = written(e.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / hot_degree).cast("int").alias("_salts"))
+                    .where("_salts > 1"), "closure-salts")
+    hot = not salts.isEmpty()
+    if hot:
+        e = (e.join(salts, "node", "left")
+             .withColumn("_salt", F.pmod(F.xxhash64("_to"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts"))
+    e = written(e, "closure-edges")
+    on = ["node", "_salt"] if hot else ["node"]
+    keep = ~F.coalesce(stop, F.lit(False)) if stop is not None else F.lit(True)
+    start = roots.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct().where(keep)
+    frontier = written(start.withColumn("depth", F.lit(0)), "closure-round")
+    seen: list[tuple[int, DataFrame]] = [(frontier.count(), frontier)]
+    base = 0
+    while True:
+        # Hop h reaches nodes h steps from the frontier; a node's depth is its
+        # smallest hop. Every shortest path to an unvisited node crosses the
+        # frontier (the deepest finished level), so depths are exact.
         level, reached = frontier.select("node"), []
         for h in range(1, hops + 1):
-            # Both sides hash-partitioned on node with the same count: a
-            # shuffled hash join building on the (smaller) level needs no
-            # exchange and no broadcast job. ``distinct`` de-duplicates
-            # children map-side before its one exchange, so a child shared
-            # by very many parents (a hot key) arrives once per map task.
-            src = level if not hot else level.withColumn("_salt", F.explode(
-                F.when(F.col("node").isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-            on = ["node"] if not hot else ["node", "_salt"]
-            level = (src.hint("shuffle_hash").join(e, on=on).select(F.col("_to").alias("node"))
-                     .distinct())
-            if stop is not None:
-                level = level.where(~F.coalesce(stop, F.lit(False)))
+            if hot:
+                level = (level.join(salts, "node", "left")
+                         .select("node", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")))
+            level = level.join(e, on).select(F.col("_to").alias("node")).distinct().where(keep)
             reached.append(level.withColumn("depth", F.lit(base + h)))
-        nxt = (reduce(DataFrame.unionByName, reached).groupBy("node").agg(F.min("depth").alias("depth"))
-               .join(visited.select("node"), on="node", how="left_anti"))
-        with static_plan(spark):
-            cached = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            if cached.count() == 0:   # computes the round once and tests emptiness
-                cached.unpersist()
-                return visited
-            # The checkpoint reads the cached rows, cuts the plan (a persisted
-            # frame still carries its whole history) and keeps the partitioning.
-            nxt = cached.checkpoint(eager=True)
-        cached.unpersist()
-        parts.append(nxt)
+        new = reduce(DataFrame.unionByName, reached).groupBy("node").agg(F.min("depth").alias("depth"))
+        for _, part in seen:
+            new = new.join(part.select("node"), "node", "left_anti")
+        new = written(new, "closure-round")
+        n = new.count()
+        if not n:
+            return reduce(DataFrame.unionByName, [part for _, part in seen])
         base += hops
-        frontier = nxt.where(F.col("depth") == base)
-    raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
+        frontier = new.where(F.col("depth") == base)
+        while seen and seen[-1][0] <= 2 * n:
+            m, part = seen.pop()
+            new, n = written(part.unionByName(new), "closure-seen"), m + n
+        seen.append((n, new))

@@ -1,13 +1,17 @@
 """Plugin descriptors (XML text) to fields and to state lines.
 
-``xpath_string`` fails the whole job on malformed XML, so every XPath is
-evaluated under ``when(valid, ...)``, where ``valid`` comes from
-``from_xml``'s corrupt-record column (a CASE branch is only evaluated when
-its condition holds; ``and`` ordering is not relied on).
+Spark's XPath functions abort the job on text that its XML reader takes, and
+its reader takes text behind the root element. So a descriptor is parsed once,
+by a strict parser in an Arrow-batched function: anything but one well-formed
+document (also a byte-order mark, text or an element behind the root) is
+invalid and has no fields.
 """
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,28 +39,64 @@ def flag_is_one(c: ColumnOrName) -> Column:
     return F.coalesce(_c(c) == "1", F.lit(False))
 
 
-def xml_valid(xml: ColumnOrName) -> Column:
-    parsed = F.from_xml(_c(xml), "_any string, _corrupt_record string",
-                        {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
-    return _c(xml).isNotNull() & parsed.isNotNull() & parsed["_corrupt_record"].isNull()
+def _elements(xml: str | None, tags: tuple[str, ...]) -> tuple:
+    """(valid, first and last text of each tag); an empty text is none."""
+    none = (False, *[None] * (2 * len(tags)))
+    if xml is None or xml.startswith("\ufeff"):
+        return none
+    found: dict[str, list[str]] = {t: [] for t in tags}
+    open_: list[tuple[str, list[str]]] = []
+
+    def begin(name, _):
+        if name in found:
+            open_.append((name, []))
+            found[name].append("")
+            open_[-1][1].append(str(len(found[name]) - 1))
+
+    def text(data):
+        for _, parts in open_:
+            parts.append(data)
+
+    def end(name):
+        if open_ and open_[-1][0] == name:
+            _, (at, *parts) = open_.pop()
+            found[name][int(at)] = "".join(parts)
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = begin, end, text
+    try:
+        parser.Parse(xml, True)
+    except (expat.ExpatError, ValueError, UnicodeError):
+        return none
+    return (True, *[(found[t][i] or None) if found[t] else None for t in tags for i in (0, -1)])
 
 
-def _xp(xml: Column, path: str) -> Column:
-    return F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
+def parsed(xml: ColumnOrName, tags: tuple[str, ...]) -> Column:
+    """Struct ``valid, <tag>_first, <tag>_last, ...`` from one parse per row;
+    texts of elements at any depth, hyphens in tag names as underscores."""
+    names = ["valid", *[f"{t.replace('-', '_')}_{w}" for t in tags for w in ("first", "last")]]
+    kind = ", ".join(f"{n} {'boolean' if n == 'valid' else 'string'}" for n in names)
+
+    @F.pandas_udf(kind)
+    def fields(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_elements(x, tags) for x in texts], columns=names, dtype=object)
+
+    return fields(_c(xml))
+
+
+def xml_valid(xml: ColumnOrName) -> Column:
+    """One well-formed document and nothing else (null is not)."""
+    return parsed(xml, ())["valid"]
 
 
-def descriptor_field(xml: ColumnOrName, tag: str, which: str = "first", valid: ColumnOrName | None = None) -> Column:
+def descriptor_field(xml: ColumnOrName, tag: str, which: str = "first") -> Column:
     """Text of the first or last ``tag`` element at any depth; null when the
-    XML is malformed or the element is missing. Pass ``valid`` (e.g. the
-    column from ``parse_descriptors``) to avoid parsing the XML again."""
-    x = _c(xml)
-    pos = "last()" if which == "last" else "1"
-    ok = xml_valid(x) if valid is None else _c(valid)
-    return F.when(ok, _xp(x, f"(//{tag})[{pos}]"))
+    XML is malformed or the element is missing or empty."""
+    return parsed(xml, (tag,))[f"{tag.replace('-', '_')}_{which}"]
 
 
 def parse_descriptors(df: DataFrame, xml: str = "xml", which: str = "last") -> DataFrame:
-    """Add ``valid``, ``name``, ``version``, ``db_required``.
+    """Add ``valid``, ``name``, ``version``, ``db_required`` (and ``name_first``).
 
     ``which``: the ``name`` element kept when several exist at any depth,
     ``"last"`` (the streaming-parser behaviour) or ``"first"`` (the DOM one).
@@ -64,14 +104,20 @@ def parse_descriptors(df: DataFrame, xml: str = "xml", which: str = "last") -> D
     """
     if which not in ("first", "last"):
         raise ValueError("which must be 'first' or 'last'")
-    pos = "last()" if which == "last" else "1"
-    x = F.col(xml)
-    valid = xml_valid(x)
-    return (df.withColumn("valid", valid)
-              .withColumn("name", F.when(F.col("valid"), _xp(x, f"(//{NAME_TAG})[{pos}]")))
-              .withColumn("version", F.when(F.col("valid"), _xp(x, f"(//{VERSION_TAG})[1]")))
-              .withColumn("db_required", F.when(F.col("valid"), flag_is_one(_xp(x, f"(//{DB_TAG})[last()]")))
-                          .otherwise(F.lit(False))))
+    p = F.col("_parsed")
+    return (df.withColumn("_parsed", parsed(xml, (NAME_TAG, VERSION_TAG, DB_TAG)))
+              .withColumns({"valid": p["valid"], "name": p[f"name_{which}"], "version": p["version_first"],
+                            "db_required": p["valid"] & flag_is_one(p["db_pool_required_last"]), "name_first": p["name_first"]})
+              .drop("_parsed"))
+
+
+def one_per_component(df: DataFrame, component: str, path: str = "path") -> DataFrame:
+    """``df`` with ``extra``: false on the descriptor of the lowest path of each
+    component, true on the others, which are to be reported. One partial
+    aggregate and a join that adaptive execution can split."""
+    low = df.groupBy(F.col(component).alias("_c")).agg(F.min(path).alias("_low"))
+    return (df.join(low, F.col(component).eqNullSafe(F.col("_c"))).withColumn("extra", ~F.col(path).eqNullSafe(F.col("_low")))
+            .drop("_c", "_low"))
 
 
 def state_lines(name: ColumnOrName, db_required: ColumnOrName) -> Column:

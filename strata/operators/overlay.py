@@ -133,19 +133,21 @@ def overlay_decisions(layers: DataFrame, key: Sequence[str], priority: str = "pr
                       ts: str | None = None) -> DataFrame:
     """Every input row with ``won``: the overlay with its losers.
 
-    Winners come from the one-aggregate overlay (partial aggregation), then
-    every row is joined to its key's winner. The join's large side is the
-    input itself, which AQE's skew handling can split, so a hot key is not
-    forced through one task the way a ``row_number`` window would force it.
-    Identical copies of a winning row are all marked as won.
+    Winners come from the one-aggregate overlay (partial aggregation). The
+    input is reduced to distinct rows with their number (partial as well),
+    joined null-safely to its key's winner (a join that adaptive execution can
+    split for a hot key), and written out again; of identical copies of the
+    winning row one is marked.
     """
     cols = layers.columns
     win = layered_overlay(layers, key, priority, tiebreak, newer, ts)
     win = win.select(*[F.col(f"`{c}`").alias(f"_w_{c}") for c in cols])
-    cond = [F.col(f"`{k}`") == F.col(f"_w_{k}") for k in key]
-    joined = layers.join(win, on=reduce(lambda a, b: a & b, cond), how="left")
+    rows = layers.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"_w_{k}")) for k in key]
+    joined = rows.join(win, on=reduce(lambda a, b: a & b, cond), how="left")
     same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_w_{c}")) for c in cols])
-    return joined.select(*[F.col(f"`{c}`") for c in cols], same.alias("won"))
+    return (joined.withColumn("_same", same).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+            .select(*[F.col(f"`{c}`") for c in cols], (F.col("_same") & (F.col("_i") == 1)).alias("won")))
 
 
 def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

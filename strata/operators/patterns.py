@@ -1,11 +1,10 @@
 """Path selection: glob filters, profiles, path rules, re-rooting, purge, package membership.
 
 Rule sets are small (tens of globs) and become literal predicates: one
-scan, codegen, each regex compiled once per task. A rules *table* joined on
-a pattern column would plan as a nested-loop join and recompile regexes
-row by row; when rules arrive as a DataFrame they are collected behind a
-size check and turned into literals. Prefix tables of any size (``purge``)
-are matched by an equi-join on the exploded ancestor directories instead.
+scan, codegen, each regex compiled once per task. Rules are Python values:
+a rules *table* joined on a pattern column would plan as a nested-loop join.
+Prefix tables of any size (``purge``) are matched by an equi-join on the
+ancestor directories instead.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from strata.functions.globs import PROFILES, pattern_profile, selected
 from strata.functions.text import ColumnOrName, _c
 from strata.operators.overlay import pick, unpick
 
-MAX_LITERAL_RULES = 1000
-
 # ---------------------------------------------------------------------------
 # Documentation paths dropped when copying a site tree,
 # written (like the reference) for a backslash separator; full-path match.
@@ -110,15 +107,23 @@ def purge(df: DataFrame, path: str, roots: Sequence[str] | DataFrame = (),
     """Remove rows under the given roots, plus rows picked by extra pattern sets.
 
     Roots as a list become literal prefix tests. Roots as a DataFrame (any
-    size) are matched by exploding each path's ancestors and anti-joining on
-    equality, a hash/sort-merge join rather than a nested loop.
+    size) are matched by equality with the ancestors of each directory, a
+    hash/sort-merge join rather than a nested loop. Null paths stay.
     """
     out = df
     if isinstance(roots, DataFrame):
-        r = roots.select(F.regexp_replace(F.col(root_col), "/+$", "").alias("_anc")).distinct()
-        hits = (df.select(F.col(path).alias("_p"), F.explode(ancestors(path)).alias("_anc"))
-                  .join(r, on="_anc", how="left_semi").select(F.col("_p").alias(path)).distinct())
-        out = out.join(hits, on=path, how="left_anti")
+        r = roots.select(F.regexp_replace(F.col(root_col), "/+$", "").alias("_anc")).where("_anc IS NOT NULL").distinct()
+        # Directories, not files, climb to their ancestors, and only to depths at
+        # which there is a root; a directory of very many files is one row here.
+        depths = sorted(x["d"] for x in r.select(F.size(F.split("_anc", "/")).alias("d")).distinct().collect())
+        own = F.regexp_extract(F.col(path), "^(.*)/[^/]*$", 1)
+        segs = F.split("_dir", "/")
+        above = [F.when(F.size(segs) >= d, F.array_join(F.slice(segs, 1, d), "/")) for d in depths]
+        climbed = (df.select(own.alias("_dir")).distinct()
+                   .select("_dir", F.explode(F.array(*above) if above else F.array().cast("array<string>")).alias("_anc")))
+        under = climbed.join(r, on="_anc", how="left_semi").select("_dir").distinct()
+        out = (out.withColumn("_dir", own).join(under, on="_dir", how="left_anti")
+                  .join(r, on=F.col(path) == F.col("_anc"), how="left_anti").select(*df.columns))
     elif roots:
         hit = F.lit(False)
         for root in roots:
@@ -130,16 +135,7 @@ def purge(df: DataFrame, path: str, roots: Sequence[str] | DataFrame = (),
     return out
 
 
-def _rules_list(rules: Sequence[Mapping] | DataFrame) -> list[dict]:
-    if isinstance(rules, DataFrame):
-        head = rules.limit(MAX_LITERAL_RULES + 1).collect()
-        if len(head) > MAX_LITERAL_RULES:
-            raise ValueError(f"more than {MAX_LITERAL_RULES} package rules; split the rule set")
-        return [r.asDict() for r in head]
-    return [dict(r) for r in rules]
-
-
-def package_membership(files: DataFrame, rules: Sequence[Mapping] | DataFrame, path: str = "path",
+def package_membership(files: DataFrame, rules: Sequence[Mapping], path: str = "path",
                        layer: str = "layer", resolve: bool = True, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Which files go into which package, at which entry path.
 
@@ -149,7 +145,7 @@ def package_membership(files: DataFrame, rules: Sequence[Mapping] | DataFrame, p
     ...)``. With ``resolve`` a duplicated entry path inside a package keeps
     the file of the latest rule (then the greatest source path, then ``tiebreak``).
     """
-    rs = _rules_list(rules)
+    rs = [dict(r) for r in rules]
     if not rs:
         raise ValueError("package_membership needs at least one rule")
     hits = []

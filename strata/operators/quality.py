@@ -7,13 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strata.session import materialize
-
-# A readiness report is one line listing every rejected path; it is only
-# built when the number of rejects is within this bound (checked with a
-# count first). Beyond it, ``rejected_paths`` gives the full, distributed list.
-MAX_REPORT_PATHS = 100_000
-
 
 def cardinality_check(df: DataFrame, group: Sequence[str], expected: DataFrame | None = None,
                       min_count: int = 0, max_count: int | None = None,
@@ -68,32 +61,20 @@ def rejected_paths(df: DataFrame, path: str = "path", rejected: Column | None =
 
 
 def readiness(df: DataFrame, path: str = "path", rejected: Column | None = None) -> DataFrame:
-    """One row: ``ready`` (no rejected rows), ``n_rejected``, ``rejected`` (the
-    rejected paths sorted and comma-joined, no trailing comma, '' if none).
-
-    The joined line is the report's format; it is built only after a count
-    shows it is within ``MAX_REPORT_PATHS`` (use ``rejected_paths`` beyond).
-    """
+    """One row: ``ready`` (no rejected rows) and ``n_rejected``: one partial
+    aggregate. The paths themselves are ``rejected_paths``."""
     if rejected is not None:
         df = df.where(rejected)
-    # One pass over the input: the rejected paths land in the shared
-    # checkpoint folder, and both the bound check and the report read them.
-    rej = materialize(df.select(F.col(path).alias("_p")))
-    n = rej.count()
-    if n > MAX_REPORT_PATHS:
-        raise ValueError(f"{n} rejected paths exceed the one-line report bound; use rejected_paths()")
-    return rej.agg(
-        (F.count(F.lit(1)) == 0).alias("ready"),
-        F.count(F.lit(1)).alias("n_rejected"),
-        F.coalesce(F.array_join(F.sort_array(F.collect_list("_p")), ","), F.lit("")).alias("rejected"))
-
-
-def readiness_state(ready: DataFrame) -> DataFrame:
-    """The readiness row as (key, value) state rows."""
-    return ready.select(F.explode(F.array(
-        F.struct(F.lit("liquibase.readyToRun").alias("key"), F.col("ready").cast("string").alias("value")),
-        F.struct(F.lit("liquibase.fileErrors").alias("key"), F.col("rejected").alias("value")))).alias("kv")
-    ).select("kv.*")
+    return df.agg((F.count(F.lit(1)) == 0).alias("ready"), F.count(F.lit(1)).alias("n_rejected"))
+
+
+def readiness_state(ready: DataFrame, paths: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """(key, value) state rows: the readiness flag, and a row per rejected path."""
+    # The keys of the state file.
+    flag = ready.select(F.lit("liquibase.readyToRun").alias("key"), F.col("ready").cast("string").alias("value"))
+    if paths is None:
+        return flag
+    return flag.unionByName(paths.select(F.lit("liquibase.fileErrors").alias("key"), F.col(path).alias("value")))
 
 
 def run_counters(df: DataFrame, layer: str = "layer", action: str = "action") -> DataFrame:

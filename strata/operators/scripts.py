@@ -20,7 +20,7 @@ MANAGED_RX = "(?i)(^|/)(create|init|update)[^/]*\\.sql$"
 DEFAULT_COMPONENT = "core"
 BUILD_PROPERTIES = "build.properties"
 PASS, REJECT, DROP = "PASS", "REJECT", "DROP"
-MAX_LINE_RULES = 10_000
+REJECTED = "REJECTED"
 
 
 def is_managed(path: T.ColumnOrName, predicate: Callable[[Column], Column] | None = None) -> Column:
@@ -29,17 +29,23 @@ def is_managed(path: T.ColumnOrName, predicate: Callable[[Column], Column] | Non
 
 
 def process_scripts(df: DataFrame, path: str = "path", content: str = "content",
-                    component: str | None = "component", file_name: str | None = None) -> DataFrame:
+                    component: str | None = "component", file_name: str | None = None,
+                    managed: bool | Callable[[Column], Column] = False) -> DataFrame:
     """Classify and transform: ``(path, action, content)`` plus the input's other columns.
 
     TAGGED rows get the three header lines, FIXED rows get their compact
     comments repaired; IGNORED and UNCHANGED keep their content. Only
     TAGGED and FIXED rows need writing (``write_scripts`` does that).
+    With ``managed`` (True: the default rule, or a predicate on the path) an
+    unmanaged path gets action REJECTED and keeps its content.
     """
     c = F.col(content)
     comp = F.coalesce(F.col(component), F.lit(DEFAULT_COMPONENT)) if component else F.lit(DEFAULT_COMPONENT)
     name = F.col(file_name) if file_name else T.base_name(path)
     action = T.script_action(c)
+    if managed:
+        known = is_managed(path, managed if callable(managed) else None)
+        action = F.when(known, action).otherwise(F.lit(REJECTED))
     new = (F.when(action == T.TAGGED, T.add_tag(c, comp, name))
            .when(action == T.FIXED, T.fix_comments(c)).otherwise(c))
     return df.withColumn("action", action).withColumn(content, new)
@@ -47,14 +53,16 @@ def process_scripts(df: DataFrame, path: str = "path", content: str = "content",
 
 def gate_scripts(df: DataFrame, path: str = "path", content: str = "content",
                  managed: Callable[[Column], Column] | None = None,
-                 keep_build_properties: bool = True) -> DataFrame:
+                 keep_build_properties: bool | Column = True) -> DataFrame:
     """Add ``gate``: PASS (managed and tagged), REJECT (managed, not tagged or
     unreadable), DROP (not a non-empty .sql file, or unmanaged: never reported).
 
-    ``build.properties`` passes when no vendor rules ran at build time.
+    ``build.properties`` passes when no vendor rules apply (a flag, or a
+    predicate per row); otherwise it is dropped like any other file.
     """
     p, c = F.col(path), F.col(content)
-    gate = (F.when(F.lit(keep_build_properties) & (T.base_name(p) == BUILD_PROPERTIES), F.lit(PASS))
+    keep = keep_build_properties if isinstance(keep_build_properties, Column) else F.lit(keep_build_properties)
+    gate = (F.when(keep & (T.base_name(p) == BUILD_PROPERTIES), F.lit(PASS))
             .when(~T.has_extension(p, ".sql") | (F.coalesce(F.octet_length(c), F.lit(1)) == 0), F.lit(DROP))
             .when(~is_managed(p, managed), F.lit(DROP))
             .when(T.first_line_tagged(c), F.lit(PASS))
@@ -62,12 +70,7 @@ def gate_scripts(df: DataFrame, path: str = "path", content: str = "content",
     return df.withColumn("gate", gate)
 
 
-def _line_rules(rules: Sequence[Mapping] | DataFrame) -> list[dict]:
-    if isinstance(rules, DataFrame):
-        head = rules.limit(MAX_LINE_RULES + 1).collect()
-        if len(head) > MAX_LINE_RULES:
-            raise ValueError("too many line rules for literal expressions")
-        rules = [r.asDict() for r in head]
+def _line_rules(rules: Sequence[Mapping]) -> list[dict]:
     return sorted((dict(r) for r in rules), key=lambda r: (r.get("vendor") or "", r.get("rule_order", 0)))
 
 
@@ -79,7 +82,7 @@ def _folder(pairs: list[tuple[str, str]]) -> Callable[[Column], Column]:
     return fold
 
 
-def rewrite_lines(df: DataFrame, rules: Sequence[Mapping] | DataFrame, content: str = "content",
+def rewrite_lines(df: DataFrame, rules: Sequence[Mapping], content: str = "content",
                   vendor: str | None = None, out: str | None = None) -> DataFrame:
     """Rewrite every line with ordered regex rules ``(vendor, rule_order, pattern, replacement)``.
 
@@ -104,10 +107,10 @@ def rewrite_lines(df: DataFrame, rules: Sequence[Mapping] | DataFrame, content:
     return df.withColumn(out or content, new)
 
 
-def deploy_scripts(df: DataFrame, rules: Sequence[Mapping] | DataFrame, requested: str = "vendor",
+def deploy_scripts(df: DataFrame, rules: Sequence[Mapping], requested: str = "vendor",
                    configured: Column | str | None = None, path: str = "path", content: str = "content",
                    managed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The scripts copied for deployment: gate, then vendor route, then line rewrite.
+    """The scripts copied for deployment: vendor route, gate, then line rewrite.
 
     Only PASS rows are kept; each gets ``target_vendor`` and its content
     rewritten line by line with that vendor's rules (rows routed to no
@@ -116,6 +119,7 @@ def deploy_scripts(df: DataFrame, rules: Sequence[Mapping] | DataFrame, requeste
     or report. All narrow: one pass, no shuffle.
     """
     from strata.operators.artifacts import vendor_route
-    g = gate_scripts(df, path=path, content=content, managed=managed).where(F.col("gate") == PASS)
-    routed = vendor_route(g, requested, configured)
-    return rewrite_lines(routed, rules, content=content, vendor="target_vendor")
+    routed = vendor_route(df, requested, configured)
+    gated = gate_scripts(routed, path=path, content=content, managed=managed,
+                         keep_build_properties=F.col("target_vendor").isNull())
+    return rewrite_lines(gated.where(F.col("gate") == PASS), rules, content=content, vendor="target_vendor")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.overlay import newer_than, pick, unpick
-from strata.session import materialize
+from strata.session import written
 
 NEW, UPDATED, UNCHANGED, TARGET_ONLY = "NEW", "UPDATED", "UNCHANGED", "TARGET_ONLY"
 
@@ -106,30 +106,35 @@ def sync_into(source: DataFrame, state_path: str, key: Sequence[str], ts: str, b
 
     The state is partitioned by a hash bucket of the key. A run reads only
     the buckets the source touches (partition pruning on at most ``buckets``
-    literal ids, a proven bound), merges them with ``incremental_sync``,
-    checkpoints the merged rows (so the read is complete before any file is
+    literal ids, a proven bound), merges them, writes the merged rows to the
+    shared scratch folder (so the read is complete before any file is
     replaced) and overwrites just those partitions (dynamic partition
     overwrite). Work per run grows with the delta's buckets, not with the
     state. Re-running a run is idempotent (strict newer-wins). Spark alone
     cannot commit several partitions atomically; a table format (Delta,
     Iceberg) would add that.
+
+    Columns: the state keeps all of its own. One that the source lacks stays
+    as it was, also in rows the source replaces; one that only the source has
+    is added (null in older rows; read the state with ``mergeSchema``).
     """
     spark = source.sparkSession
-    src = source.withColumn(bucket_col, key_bucket(key, buckets))
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(state_path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
     exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    writer = lambda df: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                         .partitionBy(bucket_col).parquet(state_path))
-    # Rows are re-keyed by bucket before writing, so each bucket is written by
-    # one task (one file) instead of one file per task per bucket. The merge
-    # has already reduced the data to one row per key, so this shuffle cannot
-    # be skewed by a hot key.
+
+    def write(df: DataFrame) -> None:
+        # Rows are clustered by bucket (few files each); adaptive execution splits a
+        # bucket that is large for one task.
+        (df.withColumn(bucket_col, key_bucket(key, buckets)).hint("rebalance", bucket_col).write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic").partitionBy(bucket_col).parquet(state_path))
+
     if not exists:
-        writer(latest_per_key(src, key, ts, tiebreak).repartition(bucket_col))
+        write(latest_per_key(source, key, ts, tiebreak))
         return state_path
-    touched = [r[0] for r in src.select(bucket_col).distinct().collect()]   # <= buckets ints
-    target = spark.read.parquet(state_path).where(F.col(bucket_col).isin(touched))
-    merged = incremental_sync(src, target.select(*src.columns), key, ts, tiebreak)
-    writer(materialize(merged.repartition(bucket_col)))
+    touched = [r[0] for r in source.select(key_bucket(key, buckets)).distinct().collect()]   # <= buckets ints
+    target = spark.read.option("mergeSchema", "true").parquet(state_path).where(F.col(bucket_col).isin(touched)).drop(bucket_col)
+    g, cols = _sides(source, target, key, ts, tiebreak)
+    merged = g.select(*[(F.when(F.col("_copy"), F.col("_s")[c]).otherwise(F.col("_t")[c]) if c in source.columns
+                         else F.col("_t")[c]).alias(c) for c in cols])
+    write(written(merged, "sync-merged"))
     return state_path

@@ -8,6 +8,7 @@ aggregate, so a popular artifact id cannot pile up in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,13 @@ def version_reconcile(candidates: DataFrame, current: DataFrame, key: Sequence[s
 
 
 def apply_plan(state: DataFrame, plan: DataFrame, key: Sequence[str], version: str = "version") -> DataFrame:
-    """(state minus DELETE rows) plus COPY rows, as a set of (key..., version)."""
+    """(state minus DELETE rows) plus COPY rows, as a set of (key..., version).
+    A null version is a value like any other."""
     ident = [*key, version]
-    deletes = plan.where(F.col("action") == DELETE).select(*ident)
+    deletes = plan.where(F.col("action") == DELETE).select(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(ident)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_d{i}")) for i, c in enumerate(ident)])
     copies = plan.where(F.col("action") == COPY).select(*ident)
-    kept = state.select(*ident).join(deletes, on=ident, how="left_anti")
+    kept = state.select(*ident).join(deletes, on=same, how="left_anti")
     return kept.unionByName(copies).dropDuplicates(ident)
 
 

@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import text
+from strata.functions import globs, text
 from strata.functions import versions as vfn
 from strata.operators import (artifacts, closure, descriptors, overlay, packages, patterns, quality, scripts,
                               sync, versions)
 from strata.operators import assemble as assemble_op
 from strata.plans.fixtures import FIXTURES, fixture
+from strata.session import scratch_path
+from strata.sources import files, sinks
 from strata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,9 +132,10 @@ ART_KEY = ("group_id", "artifact_id")
 
 def _version_sides(spark, sf):
     pv = fixture(spark, sf, "part_versions")
-    # Candidates from brands 1-15 (no 'cold' artifacts), current from brands 10-25 (no LARGE group).
-    cand = pv.where("brand_no <= 15 AND artifact_id NOT LIKE 'cold%'").select(*ART_KEY, "version")
-    cur = pv.where("brand_no >= 10 AND group_id <> 'LARGE'").select(*ART_KEY, "version")
+    # Candidates: brands 1-15 without 'cold' artifacts, and LARGE of the others; current: brands
+    # 10-25 without LARGE, and the 'cold' artifacts left. Every part is on a side.
+    cand = pv.where("(brand_no <= 15 AND artifact_id NOT LIKE 'cold%') OR (brand_no > 15 AND group_id = 'LARGE')").select(*ART_KEY, "version")
+    cur = pv.where("(brand_no >= 10 AND group_id <> 'LARGE') OR (brand_no <= 15 AND artifact_id LIKE 'cold%')").select(*ART_KEY, "version")
     return cand, cur
 
 
@@ -164,11 +167,9 @@ def q_max_version(spark, sf):
 @register
 def q_version_drift(spark, sf):
     """Groups whose newest candidate script exceeds the declared version (the newest
-    current release of size 45 or less)."""
-    cand, _ = _version_sides(spark, sf)
-    pv = fixture(spark, sf, "part_versions")
-    released = pv.where("brand_no >= 10 AND group_id <> 'LARGE' AND size <= 45")
-    declared = versions.max_version(released, ["group_id"]).withColumnRenamed("max_version", "declared_version")
+    current release)."""
+    cand, cur = _version_sides(spark, sf)
+    declared = versions.max_version(cur, ["group_id"]).withColumnRenamed("max_version", "declared_version")
     return versions.version_drift(cand, declared, ["group_id"])
 
 
@@ -177,8 +178,8 @@ def q_version_key(spark, sf):
     pv = fixture(spark, sf, "part_versions")
     k = vfn.version_key("version")
     return pv.select("p_partkey", "version",
-                     F.array_join(k["nums"], ".").alias("key_numbers"), k["rank"].alias("key_rank"),
-                     k["qnum"].alias("key_qualifier_number"),
+                     F.array_join(k["nums"].cast("array<string>"), ".").alias("key_numbers"), k["rank"].alias("key_rank"),
+                     k["qnum"].cast("long").alias("key_qualifier_number"), k["qtext"].alias("key_text"),
                      vfn.release_version("version").alias("release_version"),
                      vfn.is_snapshot("version").alias("is_snapshot"))
 
@@ -268,18 +269,18 @@ def q_purge_roots_table(spark, sf):
     return patterns.purge(_paths(spark, sf).drop("layer"), "path", roots)
 
 
+def _profile_rule(package: str, profile: str, order: int, prefix: str = "", **more) -> dict:
+    p = globs.PROFILES[profile]
+    return dict(package=package, include=list(p["include"]), exclude=list(p["exclude"]), entry_prefix=prefix, rule_order=order, **more)
+
+
 PACKAGE_RULES = (
-    dict(package="webapp", include=["webapp/**"], exclude=["**/WEB-INF/classes/**"], entry_prefix="",
-         rule_order=1),
-    dict(package="webapp", include=["WEB-INF/lib/*.xml", "WEB-INF/lib/*.html"], entry_prefix="webapp/",
-         rule_order=2),
-    dict(package="sql", include=["**/*.sql", "**/*.SQL"], exclude=["**/.svn/**"], entry_prefix="sql/",
-         rule_order=3),
+    dict(package="webapp", include=["webapp/**"], exclude=["**/WEB-INF/classes/**"], entry_prefix="", rule_order=1),
+    dict(package="webapp", include=["WEB-INF/lib/*.xml", "WEB-INF/lib/*.html"], entry_prefix="webapp/", rule_order=2),
+    dict(package="sql", include=["**/*.sql", "**/*.SQL"], exclude=["**/.svn/**"], entry_prefix="sql/", rule_order=3),
     dict(package="site", layer="site", include=["**/user/**"], entry_prefix="", rule_order=4),
-    dict(package="sources", include=["**/src/**"], exclude=["**/target/**", "**/webapp/**", "**/.svn/**"],
-         entry_prefix="src-archive/", rule_order=5),
-    dict(package="resources", include=["**/resources/**"],
-         exclude=["**/fr/paris/lutece/**/business/**", "**/package.html"], entry_prefix="", rule_order=6),
+    _profile_rule("sources", "source_src", 5, "src-archive/"),
+    _profile_rule("resources", "package_resources", 6),
 )
 
 
@@ -305,6 +306,13 @@ def q_upgrade_packages(spark, sf):
 
 @register
 def q_or_default(spark, sf):
+    """The scripts that target 9.9.9, or one default row as there are none."""
+    hits = _script_files(spark, sf).where(F.col("path").endswith("-9.9.9.sql"))
+    return packages.or_default(hits, {"path": "none"})
+
+
+@register
+def q_upgrade_default(spark, sf):
     """No update script targets 9.9.9: one default upgrade package row."""
     return packages.upgrade_packages(_script_files(spark, sf), "9.9.9", "1.0.0")
 
@@ -406,6 +414,20 @@ def q_readiness(spark, sf):
     return quality.readiness(g, rejected=F.col("gate") == scripts.REJECT)
 
 
+@register
+def q_rejected_paths(spark, sf):
+    """The paths that the gate rejects, a distributed sorted result."""
+    g = scripts.gate_scripts(_scripts(spark, sf))
+    return quality.rejected_paths(g, rejected=F.col("gate") == scripts.REJECT)
+
+
+@register
+def q_process_managed_scripts(spark, sf):
+    """Script processing with a reject row for each unmanaged path."""
+    s = _scripts(spark, sf)
+    return scripts.process_scripts(s, file_name="file_name", managed=True).select("o_orderkey", "path", "action")
+
+
 @register
 def q_substitute(spark, sf):
     """Replace the component bookmark in each script."""
@@ -463,9 +485,7 @@ def q_last_line(spark, sf):
 def q_scan_descriptors(spark, sf):
     d = fixture(spark, sf, "descriptors")
     p = descriptors.parse_descriptors(d, which="last")
-    return p.select("p_partkey", "path", "valid",
-                    descriptors.descriptor_field("xml", "name", "first", valid="valid").alias("name_first"),
-                    F.col("name").alias("name_last"), "version", "db_required")
+    return p.select("p_partkey", "path", "valid", "name_first", F.col("name").alias("name_last"), "version", "db_required")
 
 
 @register
@@ -478,13 +498,6 @@ def q_descriptor_rejects(spark, sf):
     return descriptors.descriptor_rejects(fixture(spark, sf, "descriptors"), keep=("p_partkey",))
 
 
-@register
-def q_descriptor_rejects_pages(spark, sf):
-    """Raw web pages as descriptors: the malformed branch at scale (row counts only)."""
-    p = table(spark, sf, "pages").select("page_id", F.col("html").alias("xml"))
-    return descriptors.descriptor_rejects(p, keep=("page_id",))
-
-
 @register
 def q_state_lines(spark, sf):
     """Labels as plugin flags: quality=1 installs doc-<id>, toxic=1 adds a pool line."""
@@ -554,11 +567,10 @@ def q_assemble_readiness(spark, sf):
 def q_sync_stream(spark, sf):
     """The source window of events as a file stream merged into the target
     snapshot by foreachBatch; the final state equals incremental_sync."""
-    from strata.session import scratch_path
     from strata.streaming import sync_stream as ss
     schema = table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
+    # the pattern matches one name: a file, or a folder of part files, is read whole
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/event[s].parquet")
     src = stream.where(F.expr(FIXTURES["events_source"].where)).select("user_id", "event_type", "event_id",
                                                                        "ts", "value")
     tgt = fixture(spark, sf, "events_target")
@@ -573,7 +585,6 @@ def q_sync_stream(spark, sf):
 def q_sync_into(spark, sf):
     """The target snapshot seeded as a bucketed state table, then the source
     merged in place: only touched buckets are read and rewritten."""
-    from strata.session import scratch_path
     state = scratch_path(spark, "sync-into-state")
     sync.sync_into(fixture(spark, sf, "events_target"), state, EVENT_KEY, "ts", buckets=64)
     sync.sync_into(fixture(spark, sf, "events_source"), state, EVENT_KEY, "ts", buckets=64)
@@ -587,3 +598,70 @@ def q_deploy_scripts(spark, sf):
         "vendor", F.expr("CASE component WHEN 'core' THEN 'none' WHEN 'plugin-o' THEN 'mysql' ELSE 'auto' END"))
     out = scripts.deploy_scripts(s, LINE_RULES, requested="vendor", configured=F.lit("oracle"))
     return out.select("o_orderkey", "path", "target_vendor", "content")
+
+
+# ----------------------------------------------------------- sources, sinks
+@register
+def q_scan_files(spark, sf):
+    """Documents written as text files by source, scanned back: bytes per folder."""
+    root = scratch_path(spark, "scan-files")
+    table(spark, sf, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(root)
+    found = files.scan_files(spark, root, ext=".TXT")
+    return (found.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("source"))
+            .agg(F.sum("length").alias("n_bytes")))
+
+
+@register
+def q_scan_scripts(spark, sf):
+    """Script names written by component, scanned back as whole texts: their lines."""
+    root = scratch_path(spark, "scan-scripts")
+    fixture(spark, sf, "scripts").select("component", F.col("file_name").alias("value")).write.partitionBy("component").text(root)
+    found = files.scan_scripts(spark, root, ext=".txt")
+    return found.select(F.regexp_extract("path", "^component=([^/]*)/", 1).alias("component"),
+                        F.explode(F.split(F.rtrim(F.col("content"), F.lit("\n")), "\n")).alias("file_name"))
+
+
+@register
+def q_write_scripts(spark, sf):
+    out = sinks.write_scripts(scripts.process_scripts(_scripts(spark, sf), file_name="file_name"), scratch_path(spark, "write-scripts"))
+    return spark.read.parquet(out).select("path", "action", "content")
+
+
+@register
+def q_write_state(spark, sf):
+    """The plugin state lines of the labels, written and read back."""
+    out = sinks.write_state(q_state_lines(spark, sf), scratch_path(spark, "write-state"))
+    line = F.split("value", "=", 2)
+    return spark.read.text(out).select(line[0].alias("key"), line[1].alias("value"))
+
+
+@register
+def q_write_manifest(spark, sf):
+    out = sinks.write_manifest(q_package_membership(spark, sf), scratch_path(spark, "write-manifest"))
+    return spark.read.parquet(out).select("package", "entry_path", "source_path")
+
+
+# ---------------------------------------------------------- script versions
+@register
+def q_target_version(spark, sf):
+    """The version each script leads to."""
+    s = _scripts(spark, sf)
+    return s.select("o_orderkey", "path", vfn.target_version("path").alias("target_version"))
+
+
+@register
+def q_script_drift(spark, sf):
+    """Components whose newest script leads beyond what they declare (core: 2.0.0,
+    others: 1.5.0)."""
+    s = _scripts(spark, sf).withColumn("version", vfn.target_version("path"))
+    declared = s.select("component").distinct().withColumn(
+        "declared_version", F.when(F.col("component") == "core", "2.0.0").otherwise("1.5.0"))
+    return versions.version_drift(s, declared, ["component"])
+
+
+@register
+def q_one_per_component(spark, sf):
+    """Per manufacturer the descriptor of the lowest path; the others are extras."""
+    d = fixture(spark, sf, "descriptors").select("p_partkey", "path")
+    d = d.join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return descriptors.one_per_component(d, "p_brand").select("p_partkey", "p_brand", "extra")

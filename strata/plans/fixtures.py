@@ -36,20 +36,21 @@ FIXTURES: dict[str, Fixture] = {
         "l_orderkey", "l_linenumber", "l_returnflag AS layer",
         "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS priority",
         "l_shipdate", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity")),
-    # Event snapshots: the target holds events before 2024-01-20 but never got signups; the
-    # source covers 2024-01-10 .. 2024-01-21 and no longer sends errors (so all four sync
-    # classes occur: new signup keys, target-only error keys, updated and unchanged ones).
+    # Event snapshots; every event is on a side. Signups exist in the source only (new keys),
+    # errors in the target only; of other types the target holds what came before 2024-01-20,
+    # the source what came since 2024-01-10 (updated and unchanged keys).
     "events_target": Fixture("events", ("user_id", "event_type", "event_id", "ts", "value"),
-                             "ts < TIMESTAMP '2024-01-20 00:00:00' AND event_type <> 'signup'"),
+                             "event_type = 'error' OR (event_type <> 'signup' AND ts < TIMESTAMP '2024-01-20 00:00:00')"),
     "events_source": Fixture("events", ("user_id", "event_type", "event_id", "ts", "value"),
-                             "ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-21 00:00:00'"
-                             " AND event_type <> 'error'"),
-    # Artifacts with versions "size.brand[-SNAPSHOT]", key (group_id, artifact_id).
+                             "event_type = 'signup' OR (event_type <> 'error' AND ts >= TIMESTAMP '2024-01-10 00:00:00')"),
+    # Artifacts with versions "size.brand", some with a qualifier or a long build number, key (group_id, artifact_id).
     "part_versions": Fixture("part", (
         "p_partkey", "p_type AS group_id", "p_name AS artifact_id",
         "CAST(substr(p_brand, 7) AS INT) AS brand_no", "p_size AS size",
         "CAST(p_size AS STRING) || '.' || substr(p_brand, 7)"
-        " || CASE WHEN p_partkey % 3 = 0 THEN '-SNAPSHOT' ELSE '' END AS version")),
+        " || CASE WHEN p_partkey % 3 = 0 THEN '-SNAPSHOT' WHEN p_partkey % 7 = 1 THEN '.0.Final'"
+        " WHEN p_partkey % 7 = 2 THEN 'b2' WHEN p_partkey % 7 = 3 THEN '.20230101123456' WHEN p_partkey % 7 = 4 THEN '-jre'"
+        " WHEN p_partkey % 7 = 5 THEN '-android' ELSE '' END AS version")),
     # SQL scripts, six content variants, five file-name shapes.
     "scripts": Fixture("orders", (
         "o_orderkey",
@@ -101,20 +102,24 @@ FIXTURES: dict[str, Fixture] = {
         "n_chars AS length",
         "CAST(1700000000000 + ((doc_id * 7919) % 1000003) * 1000 AS BIGINT) AS mtime",
         "text AS content")),
-    # Plugin descriptors: well-formed with a nested second <name>, nameless, or malformed.
+    # Plugin descriptors: well-formed with a nested second <name>, nameless, unclosed, with text or
+    # a second root behind the first, or with a byte-order mark.
     "descriptors": Fixture("part", (
         "p_partkey",
         "'webapp/WEB-INF/plugins/plugin_' || CAST(p_partkey AS STRING) || '.xml' AS path",
         "CASE WHEN p_partkey % 7 = 0 THEN '<plug-in><name>' || p_name || '</name>'"
+        " WHEN p_partkey % 13 = 0 THEN '<plug-in><name>' || p_name || '</name></plug-in> trailing'"
+        " WHEN p_partkey % 17 = 0 THEN '<plug-in><name>a</name></plug-in><plug-in><name>b</name></plug-in>'"
+        " WHEN p_partkey % 19 = 0 THEN chr(65279) || '<plug-in><name>' || p_name || '</name></plug-in>'"
         " WHEN p_partkey % 11 = 0 THEN '<plug-in><version>' || CAST(p_size AS STRING) || '.0</version></plug-in>'"
         " ELSE '<plug-in><name>' || replace(p_name, ' ', '-') || '</name><version>' || CAST(p_size AS STRING)"
         " || '.0</version><db-pool-required>' || CASE WHEN p_size % 2 = 0 THEN '1' ELSE '0' END"
         " || '</db-pool-required><application><name>app-' || CAST(p_partkey AS STRING)"
         " || '</name></application></plug-in>' END AS xml")),
-    # Dependency edges: k -> floor(k / 2) for every part, and k -> 7k mod 2000 from PROMO parts (cycles).
+    # Dependency edges of every part: k -> floor(k / 2) and k -> floor(7k / 3) (cycles; what lies
+    # beyond the table has no edges).
     "edges_half": Fixture("part", ("p_partkey AS parent", "CAST(floor(p_partkey / 2) AS BIGINT) AS child")),
-    "edges_jump": Fixture("part", ("p_partkey AS parent", "(7 * p_partkey) % 2000 AS child"),
-                          "p_type = 'PROMO'"),
+    "edges_jump": Fixture("part", ("p_partkey AS parent", "CAST(floor(7 * p_partkey / 3) AS BIGINT) AS child")),
     "roots": Fixture("part", ("p_partkey AS node",), "p_size = 1"),
     # Artifacts: lineitem rows as (group, id, version, type, scope); scope null on line 7.
     "artifacts": Fixture("lineitem", (

@@ -115,28 +115,30 @@ SELECT event_type, action, count(*) AS n FROM plan GROUP BY event_type, action
 
 # ---------------------------------------------------------------- versions
 def _vkey(v: str) -> str:
-    """DuckDB version key columns: nums (list), rnk, qn."""
-    qual = f"CASE WHEN strpos({v}, '-') > 0 THEN lower(substr({v}, strpos({v}, '-') + 1)) ELSE '' END"
+    """DuckDB version key columns: nums (list), rnk, qn, qt."""
+    lead = f"regexp_extract({v}, '^[0-9]+(\\.[0-9]+)*')"
+    qual = f"lower(regexp_replace(substr({v}, length({lead}) + 1), '^[._-]+', ''))"
     word = f"regexp_extract({qual}, '^([a-z]*)', 1)"
-    return (f"list_transform(string_split(regexp_replace(split_part({v}, '-', 1), '(\\.0+)+$', ''), '.'),"
-            f" lambda x: TRY_CAST(x AS INTEGER)) AS nums,"
-            f" CASE WHEN {word} IN ('alpha', 'a') THEN 1 WHEN {word} IN ('beta', 'b') THEN 2"
+    rank = (f"CASE WHEN {word} IN ('alpha', 'a') THEN 1 WHEN {word} IN ('beta', 'b') THEN 2"
             f" WHEN {word} IN ('milestone', 'm') THEN 3 WHEN {word} IN ('rc', 'cr') THEN 4"
             f" WHEN {word} = 'snapshot' THEN 5 WHEN {word} IN ('', 'ga', 'final', 'release') THEN 6"
-            f" WHEN {word} = 'sp' THEN 7 ELSE 8 END AS rnk,"
-            f" coalesce(TRY_CAST(regexp_extract({qual}, '([0-9]+)$', 1) AS INTEGER), 0) AS qn")
+            f" WHEN {word} = 'sp' THEN 7 ELSE 8 END")
+    return (f"list_transform(string_split(regexp_replace({lead}, '(\\.0+)+$', ''), '.'),"
+            f" lambda x: TRY_CAST(x AS HUGEINT)) AS nums, {rank} AS rnk,"
+            f" coalesce(TRY_CAST(regexp_extract({qual}, '([0-9]+)$', 1) AS HUGEINT), 0) AS qn,"
+            f" CASE WHEN {rank} = 8 THEN {qual} ELSE '' END AS qt")
 
 
 def _gt(a: str, b: str) -> str:
     return (f"({a}.nums > {b}.nums OR ({a}.nums = {b}.nums AND ({a}.rnk > {b}.rnk"
-            f" OR ({a}.rnk = {b}.rnk AND {a}.qn > {b}.qn))))")
+            f" OR ({a}.rnk = {b}.rnk AND ({a}.qn > {b}.qn OR ({a}.qn = {b}.qn AND {a}.qt > {b}.qt))))))")
 
 
 _PV = f"(SELECT *, {_vkey('version')} FROM {fx('part_versions')})"
 _NEWEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}
-   ORDER BY nums DESC, rnk DESC, qn DESC) AS rn FROM pv WHERE {where}) WHERE rn = 1)"""
-_CAND_WHERE = "brand_no <= 15 AND artifact_id NOT LIKE 'cold%'"
-_CUR_WHERE = "brand_no >= 10 AND group_id <> 'LARGE'"
+   ORDER BY nums DESC, rnk DESC, qn DESC, qt DESC, version DESC) AS rn FROM pv WHERE {where}) WHERE rn = 1)"""
+_CAND_WHERE = "((brand_no <= 15 AND artifact_id NOT LIKE 'cold%') OR (brand_no > 15 AND group_id = 'LARGE'))"
+_CUR_WHERE = "((brand_no >= 10 AND group_id <> 'LARGE') OR (brand_no <= 15 AND artifact_id LIKE 'cold%'))"
 _RECONCILE = f"""
 WITH pv AS {_PV},
 c AS {_NEWEST.format(key='group_id, artifact_id', where=_CAND_WHERE)},
@@ -174,13 +176,13 @@ SELECT group_id, version AS max_version FROM {_NEWEST.format(key='group_id', whe
 sql("version_drift", f"""
 WITH pv AS {_PV},
 c AS {_NEWEST.format(key='group_id', where=_CAND_WHERE)},
-u AS {_NEWEST.format(key='group_id', where=_CUR_WHERE + ' AND size <= 45')}
+u AS {_NEWEST.format(key='group_id', where=_CUR_WHERE)}
 SELECT c.group_id, u.version AS declared_version, c.version AS newest_version
 FROM c JOIN u ON c.group_id = u.group_id WHERE {_gt('c', 'u')}
 """)
 
 sql("version_key", f"""
-SELECT p_partkey, version, array_to_string(nums, '.') AS key_numbers, rnk AS key_rank, qn AS key_qualifier_number,
+SELECT p_partkey, version, array_to_string(nums, '.') AS key_numbers, rnk AS key_rank, CAST(qn AS BIGINT) AS key_qualifier_number, qt AS key_text,
        CASE WHEN suffix(version, '-SNAPSHOT') THEN split_part(version, '-SNAPSHOT', 1) ELSE version END
          AS release_version,
        suffix(upper(version), 'SNAPSHOT') OR regexp_full_match(version, '(.*)-([0-9]{{8}}\\.[0-9]{{6}})-([0-9]+)')
@@ -239,6 +241,7 @@ def _sel(inc, exc, col="path") -> str:
     return f"({_any(inc, col)} AND NOT {_any(exc, col)})"
 
 
+# The header text, keywords and profiles must equal the operators'.
 _PROFILES_SQL = {  # the profiles again, as lists of the globs above
     "package_classes": (["**/**"], ["**/package.html", "**/fr/paris/lutece/**/resources/**"]),
     "package_webapp": (["**/**"], ["**/WEB-INF/classes/**", "WEB-INF/lib/**", "**/.svn/**"]),
@@ -319,8 +322,8 @@ _RULES_SQL = [  # (package, layer, include, exclude, prefix, order)
     ("webapp", None, ["WEB-INF/lib/*.xml", "WEB-INF/lib/*.html"], [], "webapp/", 2),
     ("sql", None, ["**/*.sql", "**/*.SQL"], ["**/.svn/**"], "sql/", 3),
     ("site", "site", ["**/user/**"], [], "", 4),
-    ("sources", None, ["**/src/**"], ["**/target/**", "**/webapp/**", "**/.svn/**"], "src-archive/", 5),
-    ("resources", None, ["**/resources/**"], ["**/fr/paris/lutece/**/business/**", "**/package.html"], "", 6),
+    ("sources", None, *_PROFILES_SQL["source_src"], "src-archive/", 5),
+    ("resources", None, *_PROFILES_SQL["package_resources"], "", 6),
 ]
 _MEMBERS = "\nUNION ALL\n".join(
     f"SELECT '{pk}' AS package, '{pre}' || path AS entry_path, {o} AS rule_order, path AS source_path, doc_id, layer"
@@ -355,7 +358,11 @@ SELECT 'upgrade-1.0.0-{version}', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM m)
 
 
 sql("upgrade_packages", _upgrade("2.0.0"))
-sql("or_default", _upgrade("9.9.9"))
+sql("upgrade_default", _upgrade("9.9.9"))
+sql("or_default", f"""
+WITH m AS (SELECT path FROM {_SF} WHERE suffix(path, '-9.9.9.sql'))
+SELECT path FROM m UNION ALL SELECT 'none' WHERE NOT EXISTS (SELECT 1 FROM m)
+""")
 
 
 # --------------------------------------------------------------- artifacts
@@ -390,7 +397,7 @@ SELECT event_id, requested, configured,
        CASE WHEN requested IS NULL OR requested = 'none' THEN NULL WHEN requested = 'auto' THEN configured
             WHEN requested IN ('hsqldb', 'mysql', 'oracle', 'postgresql') THEN requested END AS target_vendor,
        route_status,
-       CASE WHEN route_status = 'ERROR' THEN 'Unknown targetDatabaseVendor : '''
+       CASE WHEN route_status = 'ERROR' THEN 'no such database vendor: '''
             || coalesce(CASE WHEN requested = 'auto' THEN configured END, requested, '') || '''' END AS route_error
 FROM s
 """)
@@ -456,8 +463,13 @@ FROM (SELECT *, {_ACTION} AS action FROM {_SCLASS})
 sql("gate_scripts", f"SELECT o_orderkey, path, gate FROM {_GATE}")
 
 sql("readiness", f"""
-SELECT count(*) = 0 AS ready, count(*) AS n_rejected, coalesce(string_agg(path, ',' ORDER BY path), '') AS rejected
-FROM {_GATE} WHERE gate = 'REJECT'
+SELECT count(*) = 0 AS ready, count(*) AS n_rejected FROM {_GATE} WHERE gate = 'REJECT'
+""")
+
+sql("rejected_paths", f"SELECT path FROM {_GATE} WHERE gate = 'REJECT'")
+
+sql("process_managed_scripts", f"""
+SELECT o_orderkey, path, CASE WHEN is_managed THEN {_ACTION} ELSE 'REJECTED' END AS action FROM {_SCLASS}
 """)
 
 sql("substitute", f"SELECT o_orderkey, replace(content, 'x:', '${{plugin}}') AS content FROM {_S}")
@@ -499,9 +511,10 @@ FROM documents
 
 # ------------------------------------------------------------- descriptors
 _D = f"(SELECT p_partkey, path FROM {fx('descriptors')})"
-_DV = ("(SELECT d.*, p.p_name, p.p_size, d.p_partkey % 7 <> 0 AS valid,"
-       " d.p_partkey % 7 <> 0 AND d.p_partkey % 11 <> 0 AS named"
-       f" FROM {_D} d JOIN part p ON p.p_partkey = d.p_partkey)")
+_DV = ("(SELECT d.*, p.p_name, p.p_size, v.valid,"
+       " v.valid AND d.p_partkey % 11 <> 0 AS named"
+       f" FROM {_D} d JOIN part p ON p.p_partkey = d.p_partkey JOIN (SELECT p_partkey, p_partkey % 7 <> 0 AND p_partkey % 13 <> 0"
+       " AND p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AS valid FROM part) v ON v.p_partkey = d.p_partkey)")
 
 sql("scan_descriptors", f"""
 SELECT p_partkey, path, valid, CASE WHEN named THEN replace(p_name, ' ', '-') END AS name_first,
@@ -596,8 +609,7 @@ SELECT path, layer, priority, doc_id, o_orderkey, gate FROM g
 """)
 
 sql("assemble_readiness", f"""{_ASM}
-SELECT count(*) = 0 AS ready, count(*) AS n_rejected, coalesce(string_agg(path, ',' ORDER BY path), '') AS rejected
-FROM g WHERE gate = 'REJECT'
+SELECT count(*) = 0 AS ready, count(*) AS n_rejected FROM g WHERE gate = 'REJECT'
 """)
 
 sql("sync_stream", ORACLE["incremental_sync"])
@@ -615,3 +627,25 @@ SELECT o_orderkey, path, target_vendor,
     ELSE content END AS content
 FROM v
 """)
+
+
+# ----------------------------------------------------------- sources, sinks
+sql("scan_files", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source")
+sql("scan_scripts", f"SELECT component, file_name FROM {fx('scripts')}")
+sql("write_scripts", f"SELECT path, action, content FROM ({ORACLE['process_scripts']}) WHERE action IN ('TAGGED', 'FIXED')")
+sql("write_state", f"SELECT key, value FROM ({ORACLE['state_lines']})")
+sql("write_manifest", f"SELECT package, entry_path, source_path FROM ({ORACLE['package_membership']})")
+
+# ---------------------------------------------------------- script versions
+sql("target_version", f"""
+SELECT o_orderkey, path, CASE WHEN regexp_full_match(regexp_extract(path, '([^/]*)$', 1), 'update.*-[^-]*\\.sql')
+       THEN regexp_extract(path, '-([^-/]*)\\.sql$', 1) END AS target_version FROM {_S}
+""")
+sql("script_drift", f"""
+SELECT component, '1.5.0' AS declared_version, '2.0.0' AS newest_version FROM {_S}
+WHERE component <> 'core' AND regexp_matches(file_name, '^update.*-2\\.0\\.0\\.sql$') GROUP BY component
+""")
+sql("one_per_component", f"""
+SELECT d.p_partkey, p_brand, path <> min(path) OVER (PARTITION BY p_brand) AS extra
+FROM {_D} d JOIN part p ON p.p_partkey = d.p_partkey
+""")

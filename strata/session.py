@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Settings for large clusters (pass to spark-submit or ``get_session(**...)``).
+# Settings for large clusters; ``get_session`` applies them unless the master is
+# local (spark-submit and keyword arguments override them).
 # Shuffle partitions start high and AQE coalesces them to the advisory size,
 # so one setting serves small and 100 TB inputs; skewed partitions (a hot
 # key holding a large share of rows) are split at run time for joins; file
@@ -47,6 +46,8 @@ def get_session(master: str | None = None, app: str = "strata",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if not (master or "").startswith("local"):
+        settings = {**SCALE_SETTINGS, **settings}
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for k, v in settings.items():
         b = b.config(k, v)
@@ -81,27 +82,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-@contextmanager
-def static_plan(spark):
-    """Plan without AQE inside the block. An adaptive plan reports its output
-    partitioning as unknown until it has run, and a checkpoint records the
-    partitioning at planning time; with a static plan the checkpoint keeps
-    ``hashpartitioning(node, n)`` so later joins on ``node`` need no exchange."""
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint computed once that keeps the hash partitioning:
-    persist, checkpoint (which reads the cached rows instead of recomputing),
-    then drop the cache."""
-    checkpoint_dir(df.sparkSession)
-    with static_plan(df.sparkSession):
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and read it back.
+
+    The plan above is cut, nothing is kept on executors, and a lost executor
+    does not lose the rows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

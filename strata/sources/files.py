@@ -1,8 +1,8 @@
 """File-tree scans: file entries, whole-text scripts, descriptors.
 
-``binaryFile`` reads ``content`` only when it is selected, and a ``length``
-filter is pushed into the listing, so a size or extension test never reads
-file bytes. Paths are made relative to the scanned root, with ``/``.
+``binaryFile`` reads ``content`` only when it is selected, a ``length``
+filter is pushed into the scan, and names are filtered in the listing, so
+files of other names or sizes are never opened. Paths are made relative to the scanned root, with ``/``.
 """
 
 from __future__ import annotations
@@ -17,44 +17,44 @@ FILE_SCHEMA = StructType([
     StructField("mtime", TimestampType()), StructField("content", BinaryType())])
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _qualified(spark: SparkSession, root: str) -> tuple[str, bool]:
+    """The file system's own form of ``root``, and whether it exists."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toString().rstrip("/"), fs.exists(p)
 
 
-def _relative(col, root: str):
-    # Listed paths are fully qualified URIs (file:/..., hdfs://...); keep what follows the root.
-    r = root.rstrip("/")
-    r = r.split(":", 1)[1] if ":" in r.split("/", 1)[0] else r
-    return F.regexp_replace(col, "^.*?" + _rx(r) + "/", "")
+def _name_glob(ext: str) -> str:
+    """Names that end with ``ext`` in either case, as a listing filter."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.lower() != c.upper() else "\\" + c if c in "*?[]{}\\" else c for c in ext)
 
 
-def _rx(s: str) -> str:
-    return "".join("\\" + ch if ch in r"\.[]{}()*+?^$|" else ch for ch in s)
+def _relative(root: str):
+    # Listed paths are qualified like the root; what follows it is the relative path.
+    one = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return F.substring(one(F.col("path")), F.length(one(F.lit(root))) + 2, F.length(F.col("path")))
 
 
 def scan_files(spark: SparkSession, root: str, ext: str | None = None, recursive: bool = True,
                min_size: int = 1, missing: str = "error", layer: str | None = None,
-               priority: int | None = None) -> DataFrame:
-    """Regular files under ``root`` whose lower-cased name ends with ``ext``
-    and whose size is at least ``min_size`` (default: non-empty).
+               priority: int | None = None, any_case: bool = True) -> DataFrame:
+    """Regular files under ``root`` whose name ends with ``ext`` (in either case
+    if ``any_case``) and whose size is at least ``min_size`` (default: non-empty).
 
     ``missing``: ``"error"`` or ``"empty"`` when ``root`` does not exist.
     Optional ``layer``/``priority`` literals tag the tree as one layer.
     """
-    if not _exists(spark, root):
+    full, exists = _qualified(spark, root)
+    if not exists:
         if missing == "empty":
             df = spark.createDataFrame([], FILE_SCHEMA)
             return _tag(df, layer, priority)
         raise FileNotFoundError(root)
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-          .load(root))
-    df = df.where(F.col("length") >= min_size)
-    df = df.select(_relative(F.col("path"), root).alias("path"), "length",
-                   F.col("modificationTime").alias("mtime"), "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if ext:
-        df = df.where(F.lower(F.col("path")).endswith(ext.lower()))
+        reader = reader.option("pathGlobFilter", _name_glob(ext) if any_case else "*" + ext)
+    df = reader.load(root).where(F.col("length") >= min_size)
+    df = df.select(_relative(full).alias("path"), "length", F.col("modificationTime").alias("mtime"), "content")
     return _tag(df, layer, priority)
 
 
@@ -66,15 +66,19 @@ def _tag(df: DataFrame, layer, priority) -> DataFrame:
     return df
 
 
+def _text():
+    return F.make_valid_utf8(F.col("content").cast("string"))
+
+
 def scan_scripts(spark: SparkSession, root: str, ext: str = ".sql", missing: str = "error") -> DataFrame:
-    """``(path, content)``: each non-empty script as one UTF-8 string."""
+    """``(path, content)``: each non-empty script as one UTF-8 string; bytes that
+    are not UTF-8 become U+FFFD."""
     files = scan_files(spark, root, ext=ext, missing=missing)
-    return files.select("path", F.decode(F.col("content"), "UTF-8").alias("content"))
+    return files.select("path", _text().alias("content"))
 
 
 def scan_descriptors(spark: SparkSession, root: str, missing: str = "empty") -> DataFrame:
     """``(path, xml)`` for ``*.xml`` directly in ``root`` (not recursive, case-sensitive
     extension); a missing folder gives an empty result."""
-    files = scan_files(spark, root, recursive=False, min_size=0, missing=missing)
-    return (files.where(F.col("path").endswith(".xml"))
-                 .select("path", F.decode(F.col("content"), "UTF-8").alias("xml")))
+    files = scan_files(spark, root, ext=".xml", recursive=False, min_size=0, missing=missing, any_case=False)
+    return files.select("path", _text().alias("xml"))

@@ -26,7 +26,7 @@ def seed_state(initial: DataFrame, state_dir: str, key: Sequence[str], ts: str,
 
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.parquet(state_dir).drop(BUCKET_COL)
+    return spark.read.option("mergeSchema", "true").parquet(state_dir).drop(BUCKET_COL)
 
 
 def sync_batch(batch: DataFrame, state_dir: str, key: Sequence[str], ts: str, columns: Sequence[str],

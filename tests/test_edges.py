@@ -197,9 +197,9 @@ def test_gate_and_readiness(spark):
                                        ("sql/create_b.sql", "REJECT"), ("sql/create_c.sql", "DROP"),
                                        ("sql/init_d.sql", "REJECT"), ("sql/notes.sql", "DROP")]
     r = quality.readiness(g, rejected=F.col("gate") == "REJECT").first()
-    assert (r.ready, r.n_rejected, r.rejected) == (False, 2, "sql/create_b.sql,sql/init_d.sql")
+    assert (r.ready, r.n_rejected) == (False, 2)
     none = quality.readiness(g.where("gate = 'PASS'"), rejected=F.col("gate") == "REJECT").first()
-    assert (none.ready, none.rejected) == (True, "")
+    assert (none.ready, none.n_rejected) == (True, 0)
 
 
 def test_lines_terminators(spark):
@@ -297,8 +297,8 @@ def test_observe_counters_and_assert_cardinality(spark):
 
 def test_readiness_state_rows(spark):
     df = spark.createDataFrame([("b.sql",), ("a.sql",)], "path string")
-    st = quality.readiness_state(quality.readiness(df))
-    assert rows(st) == [("liquibase.fileErrors", "a.sql,b.sql"), ("liquibase.readyToRun", "false")]
+    st = quality.readiness_state(quality.readiness(df), df)
+    assert rows(st) == [("liquibase.fileErrors", "a.sql"), ("liquibase.fileErrors", "b.sql"), ("liquibase.readyToRun", "false")]
 
 
 def test_cardinality_core_project_exempt(spark):
@@ -393,10 +393,80 @@ def test_closure_salts_hot_parents_same_result(spark):
     assert {r.depth for r in salted.collect()} == {0, 1, 2}
 
 
-def test_readiness_refuses_unbounded_report(spark, monkeypatch):
-    import pytest
-    monkeypatch.setattr(quality, "MAX_REPORT_PATHS", 2)
-    df = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
-    with pytest.raises(ValueError):
-        quality.readiness(df)
-    assert [r.path for r in quality.rejected_paths(df).collect()] == ["a", "b", "c"]
+def test_readiness_has_no_bound(spark):
+    df = spark.range(200_000).selectExpr("CAST(id AS STRING) AS path")
+    r = quality.readiness(df).first()
+    assert (r.ready, r.n_rejected) == (False, 200_000)
+    assert quality.rejected_paths(df).count() == 200_000
+
+
+def test_sync_into_keeps_state_columns(spark, tmp_path):
+    state = str(tmp_path / "state")
+    sync.sync_into(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, ts long, extra string"), state, ["k"], "ts", buckets=2)
+    sync.sync_into(spark.createDataFrame([("a", 2), ("c", 1)], "k string, ts long"), state, ["k"], "ts", buckets=2)      # fewer columns
+    sync.sync_into(spark.createDataFrame([("b", 3, "z", 7)], "k string, ts long, extra string, more int"), state, ["k"], "ts", buckets=2)
+    got = spark.read.option("mergeSchema", "true").parquet(state).select("k", "ts", "extra", "more")
+    assert rows(got) == [("a", 2, "x", None), ("b", 3, "z", 7), ("c", 1, None, None)]
+
+
+def test_closure_nulls_chain_and_deep_graph(spark):
+    from strata.operators import closure
+    edges = spark.createDataFrame([(1, 2), (2, None), (2, 3), (None, 9), (3, 1)], "parent long, child long")
+    out = closure.dependency_closure(spark.createDataFrame([(1,), (None,)], "node long"), edges)
+    assert rows(out) == [(1, 0), (2, 1), (3, 2)]
+    chain = spark.range(60).selectExpr("id AS parent", "id + 1 AS child")
+    deep = closure.dependency_closure(spark.createDataFrame([(0,)], "node long"), chain, hops=4)
+    assert sorted((r.node, r.depth) for r in deep.collect()) == [(i, i) for i in range(61)]
+
+
+def test_version_key_qualifiers_and_long_numbers(spark):
+    k = [r.k for r in _vk(spark, "5.4.0.Final", "4.1.0.RELEASE", "2.0.20230101123456", "1.0b2", "1.0-jre", "1.0-android", "5.4", "1.0-beta2")]
+    assert None not in k
+    assert k[0] == k[6] and k[3] == k[7]
+    assert k[4] > k[5]                  # unknown words order by their text
+    assert k[2] > k[3]
+
+
+def test_apply_plan_deletes_a_null_version(spark):
+    state = spark.createDataFrame([("a", None), ("b", "1")], "k string, version string")
+    plan = spark.createDataFrame([("a", "DELETE", None), ("a", "COPY", "2")], "k string, action string, version string")
+    assert rows(versions.apply_plan(state, plan, ["k"])) == [("a", "2"), ("b", "1")]
+
+
+def test_overlay_decisions_null_keys_and_copies(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("p", 1, "c"), ("p", 1, "c")], "path string, priority int, v string")
+    out = overlay.overlay_decisions(df, ["path"])
+    assert sorted(rows(out), key=str) == sorted([(None, 1, "a", False), (None, 2, "b", True), ("p", 1, "c", True), ("p", 1, "c", False)], key=str)
+
+
+def test_globs_directory_and_empty_include(spark):
+    df = spark.createDataFrame([("dir/a/b",), ("dir/c",), ("other",)], "path string")
+    assert rows(patterns.glob_filter(df, "path", ["dir/"])) == [("dir/a/b",), ("dir/c",)]
+    assert rows(patterns.glob_filter(df, "path", [], ["other"])) == [("dir/a/b",), ("dir/c",)]
+
+
+def test_build_properties_follow_the_route(spark):
+    df = spark.createDataFrame([("a/build.properties", "x=1", "mysql"), ("b/build.properties", "x=1", "none")], "path string, content string, vendor string")
+    out = scripts.deploy_scripts(df, [dict(vendor="mysql", pattern="1", replacement="2")], requested="vendor")
+    assert rows(out, "path", "content") == [("b/build.properties", "x=1")]
+
+
+def test_unmanaged_scripts_are_rejected_rows(spark):
+    df = spark.createDataFrame([("x/notes.sql", "select 1;"), ("x/create_a.sql", "select 1;")], "path string, content string")
+    out = scripts.process_scripts(df, component=None, managed=True)
+    assert rows(out, "path", "action") == [("x/create_a.sql", "TAGGED"), ("x/notes.sql", "REJECTED")]
+
+
+def test_descriptors_that_are_not_one_document(spark):
+    bad = ["<p><name>a</name></p> x", "<p/><p/>", "\ufeff<p/>", "<p>", "", None]
+    df = spark.createDataFrame([(b,) for b in [*bad, "<p><name>a<b>c</b></name></p>"]], "xml string")
+    out = descriptors.parse_descriptors(df)
+    assert sorted(((r.valid, r["name"]) for r in out.collect()), key=str) == [(False, None)] * 6 + [(True, "ac")]
+    extra = descriptors.one_per_component(spark.createDataFrame([("b", "k"), ("a", "k"), ("c", None)], "path string, comp string"), "comp")
+    assert sorted(rows(extra, "path", "extra")) == [("a", False), ("b", True), ("c", False)]
+
+
+def test_purge_by_root_table(spark):
+    df = spark.createDataFrame([("a/b/c.txt",), ("a/bb/c.txt",), ("a/b",), ("x",), (None,)], "path string")
+    roots = spark.createDataFrame([("a/b/",), ("x",)], "root string")
+    assert sorted(rows(patterns.purge(df, "path", roots)), key=str) == [("a/bb/c.txt",), (None,)]

@@ -82,3 +82,22 @@ def test_stream_sync_agrees_with_batch_and_replays(spark):
     ss.sync_batch(spark.createDataFrame([("a", 3, "s2"), ("c", 2, "s2"), ("b", 2, "s2")], schema),
                   f"{d}/state", ["k"], "ts", ["k", "ts", "v"], buckets=8)
     assert rows(ss.read_state(spark, f"{d}/state").select("k", "ts", "v")) == rows(batch)
+
+
+def test_scan_roots_bytes_and_listing(spark):
+    d = _tree()
+    with open(f"{d}/sql/latin.sql", "wb") as f:
+        f.write(b"-- caf\xe9\n")
+    got = {r.path: r.content for r in files.scan_scripts(spark, f"file://{d}/sql").collect()}
+    assert got["a.sql"] == "select 1;\n" and got["latin.sql"] == "-- caf\ufffd\n" and "sub/B.SQL" in got
+    assert rows(files.scan_files(spark, f"{d}/sql/", ext=".txt"), "path") == [("notes.txt",)]
+
+
+def test_stream_reads_a_table_of_many_files(spark):
+    d = tempfile.mkdtemp(prefix="strata-stream-")
+    schema = "k string, ts long, v string"
+    spark.range(90).selectExpr("CAST(id % 30 AS STRING) AS k", "id AS ts", "'v' AS v").repartition(3).write.parquet(f"{d}/events.parquet")
+    ss.seed_state(spark.createDataFrame([("0", 0, "t")], schema), f"{d}/state", ["k"], "ts", buckets=4)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/event[s].parquet")
+    ss.sync_stream(stream, f"{d}/state", f"{d}/ckpt", ["k"], "ts", buckets=4).awaitTermination()
+    assert rows(ss.read_state(spark, f"{d}/state").select("k", "ts")) == sorted((str(i), i + 60) for i in range(30))
