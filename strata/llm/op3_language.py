@@ -143,7 +143,7 @@ class Model:
     def _table(self, keys: list[str], values) -> tuple[np.ndarray, np.ndarray]:
         h = _string_hashes(keys)
         by = np.argsort(h)
-        v = np.log(np.array([values(k) for k in keys], float).reshape(len(keys), -1)).astype(np.float32)
+        v = np.log(np.array([values(k) for k in keys], float).reshape(len(keys), len(self.langs))).astype(np.float32)
         return h[by], v[by]
 
     @staticmethod

@@ -146,3 +146,34 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows = rows.withColumn("_masked", text)
     changed = {"text": F.col("_masked"), "n_chars": F.when(F.col("found").isNotNull(), F.char_length("_masked").cast("long")).otherwise(F.col("n_chars"))}
     return rows.select(*(changed.get(c, F.col(c)).alias(c) if c in changed else F.col(f"d.{c}") for c in docs.columns))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),
+k(kind, rank, rx) AS (VALUES
+  ('assign', 1, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 2, 'AKIA[A-Z0-9]{12,}'), ('hex', 3, '[0-9a-f]{32,}'), ('owned', 4, '[A-Za-z0-9+/_=-]{20,}')),
+m AS (SELECT doc_id, source, kind, rank, rx, regexp_extract_all(text, rx) AS ms, string_split_regex(text, rx) AS ps FROM d, k),
+c AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, source, kind, rank, ms[i] AS match, CASE WHEN kind = 'assign' THEN regexp_extract(ms[i], rx, 1) ELSE ms[i] END AS secret,
+         CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM c),
+f AS (
+  SELECT *, start + length(match) AS stop FROM s
+  WHERE (kind <> 'assign' OR length(secret) >= 8)
+    AND (kind <> 'owned' OR (regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]') AND len(list_distinct(string_split(match, ''))) >= 10))),
+b AS (SELECT * FROM f WHERE kind <> 'owned'
+      UNION ALL SELECT o.* FROM f o WHERE kind = 'owned' AND NOT EXISTS (
+        SELECT 1 FROM f x WHERE x.kind <> 'owned' AND x.doc_id = o.doc_id AND x.start < o.stop AND o.start < x.stop)),
+w AS (SELECT secret, count(DISTINCT split_part(coalesce(source, ''), '/', 1)) < 3 AS live FROM b GROUP BY secret),
+j AS (SELECT b.*, live, kind || ':' || start || ':' || stop AS span FROM b JOIN w USING (secret) WHERE kind <> 'owned' OR live),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'owned'), '')) AS base_sha256,
+         string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (doc_id)
+"""

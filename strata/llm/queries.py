@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near": op9_near.query,
     "op10_url_rules": op10_url_rules.query,
 }
-SQL: dict[str, str] = {"op2_winnow": op2_winnow.SQL, "op8_chat": op8_chat.SQL, "op10_url_rules": op10_url_rules.SQL}
+SQL: dict[str, str] = {"op2_winnow": op2_winnow.SQL, "op5_secrets": op5_secrets.SQL, "op8_chat": op8_chat.SQL, "op10_url_rules": op10_url_rules.SQL}
