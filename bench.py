@@ -13,12 +13,13 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ("layered_overlay", "overlay_newer", "incremental_sync", "version_reconcile", "package_membership",
-            "process_scripts", "assemble", "dependency_closure")
+            "process_scripts", "assemble", "dependency_closure", "sync_into", "readiness", "overlay_decisions")
 
 
 def main() -> None:
@@ -31,7 +32,8 @@ def main() -> None:
     from strata.session import get_session
     shuffle = int(os.environ.get("BENCH_SHUFFLE", str(2 * cpus)))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=shuffle, spark__driver__memory="16g",
-                        spark__sql__files__maxPartitionBytes=str(64 << 20))
+                        spark__sql__files__maxPartitionBytes=str(64 << 20),
+                        spark__checkpoint__dir="file://" + tempfile.mkdtemp(prefix="strata-bench-"))
 
     def run(name: str) -> float:
         t = time.perf_counter()

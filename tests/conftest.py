@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -9,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from strata.session import checkpoint_dir, get_session
-    s = get_session("local[8]", shuffle_partitions=8)
+    s = get_session("local[8]", shuffle_partitions=8, spark__checkpoint__dir="file://" + tempfile.mkdtemp(prefix="strata-test-"))
     checkpoint_dir(s)
     yield s
     s.stop()
