@@ -19,7 +19,9 @@ least ``doc_id`` in it.
    shingle sets.
 5. Pairs in a bucket that the links so far do not connect, and that were not
    compared in 3, are swept block by block inside tasks with the same pruning;
-   only survivors become rows, and they are verified too.  So each pair of
+   only survivors become rows, and they are verified too.  A first sweep keeps
+   the likeliest pair of each two components, which joins most of what belongs
+   together; the second keeps every pair that is left.  So each pair of
    different texts that shares a bucket is compared unless a chain of links
    already joins it.
 6. Components by alternating large-star and small-star steps on the links.
@@ -49,9 +51,9 @@ from strata.llm.textvec import buffers, row_groups, shingles, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-HASHES, BANDS, ROWS = 128, 32, 4
+HASHES, BANDS, ROWS = 256, 32, 4  # the bands take the first 128 values
 STEP = 16
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
 BLOCK = 1024
 BROADCAST_IDS = 100_000
 _RNG = np.random.RandomState(7)
@@ -135,48 +137,78 @@ def _prune(batches):
         yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _swept(keys, comps, sides, sigs):
+def _swept(keys, comps, sides, leaders, sigs, band, best):
     """Surviving pairs of one group of block members, sorted by key, that have
-    different components.  Blocks of two sides compare across only."""
-    n = len(keys)
+    different components and no leader in them.  Blocks of two sides compare
+    across only; a pair that shares an earlier band is left to that.  With ``best``, one pair for each pair of components: that of
+    most equal values."""
+    n, top = len(keys), {}
     for i in range(n - 1):
+        if keys[i] == leaders[i]:
+            continue
         rest = np.flatnonzero(comps[i + 1:] != comps[i]) + i + 1
         if sides is not None:
             rest = rest[sides[rest] != sides[i]]
-        if len(rest):
-            for j in rest[survivors(np.broadcast_to(sigs[i], (len(rest), HASHES)), sigs[rest])]:
-                yield (keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i])
-
-
-def _sweep(batches):
+        if not len(rest):
+            continue
+        rest = rest[survivors(np.broadcast_to(sigs[i], (len(rest), HASHES)), sigs[rest])]
+        earlier = (sigs[rest, : band * ROWS] == sigs[i, : band * ROWS]).reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+        rest = rest[~earlier]
+        same = (sigs[rest] == sigs[i]).sum(axis=1)
+        for j, m in zip(rest.tolist(), same.tolist(), strict=True):
+            if keys[j] == leaders[j]:
+                continue
+            both = (min(comps[i], comps[j]), max(comps[i], comps[j])) if best else (i, j)
+            if m > top.get(both, (-1,))[0]:
+                top[both] = (m, (keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
+    return [pair for _, pair in top.values()]
+
+
+def _sweep(best: bool):
     """Rows come sorted by (bucket, x, y): hold one group at a time."""
-    held: list[pa.RecordBatch] = []
-
     def done(t: pa.Table):
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         comps = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)[1]
         sides = np.array(t.column("block").to_pylist()) if x != y else None
-        return list(_swept(t.column("key").to_pylist(), comps, sides, _matrix(t.column("sig").combine_chunks())))
+        return _swept(t.column("key").to_pylist(), comps, sides, t.column("leader").to_pylist(), _matrix(t.column("sig").combine_chunks()),
+                      t.column("band")[0].as_py(), best)
 
     def emit(pairs):
         pairs = list(dict.fromkeys(pairs))
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([*held, b])
-        ids = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
-        cut = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-        pairs, frm = [], 0
-        for c in cut:
-            pairs += done(t.slice(frm, c - frm))
-            frm = int(c)
-        held = t.slice(frm).to_batches()
-        if pairs:
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            ids = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
+            pairs, frm = [], 0
+            for c in np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1:
+                pairs += done(t.slice(frm, c - frm))
+                frm = int(c)
+            held = t.slice(frm).to_batches()
+            if pairs:
+                yield emit(pairs)
+        if held and (pairs := done(pa.Table.from_batches(held))):
             yield emit(pairs)
-    if held and (pairs := done(pa.Table.from_batches(held))):
-        yield emit(pairs)
+
+    return run
+
+
+def swept(together: DataFrame, reps: DataFrame, roots: DataFrame, best: bool, block: int) -> DataFrame:
+    """Candidate pairs (a, b) inside buckets, across the components in ``roots``."""
+    crowd = (together.where("n > 2").join(roots, "key", "left")
+             .select("bucket", "band", "key", "leader", "n", F.coalesce("root", "key").alias("comp")))
+    open_ = crowd.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+    dealt = (crowd.join(open_, "bucket", "left_semi").join(reps, "key")
+             .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+             .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+             .select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "block", "key", "leader", "comp", "sig"))
+    return (dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "key")
+            .mapInArrow(_sweep(best), "a binary, b binary").distinct())
 
 
 def pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -229,27 +261,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = signed.select("id", "key")
     reps = written(signed.where("key IS NOT NULL").select("key", "sig").dropDuplicates(["key"]), "near-texts")
     bands = reps.select("key", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}))")).alias("band", "part"))
-    bands = bands.select(F.xxhash64("band", "part").alias("bucket"), "key")
+    bands = bands.select(F.xxhash64("band", "part").alias("bucket"), "band", "key")
     full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1")
     together = written(bands.join(full, "bucket"), "near-buckets")
     star = together.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     kept = written(pruned(star, reps), "near-pairs")
     links = written(verified(kept, docs, members, threshold), "near-links")
-    # what the first links connect: the least linked key, and its own least linked key
-    least = links.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("m"))
-    label = least.join(least.select(F.col("key").alias("m"), F.col("m").alias("mm")), "m", "left").select("key", F.coalesce("mm", "m").alias("label"))
-    crowd = together.where("n > 2").join(label, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("comp"))
-    open_ = crowd.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = (crowd.join(open_, "bucket", "left_semi").join(reps, "key")
-             .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "comp", "sig"))
-    rest = (dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "key")
-            .mapInArrow(_sweep, "a binary, b binary").distinct())
-    rest = written(rest.join(kept, ["a", "b"], "left_anti"), "near-rest")
-    links = links.unionByName(written(verified(rest, docs, members, threshold), "near-links"))
     roots = written(components(links), "near-roots")
+    for best in (True, False):
+        more = written(swept(together, reps, roots, best, block).join(kept, ["a", "b"], "left_anti"), "near-pairs")
+        kept = kept.unionByName(more)
+        links = links.unionByName(written(verified(more, docs, members, threshold), "near-links"))
+        roots = written(components(links), "near-roots")
     first = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"))
     linked = written(first.join(roots, "key"), "near-linked")
     least_id = linked.groupBy("root").agg(F.min("first").alias("class_id"))
