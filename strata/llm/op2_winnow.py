@@ -37,13 +37,31 @@ SPAN = 13
 BROADCAST_FINGERPRINTS = 500_000
 BROADCAST_WINDOWS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NON_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"  # of texts without A-Z
+SENTINEL = -1  # mark of the row that tells a text's size
 
 
-def words(text: Column) -> Column:
-    pieces = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NON_WORD)
-    return F.filter(pieces, lambda w: w != "")
+def words(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``words``, without ``text``."""
+    # lower() has a fast path for plain ASCII texts; on others it would change more than A-Z
+    plain = F.octet_length(text) == F.char_length(text)
+    folded = F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    pieces = df.withColumn("pieces", F.split(folded, NON_WORD)).drop(text)
+    # only the first and the last piece can be empty
+    return (pieces.withColumn("words", F.expr("""slice(pieces, IF(pieces[0] = '', 2, 1), greatest(0, size(pieces)
+                - IF(pieces[0] = '', 1, 0) - IF(element_at(pieces, -1) = '', 1, 0)))""")).drop("pieces"))
+
+
+def _doubled(df: DataFrame, col: str, n: int, combine: str) -> DataFrame:
+    """Replace the array ``col`` by ``combine`` over each n neighbours, in
+    log2(n) steps: a run of n is two runs of the next lower power of two, which
+    may overlap.  The last n - 1 entries are no whole runs; the caller drops them."""
+    done = 1
+    while done < n:
+        shift = min(done, n - done)
+        df = df.withColumn(col, F.expr(f"zip_with({col}, slice({col}, {shift + 1}, size({col})), (a, b) -> {combine}(a, b))"))
+        done += shift
+    return df
 
 
 def with_fingerprints(df: DataFrame, span: int) -> DataFrame:
@@ -52,14 +70,9 @@ def with_fingerprints(df: DataFrame, span: int) -> DataFrame:
     forms of explode: the plain ones add a filter on the array, which is pushed
     to the scan and computes the whole expression a second time."""
     k = (span + 1) // 2
-    w = span - k + 1
-    gram = ", ".join(f"hashes[i + {j}]" for j in range(k))
-    least = ", ".join(f"grams[i + {j}]" for j in range(w))
-    return (df.withColumn("hashes", F.expr("transform(words, x -> xxhash64(x))"))
-            .withColumn("grams", F.expr(f"CASE WHEN size(words) >= {span} THEN transform(sequence(0, size(words) - {k}), i -> xxhash64({gram})) END"))
-            .withColumn("mins", F.expr(f"CASE WHEN size(words) >= {span} THEN transform(sequence(0, size(words) - {span}), i -> least({least})) END"
-                                       if w > 1 else "grams"))
-            .drop("hashes", "grams"))
+    df = df.withColumn("mins", F.expr("transform(words, x -> xxhash64(x))"))
+    df = _doubled(_doubled(df, "mins", k, "xxhash64"), "mins", span - k + 1, "least")
+    return df.withColumn("mins", F.expr(f"CASE WHEN size(words) >= {span} THEN slice(mins, 1, size(words) - {span - 1}) END"))
 
 
 def _gram(span: int) -> Column:
@@ -67,21 +80,24 @@ def _gram(span: int) -> Column:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN,
-              broadcast_fingerprints: int = BROADCAST_FINGERPRINTS) -> tuple[DataFrame, DataFrame]:
-    """``(hits, sets)``: hits are ``id, hash, at, span, set_id`` for each document
-    window that is a benchmark window; sets are ``set_id, items``.
+              broadcast_fingerprints: int = BROADCAST_FINGERPRINTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(hits, sets, sizes)``: hits are ``id, hash, at, span, set_id`` for each
+    document window that is a benchmark window; sets are ``set_id, items``; sizes
+    are ``id, hash, n_words`` of every document.
 
     ``docs`` has ``id, text``; ``items`` has ``item_id, text``."""
-    listed = items.select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0")
+    listed = words(items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))).where("size(words) > 0")
     listed = written(listed.withColumn("span", F.least(F.size("words"), F.lit(span))), "bench-words")
     spans = [r["span"] for r in listed.select("span").distinct().collect()]  # span values at most
     side, grams = [], []
     for n in sorted(spans):
         own = with_fingerprints(listed.where(F.col("span") == n), n).select("item_id", "words", F.posexplode_outer("mins").alias("at", "mark"))
         grams.append(own.select(F.lit(n).alias("span"), F.col("item_id").cast("string").alias("item"), "mark", _gram(n)))
+    base = words(docs.select("id", F.xxhash64("text").alias("hash"), "text"))
+    sizes = base.select("id", "hash", F.size("words").alias("n_words"))
     if not grams:
         empty = docs.limit(0).select("id", F.lit(0).cast("long").alias("hash"), F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit("").alias("set_id"))
-        return empty, items.limit(0).select(F.lit("").alias("set_id"), F.array(F.lit("")).alias("items"))
+        return empty, items.limit(0).select(F.lit("").alias("set_id"), F.array(F.lit("")).alias("items")), sizes
     every = grams[0]
     for g in grams[1:]:
         every = every.unionByName(g)
@@ -90,14 +106,23 @@ def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN,
     sets = bench.select("set_id", "items").dropDuplicates(["set_id"])
     counts = {r["span"]: (r["marks"], r["grams"]) for r in
               bench.groupBy("span").agg(F.countDistinct("mark").alias("marks"), F.count(F.lit(1)).alias("grams")).collect()}
-    base = docs.select("id", F.xxhash64("text").alias("hash"), words(F.col("text")).alias("words"))
+    counted = False
     for n in sorted(spans):
         of_span = bench.where(F.col("span") == n)
         marks = of_span.select("mark").distinct()
         marked = with_fingerprints(base, n)
         if counts[n][0] <= broadcast_fingerprints:
-            near = (marked.select("id", "hash", "words", F.posexplode_outer("mins").alias("at", "mark"))
-                    .join(F.broadcast(marks), "mark", "left_semi").select("id", "hash", "at", _gram(n)))
+            # a last row for each text meets a mark of its own, so sizes need no second pass
+            marks = marks.union(docs.sparkSession.range(1).select(F.lit(SENTINEL).cast("long")))
+            every = F.concat(F.coalesce("mins", F.array().cast("array<long>")), F.array(F.lit(SENTINEL).cast("long")))
+            near = (marked.select("id", "hash", "words", F.posexplode_outer(every).alias("at", "mark"))
+                    .join(F.broadcast(marks), "mark", "left_semi")
+                    .select("id", "hash", "at", F.size("words").alias("n_words"), _gram(n)))
+            near = written(near, "bench-near")
+            last = F.col("at") == F.greatest(F.lit(0), F.col("n_words") - (n - 1))
+            if not counted:
+                sizes, counted = near.where(last).select("id", "hash", "n_words"), True
+            near = near.where(~last)
         else:
             met = (marked.select("id", "hash", F.explode_outer(F.array_distinct("mins")).alias("mark"))
                    .join(marks, "mark", "left_semi").groupBy("id", "hash").agg(F.collect_set("mark").alias("met")))
@@ -112,7 +137,7 @@ def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN,
     hits = side[0]
     for h in side[1:]:
         hits = hits.unionByName(h)
-    return hits, sets
+    return hits, sets, sizes
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -122,7 +147,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     row of ``docs``: contaminated if a twentieth of its words or more are hit."""
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    hits, sets = find_hits(docs, items, span, broadcast_fingerprints)
+    hits, sets, sizes = find_hits(docs, items, span, broadcast_fingerprints)
     union = """aggregate(array_sort(collected), CAST(named_struct('n', 0, 'upto', 0) AS STRUCT<n: BIGINT, upto: BIGINT>),
         (a, x) -> named_struct('n', a.n + greatest(0L, CAST(x.at + x.span AS BIGINT) - greatest(a.upto, CAST(x.at AS BIGINT))),
                                'upto', greatest(a.upto, CAST(x.at + x.span AS BIGINT)))).n"""
@@ -134,8 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
               .agg(F.sort_array(F.collect_set("item")).alias("items"))
               .select("combo", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
     found = per_doc.join(listed, "combo").select("id", "hash", "n_hit", "n_items", "items_sha256")
-    base = docs.select("id", F.xxhash64("text").alias("hash"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    out = base.alias("d").join(found.alias("f"), F.expr("d.id <=> f.id AND d.hash = f.hash"), "left")
+    out = sizes.withColumn("n_words", F.col("n_words").cast("long")).alias("d").join(found.alias("f"), F.expr("d.id <=> f.id AND d.hash = f.hash"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         F.col("d.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
