@@ -1,6 +1,7 @@
 """Language ID: interpolated Kneser-Ney character models, one per language.
 
-Texts are lower-cased, runs of other characters than letters become one space.
+Texts are lower-cased, runs of other characters than letters become one space,
+and so do words with digits in them.
 The model is of order ``ORDER``: raw counts for the longest n-grams,
 continuation counts (distinct preceding characters) below, absolute discounts
 from the counts of counts, and every order interpolated with the next shorter
@@ -14,9 +15,11 @@ the text so that about ``TRAIN_CHARS`` characters per language take part (all
 of them where a language has fewer).  n-grams are counted by Spark; what
 reaches the driver is bounded by that parameter times the number of languages.
 A fifth of the chosen texts is kept from the counts and calibrates rejection: a
-text of ``MIN_CHARS`` or more is rejected if its cross-entropy lies ``REJECT_SD``
-standard deviations above the mean of its language's texts, where the
-deviation grows for short texts.
+text of ``MIN_CHARS`` or more is rejected if its cross-entropy lies both
+``REJECT_SD`` standard deviations above the mean of its language's texts (the
+deviation grows for short texts) and beyond ``FOREIGN`` of the way from that mean
+to the mean those texts have under the next best language. A text that mixes
+languages is kept by that, one of none of them is not.
 
 Cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; so is every text if nothing is labelled.  Ties go to the first
@@ -41,6 +44,7 @@ TRAIN_CHARS = 1_000_000
 MAX_LANGUAGES = 1000
 MIN_CHARS = 20
 REJECT_SD = 8.0
+FOREIGN = 0.75
 SHORT = 50.0
 ALPHABET = 2000  # characters that the model without context spreads its last mass over
 PEAK = 20.0  # characters of evidence that the score stands for
@@ -57,13 +61,22 @@ _letters: list[np.ndarray] = []
 
 def normalised(data: bytes) -> np.ndarray:
     """Code points of a text: lower-cased letters, other runs as one space, a
-    space at either end; empty without letters."""
+    space at either end; empty without letters.  Letters that touch digits (keys,
+    codes) are left out unless there are no others."""
     if not _letters:
         _letters.append(_letter_table())
     cp = np.frombuffer(data.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = _letters[0][cp]
     if not is_letter.any():
         return np.zeros(0, np.uint32)
+    digit = (cp >= 48) & (cp <= 57)
+    if digit.any():
+        run = is_letter | digit
+        number = np.cumsum(run & ~np.concatenate([[False], run[:-1]]))
+        mixed = np.zeros(number[-1] + 1, bool)
+        mixed[number[digit]] = True
+        prose = is_letter & ~mixed[number]
+        is_letter = prose if prose.any() else is_letter
     cp = np.concatenate([[32], np.where(is_letter, cp, 32), [32]]).astype(np.uint32)
     keep = np.ones(len(cp), bool)
     keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
@@ -138,7 +151,7 @@ class Model:
             if n > 1:
                 self.contexts[n] = self._table(sorted({g for m in models for g in m.levels[n][1]}), lambda g: [m.backoff(g) for m in models])
         self.floor = np.log(np.array([m.backoff("") for m in models]) / ALPHABET).astype(np.float32)
-        self.limits = np.full((len(self.langs), 2), np.inf)
+        self.limits = np.full((len(self.langs), 3), np.inf)  # mean, deviation, nearly foreign
 
     def _table(self, keys: list[str], values) -> tuple[np.ndarray, np.ndarray]:
         h = _string_hashes(keys)
@@ -181,12 +194,13 @@ class Model:
             out[~found] = low
         return out
 
-    def judge(self, cps: list[np.ndarray]) -> list[tuple[str, float, float, int, bool]]:
-        """(language, score, cross-entropy, characters, rejected) by text.  The
+    def judge(self, cps: list[np.ndarray]) -> list[tuple[str, float, float, int, bool, float | None]]:
+        """(language, score, cross-entropy, characters, rejected, cross-entropy of
+        the next best language) by text.  The
         texts are laid end to end (each begins and ends with a space)."""
         sizes = np.array([max(len(c) - 1, 0) for c in cps])
         full = [c for c in cps if len(c)]
-        out = [(UND, 0.0, 0.0, 0, True)] * len(cps)
+        out = [(UND, 0.0, 0.0, 0, True, None)] * len(cps)
         if not full or not self.langs:
             return out
         logs = self.log_probs(np.concatenate(full))
@@ -198,9 +212,10 @@ class Model:
             ce = -total / sizes[i]
             best = int(np.argmin(ce))
             score = 1.0 / np.exp(-(ce - ce[best]) * min(PEAK, sizes[i])).sum()
-            mean, sd = self.limits[best]
-            far = sizes[i] >= MIN_CHARS and ce[best] > mean + REJECT_SD * sd * np.sqrt(1 + SHORT / sizes[i])
-            out[i] = (self.langs[best], float(score), float(ce[best]), int(sizes[i]), bool(far))
+            mean, sd, foreign = self.limits[best]
+            far = sizes[i] >= MIN_CHARS and ce[best] > max(mean + REJECT_SD * sd * np.sqrt(1 + SHORT / sizes[i]), foreign)
+            following = float(np.partition(ce, 1)[1]) if len(ce) > 1 else None
+            out[i] = (self.langs[best], float(score), float(ce[best]), int(sizes[i]), bool(far), following)
         return out
 
 
@@ -251,29 +266,29 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model:
         counts[x][g] = n
     model = Model(counts)
     seen = (predict(chosen.where(fifth).withColumn("id", F.lit(0)), model, "id").where(f"chars >= {MIN_CHARS}")
-            .groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("sd"), F.count(F.lit(1)).alias("n")))
+            .groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("sd"), F.avg("runner_up").alias("other"), F.count(F.lit(1)).alias("n")))
     for r in seen.collect():
         if r["n"] >= 5:
-            model.limits[model.langs.index(r["lang_pred"])] = r["mean"], max(r["sd"], 0.05)
+            model.limits[model.langs.index(r["lang_pred"])] = r["mean"], max(r["sd"], 0.05), r["mean"] + FOREIGN * (r["other"] - r["mean"]) if r["other"] else r["mean"]
     return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, lang_pred, score, cross_entropy, chars, rejected`` for each row
-    of ``docs``; other columns than ``id_col`` and ``text`` are not looked at."""
+    """``id_col, lang_pred, score, cross_entropy, chars, rejected, runner_up`` for each
+    row of ``docs``; other columns than ``id_col`` and ``text`` are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_CHARS x languages
-    names = [id_col, "lang_pred", "score", "cross_entropy", "chars", "rejected"]
+    names = [id_col, "lang_pred", "score", "cross_entropy", "chars", "rejected", "runner_up"]
 
     def run(batches):
         for b in batches:
             got = [x for cps in _texts(b.column("text")) for x in shared.value.judge(cps)]
-            cols = list(zip(*got, strict=True)) or [[]] * 5
-            types = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
+            cols = list(zip(*got, strict=True)) or [[]] * 6
+            types = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col("text").cast("string")).mapInArrow(
-        run, f"`{id_col}` {id_type}, lang_pred string, score double, cross_entropy double, chars long, rejected boolean")
+        run, f"`{id_col}` {id_type}, lang_pred string, score double, cross_entropy double, chars long, rejected boolean, runner_up double")
 
 
 def identify(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> DataFrame:
