@@ -68,6 +68,8 @@ PROFILES: dict[str, dict[str, tuple[str, ...]]] = {
         "exclude": ("**/.svn/**", "**/WEB-INF/classes/**"),
     },
 }
+# The site assembly takes the whole tree but for what the resources leave out.
+PROFILES["assembly_site_tree"] = {"include": ("**/**",), "exclude": PROFILES["package_resources"]["exclude"]}
 # ---------------------------------------------------------------------------
 
 

@@ -7,9 +7,10 @@ summary (readiness) is a separate small aggregate over the rejected rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from strata.operators.overlay import layered_overlay, union_layers
 from strata.operators.quality import readiness
@@ -27,6 +28,37 @@ def assemble(layers: Sequence[DataFrame], path: str = "path", priority: str = "p
     return gate_scripts(merged, path=path, content=content, managed=managed)
 
 
+#: The layers of the assembly, low to high, with the directory each goes to; a
+#: directory of None keeps the layer's own paths.
+CHAIN = (("core", None), ("plugins", None), ("sites", None), ("third_party_jars", None), ("build_config", None), ("project", None),
+         ("sql", "WEB-INF/sql/"), ("site_docs", "doc/xml/"), ("classes", "WEB-INF/classes/"), ("default_conf", None), ("local_conf", None))
+FIRST_RUN_NEWER = ("third_party_jars", "classes")
+LATER_RUN_NEWER = ("third_party_jars", "project", "sql", "site_docs", "classes")
+LATER_RUN_SKIPS = ("core", "plugins", "sites")
+
+
+def assemble_chain(trees: Mapping[str, DataFrame], target: DataFrame | None = None, path: str = "path", ts: str = "mtime",
+                   tiebreak: Sequence[str] = (), place: bool = True) -> DataFrame:
+    """The whole chain of layers, by name, as one overlay.
+
+    First run (no ``target``): all layers; third-party jars and classes win only
+    if newer. Later run: ``target`` is what the last run made; core, plugins and
+    sites are not taken again, and project files, sql and site docs win only if
+    newer as well. ``place`` puts a layer's paths under its directory. Within
+    plugins and sites ``tiebreak`` decides between equal paths.
+    """
+    names = [n for n, _ in CHAIN]
+    if unknown := set(trees) - set(names):
+        raise ValueError(f"unknown layers {sorted(unknown)}; known: {', '.join(names)}")
+    layers = [] if target is None else [target.withColumns({"layer": F.lit("target"), "priority": F.lit(0)})]
+    for i, (name, directory) in enumerate(CHAIN, start=1):
+        if name in trees and (target is None or name not in LATER_RUN_SKIPS):
+            tree = trees[name].withColumns({"layer": F.lit(name), "priority": F.lit(i)})
+            layers.append(tree.withColumn(path, F.concat(F.lit(directory), path)) if place and directory else tree)
+    newer = [names.index(n) + 1 for n in (FIRST_RUN_NEWER if target is None else LATER_RUN_NEWER)]
+    return layered_overlay(union_layers(*layers), [path], tiebreak=tiebreak, newer=newer, ts=ts)
+
+
 def assemble_readiness(assembled: DataFrame, path: str = "path") -> DataFrame:
     """The readiness row of an assembled tree."""
     return readiness(assembled.where(assembled["gate"] == REJECT), path=path)

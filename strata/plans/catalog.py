@@ -665,3 +665,28 @@ def q_one_per_component(spark, sf):
     d = fixture(spark, sf, "descriptors").select("p_partkey", "path")
     d = d.join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey")
     return descriptors.one_per_component(d, "p_brand").select("p_partkey", "p_brand", "extra")
+
+
+# ------------------------------------------------------------- layer chain
+def _chain_trees(spark, sf):
+    """Every document as a file of one of the eleven layers."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.concat_ws("/", "source", (F.col("n_chars") % 50).cast("string")).alias("path"),
+        (F.lit(1700000000000) + (F.col("doc_id") * 7919) % 1000003 * 1000).alias("mtime"))
+    return {name: d.where(F.col("doc_id") % 11 == i) for i, (name, _) in enumerate(assemble_op.CHAIN)}
+
+
+@register
+def q_assemble_chain(spark, sf):
+    """The eleven layers of a first run."""
+    out = assemble_op.assemble_chain(_chain_trees(spark, sf), tiebreak=["mtime", "doc_id"], place=False)
+    return out.select("path", "doc_id", "layer")
+
+
+@register
+def q_assemble_chain_update(spark, sf):
+    """A later run: the first three layers are the target as it stands."""
+    trees = _chain_trees(spark, sf)
+    target = overlay.union_layers(*(trees.pop(n) for n in assemble_op.LATER_RUN_SKIPS))
+    out = assemble_op.assemble_chain(trees, target, tiebreak=["mtime", "doc_id"], place=False)
+    return out.select("path", "doc_id", "layer")

@@ -258,6 +258,7 @@ _PROFILES_SQL = {  # the profiles again, as lists of the globs above
     "source_src": (["**/src/**"], ["**/.svn/**", "**/target/**", "**/webapp/**"]),
     "source_webapp": (["**/webapp/**"], ["**/.svn/**", "**/WEB-INF/classes/**"]),
 }
+_PROFILES_SQL["assembly_site_tree"] = (["**/**"], _PROFILES_SQL["package_resources"][1])
 _P = f"(SELECT doc_id, path, layer FROM {fx('paths')})"
 
 sql("glob_filter", f"SELECT doc_id, path, layer FROM {_P} WHERE {_sel(*_PROFILES_SQL['package_webapp'])}")
@@ -649,3 +650,38 @@ sql("one_per_component", f"""
 SELECT d.p_partkey, p_brand, path <> min(path) OVER (PARTITION BY p_brand) AS extra
 FROM {_D} d JOIN part p ON p.p_partkey = d.p_partkey
 """)
+
+
+# ------------------------------------------------------------- layer chain
+_CHAIN = """(SELECT doc_id, 1 + doc_id % 11 AS priority, source || '/' || CAST(n_chars % 50 AS VARCHAR) AS path,
+   CAST(1700000000000 + ((doc_id * 7919) % 1000003) * 1000 AS BIGINT) AS mtime FROM documents)"""
+
+
+def _chain(skip: str, newer: tuple[int, ...]) -> str:
+    """Fold of the segments: runs of replace layers, and each newer layer."""
+    segs, lo = [], 0
+    for n in newer:
+        segs += [("replace", lo, n), ("newer", n, n)]
+        lo = n
+    segs.append(("replace", lo, 99))
+    segs = [s for s in segs if s[0] == "newer" or s[2] - s[1] > 1]
+    cond = lambda s: f"priority = {s[1]}" if s[0] == "newer" else f"priority > {s[1]} AND priority < {s[2]}"
+    order = "priority DESC, mtime DESC, doc_id DESC"
+    parts = ", ".join(f"arg_max(doc_id, rk) FILTER ({cond(s)}) AS d{i}, arg_max(mtime, rk) FILTER ({cond(s)}) AS m{i}" for i, s in enumerate(segs))
+    steps, prev = "", "a"
+    for i, s in enumerate(segs):
+        win = f"d{i} IS NOT NULL" + ("" if s[0] == "replace" else " AND (sd IS NULL OR m%d > sm)" % i)
+        src = "(SELECT *, CAST(NULL AS BIGINT) AS sd, CAST(NULL AS BIGINT) AS sm FROM a)" if not i else prev
+        steps += f", s{i} AS (SELECT * EXCLUDE (sd, sm), CASE WHEN {win} THEN d{i} ELSE sd END AS sd, CASE WHEN {win} THEN m{i} ELSE sm END AS sm FROM {src})"
+        prev = f"s{i}"
+    return f"""WITH c AS (SELECT *, -row_number() OVER (PARTITION BY path ORDER BY {order}) AS rk FROM {_CHAIN} {skip}),
+a AS (SELECT path, {parts} FROM c GROUP BY path){steps}
+SELECT path, doc_id, CASE priority {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_CHAIN_NAMES))} END AS layer
+FROM {prev} JOIN (SELECT doc_id, priority FROM c) ON doc_id = sd"""
+
+
+_CHAIN_NAMES = ("target", "core", "plugins", "sites", "third_party_jars", "build_config", "project", "sql", "site_docs", "classes",
+                "default_conf", "local_conf")
+sql("assemble_chain", _chain("", (4, 9)))
+sql("assemble_chain_update", _chain("", (4, 6, 7, 8, 9)).replace("1 + doc_id % 11 AS priority", "CASE WHEN doc_id % 11 < 3 THEN 0 ELSE 1 + doc_id % 11 END AS priority")
+    .replace("priority > 0 AND priority < 4", "priority >= 0 AND priority < 4"))
