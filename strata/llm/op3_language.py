@@ -17,8 +17,8 @@ reaches the driver is bounded by that parameter times the number of languages.
 A fifth of the chosen texts is kept from the counts and calibrates rejection: a
 text of ``MIN_CHARS`` or more is rejected if its cross-entropy lies both
 ``REJECT_SD`` standard deviations above the mean of its language's texts (the
-deviation grows for short texts) and beyond ``FOREIGN`` of the way from that mean
-to the mean those texts have under the next best language. A text that mixes
+deviation grows for short texts) and more than ``FOREIGN`` times as far above it as
+those texts' mean under the next best language. A text that mixes
 languages is kept by that, one of none of them is not.
 
 Cases: a text that is null or has no letter is ``und`` with score 0 and
@@ -44,7 +44,7 @@ TRAIN_CHARS = 1_000_000
 MAX_LANGUAGES = 1000
 MIN_CHARS = 20
 REJECT_SD = 8.0
-FOREIGN = 0.75
+FOREIGN = 2.0
 SHORT = 50.0
 ALPHABET = 2000  # characters that the model without context spreads its last mass over
 PEAK = 20.0  # characters of evidence that the score stands for
@@ -151,7 +151,7 @@ class Model:
             if n > 1:
                 self.contexts[n] = self._table(sorted({g for m in models for g in m.levels[n][1]}), lambda g: [m.backoff(g) for m in models])
         self.floor = np.log(np.array([m.backoff("") for m in models]) / ALPHABET).astype(np.float32)
-        self.limits = np.full((len(self.langs), 3), np.inf)  # mean, deviation, nearly foreign
+        self.limits = np.full((len(self.langs), 3), np.inf)  # mean, deviation, beyond foreign
 
     def _table(self, keys: list[str], values) -> tuple[np.ndarray, np.ndarray]:
         h = _string_hashes(keys)
