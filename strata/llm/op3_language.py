@@ -222,9 +222,9 @@ class Model:
 def _texts(col: pa.Array, limit: int = 1 << 19):
     """Groups of normalised texts."""
     data, off = buffers(col)
-    raw = data.tobytes()
     for i, j in row_groups(off, limit):
-        yield [normalised(raw[off[r]: off[r + 1]]) for r in range(i, j)]
+        raw = data[off[i]: off[j]].tobytes()
+        yield [normalised(raw[off[r] - off[i]: off[r + 1] - off[i]]) for r in range(i, j)]
 
 
 def _count(batches):

@@ -102,8 +102,8 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def _sign(batches):
     for b in batches:
         data, off = buffers(b.column("text"))
-        keys, sigs = [], []
         for i, j in row_groups(off, 1 << 20):
+            keys, sigs = [], []
             h, at, _, _ = words(data, off[i: j + 1])
             s, to = shingles(h, at, SHINGLE)
             full = np.flatnonzero(np.diff(to))
@@ -111,7 +111,8 @@ def _sign(batches):
             for r in range(j - i):
                 keys.append(hashlib.blake2b(h[at[r]: at[r + 1]].tobytes(), digest_size=16).digest() if r in own else None)
                 sigs.append(own[r].tobytes() if r in own else None)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                                             ["id", "key", "sig"])
 
 
 def _sets(batches):
@@ -133,8 +134,10 @@ def _sets(batches):
 
 def _prune(batches):
     for b in batches:
-        keep = survivors(_matrix(b.column("sa")), _matrix(b.column("sb")))
-        yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        for i in range(0, b.num_rows, 2000):
+            part = b.slice(i, 2000)
+            keep = survivors(_matrix(part.column("sa")), _matrix(part.column("sb")))
+            yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
 def _swept(keys, comps, sides, leaders, sigs, band, best):

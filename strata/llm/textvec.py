@@ -49,14 +49,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column; a null counts as empty."""
+    """Bytes and row offsets of a string column, not copied where it has no
+    nulls; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string()).fill_null("")
+    if not pa.types.is_string(col.type) and not pa.types.is_large_string(col.type):
+        col = col.cast(pa.string())
+    if col.null_count:
+        col = col.fill_null("")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = col.buffers()
-    off = np.frombuffer(off, np.int64)[col.offset: col.offset + len(col) + 1]
+    wide = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    off = np.frombuffer(off, wide)[col.offset: col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[off[0]:off[-1]], off - off[0]
 
