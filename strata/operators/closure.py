@@ -11,7 +11,7 @@ from strata.session import written
 
 
 def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent",
-                       child: str = "child", stop: Column | None = None, hops: int = 2,
+                       child: str = "child", stop: Column | None = None, hops: int = 4,
                        hot_degree: int = 100_000) -> DataFrame:
     """All nodes reachable from ``roots`` (roots included) with their BFS ``depth``.
 
@@ -19,7 +19,8 @@ def dependency_closure(roots: DataFrame, edges: DataFrame, node: str = "node", p
     included nor expanded (nothing is pruned without one). Null parents,
     children and roots are no nodes.
 
-    Each round expands ``hops`` BFS levels, is written once to the shared
+    Each round expands ``hops`` BFS levels (a level is shuffled once and reused
+    by those above it), is written once to the shared
     scratch folder and read back; the loop ends when a round is empty. What
     has been visited is kept in tables of geometrically growing size (two
     neighbours of like size are merged), so a deep graph has few of them and
