@@ -25,10 +25,14 @@ least ``doc_id`` in it.
    different texts that shares a bucket is compared unless a chain of links
    already joins it.
 6. Components by alternating large-star and small-star steps on the links.
+7. Every link lies inside a class, so ``n_links`` is counted there: all pairs of
+   different texts of a class are compared exactly on their shingle sets, bands
+   and posterior aside.  Classes are dealt in blocks of ``BLOCK`` texts and about
+   ``BLOCK_SHINGLES`` shingles; tasks emit a count for each text of a pair of
+   blocks, not pairs.
 
-``n_links`` counts the verified links of a document's text to other texts;
-within a large group those are the links that hold the class together, not
-all pairs of it.
+``n_links`` is the number of other texts at the threshold or above to a
+document's text.  The comparisons of step 7 grow with the square of a class.
 
 Cases: a null or wordless text has no shingles and is a class of its own, with
 its own id.  Rows that repeat are copies of one text.  A null id stays null and
@@ -55,6 +59,7 @@ HASHES, BANDS, ROWS = 256, 32, 4  # the bands take the first 128 values
 STEP = 16
 TOLERANCE = 1e-3
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 18
 BROADCAST_IDS = 100_000
 _RNG = np.random.RandomState(7)
 _MUL = _RNG.randint(0, 1 << 62, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,9 +225,11 @@ def pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_prune, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose shingle sets are similar enough, with ``jaccard``."""
+def with_sets(pairs: DataFrame, docs: DataFrame, members: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """``have`` (key, set) and the sets of the texts in ``pairs`` that it lacks."""
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    if have is not None:
+        needed = needed.join(have.select("key"), "key", "left_anti")
     holders = written(members.join(needed, "key").groupBy("key").agg(F.min("id").alias("id")), "near-holders")
     ids = holders.select(F.col("id").alias("held")).distinct()
     if holders.count() <= BROADCAST_IDS:  # else by shuffle
@@ -230,12 +237,87 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, threshold: f
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("held")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets, "key binary, set array<long>").join(holders.select("key"), "key", "left_semi").dropDuplicates(["key"])
     sets = written(sets, "near-sets")
+    return sets if have is None else have.unionByName(sets)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs whose shingle sets are similar enough, with ``jaccard``."""
     a, b = (sets.select(F.col("key").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("set_a") + F.size("set_b") - both)).alias("jaccard"))
             .where(F.col("jaccard") >= threshold))
 
 
+def links_of(sizes: np.ndarray, flat: np.ndarray, near_side: int | None, threshold: float) -> np.ndarray:
+    """For each of the sets laid end to end in ``flat``, to how many others it is
+    similar enough; with ``near_side``, the first so many sets against the rest."""
+    n = len(sizes)
+    out = np.zeros(n, np.int64)
+    _, code, holders = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = holders[code] > 1
+    rows, code = np.repeat(np.arange(n), sizes)[shared], code[shared]
+    at = np.searchsorted(rows, np.arange(n + 1))
+    full = np.flatnonzero(np.diff(at))  # the others share nothing
+    mark = np.zeros(len(holders), bool)
+    for k, i in enumerate(full.tolist()):
+        if near_side is not None and i >= near_side:
+            break
+        others = full[k + 1:] if near_side is None else full[np.searchsorted(full, near_side):]
+        if not len(others):
+            break
+        own = code[at[i]: at[i + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[code[at[others[0]]:]], at[others] - at[others[0]], dtype=np.int64)
+        mark[own] = False
+        linked = others[both / (sizes[i] + sizes[others] - both) >= threshold]
+        out[linked] += 1
+        out[i] += len(linked)
+    return out
+
+
+def _links(threshold: float):
+    """Rows come sorted by (bucket, x, y, block): hold one group at a time."""
+    def done(t: pa.Table):
+        sets = pa.concat_arrays(t.column("set").chunks)
+        side = None
+        if t.column("x")[0].as_py() != t.column("y")[0].as_py():
+            side = int((t.column("block").to_numpy() == t.column("x")[0].as_py()).sum())
+        n = links_of(np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy(), side, threshold)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(t.column("key").chunks), pa.array(n)], ["key", "n"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            ids = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
+            frm = 0
+            for c in np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1:
+                yield done(t.slice(frm, c - frm))
+                frm = int(c)
+            held = t.slice(frm).to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return run
+
+
+def degrees(roots: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """``key, n_links`` for every key in ``roots``: all pairs inside components."""
+    sized = written(roots.join(sets.select("key", F.size("set").alias("size")), "key"), "near-sized")
+    whole = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    sized = sized.join(whole, "root")
+    dealt = (sized.where("n > 2").withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+             .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+             .select("key", F.xxhash64("root").alias("bucket"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block"))
+    counted = (dealt.join(sets, "key").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "block")
+               .select("bucket", "x", "y", "block", "key", "set").mapInArrow(_links(threshold), "key binary, n long")
+               .groupBy("key").agg(F.sum("n").alias("n_links")))
+    return counted.unionByName(sized.where("n = 2").select("key", F.lit(1).cast("long").alias("n_links")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key, root`` (the least key) for every key in links (a, b)."""
     u, v = F.col("u"), F.col("v")
@@ -255,8 +337,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                 block: int = BLOCK) -> DataFrame:
-    """``id_col, class_id, n_links, text_key`` for every row of ``docs``."""
+                 block: int = BLOCK, counts: bool = True) -> DataFrame:
+    """``id_col, class_id, n_links, text_key`` for every row of ``docs``; without
+    ``counts``, ``n_links`` is null and step 7 is left out."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     signed = written(docs.mapInArrow(_sign, f"id {id_type}, key binary, sig binary"), "near-signed")
@@ -268,22 +351,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     together = written(bands.join(full, "bucket"), "near-buckets")
     star = together.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     kept = written(pruned(star, reps), "near-pairs")
-    links = written(verified(kept, docs, members, threshold), "near-links")
+    sets = with_sets(kept, docs, members)
+    links = written(verified(kept, sets, threshold), "near-links")
     roots = written(components(links), "near-roots")
     for best in (True, False):
         more = written(swept(together, reps, roots, best, block).join(kept, ["a", "b"], "left_anti"), "near-pairs")
         kept = kept.unionByName(more)
-        links = links.unionByName(written(verified(more, docs, members, threshold), "near-links"))
+        sets = with_sets(more, docs, members, sets)
+        links = links.unionByName(written(verified(more, sets, threshold), "near-links"))
         roots = written(components(links), "near-roots")
     first = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"))
     linked = written(first.join(roots, "key"), "near-linked")
     least_id = linked.groupBy("root").agg(F.min("first").alias("class_id"))
-    degree = (links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key")))
-              .groupBy("key").agg(F.count(F.lit(1)).alias("n_links")))
-    classed = linked.join(least_id, "root").join(degree, "key").select("key", "class_id", "n_links")
-    texts = first.join(classed, "key", "left").select("key", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    classed = linked.join(least_id, "root").select("key", "class_id")
+    texts = first.join(classed, "key", "left").select("key", F.coalesce("class_id", "first").alias("class_id"))
+    none = F.lit(0 if counts else None).cast("long")
+    if counts:
+        texts = texts.join(written(degrees(roots, sets, threshold, block), "near-degrees"), "key", "left").withColumn("n_links", F.coalesce("n_links", none))
+    else:
+        texts = texts.withColumn("n_links", none)
     out = members.where("key IS NOT NULL").join(texts, "key").select("id", "class_id", "n_links", F.hex("key").alias("text_key"))
-    alone = members.where("key IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("string").alias("text_key"))
+    alone = members.where("key IS NULL").select("id", F.col("id").alias("class_id"), none.alias("n_links"), F.lit(None).cast("string").alias("text_key"))
     return out.unionByName(alone).withColumnRenamed("id", id_col)
 
 
@@ -296,7 +384,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat it with one text, one stays; a repeated id with several
     texts stays if one of them does.  Documents without an id stay."""
-    judged = written(near_classes(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
+    judged = written(near_classes(docs, counts=False).where("doc_id IS NOT NULL").groupBy("doc_id")
                      .agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"), F.count(F.lit(1)).alias("n")), "near-judged")
     kept = docs.join(judged.where("NOT first"), "doc_id", "left_anti")
     twice = judged.where("n > 1")

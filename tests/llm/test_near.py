@@ -70,6 +70,21 @@ def test_small_blocks_give_the_same_classes(spark):
     assert {r["doc_id"]: r["class_id"] for r in near.near_classes(docs, block=3).collect()} == brute(rows)
 
 
+def test_links_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(500)}" for _ in range(120)]
+    group = [vary(rng, base, rng.randrange(1, 4)) for _ in range(80)]
+    rows = corpus()
+    rows += list(enumerate([*group, group[0], *(" ".join(base[i: i + 80]) for i in range(0, 40, 3))], len(rows)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    texts = {tuple(WORD.findall((t or "").lower())): sets[i] for i, t in rows}
+    want = {i: sum(1 for w, s in texts.items() if w != tuple(WORD.findall((t or "").lower())) and s and sets[i]
+                   and len(s & sets[i]) >= 0.8 * len(s | sets[i])) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, near.BLOCK):
+        assert {r["doc_id"]: r["n_links"] for r in near.near_classes(docs, block=block).collect()} == want
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (3, None), (None, None), (2, "A b, c d e f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
