@@ -9,7 +9,8 @@ key can invert them.  What is permuted, by kind:
 * ``email``: the local part, each letter and digit within its class.  Case and
   separators stay.  The domain stays.
 * ``phone``: the digits after a leading ``+`` country code of one digit (of
-  other forms all digits); layout stays.
+  other forms all digits); layout stays, and so does a leading 0 or the form of
+  a North American number.
 * ``card``: the digits but the last, which is made a Luhn check digit again.
 * ``iban``: the digits of the account part; the check digits are made anew.
 * ``ssn``: the nine digits.
@@ -47,7 +48,10 @@ KEY = "demonstration key: pass your own"
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 DAYS = dt.date(2100, 1, 1).toordinal() - FIRST_DAY
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-PHONE = re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)")
+# with a plus: groups of 1 to 8 digits; of 1 to 8 after a 0; of 2 to 4; a plus and digits; a North American number
+PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,8}(?:[ .-]\d{1,8}){1,6}(?!\d)"
+                   r"|(?<![\w+.-])0\d{1,7}(?:[ .-]\d{1,8}){1,5}(?![\w-]|\.\d)|(?<![\w+.-])1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)"
+                   r"|(?<![\w+.-])1?[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)|(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)")
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
@@ -157,6 +161,23 @@ def valid(kind: str, text: str) -> bool:
     return True
 
 
+def _shorter(kind: str, text: str) -> str:
+    """``text``, or what is valid of it without its last groups: a run of groups
+    can go on behind an IBAN or a number with a plus."""
+    own = text
+    while (kind == "iban" or kind == "phone" and text[0] == "+") and not valid(kind, own):
+        cut = max(own.rfind(c) for c in " .-")
+        if cut < 1 or kind == "iban" and len(own[:cut].replace(" ", "")) < 15:  # the shortest IBANs have 15
+            return text
+        own = own[:cut]
+    return own
+
+
+def _form(digits: str) -> int:
+    """What a phone number without a plus keeps, besides its layout."""
+    return 1 if digits[0] == "0" else len(digits) if re.fullmatch(r"1?[2-9]\d{2}[2-9]\d{6}", digits) else 0
+
+
 def _letters(text: str, key: bytes, tweak: str) -> str:
     """All letters and digits of ``text`` permuted together, each in its class."""
     classes = [next((x for x in (LOWER, UPPER, "0123456789") if c in x), "") for c in text]
@@ -208,16 +229,22 @@ def pseudonym(kind: str, text: str, key: bytes) -> str:
         it = iter(plain[:2] + check + new)
         return "".join(c if c == " " else next(it) for c in text)
     lead = 1 if text[0] == "+" else 0
-    return _refill(text, digits[:lead] + _digits(digits[lead:], key, "phone"))
+    new = _digits(digits[lead:], key, "phone")
+    while not lead and _form(new) != _form(digits):  # cycle walking
+        new = _digits(new, key, "phone")
+    return _refill(text, digits[:lead] + new)
 
 
 def replace_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The pseudonymised text and (kind, start, end) of each value in the source."""
     spans, out, upto, at = [], [], 0, 0
     while m := PATTERN.search(text, at):
-        kind, found, end = m.lastgroup, m[0], m.end()
+        kind = m.lastgroup
+        found = _shorter(kind, m[0])
         if not valid(kind, found) and kind != "phone" and (phone := PHONE.match(text, m.start())):
-            kind, found, end = "phone", phone[0], phone.end()  # what fails as a card, say, may be one
+            kind, found = "phone", phone[0]  # what fails as a card, say, may be one
+        found = _shorter(kind, found)
+        end = m.start() + len(found)
         if not valid(kind, found):
             at = m.start() + 1  # look on behind this run of letters and digits
             while at < len(text) and text[at].isalnum() and text[at - 1].isalnum():

@@ -131,6 +131,32 @@ def test_pseudonyms_keep_format_and_link():
         assert text[s:e] not in out, kind
 
 
+PHONES = ["+49 1512 3456789", "+49 30 12345678", "+44 7911 123456", "2125551234", "+33 6 12 34 56 78", "1-800-555-0199", "030 12345678", "12125551234"]
+IBANS = ["ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034", "NO9386011117947", "DE89 3704 0044 0532 0130 00"]
+
+
+@pytest.mark.parametrize("kind,value", [*(("phone", p) for p in PHONES), *(("iban", i) for i in IBANS)])
+def test_common_layouts_are_whole_values(kind, value):
+    behinds = [" BIC X", " BANK OF", "."] if kind == "iban" else [" or", ".", " 2023 12 34" if value == "+49 1512 3456789" else ","]
+    for behind in behinds:
+        out, spans = pii.replace_text(f"see {value}{behind}", KEY)
+        assert spans == [(kind, 4, 4 + len(value))], (value, behind)
+        assert out.startswith("see ") and out.endswith(behind) and value not in out
+        assert pii.replace_text(out, KEY)[1] == spans
+
+
+def test_equal_phones_link_in_all_layouts():
+    got = {re.sub(r"\D", "", pii.replace_text(t, KEY)[0]) for t in ("2125551234", "212-555-1234", "(212) 555-1234")}
+    assert len(got) == 1
+    many = [f"{n}" for n in range(2125550000, 2125550300)]
+    assert len({pii.replace_text(t, KEY)[0] for t in many}) == len(many)
+
+
+def test_other_numbers_stay():
+    for text in ("1 2 3 4 5 6 7 8 9 10 11", "at 1712345678 s", "2125551234.55", "AB12 CDEF GHIJ 1234 WORD"):
+        assert pii.replace_text(text, KEY) == (text, []), text
+
+
 def test_what_is_no_personal_value_stays():
     for text in ("version 2.0.0 of 300.1.2.3", "4111111111111112", "2023-02-30", "a@b", "room 12 34", "000-12-3456 x", "plain words", ""):
         assert pii.replace_text(text, KEY) == (text, []), text
