@@ -1,8 +1,8 @@
 """Quality rules: divergence of a text from its language's histograms.
 
 Two references per language are counted over the whole corpus: shares of the
-``CLASSES`` character classes, and shares of the ``COMMON`` most frequent short
-words (up to ``SHORT_BYTES`` bytes) with all other words as one cell.  A text's
+``CLASSES`` character classes, and shares of the ``COMMON`` most frequent
+words, of any length, with all other words as one cell.  A text's
 own histograms are compared with them by Jensen-Shannon distance (base 2, 0 to
 1).  A text of ``MIN_CHARS`` characters or ``MIN_WORDS`` words at least fails if
 the distance of that histogram is over its limit, which falls with the text's
@@ -14,7 +14,7 @@ fails by them if it has under 20 words, or if over 30 % of its words lie in
 8-word windows that the text repeats.
 
 Scale: counting is one pass that emits partial sums per Arrow batch; what is
-shuffled is a row per language and short word of a batch, what reaches the
+shuffled is a row per language and word of a batch, what reaches the
 driver is ``COMMON`` words per language.  Judging is a second pass without a
 shuffle.
 
@@ -36,7 +36,6 @@ from strata.llm.textvec import ALNUM, SOLID, buffers, row_groups, windows, words
 
 CLASSES = 8  # lower, upper, digit, space, line end, mark, symbol, beyond ASCII
 COMMON = 100
-SHORT_BYTES = 6
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Limits are a + b / sqrt(n) for n characters or words: chance differences shrink
 #: with length. At 300 characters 0.38, at 3,000 0.24; at 100 words 0.60, at 1,000 0.33.
@@ -98,7 +97,7 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def _tally(batches):
-    """Partial counts (lang, kind, item, n): character classes and short words."""
+    """Partial counts (lang, kind, item, n): character classes and words."""
     for b in batches:
         langs = np.array(b.column("lang").to_pylist(), object)
         data, off = buffers(b.column("text"))
@@ -107,15 +106,14 @@ def _tally(batches):
         out = []
         for i, j in row_groups(off, 1 << 22):
             classes = class_counts(data, off[i: j + 1])
-            h, at, s, e = words(data, off[i: j + 1], ALNUM)
+            h, at, _, _ = words(data, off[i: j + 1], ALNUM)
             of = np.repeat(number[i:j], np.diff(at))
-            short = e - s <= SHORT_BYTES
             for n in np.unique(number[i:j]):
                 sums = classes[number[i:j] == n].sum(axis=0)
                 out += [(known[n], 0, c, int(v)) for c, v in enumerate(sums)]
                 own = of == n
                 out.append((known[n], 2, 0, int(own.sum())))
-                item, count = np.unique(h[own & short], return_counts=True)
+                item, count = np.unique(h[own], return_counts=True)
                 out += zip([known[n]] * len(item), [1] * len(item), item.view(np.int64).tolist(), count.tolist(), strict=True)
         cols = list(zip(*out, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)],

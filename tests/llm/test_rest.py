@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,19 @@ def test_divergence_finds_other_prose(spark):
     assert sum(keep[i] for i in clean) >= 0.99 * len(clean)
 
 
+def test_common_words_of_any_length(spark):
+    rng = random.Random(9)
+    letters = "абвгдежзиклмнопрст"
+    word = lambda: "".join(rng.choice(letters) for _ in range(9))
+    common = [word() for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(120)), "ru") for i in range(60)] + [(99, " ".join(word() for _ in range(120)), "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    reference = quality.references(df)
+    top = quality.words(*quality.buffers(pa.array([" ".join(common)])))[0]
+    assert set(top.tolist()) <= set(reference.words[0].tolist())
+    assert {r.doc_id for r in quality.judge(df, reference).where("NOT kept").collect()} == {99}
+
+
 def test_js_distance_bounds():
     p, q = np.array([0.5, 0.5, 0]), np.array([0, 0, 1.0])
     assert quality.js_distance(p, p) == 0 and abs(quality.js_distance(p, q) - 1) < 1e-12
