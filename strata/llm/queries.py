@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import (op1_pii, op2_winnow, op3_language, op4_licenses, op5_secrets, op6_packing, op7_divergence, op8_chat, op9_near,
-                        op10_url_rules)
+                        op10_url_rules, op11_resample)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii.query,
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat.query,
     "op9_near": op9_near.query,
     "op10_url_rules": op10_url_rules.query,
+    "op11_resample": op11_resample.query,
 }
 SQL: dict[str, str] = {"op2_winnow": op2_winnow.SQL, "op5_secrets": op5_secrets.SQL, "op8_chat": op8_chat.SQL, "op10_url_rules": op10_url_rules.SQL}
