@@ -162,7 +162,8 @@ def _numbered(before: dict[int, int], take: int):
 
 
 def ranked(rows: DataFrame, keys: list[str], share: tuple[int, int], segments: int | None = None) -> DataFrame:
-    """``rows`` with ``rank``: from 1 for the given share of them (rounded down) in the order of ``keys`` (ascending,
+    """``rows`` with ``rank``: from 1 for the given share of them (rounded down) in
+    the order of ``keys`` (ascending,
     nulls first, together unique), null behind.  ``rows`` is a written table
     without columns ``segment`` and ``rank``."""
     spark = rows.sparkSession
@@ -173,7 +174,7 @@ def ranked(rows: DataFrame, keys: list[str], share: tuple[int, int], segments: i
     take = share[0] * n // share[1]
     step = max(1, n // min(SAMPLES, SAMPLES_A_SEGMENT * segments))
     samples = sorted(_ordered(r) for r in rows.select(*keys).sortWithinPartitions(*keys).mapInArrow(_regular(keys, step), key_fields).collect())
-    splitters = [samples[len(samples) * i // segments] for i in range(1, segments)] if len(samples) > segments else samples
+    splitters = [samples[len(samples) * i // segments] for i in range(1, segments)] if len(samples) > segments else samples[:segments - 1]
     dealt = written(rows.mapInArrow(_segmented(keys, splitters), fields + ", segment int"), "ranked-segments")
     before, n = {}, 0  # rows in the segments before each that is drawn from
     for r in dealt.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).orderBy("segment").collect():  # one row a segment
