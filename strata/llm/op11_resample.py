@@ -207,3 +207,25 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The checksum is taken bit by bit: bytes are mixed in, -1 shifts.
+SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, text, true AS doc FROM documents UNION ALL SELECT NULL, row_number() OVER (), text, false FROM benchmark),
+w AS (SELECT doc_id, row, doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+f AS MATERIALIZED (SELECT row, doc, array_to_string(ws[i:i + n - 1], ' ') AS f
+      FROM (SELECT row, doc, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (1), (2), (3)) k(n) WHERE len(ws) >= n)),
+b AS MATERIALIZED (SELECT f, xor(list_reduce([4294967295] || flatten(list_transform(range(1, octet_length(encode(f)) + 1),
+        lambda j: [CAST('0x' || substring(hex(encode(f)), 2 * j - 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM f)),
+n AS MATERIALIZED (SELECT row, doc, b, count(*) AS n FROM f JOIN b USING (f) GROUP BY ALL),
+c AS (SELECT b, coalesce(sum(n) FILTER (doc), 0) AS s, coalesce(sum(n) FILTER (NOT doc), 0) AS t FROM n GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM c)::DOUBLE + 10000) / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM c)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT row, sum(n) AS n_features, sum(n * gain) AS weight FROM n JOIN g USING (b) WHERE doc GROUP BY row),
+e AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+             CAST('0x' || substring(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+      FROM w LEFT JOIN d USING (row) WHERE doc),
+s AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+r AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) END AS rank FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 5 // 100 FROM r WHERE n_words >= 20) THEN rank END AS rank FROM r
+"""

@@ -139,3 +139,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("sketch", ",").alias("fingerprint"),
                       F.array_join("edited_sketch", ",").alias("edited_fingerprint"), containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
                       containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, row_number() OVER w AS nth, lead(text) OVER w AS after, first_value(text) OVER w AS first_text
+      FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(text) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+n AS (SELECT nth, doc_id, text, CASE WHEN after IS NULL THEN first_text ELSE after END AS follows, length(text) AS n_chars, length(text) // 3 AS third FROM o),
+e AS (SELECT *, substring(text, 1, n_chars - third) || substring(follows, 1, third) AS edited FROM n),
+t AS (SELECT nth, 'own' AS kind, text FROM e UNION ALL SELECT nth, 'edited', edited FROM e UNION ALL SELECT nth, 'follows', follows FROM e),
+w AS (SELECT nth, kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+h AS (SELECT nth, kind, md5(array_to_string(ws[i:i + 4], ' '))[1:16] AS h
+      FROM (SELECT nth, kind, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+k AS (SELECT nth, kind, coalesce(list_sort(list_distinct(list(h) FILTER (h < '2000000000000000'))), [min(h)]) AS sketch FROM h GROUP BY nth, kind),
+s AS (SELECT nth, coalesce(any_value(sketch) FILTER (kind = 'own'), []) AS own, coalesce(any_value(sketch) FILTER (kind = 'edited'), []) AS edited_sketch,
+             coalesce(any_value(sketch) FILTER (kind = 'follows'), []) AS next_sketch
+      FROM e LEFT JOIN k USING (nth) GROUP BY nth),
+c AS (SELECT *, least(len(own), len(edited_sketch)) AS m_edited, least(len(own), len(next_sketch)) AS m_next FROM s)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(own, ',') AS fingerprint, array_to_string(edited_sketch, ',') AS edited_fingerprint,
+       CASE WHEN m_edited > 0 THEN len(list_intersect(own, edited_sketch)) / m_edited ELSE CAST(len(own) = len(edited_sketch) AS DOUBLE) END AS near_edited,
+       CASE WHEN m_next > 0 THEN len(list_intersect(own, next_sketch)) / m_next ELSE CAST(len(own) = len(next_sketch) AS DOUBLE) END AS near_next
+FROM e JOIN c USING (nth)
+"""

@@ -265,3 +265,43 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = manifest(leaves).withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("steps")))
     return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root",
                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _sql(leaf_levels: int = 14, group_levels: int = 9) -> str:
+    """DuckDB SQL, one step a level: enough for 3 ** leaf_levels rows a source
+    and 3 ** group_levels sources.  A level of one node is carried on as it is."""
+    def climb(name: str, levels: int) -> list[str]:
+        out = []
+        for i in range(levels):
+            out.append(f"""{name}r{i} AS MATERIALIZED (SELECT grp, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM {name}{i} WHERE cnt > 1 GROUP BY ALL)""")
+            out.append(f"""{name}{i + 1} AS MATERIALIZED (
+  SELECT grp, run AS pos, sha256(array_to_string(hs, '')) AS h, (SELECT (any_value(cnt) + 2) // 3 FROM {name}{i} x WHERE x.grp = r.grp) AS cnt FROM {name}r{i} r
+  UNION ALL SELECT grp, pos, h, cnt FROM {name}{i} WHERE cnt <= 1)""")
+        return out
+
+    def walk(name: str, runs: str, levels: int) -> list[str]:
+        return [f"""{name}{i + 1} AS MATERIALIZED (
+  SELECT w.* EXCLUDE (pos, proof, folded), CASE WHEN hs IS NULL THEN pos ELSE pos // 3 END AS pos,
+         CASE WHEN hs IS NULL THEN proof ELSE proof || array_to_string(hs[1:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], '') END AS proof,
+         CASE WHEN hs IS NULL THEN folded ELSE sha256(array_to_string(hs[1:pos % 3], '') || folded || array_to_string(hs[pos % 3 + 2:], '')) END AS folded
+  FROM {name}{i} w LEFT JOIN {runs}r{i} r ON r.grp = w.grp AND r.run = w.pos // 3)""" for i in range(levels)]
+
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    row = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = [
+        # checksum of the id's digits, bit by bit: bytes are mixed in, -1 shifts
+        """i AS (SELECT *, coalesce(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT)] || list_transform(range(8), lambda x: -1::BIGINT))),
+          lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) % 2 = 1, false) AS cut FROM documents)""",  # the last xor turns the lowest bit
+        f"""l AS MATERIALIZED (SELECT doc_id, source, {row("text")} AS leaf, CASE WHEN cut THEN {row("replace(text, chr(10), '')")} ELSE {row("text")} END AS told FROM i)""",
+        """s AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+          count(*) OVER (PARTITION BY source) AS cnt FROM l)""",
+        "n0 AS MATERIALIZED (SELECT grp, pos, leaf AS h, cnt FROM s)", *climb("n", leaf_levels),
+        f"g0 AS MATERIALIZED (SELECT 0 AS grp, grp AS pos, h, count(*) OVER () AS cnt FROM n{leaf_levels})", *climb("g", group_levels),
+        "w0 AS MATERIALIZED (SELECT doc_id, leaf, grp, pos, '' AS proof, told AS folded FROM s)", *walk("w", "n", leaf_levels),
+        f"v0 AS MATERIALIZED (SELECT doc_id, leaf, g0.h AS subroot, 0 AS grp, w.grp AS pos, proof, folded FROM w{leaf_levels} w JOIN g0 ON g0.pos = w.grp)", *walk("v", "g", group_levels)]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM v{group_levels}, (SELECT h AS root FROM g{group_levels})"""
+
+
+SQL = _sql()

@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_sketch": op12_sketch.query,
     "op13_manifest": op13_manifest.query,
 }
-SQL: dict[str, str] = {"op2_winnow": op2_winnow.SQL, "op5_secrets": op5_secrets.SQL, "op8_chat": op8_chat.SQL, "op10_url_rules": op10_url_rules.SQL}
+SQL: dict[str, str] = {"op2_winnow": op2_winnow.SQL, "op5_secrets": op5_secrets.SQL, "op8_chat": op8_chat.SQL, "op10_url_rules": op10_url_rules.SQL,
+                       "op11_resample": op11_resample.SQL, "op12_sketch": op12_sketch.SQL, "op13_manifest": op13_manifest.SQL}
