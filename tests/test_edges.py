@@ -1,5 +1,8 @@
 """Edge cases the generated tables cannot reach (tiny hand-made inputs)."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -415,7 +418,7 @@ def test_closure_nulls_chain_and_deep_graph(spark):
     out = closure.dependency_closure(spark.createDataFrame([(1,), (None,)], "node long"), edges)
     assert rows(out) == [(1, 0), (2, 1), (3, 2)]
     chain = spark.range(60).selectExpr("id AS parent", "id + 1 AS child")
-    deep = closure.dependency_closure(spark.createDataFrame([(0,)], "node long"), chain, hops=4)
+    deep = closure.dependency_closure(spark.createDataFrame([(0,)], "node long"), chain)
     assert sorted((r.node, r.depth) for r in deep.collect()) == [(i, i) for i in range(61)]
 
 
@@ -470,3 +473,53 @@ def test_purge_by_root_table(spark):
     df = spark.createDataFrame([("a/b/c.txt",), ("a/bb/c.txt",), ("a/b",), ("x",), (None,)], "path string")
     roots = spark.createDataFrame([("a/b/",), ("x",)], "root string")
     assert sorted(rows(patterns.purge(df, "path", roots)), key=str) == [("a/bb/c.txt",), (None,)]
+
+
+def _bfs(roots, edges):
+    depth, line = {r: 0 for r in roots if r is not None}, [r for r in roots if r is not None]
+    children = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            children.setdefault(a, set()).add(b)
+    for x in line:
+        for y in children.get(x, ()):
+            if y not in depth:
+                depth[y] = depth[x] + 1
+                line.append(y)
+    return sorted(depth.items())
+
+
+@pytest.mark.parametrize("growth, hot", [(1, 100_000), (32, 100_000), (8, 2)])
+def test_closure_of_random_graphs_equals_brute_force(spark, growth, hot):
+    from strata.operators import closure
+    rng = random.Random(growth + hot)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(90)]                      # any
+    edges += [(100 + i, 101 + i) for i in range(40)] + [(5, 100), (120, 100), (139, 2)]      # a chain with a way back into it
+    edges += [(200 + i // 2, 201 + i) for i in range(60)] + [(7, 200)]                       # a tree
+    edges += [(300 + i, 300 + (i + 1) % 9) for i in range(9)]                                # a cycle that nothing leads to
+    edges += [(400 + 2 * i + a, 402 + 2 * i + b) for i in range(12) for a in (0, 1) for b in (0, 1)] + [(0, 400)]  # a ladder
+    edges += edges[:20] + [(1, 1), (None, 3), (3, None)]
+    roots = [0, 5, 0, None, 210, 999]
+    out = closure.dependency_closure(spark.createDataFrame([(r,) for r in roots], "node long"), spark.createDataFrame(edges, "parent long, child long"),
+                                     growth=growth, hot_degree=hot)
+    assert sorted((r.node, r.depth) for r in out.collect()) == _bfs(roots, edges)
+
+
+@pytest.mark.parametrize("graph, limit", [("chain", 40), ("tree of chains", 40), ("ring", 40)])
+def test_closure_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch, graph, limit):
+    from strata.operators import closure
+    edges = [(i, i + 1) for i in range(10_000)]
+    edges += [(100 * i, 100_000 + i) for i in range(100)] if graph == "tree of chains" else [(10_000, 0)] if graph == "ring" else []
+    names, real = [], closure._counted
+    monkeypatch.setattr(closure, "_counted", lambda df, name, *more: (names.append(name), real(df, name, *more))[1])
+    out = closure.dependency_closure(spark.createDataFrame([(0,)], "node long"), spark.createDataFrame(edges, "parent long, child long"))
+    assert sorted((r.node, r.depth) for r in out.collect()) == _bfs([0], edges)
+    assert len(names) < limit
+
+
+def test_closure_of_nothing(spark):
+    from strata.operators import closure
+    none, edge = spark.createDataFrame([], "node long"), spark.createDataFrame([(1, 2)], "parent long, child long")
+    assert closure.dependency_closure(none, edge).count() == 0
+    assert rows(closure.dependency_closure(spark.createDataFrame([(1,), (8,)], "node long"), edge.limit(0))) == [(1, 0), (8, 0)]
+    assert rows(closure.dependency_closure(spark.createDataFrame([(1,), (2,)], "node long"), edge, stop=F.col("node") == 2)) == [(1, 0)]
