@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.overlay import layered_overlay, union_layers
+from strata.operators.overlay import layered_overlay, layered_overlay_late, union_layers, with_position
 from strata.operators.quality import readiness
 from strata.operators.scripts import REJECT, gate_scripts
 
@@ -28,6 +28,16 @@ def assemble(layers: Sequence[DataFrame], path: str = "path", priority: str = "p
     return gate_scripts(merged, path=path, content=content, managed=managed)
 
 
+def assemble_late(layers: Sequence[DataFrame], path: str = "path", priority: str = "priority",
+                  tiebreak: Sequence[str] = (), newer: Sequence[int] = (), ts: str = "mtime",
+                  content: str = "content", managed: Callable[[Column], Column] | None = None, by_row: bool = True) -> DataFrame:
+    """``assemble`` for large contents: each layer is a file scan, and contents
+    are read for the merged tree only (``overlay.layered_overlay_late``)."""
+    placed = union_layers(*(with_position(x, by_row) for x in layers))
+    merged = layered_overlay_late(placed, [path], [content], priority=priority, tiebreak=tiebreak, newer=newer, ts=ts)
+    return gate_scripts(merged, path=path, content=content, managed=managed)
+
+
 #: The layers of the assembly, low to high, with the directory each goes to; a
 #: directory of None keeps the layer's own paths.
 CHAIN = (("core", None), ("plugins", None), ("sites", None), ("third_party_jars", None), ("build_config", None), ("project", None),

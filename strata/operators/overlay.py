@@ -150,6 +150,48 @@ def overlay_decisions(layers: DataFrame, key: Sequence[str], priority: str = "pr
             .select(*[F.col(f"`{c}`") for c in cols], (F.col("_same") & (F.col("_i") == 1)).alias("won")))
 
 
+POSITION = ("_file", "_row")
+
+
+def with_position(df: DataFrame, by_row: bool = True) -> DataFrame:
+    """Add ``_file`` and ``_row``, where each row lies in the files that ``df`` scans.
+
+    ``df`` is a scan with projections and filters over it. ``by_row=False`` for
+    formats whose files are one row each (``binaryFile``).
+    """
+    row = F.col("_metadata.row_index") if by_row else F.lit(0).cast("long")
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), row.alias("_row"))
+
+
+def fetch(winners: DataFrame, layers: DataFrame, late: Sequence[str]) -> DataFrame:
+    """Join the ``late`` columns of ``layers`` to ``winners`` by position.
+
+    The winners are the side that is hashed; the wide rows stream past it and
+    are neither sorted nor aggregated, and where the filter of winners is worth it Spark puts
+    one before their exchange. Positions are unique, so there is no hot key.
+    """
+    wide = layers.select(*POSITION, *[F.col(f"`{c}`") for c in late])
+    return winners.hint("shuffle_hash").join(wide, list(POSITION)).drop(*POSITION)
+
+
+def layered_overlay_late(layers: DataFrame, key: Sequence[str], late: Sequence[str], priority: str = "priority",
+                         tiebreak: Sequence[str] = (), newer: Sequence[int] | Mapping[int, str] = (),
+                         ts: str | None = None) -> DataFrame:
+    """``layered_overlay`` for wide rows: winners are chosen on the narrow columns,
+    and the ``late`` ones (contents) are read afterwards, for winners only.
+
+    ``layers`` has positions (``with_position`` on each layer before the union).
+    No late column may be a key or order a layer; rows that are tied in all
+    other columns are ordered by their position.
+    """
+    if clash := set(late) & {*key, *tiebreak, priority, ts}:
+        raise ValueError(f"late columns {sorted(clash)} take part in the choice")
+    narrow = layers.drop(*late)
+    win = layered_overlay(narrow, key, priority, tiebreak, newer, ts)
+    cols = [c for c in layers.columns if c not in POSITION]
+    return fetch(win, layers, late).select(*[F.col(f"`{c}`") for c in cols])
+
+
 def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row per key in ``order`` (ascending; give a total order).
 

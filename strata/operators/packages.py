@@ -9,6 +9,7 @@ from strata.functions.globs import PROFILES, selected
 from strata.functions.versions import version_from
 
 RELEASE_PREFIX, UPGRADE_PREFIX = "release-", "upgrade-"
+NO_FROM_VERSION = "no from-version"
 
 
 def or_default(df: DataFrame, default: dict) -> DataFrame:
@@ -40,10 +41,18 @@ def release_packages(files: DataFrame, version: str, path: str = "path") -> Data
                          F.col(path).alias("entry_path"), F.col(path).alias("source_path")))
 
 
+def upgrade_rejects(files: DataFrame, version: str, path: str = "path", use_path: bool = False) -> DataFrame:
+    """``path, reason`` of the ``update*<version>.sql`` scripts that go into no
+    upgrade package, as their name (with ``use_path`` their path) has no from-version."""
+    ups = files.where(selected(path, [f"**/update*{version}.sql"], None))
+    return ups.where(version_from(F.col(path), use_path=use_path).isNull()).select(F.col(path).alias("path"), F.lit(NO_FROM_VERSION).alias("reason"))
+
+
 def upgrade_packages(files: DataFrame, version: str, from_version: str, path: str = "path",
                      use_path: bool = False) -> DataFrame:
     """Each ``update*<version>.sql`` goes to ``upgrade-<from>-<version>``, where
-    <from> is read from the script's name; with no such script at all, one
+    <from> is read from the script's name (scripts that have none are the rows of
+    ``upgrade_rejects``); with no such script at all, one
     empty ``upgrade-<from_version>-<version>`` package row (null entry)."""
     ups = files.where(selected(path, [f"**/update*{version}.sql"], None))
     frm = version_from(F.col(path), use_path=use_path)

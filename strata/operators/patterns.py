@@ -57,7 +57,8 @@ def _for_separator(rx: str, separator: str) -> str:
 
 
 def path_exclude(df: DataFrame, path: str, separator: str = "/") -> DataFrame:
-    """Drop documentation paths and anything under a pruned directory name."""
+    """Drop documentation paths and anything under a pruned directory name. A
+    null path is excluded by no rule and stays."""
     p = F.col(path)
     sep = "\\\\" if separator == "\\" else separator
     keep = F.lit(True)
@@ -66,7 +67,7 @@ def path_exclude(df: DataFrame, path: str, separator: str = "/") -> DataFrame:
     for name in PRUNED_DIRECTORY_NAMES:
         seg = name.replace(".", "\\.")
         keep = keep & ~p.rlike(f"(^|{sep}){seg}{sep}")
-    return df.where(keep)
+    return df.where(F.coalesce(keep, F.lit(True)))
 
 
 def remap_prefix(df: DataFrame, path: str, to: str, from_: str = "") -> DataFrame:
@@ -129,9 +130,9 @@ def purge(df: DataFrame, path: str, roots: Sequence[str] | DataFrame = (),
         for root in roots:
             r = root.rstrip("/")
             hit = hit | (F.col(path) == r) | F.col(path).startswith(r + "/")
-        out = out.where(~hit)
+        out = out.where(~F.coalesce(hit, F.lit(False)))
     if includes:
-        out = out.where(~selected(path, includes, excludes))
+        out = out.where(~F.coalesce(selected(path, includes, excludes), F.lit(False)))
     return out
 
 

@@ -20,6 +20,7 @@ from strata.plans.fixtures import FIXTURES, fixture
 from strata.session import scratch_path
 from strata.sources import files, sinks
 from strata.sources.tables import table
+from strata.sources.text_files import write_text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -311,6 +312,12 @@ def q_or_default(spark, sf):
     return packages.or_default(hits, {"path": "none"})
 
 
+@register
+def q_upgrade_rejects(spark, sf):
+    """Scripts to 2.0.0 whose name has no from-version."""
+    return packages.upgrade_rejects(_script_files(spark, sf), "2.0.0")
+
+
 @register
 def q_upgrade_default(spark, sf):
     """No update script targets 9.9.9: one default upgrade package row."""
@@ -483,6 +490,19 @@ def q_last_line(spark, sf):
 # ------------------------------------------------------------- descriptors
 @register
 def q_scan_descriptors(spark, sf):
+    """Descriptors written as files (some in a sub-folder or with an upper-case
+    extension, which the scan leaves out), scanned and parsed."""
+    d = fixture(spark, sf, "descriptors")
+    name = F.substring_index("path", "/", -1)
+    place = (F.when(F.col("p_partkey") % 23 == 0, F.concat(F.lit("more/"), name))
+             .when(F.col("p_partkey") % 29 == 0, F.upper(name)).otherwise(name))
+    root = write_text_files(d.select(place.alias("path"), F.col("xml").alias("content")), scratch_path(spark, "scan-descriptors"))
+    p = descriptors.parse_descriptors(files.scan_descriptors(spark, root), which="last")
+    return p.select("path", "valid", "name_first", F.col("name").alias("name_last"), "version", "db_required")
+
+
+@register
+def q_parse_descriptors(spark, sf):
     d = fixture(spark, sf, "descriptors")
     p = descriptors.parse_descriptors(d, which="last")
     return p.select("p_partkey", "path", "valid", "name_first", F.col("name").alias("name_last"), "version", "db_required")
@@ -555,6 +575,14 @@ def q_assemble(spark, sf):
     return out.select("path", "layer", "priority", "doc_id", "o_orderkey", "gate")
 
 
+@register
+def q_assemble_late(spark, sf):
+    """The same tree with contents read for winners only."""
+    files, conf = _assembly_layers(spark, sf)
+    out = assemble_op.assemble_late([files, conf], tiebreak=["mtime", "doc_id", "o_orderkey"], newer=[2])
+    return out.select("path", "layer", "priority", "doc_id", "o_orderkey", "gate", F.md5("content").alias("content_md5"))
+
+
 @register
 def q_assemble_readiness(spark, sf):
     files, conf = _assembly_layers(spark, sf)
@@ -611,14 +639,25 @@ def q_scan_files(spark, sf):
             .agg(F.sum("length").alias("n_bytes")))
 
 
+def _script_tree(spark, sf, name):
+    """Every script as a file at its path, with its whole content."""
+    return write_text_files(_scripts(spark, sf), scratch_path(spark, name))
+
+
 @register
 def q_scan_scripts(spark, sf):
-    """Script names written by component, scanned back as whole texts: their lines."""
-    root = scratch_path(spark, "scan-scripts")
-    fixture(spark, sf, "scripts").select("component", F.col("file_name").alias("value")).write.partitionBy("component").text(root)
-    found = files.scan_scripts(spark, root, ext=".txt")
-    return found.select(F.regexp_extract("path", "^component=([^/]*)/", 1).alias("component"),
-                        F.explode(F.split(F.rtrim(F.col("content"), F.lit("\n")), "\n")).alias("file_name"))
+    """Whole scripts, written as files and scanned back (empty ones are not listed)."""
+    return files.scan_scripts(spark, _script_tree(spark, sf, "scan-scripts")).select("path", "content")
+
+
+@register
+def q_write_back(spark, sf):
+    """A tree of scripts after a run: scanned, processed, written back over itself, scanned again."""
+    root = _script_tree(spark, sf, "write-back")
+    component, name = F.split("path", "/")[3], F.substring_index("path", "/", -1)
+    found = files.scan_scripts(spark, root).withColumns({"component": component, "file_name": name})
+    sinks.write_back(scripts.process_scripts(found, file_name="file_name"), root)
+    return files.scan_scripts(spark, root).select("path", "content")
 
 
 @register

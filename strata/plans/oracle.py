@@ -360,6 +360,9 @@ SELECT 'upgrade-1.0.0-{version}', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM m)
 
 sql("upgrade_packages", _upgrade("2.0.0"))
 sql("upgrade_default", _upgrade("9.9.9"))
+sql("upgrade_rejects", f"""
+SELECT path, 'no from-version' AS reason FROM (SELECT path, {_VFROM} AS vfrom FROM {_SF} WHERE {_any(['**/update*2.0.0.sql'])}) WHERE vfrom IS NULL
+""")
 sql("or_default", f"""
 WITH m AS (SELECT path FROM {_SF} WHERE suffix(path, '-9.9.9.sql'))
 SELECT path FROM m UNION ALL SELECT 'none' WHERE NOT EXISTS (SELECT 1 FROM m)
@@ -517,12 +520,17 @@ _DV = ("(SELECT d.*, p.p_name, p.p_size, v.valid,"
        f" FROM {_D} d JOIN part p ON p.p_partkey = d.p_partkey JOIN (SELECT p_partkey, p_partkey % 7 <> 0 AND p_partkey % 13 <> 0"
        " AND p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AS valid FROM part) v ON v.p_partkey = d.p_partkey)")
 
-sql("scan_descriptors", f"""
+_PARSED = f"""
 SELECT p_partkey, path, valid, CASE WHEN named THEN replace(p_name, ' ', '-') END AS name_first,
        CASE WHEN named THEN 'app-' || CAST(p_partkey AS VARCHAR) END AS name_last,
        CASE WHEN valid THEN CAST(p_size AS VARCHAR) || '.0' END AS version,
        named AND p_size % 2 = 0 AS db_required
 FROM {_DV}
+"""
+sql("parse_descriptors", _PARSED)
+sql("scan_descriptors", f"""
+SELECT regexp_extract(path, '([^/]*)$', 1) AS path, valid, name_first, name_last, version, db_required
+FROM ({_PARSED}) WHERE p_partkey % 23 <> 0 AND p_partkey % 29 <> 0
 """)
 
 sql("plugin_state", f"""
@@ -609,6 +617,10 @@ sql("assemble", f"""{_ASM}
 SELECT path, layer, priority, doc_id, o_orderkey, gate FROM g
 """)
 
+sql("assemble_late", f"""{_ASM}
+SELECT path, layer, priority, doc_id, o_orderkey, gate, md5(content) AS content_md5 FROM g
+""")
+
 sql("assemble_readiness", f"""{_ASM}
 SELECT count(*) = 0 AS ready, count(*) AS n_rejected FROM g WHERE gate = 'REJECT'
 """)
@@ -632,7 +644,8 @@ FROM v
 
 # ----------------------------------------------------------- sources, sinks
 sql("scan_files", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source")
-sql("scan_scripts", f"SELECT component, file_name FROM {fx('scripts')}")
+sql("scan_scripts", f"SELECT path, content FROM {_S} WHERE strlen(content) > 0")
+sql("write_back", f"SELECT path, content FROM ({ORACLE['process_scripts']}) WHERE strlen(content) > 0")
 sql("write_scripts", f"SELECT path, action, content FROM ({ORACLE['process_scripts']}) WHERE action IN ('TAGGED', 'FIXED')")
 sql("write_state", f"SELECT key, value FROM ({ORACLE['state_lines']})")
 sql("write_manifest", f"SELECT package, entry_path, source_path FROM ({ORACLE['package_membership']})")

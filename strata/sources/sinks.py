@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.text import FIXED, TAGGED
+from strata.sources.text_files import write_text_files
 
 
 def write_scripts(df: DataFrame, dest: str, dry_run: bool = False, dry_run_dest: str | None = None,
@@ -25,6 +26,14 @@ def write_scripts(df: DataFrame, dest: str, dry_run: bool = False, dry_run_dest:
     return out
 
 
+def write_back(df: DataFrame, root: str, dry_run: bool = False, dry_run_dest: str | None = None) -> str:
+    """Write the TAGGED and FIXED scripts as files at their relative ``path``:
+    over the tree under ``root``, or with ``dry_run`` beside it (``dry_run_dest``,
+    else ``root`` with ``-dry-run``). Other files of the tree stay as they are."""
+    out = (dry_run_dest or root.rstrip("/") + "-dry-run") if dry_run else root
+    return write_text_files(df.where(F.col("action").isin(TAGGED, FIXED)), out)
+
+
 def write_state(df: DataFrame, dest: str, header: Sequence[str] = (), key: str = "key", value: str = "value",
                 mode: str = "overwrite", order: Sequence[str] = (), line_sep: str = "\n") -> str:
     """Write ``key=value`` text lines, preceded by literal header lines.

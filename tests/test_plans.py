@@ -39,3 +39,12 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "GreaterThanOrEqual(ts," in sy
 
 
+
+
+def test_late_contents_are_neither_aggregated_nor_sorted(spark):
+    p = plan(spark, "assemble_late")
+    nodes = [n for n in p.split("\n\n") if re.match(r"\(\d+\) (Hash|Sort|ObjectHash)Aggregate|\(\d+\) (Sort|Exchange)\b", n.strip())]
+    assert any("Aggregate" in n for n in nodes)
+    for n in nodes:
+        if "content#" in n:  # the fetch of contents by position, after the winners are known
+            assert re.match(r"\(\d+\) Exchange", n.strip()) and re.search(r"hashpartitioning\(_file#\d+, _row#\d+", n)
