@@ -102,6 +102,21 @@ def glob_to_regex(glob: str) -> str:
     return "^" + "".join(parts) + "$"
 
 
+def globs_column_regex(glob: ColumnOrName) -> Column:
+    """``glob_to_regex`` for globs that are rows: the same regex, as a column."""
+    g = _c(glob)
+    whole = F.when(g.endswith("/"), F.concat(g, F.lit("**"))).otherwise(g)
+    special = F.lit(r"([\\.\[\]{}()+^$|])")
+
+    def piece(seg: Column) -> Column:
+        plain = F.regexp_replace(seg, special, F.lit(r"\\$1"))
+        stars = F.regexp_replace(plain, F.lit(r"\*+"), F.lit("[^/]*"))
+        return F.when(seg == "**", F.lit("(?:/[^/]*)*")).otherwise(F.concat(F.lit("/"), F.replace(stars, F.lit("?"), F.lit("[^/]"))))
+
+    segs = F.split(F.regexp_replace(whole, "^/+|/+$", ""), "/")
+    return F.concat(F.lit("^"), F.array_join(F.transform(segs, piece), ""), F.lit("$"))
+
+
 def globs_regex(globs: Sequence[str]) -> str | None:
     """One alternation for a set of globs: a single ``rlike`` per row."""
     if not globs:

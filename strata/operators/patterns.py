@@ -1,9 +1,9 @@
 """Path selection: glob filters, profiles, path rules, re-rooting, purge, package membership.
 
 Rule sets are small (tens of globs) and become literal predicates: one
-scan, codegen, each regex compiled once per task. Rules are Python values:
-a rules *table* joined on a pattern column would plan as a nested-loop join.
-Prefix tables of any size (``purge``) are matched by an equi-join on the
+scan, codegen, each regex compiled once per task. Package rules that are a
+table meet the paths through an index of their literal parts (``glob_index``),
+as a join on a pattern column would plan as a nested loop. Prefix tables of any size (``purge``) are matched by an equi-join on the
 ancestor directories instead.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.globs import PROFILES, pattern_profile, selected
+from strata.functions.globs import PROFILES, globs_column_regex, pattern_profile, selected
 from strata.functions.text import ColumnOrName, _c
 from strata.operators.overlay import pick, unpick
 
@@ -165,3 +165,65 @@ def package_membership(files: DataFrame, rules: Sequence[Mapping], path: str = "
     order = ["rule_order", "source_path", *tiebreak]
     return (m.groupBy("package", "entry_path")
              .agg(pick(order, m.columns).alias("_w")).select(*unpick(F.col("_w"), m.columns)))
+
+
+RULE_FIELDS = ("package", "layer", "include", "exclude", "entry_prefix", "rule_order")
+
+
+def glob_index(globs: DataFrame, glob: str = "glob") -> DataFrame:
+    """Add ``regex`` and the index key ``kind, part`` to globs that are rows.
+
+    The key is the most selective literal that every matching path has: its last
+    segment (``name``), its first one with its extension (``both``), its first
+    one, its extension, or nothing (``any``).
+    """
+    g = F.col(glob)
+    segs = F.split(F.regexp_replace(F.when(g.endswith("/"), F.concat(g, F.lit("**"))).otherwise(g), "^/+|/+$", ""), "/")
+    first, last = segs[0], F.element_at(segs, -1)
+    literal = lambda c: ~c.rlike("[*?]")
+    ext = F.regexp_extract(last, r"(\.[^.*?]*)$", 1)  # what follows the last dot is literal
+    has_ext, has_first = (ext != "") & (last != "**"), literal(first)
+    kind = (F.when(literal(last), "name").when(has_first & has_ext, "both").when(has_first, "first").when(has_ext, "ext").otherwise("any"))
+    part = (F.when(kind == "name", last).when(kind == "both", F.concat(first, F.lit("|"), ext))
+            .when(kind == "first", first).when(kind == "ext", ext).otherwise(""))
+    return globs.withColumns({"regex": globs_column_regex(g), "kind": kind, "part": part})
+
+
+def path_keys(path: Column) -> Column:
+    """The index keys under which a path's globs lie, one of each kind."""
+    first, last = F.substring_index(path, "/", 1), F.substring_index(path, "/", -1)
+    ext = F.regexp_extract(last, r"(\.[^.]*)$", 1)
+    key = lambda kind, part: F.struct(F.lit(kind).alias("kind"), part.alias("part"))
+    return F.array(key("name", last), key("both", F.concat(first, F.lit("|"), ext)), key("first", first), key("ext", ext), key("any", F.lit("")))
+
+
+def package_membership_by_table(files: DataFrame, rules: DataFrame, path: str = "path", layer: str = "layer",
+                                resolve: bool = True, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """``package_membership`` with rules as rows (``RULE_FIELDS``, globs as arrays), any number of them.
+
+    Distinct paths meet the include globs by equality of index keys
+    (``glob_index``); only those candidates are tested with their regex, and the
+    rules found are joined to the files by path. No nested loop: a
+    path meets the globs that share a literal with it, and those without any.
+    A rule without includes takes every path, a null one as well, which matches
+    no glob; a null ``rule_order`` is 0.
+    """
+    listed = F.when(F.size("include") > 0, F.col("include")).otherwise(F.array(F.lit(None).cast("string")))
+    excluded = F.when(F.size("exclude") > 0, F.concat(F.lit("(?s)(?:"), F.array_join(F.transform("exclude", globs_column_regex), "|"), F.lit(")")))
+    rule = F.struct("package", F.coalesce("entry_prefix", F.lit("")).alias("entry_prefix"), F.coalesce("rule_order", F.lit(0)).cast("int").alias("rule_order"),
+                    F.col("layer").alias("of_layer"), excluded.alias("excluded"))
+    index = glob_index(rules.select(rule.alias("rule"), listed.alias("globs")).select("rule", F.explode("globs").alias("glob")))
+    index = index.select("rule", F.concat(F.lit("(?s)"), "regex").alias("regex"), "kind", "part").distinct()
+    slashed = F.concat(F.lit("/"), F.col("_path"))
+    paths = files.select(F.col(path).alias("_path")).distinct()
+    keyed = paths.select("_path", F.explode(path_keys(F.col("_path"))).alias("_k")).select("_path", "_k.*")
+    found = (keyed.join(index, ["kind", "part"]).where(F.col("regex").isNull() | F.rlike(slashed, F.col("regex")))
+             .where(~F.coalesce(F.rlike(slashed, F.col("rule.excluded")), F.lit(False))).select("_path", "rule").distinct())
+    cols = [c for c in files.columns if c != path]
+    of_layer = F.col(layer) if layer in files.columns else F.lit(None)
+    m = (files.join(found, files[path].eqNullSafe(F.col("_path"))).where(F.col("rule.of_layer").isNull() | (F.col("rule.of_layer") == of_layer))
+         .select("rule.package", F.concat("rule.entry_prefix", F.col(path)).alias("entry_path"), "rule.rule_order", F.col(path).alias("source_path"), *cols))
+    if not resolve:
+        return m
+    order = ["rule_order", "source_path", *tiebreak]
+    return m.groupBy("package", "entry_path").agg(pick(order, m.columns).alias("_w")).select(*unpick(F.col("_w"), m.columns))

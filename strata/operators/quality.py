@@ -82,6 +82,15 @@ def run_counters(df: DataFrame, layer: str = "layer", action: str = "action") ->
     return df.groupBy(layer, action).agg(F.count(F.lit(1)).alias("n"))
 
 
+def written_counters(df: DataFrame, path: str, name: str = "run", action: str = "action",
+                     actions: Sequence[str] = ("NEW", "UPDATED", "UNCHANGED", "TARGET_ONLY")) -> DataFrame:
+    """Write ``df`` to ``path`` and return ``action, n``, counted by that write."""
+    seen, obs = observe_counters(df, name, action, actions)
+    seen.write.parquet(path)
+    counted = [(a, obs.get[a.lower()] or 0) for a in actions]
+    return df.sparkSession.createDataFrame(counted, "action string, n long")
+
+
 def observe_counters(df: DataFrame, name: str, action: str = "action",
                      actions: Sequence[str] = ("NEW", "UPDATED", "UNCHANGED", "TARGET_ONLY")):
     """In-flight counters on a DataFrame that is written anyway (no extra job).

@@ -107,6 +107,30 @@ def rewrite_lines(df: DataFrame, rules: Sequence[Mapping], content: str = "conte
     return df.withColumn(out or content, new)
 
 
+RULE_BYTES = 8 << 20  # rules of at most this size are broadcast
+
+
+def rewrite_lines_by_table(df: DataFrame, rules: DataFrame, vendor: str, content: str = "content",
+                           out: str | None = None, broadcast_bytes: int = RULE_BYTES) -> DataFrame:
+    """``rewrite_lines`` with rules as rows ``vendor, rule_order, pattern, replacement``.
+
+    Each row gets its vendor's rules as one array, folded over its lines in
+    order (equal orders by pattern). The rules' size is added up first: up to ``broadcast_bytes`` they
+    are broadcast and the texts are not shuffled; beyond, they are joined by
+    shuffle. Rows of vendors without rules, or of none, are left unchanged; rules
+    with a null in any column apply to nothing.
+    """
+    whole = rules.select("vendor", "rule_order", "pattern", "replacement").dropna()
+    size = whole.agg(F.sum(F.octet_length("pattern") + F.octet_length("replacement") + F.octet_length("vendor") + 32)).first()[0] or 0
+    folded = whole.groupBy(F.col("vendor").alias("_vendor")).agg(F.sort_array(F.collect_list(F.struct("rule_order", "pattern", "replacement"))).alias("_rules"))
+    folded = F.broadcast(folded) if size <= broadcast_bytes else folded.hint("merge")
+    fold = lambda line: F.aggregate("_rules", line, lambda acc, r: F.regexp_replace(acc, r["pattern"], r["replacement"]))
+    name = out or content
+    joined = df.join(folded, F.col(vendor) == F.col("_vendor"), "left")
+    new = F.when(F.col("_rules").isNotNull(), T.map_lines(F.col(content), fold)).otherwise(F.col(content))
+    return joined.withColumn(name, new).drop("_vendor", "_rules")
+
+
 def deploy_scripts(df: DataFrame, rules: Sequence[Mapping], requested: str = "vendor",
                    configured: Column | str | None = None, path: str = "path", content: str = "content",
                    managed: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -127,6 +127,13 @@ def q_run_counters(spark, sf):
     return quality.run_counters(sync.sync_plan(src, tgt, EVENT_KEY, "ts"), layer="event_type")
 
 
+@register
+def q_written_counters(spark, sf):
+    """The sync written once, its actions counted by the write."""
+    src, tgt = fixture(spark, sf, "events_source"), fixture(spark, sf, "events_target")
+    return quality.written_counters(sync.sync_plan(src, tgt, EVENT_KEY, "ts"), scratch_path(spark, "written-counters"))
+
+
 # ---------------------------------------------------------------- versions
 ART_KEY = ("group_id", "artifact_id")
 
@@ -290,6 +297,18 @@ def q_package_membership(spark, sf):
     return patterns.package_membership(_paths(spark, sf), PACKAGE_RULES, tiebreak=["doc_id"])
 
 
+@register
+def q_package_membership_table(spark, sf):
+    """The package rules as rows, and a rule for each source and language of the documents."""
+    fixed = spark.createDataFrame([tuple(r.get(f) for f in patterns.RULE_FIELDS) for r in PACKAGE_RULES],
+                                  "package string, layer string, include array<string>, exclude array<string>, entry_prefix string, rule_order int")
+    each = table(spark, sf, "documents").select("source", "lang").distinct().select(
+        F.concat_ws("-", F.lit("by"), "source", "lang").alias("package"), F.lit(None).cast("string").alias("layer"),
+        F.array(F.concat_ws("/", "source", "lang", F.lit("**"))).alias("include"), F.array(F.lit("**/create*")).alias("exclude"),
+        F.lit("").alias("entry_prefix"), F.lit(9).alias("rule_order"))
+    return patterns.package_membership_by_table(_paths(spark, sf), fixed.unionByName(each), tiebreak=["doc_id"])
+
+
 def _script_files(spark, sf):
     s = fixture(spark, sf, "scripts")
     return s.select(F.concat(F.lit("src/sql/plugins/"), "component", F.lit("/"), "file_name").alias("path"))
@@ -473,11 +492,13 @@ LINE_RULES = (
 )
 
 
+def _vendor():
+    return F.expr("CASE lang WHEN 'en' THEN 'mysql' WHEN 'fr' THEN 'oracle' END").alias("vendor")
+
+
 @register
 def q_rewrite_lines(spark, sf):
-    d = table(spark, sf, "documents").select(
-        "doc_id", "lang", F.col("text").alias("content"),
-        F.expr("CASE lang WHEN 'en' THEN 'mysql' WHEN 'fr' THEN 'oracle' END").alias("vendor"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("content"), _vendor())
     return scripts.rewrite_lines(d, LINE_RULES, vendor="vendor").select("doc_id", "lang", "content")
 
 
@@ -628,7 +649,33 @@ def q_deploy_scripts(spark, sf):
     return out.select("o_orderkey", "path", "target_vendor", "content")
 
 
+@register
+def q_rewrite_lines_table(spark, sf):
+    """The line rules as rows."""
+    rules = spark.createDataFrame([(r["vendor"], r["rule_order"], r["pattern"], r["replacement"]) for r in LINE_RULES],
+                                  "vendor string, rule_order int, pattern string, replacement string")
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("content"), _vendor())
+    return scripts.rewrite_lines_by_table(d, rules, "vendor").drop("vendor")
+
+
 # ----------------------------------------------------------- sources, sinks
+@register
+def q_last_line_long(spark, sf):
+    """Documents written as files and read line by line: last line and number of lines."""
+    d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    root = write_text_files(d, scratch_path(spark, "last-line-long"))
+    return files.last_lines(files.scan_lines(spark, root))
+
+
+@register
+def q_scan_reported(spark, sf):
+    """Documents written as files and scanned with a status each; those beyond 2,000 bytes count as too large."""
+    d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    root = write_text_files(d, scratch_path(spark, "scan-reported"))
+    found = files.scan_files_reported(spark, root, ext=".txt", max_size=2000)
+    return found.select("path", "length", "status", "reason", F.md5("content").alias("content_md5"))
+
+
 @register
 def q_scan_files(spark, sf):
     """Documents written as text files by source, scanned back: bytes per folder."""

@@ -113,6 +113,11 @@ SELECT event_type, action, count(*) AS n FROM plan GROUP BY event_type, action
 """)
 
 
+sql("written_counters", f"""{_SYNC_PLAN}
+SELECT a AS action, count(action) AS n FROM (VALUES ('NEW'), ('UPDATED'), ('UNCHANGED'), ('TARGET_ONLY')) v(a) LEFT JOIN plan ON action = a GROUP BY a
+""")
+
+
 # ---------------------------------------------------------------- versions
 def _vkey(v: str) -> str:
     """DuckDB version key columns: nums (list), rnk, qn, qt."""
@@ -337,6 +342,15 @@ SELECT package, entry_path, rule_order, source_path, doc_id, layer FROM (
   FROM ({_MEMBERS})) WHERE rn = 1
 """)
 
+_RULED = "regexp_matches(path, '^src[0-9]+/[a-z]+/') AND NOT regexp_matches(path, '(^|/)create[^/]*$')"
+sql("package_membership_table", f"""
+SELECT * FROM ({ORACLE['package_membership']})
+UNION ALL
+SELECT 'by-' || split_part(path, '/', 1) || '-' || split_part(path, '/', 2), path, 9, path, doc_id, layer FROM (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY doc_id DESC) AS rn FROM {_P}
+  WHERE {_RULED} AND (split_part(path, '/', 1), split_part(path, '/', 2)) IN (SELECT (source, lang) FROM documents)) WHERE rn = 1
+""")
+
 sql("release_packages", f"""
 SELECT 'release-2.0.0' AS package, path AS entry_path, path AS source_path FROM {_P}
 WHERE {_sel(['**/create*.sql', '**/init*.sql'], ['**/.svn/**'])}
@@ -507,6 +521,8 @@ SELECT doc_id, lang,
 FROM documents
 """)
 
+sql("rewrite_lines_table", ORACLE["rewrite_lines"])
+
 sql("last_line", f"""
 SELECT doc_id, CASE WHEN text = '' THEN '' ELSE coalesce({_LINES.format(c='text')}[-1], '') END AS last_line,
        CAST(CASE WHEN text = '' THEN 0 ELSE len({_LINES.format(c='text')}) END AS INTEGER) AS n_lines
@@ -644,6 +660,15 @@ FROM v
 
 # ----------------------------------------------------------- sources, sinks
 sql("scan_files", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source")
+sql("last_line_long", f"""
+SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, last_line, CAST(n_lines AS BIGINT) AS n_lines
+FROM ({ORACLE['last_line']}) JOIN documents USING (doc_id) WHERE strlen(text) > 0
+""")
+sql("scan_reported", """
+SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, strlen(text) AS length, CASE WHEN strlen(text) > 2000 THEN 'FAILED' ELSE 'OK' END AS status,
+       CASE WHEN strlen(text) > 2000 THEN 'OSError: larger than 2000 bytes' END AS reason, CASE WHEN strlen(text) <= 2000 THEN md5(text) END AS content_md5
+FROM documents WHERE strlen(text) > 0
+""")
 sql("scan_scripts", f"SELECT path, content FROM {_S} WHERE strlen(content) > 0")
 sql("write_back", f"SELECT path, content FROM ({ORACLE['process_scripts']}) WHERE strlen(content) > 0")
 sql("write_scripts", f"SELECT path, action, content FROM ({ORACLE['process_scripts']}) WHERE action IN ('TAGGED', 'FIXED')")

@@ -7,11 +7,15 @@ files of other names or sizes are never opened. Paths are made relative to the s
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BinaryType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
+from strata.sources.text_files import filesystem
+
+OK, FAILED = "OK", "FAILED"
 FILE_SCHEMA = StructType([
     StructField("path", StringType()), StructField("length", LongType()),
     StructField("mtime", TimestampType()), StructField("content", BinaryType())])
@@ -37,11 +41,12 @@ def _relative(root: str):
 
 def scan_files(spark: SparkSession, root: str, ext: str | None = None, recursive: bool = True,
                min_size: int = 1, missing: str = "error", layer: str | None = None,
-               priority: int | None = None, any_case: bool = True) -> DataFrame:
+               priority: int | None = None, any_case: bool = True, ignore_missing: bool = False) -> DataFrame:
     """Regular files under ``root`` whose name ends with ``ext`` (in either case
     if ``any_case``) and whose size is at least ``min_size`` (default: non-empty).
 
     ``missing``: ``"error"`` or ``"empty"`` when ``root`` does not exist.
+    ``ignore_missing`` passes over files that are deleted after the listing.
     Optional ``layer``/``priority`` literals tag the tree as one layer.
     """
     full, exists = _qualified(spark, root)
@@ -50,7 +55,7 @@ def scan_files(spark: SparkSession, root: str, ext: str | None = None, recursive
             df = spark.createDataFrame([], FILE_SCHEMA)
             return _tag(df, layer, priority)
         raise FileNotFoundError(root)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", str(ignore_missing).lower())
     if ext:
         reader = reader.option("pathGlobFilter", _name_glob(ext) if any_case else "*" + ext)
     df = reader.load(root).where(F.col("length") >= min_size)
@@ -66,6 +71,55 @@ def _tag(df: DataFrame, layer, priority) -> DataFrame:
     return df
 
 
+def scan_files_reported(spark: SparkSession, root: str, ext: str | None = None, recursive: bool = True, min_size: int = 1,
+                        missing: str = "error", max_size: int = 1 << 30) -> DataFrame:
+    """``scan_files`` that outlives files it cannot read: every listed file (but for
+    those deleted before they are reached) is a row with ``status`` OK or FAILED and the ``reason``; a failed one has null
+    content. The listing opens no file; tasks then read each on its own (a
+    file beyond ``max_size`` bytes is reported, not read)."""
+    listed = scan_files(spark, root, ext, recursive, min_size, missing, ignore_missing=True).select("path", "length", "mtime")
+    full, _ = _qualified(spark, root)
+    schema = pa.schema([("content", pa.binary()), ("status", pa.string()), ("reason", pa.string())])
+
+    def read(path: str, length: int) -> tuple[bytes | None, str, str | None]:
+        try:
+            if length > max_size:
+                raise OSError(f"larger than {max_size} bytes")
+            fs, base = filesystem(full)
+            with fs.open_input_stream(f"{base}/{path}") as f:
+                return f.read(), OK, None
+        except (OSError, pa.ArrowException) as e:
+            return None, FAILED, f"{type(e).__name__}: {e}"
+
+    def run(batches):
+        for b in batches:
+            for i, (path, length) in enumerate(zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True)):
+                got = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(read(path, length), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, *got.columns], [*b.schema.names, *schema.names])
+
+    return listed.mapInArrow(run, "path string, length long, mtime timestamp, content binary, status string, reason string")
+
+
+def scan_lines(spark: SparkSession, root: str, ext: str | None = None, any_case: bool = True) -> DataFrame:
+    """``path, block, at, line``: the lines of every file, for files of any size.
+
+    A file is split like any other text, so no row holds more than a line.
+    ``(block, at)`` order the lines of a file: where their split begins in it, and the
+    reader's order within the split. Empty files have no lines.
+    """
+    full, _ = _qualified(spark, root)
+    reader = spark.read.format("text").option("recursiveFileLookup", "true")
+    if ext:
+        reader = reader.option("pathGlobFilter", _name_glob(ext) if any_case else "*" + ext)
+    df = reader.load(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return df.select(_relative(full).alias("path"), "block", F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def last_lines(lines: DataFrame) -> DataFrame:
+    """``path, last_line, n_lines`` of each file of ``scan_lines``; one partial aggregate."""
+    return lines.groupBy("path").agg(F.max_by("line", F.struct("block", "at")).alias("last_line"), F.count(F.lit(1)).alias("n_lines"))
+
+
 def _text():
     return F.make_valid_utf8(F.col("content").cast("string"))
 
