@@ -52,10 +52,12 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,8}(?:[ .-]\d{1,8}){1,6}(?!\d)"
                    r"|(?<![\w+.-])0\d{1,7}(?:[ .-]\d{1,8}){1,5}(?![\w-]|\.\d)|(?<![\w+.-])1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)"
                    r"|(?<![\w+.-])1?[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)|(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)")
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d|[-/.]\d))"
+    r"|(?P<date>(?<![\d.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{2}-\d{2}-\d{4})(?!\d|[-/.]\d)"
+    rf"|(?<!\w)(?:\d{{1,2}} (?:{MONTHS}) \d{{4}}|(?:{MONTHS}) \d{{1,2}}, \d{{4}})(?!\w))"
     r"|(?P<ipv4>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d))"
     r"|(?P<card>(?<![\dA-Za-z+])\d(?:[ -]?\d){12,18}(?![\dA-Za-z]))"
@@ -106,9 +108,10 @@ def unpermute(value: int, size: int, key: bytes, tweak: str) -> int:
             return value
 
 
-def _moved(value: int, size: int, key: bytes, tweak: str) -> int:
-    out = permute(value, size, key, tweak)
-    return permute((value + 1) % size, size, key, tweak) if out == value and size > 1 else out
+def _moved(value: int, size: int, key: bytes, tweak: str, step: int = 1) -> int:
+    """A keyed permutation of range(size) without fixed points (for two values or
+    more): one step along the cycle that ``permute`` lays out.  Its inverse has step -1."""
+    return unpermute((permute(value, size, key, tweak) + step) % size, size, key, tweak) if size > 1 else value
 
 
 def luhn(digits: str) -> bool:
@@ -133,7 +136,7 @@ def _digits(digits: str, key: bytes, tweak: str) -> str:
 
 
 def _day(text: str) -> tuple[dt.date, str] | None:
-    for layout in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d.%m.%Y", "%m/%d/%Y"):
+    for layout in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d.%m.%Y", "%d-%m-%Y", "%m/%d/%Y", "%m-%d-%Y", "%d %B %Y", "%B %d, %Y"):
         try:
             day = dt.datetime.strptime(text, layout).date()
         except ValueError:
@@ -212,7 +215,8 @@ def pseudonym(kind: str, text: str, key: bytes) -> str:
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
     if kind == "date":
         day, layout = _day(text)
-        return dt.date.fromordinal(FIRST_DAY + _moved(day.toordinal() - FIRST_DAY, DAYS, key, "date")).strftime(layout)
+        new = dt.date.fromordinal(FIRST_DAY + _moved(day.toordinal() - FIRST_DAY, DAYS, key, "date")).strftime(layout)
+        return re.sub(r"(?<!\d)0(\d)(?!\d)", r"\1", new) if re.search(r"(?<!\d)[1-9](?!\d)", text) else new
     if kind == "ssn":
         n = int(digits)
         while True:  # cycle walking over the valid numbers
