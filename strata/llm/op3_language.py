@@ -10,16 +10,24 @@ of 64-bit hashes with a row of log-probabilities, and contexts likewise with
 their back-off weights; a text is scored by binary search for all its
 positions at once.  The language of least cross-entropy per character wins.
 
-Training: the models are fitted on whole labelled texts, chosen by a hash of
-the text so that about ``TRAIN_CHARS`` characters per language take part (all
-of them where a language has fewer).  n-grams are counted by Spark; what
-reaches the driver is bounded by that parameter times the number of languages.
-A fifth of the chosen texts is kept from the counts and calibrates rejection: a
-text of ``MIN_CHARS`` or more is rejected if its cross-entropy lies both
-``REJECT_SD`` standard deviations above the mean of its language's texts (the
-deviation grows for short texts) and more than ``FOREIGN`` times as far above it as
-those texts' mean under the next best language. A text that mixes
-languages is kept by that, one of none of them is not.
+Training: labelled texts are cut into pieces of ``TRAIN_PIECE`` characters, and
+pieces are drawn by their hash so that about ``TRAIN_CHARS`` characters per
+language are counted (all of them where a language has fewer, and always at least
+one piece with a letter, so that every labelled language with a letter is learned).
+n-grams are counted by Spark; what reaches the driver is bounded by that
+parameter times the number of languages, of which there may be
+``MAX_LANGUAGES`` (more labels raise ValueError: that is no language column).
+
+Rejection is calibrated on a fifth of the drawn pieces that is kept from the
+counts: each is scored with all languages and with its own left out, which
+shows what texts of an unknown language cost under each language that takes them.
+A language's limit lies between the two means, nearer to the one that varies
+less but at least ``KEPT_GAP`` of the way from known texts.  A text is scored in pieces of ``PIECE_CHARS``, each by its cheapest language,
+so that one that mixes known languages is kept; it is rejected if
+it has ``MIN_CHARS`` characters or more and costs more than the limits of
+those languages (for short texts at least ``NEAR_SD`` deviations, which grow as the text shortens, above the mean).
+Languages with fewer than ``FEW`` calibration pieces use pooled values; a
+single language is given ``ALONE_SD`` deviations.
 
 Cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; so is every text if nothing is labelled.  Ties go to the first
@@ -43,8 +51,9 @@ ORDER = 4
 TRAIN_CHARS = 1_000_000
 MAX_LANGUAGES = 1000
 MIN_CHARS = 20
-REJECT_SD = 8.0
-FOREIGN = 2.0
+PIECE_CHARS = 100  # a text that mixes languages is judged by pieces
+TRAIN_PIECE = 10_000  # characters of a text that are drawn together
+KEPT_GAP, NEAR_SD, ALONE_SD, LEAST_SD, FEW = 0.3, 6.0, 8.0, 0.05, 5
 SHORT = 50.0
 ALPHABET = 2000  # characters that the model without context spreads its last mass over
 PEAK = 20.0  # characters of evidence that the score stands for
@@ -151,7 +160,7 @@ class Model:
             if n > 1:
                 self.contexts[n] = self._table(sorted({g for m in models for g in m.levels[n][1]}), lambda g: [m.backoff(g) for m in models])
         self.floor = np.log(np.array([m.backoff("") for m in models]) / ALPHABET).astype(np.float32)
-        self.limits = np.full((len(self.langs), 3), np.inf)  # mean, deviation, beyond foreign
+        self.limits = np.full((len(self.langs), 3), np.inf)  # limit, mean, deviation
 
     def _table(self, keys: list[str], values) -> tuple[np.ndarray, np.ndarray]:
         h = _string_hashes(keys)
@@ -194,28 +203,59 @@ class Model:
             out[~found] = low
         return out
 
-    def judge(self, cps: list[np.ndarray]) -> list[tuple[str, float, float, int, bool, float | None]]:
-        """(language, score, cross-entropy, characters, rejected, cross-entropy of
-        the next best language) by text.  The
+    def costs(self, cps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For non-empty texts: the cost of each piece of ``PIECE_CHARS`` under each
+        language, the pieces' first rows by text, and the texts' sizes.  The
         texts are laid end to end (each begins and ends with a space)."""
-        sizes = np.array([max(len(c) - 1, 0) for c in cps])
-        full = [c for c in cps if len(c)]
-        out = [(UND, 0.0, 0.0, 0, True, None)] * len(cps)
-        if not full or not self.langs:
-            return out
-        logs = self.log_probs(np.concatenate(full))
-        first = np.cumsum([0] + [len(c) for c in full[:-1]])
+        logs = self.log_probs(np.concatenate(cps))
+        sizes = np.array([len(c) - 1 for c in cps])
+        first = np.cumsum([0] + [len(c) for c in cps[:-1]])
+        starts = [np.arange(f, f + n, PIECE_CHARS) for f, n in zip(first, sizes, strict=True)]
+        begin = np.cumsum([0] + [len(x) for x in starts[:-1]])
+        cost = -np.add.reduceat(logs, np.concatenate(starts), axis=0).astype(float)
         # the step from one text's last space to the next text's first one belongs to no text
-        sums = np.add.reduceat(logs, first, axis=0).astype(float)
-        sums[:-1] -= logs[first[1:] - 1]
-        for i, total in zip(np.flatnonzero(sizes), sums, strict=True):
-            ce = -total / sizes[i]
+        cost[begin[1:] - 1] += logs[first[1:] - 1]
+        return cost, begin, sizes
+
+    def far(self, cost: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By text the cost a character where each piece takes its cheapest
+        language, and the limit for it."""
+        best = cost.argmin(axis=1)
+        count = np.diff([*begin, len(cost)])
+        weight = np.full(len(cost), float(PIECE_CHARS))
+        weight[begin + count - 1] = sizes - (count - 1) * PIECE_CHARS
+        total = lambda x: np.add.reduceat(x, begin) / sizes
+        middle, mean, sd = self.limits.T
+        near = total(weight * mean[best]) + NEAR_SD * total(weight * sd[best]) * np.sqrt(1 + SHORT / sizes)
+        return total(cost.min(axis=1)), np.maximum(total(weight * middle[best]), near)
+
+    def judge(self, cps: list[np.ndarray]) -> list[tuple[str, float, float, int, bool]]:
+        """(language, score, cross-entropy, characters, rejected) by text."""
+        out = [(UND, 0.0, 0.0, 0, True)] * len(cps)
+        at = [i for i, c in enumerate(cps) if len(c)]
+        if not at or not self.langs:
+            return out
+        cost, begin, sizes = self.costs([cps[i] for i in at])
+        pieced, limit = self.far(cost, begin, sizes)
+        for i, ce, n, own, most in zip(at, np.add.reduceat(cost, begin, axis=0) / sizes[:, None], sizes, pieced, limit, strict=True):
             best = int(np.argmin(ce))
-            score = 1.0 / np.exp(-(ce - ce[best]) * min(PEAK, sizes[i])).sum()
-            mean, sd, foreign = self.limits[best]
-            far = sizes[i] >= MIN_CHARS and ce[best] > max(mean + REJECT_SD * sd * np.sqrt(1 + SHORT / sizes[i]), foreign)
-            following = float(np.partition(ce, 1)[1]) if len(ce) > 1 else None
-            out[i] = (self.langs[best], float(score), float(ce[best]), int(sizes[i]), bool(far), following)
+            score = 1.0 / np.exp(-(ce - ce[best]) * min(PEAK, n)).sum()
+            out[i] = (self.langs[best], float(score), float(ce[best]), int(n), bool(n >= MIN_CHARS and own > most))
+        return out
+
+    def left_out(self, cps: list[np.ndarray], langs: list[str]) -> list[tuple[str, str | None, float, float]]:
+        """By text (language, the next best one, cost a character with and without the
+        language), each piece at its cheapest language; for calibration."""
+        if not cps:
+            return []
+        cost, begin, sizes = self.costs(cps)
+        out = []
+        for i, lang in enumerate(langs):
+            part = cost[begin[i]: begin[i + 1] if i + 1 < len(begin) else len(cost)]
+            rest = part.copy()
+            rest[:, self.langs.index(lang)] = np.inf
+            other = self.langs[int(rest.sum(axis=0).argmin())] if len(self.langs) > 1 else None
+            out.append((lang, other, float(part.min(axis=1).sum() / sizes[i]), float(rest.min(axis=1).sum() / sizes[i])))
         return out
 
 
@@ -247,48 +287,96 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _calibration(model: Model):
+    """``lang, other, own, foreign`` of the texts that are long enough."""
+    names = ["lang", "other", "own", "foreign"]
+
+    def run(batches):
+        for b in batches:
+            langs, at, rows = b.column("lang").to_pylist(), 0, []
+            for cps in _texts(b.column("text")):
+                use = [i for i, c in enumerate(cps) if len(c) > MIN_CHARS and langs[at + i] in model.langs]
+                rows += model.left_out([cps[i] for i in use], [langs[at + i] for i in use])
+                at += len(cps)
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
+
+    return run
+
+
+def limits(model: Model, sample: DataFrame) -> np.ndarray:
+    """(limit, mean, deviation) by language from held-back ``text, lang`` rows.  A
+    language with fewer than ``FEW`` of them, or that takes fewer left-out
+    ones, is given the values pooled over all languages."""
+    found = sample.mapInArrow(_calibration(model), "lang string, other string, own double, foreign double")
+    stats = lambda by, x: {r[0]: r[1:] for r in found.groupBy(by).agg(
+        F.count(F.lit(1)), F.avg(x), F.coalesce(F.stddev_pop(x), F.lit(0.0))).collect()}  # a row a language
+    own, foreign = stats("lang", "own"), stats("other", "foreign")
+
+    def pooled(groups: dict) -> tuple[float, float] | None:
+        n = sum(g[0] for g in groups.values())
+        return (sum(g[0] * g[1] for g in groups.values()) / n, max(g[2] for g in groups.values())) if n else None
+
+    foreign.pop(None, None)
+    all_own, all_foreign = pooled(own), pooled(foreign)
+    out = np.full((len(model.langs), 3), np.inf)
+    for i, lang in enumerate(model.langs):
+        if all_own is None:
+            continue  # nothing is known of what texts cost: none is rejected
+        mean, sd = own[lang][1:] if own.get(lang, (0,))[0] >= FEW else all_own
+        sd = max(sd, LEAST_SD)
+        far = foreign[lang][1:] if foreign.get(lang, (0,))[0] >= FEW else all_foreign
+        if far is None or not np.isfinite(far[0]):
+            out[i] = mean + ALONE_SD * sd, mean, sd
+        else:
+            out[i] = mean + max(far[0] - mean, 0.0) * max(sd / (sd + max(far[1], LEAST_SD)), KEPT_GAP), mean, sd
+    return out
+
+
 def train(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model:
     """Fit on ``text, lang`` rows (those with a null in either are skipped)."""
-    known = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    cuts = F.expr(f"transform(sequence(0, greatest(char_length(text) - 1, 0) div {TRAIN_PIECE}), i -> substring(text, CAST(i * {TRAIN_PIECE} + 1 AS INT), {TRAIN_PIECE}))")
+    known = known.select("lang", F.explode(cuts).alias("text")).withColumn("hash", F.xxhash64(F.lit("sample"), "text"))
+    # a piece with a letter that is always counted: a language with any such text is learned
+    sizes = known.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n"), F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("hash"))).alias("least"))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in sizes.limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels; is this a language column?")
     if not sizes:
         return Model({})
-    share = F.create_map(*(F.lit(v) for x, n in sizes.items() for v in (x, min(1.0, train_chars / max(n, 1)))))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000))
-    chosen = known.where(draw < F.element_at(share, F.col("lang")) * 1_000_000)
-    fifth = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)) == 0
+    share = F.create_map(*(F.lit(v) for x, (n, _) in sizes.items() for v in (x, min(1.0, train_chars / max(n, 1)))))
+    least = F.create_map(*(F.lit(v) for x, (_, h) in sizes.items() for v in (x, h if h is not None else 0)))
+    always = F.col("hash") == F.element_at(least, F.col("lang"))
+    chosen = known.where(always | (F.pmod("hash", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000))
+    fifth = (F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5)) == 0) & ~always
     counted = (chosen.where(~fifth).mapInArrow(_count, "lang string, gram string, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict())
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for x, g, n in zip(counted["lang"], counted["gram"], counted["n"], strict=True):
         counts[x][g] = n
     model = Model(counts)
-    seen = (predict(chosen.where(fifth).withColumn("id", F.lit(0)), model, "id").where(f"chars >= {MIN_CHARS}")
-            .groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("sd"), F.avg("runner_up").alias("other"), F.count(F.lit(1)).alias("n")))
-    for r in seen.collect():
-        if r["n"] >= 5:
-            model.limits[model.langs.index(r["lang_pred"])] = r["mean"], max(r["sd"], 0.05), r["mean"] + FOREIGN * (r["other"] - r["mean"]) if r["other"] else r["mean"]
+    if model.langs:
+        model.limits = limits(model, chosen.where(fifth).select("text", "lang"))
     return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, lang_pred, score, cross_entropy, chars, rejected, runner_up`` for each
+    """``id_col, lang_pred, score, cross_entropy, chars, rejected`` for each
     row of ``docs``; other columns than ``id_col`` and ``text`` are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_CHARS x languages
-    names = [id_col, "lang_pred", "score", "cross_entropy", "chars", "rejected", "runner_up"]
+    names = [id_col, "lang_pred", "score", "cross_entropy", "chars", "rejected"]
 
     def run(batches):
         for b in batches:
             got = [x for cps in _texts(b.column("text")) for x in shared.value.judge(cps)]
-            cols = list(zip(*got, strict=True)) or [[]] * 6
-            types = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.float64())
+            cols = list(zip(*got, strict=True)) or [[]] * 5
+            types = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col("text").cast("string")).mapInArrow(
-        run, f"`{id_col}` {id_type}, lang_pred string, score double, cross_entropy double, chars long, rejected boolean, runner_up double")
+        run, f"`{id_col}` {id_type}, lang_pred string, score double, cross_entropy double, chars long, rejected boolean")
 
 
 def identify(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> DataFrame:

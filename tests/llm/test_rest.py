@@ -70,6 +70,38 @@ def test_rejection(spark):
     assert len(left) >= 0.99 * docs.count()
 
 
+@pytest.mark.parametrize("foreign", ["es", "en"])
+def test_a_language_that_was_not_learned_is_rejected(spark, foreign):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang.train(docs.where(~lang.held_out(docs["doc_id"])).where(docs["lang"] != foreign))
+    judged = lang.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    own, other = [r.rejected for r in judged if r.lang != foreign], [r.rejected for r in judged if r.lang == foreign]
+    assert sum(other) >= 0.95 * len(other) and sum(own) <= 0.02 * len(own)
+
+
+def test_texts_that_mix_known_languages_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = {x: [r.text for r in docs.where(docs["lang"] == x).limit(40).collect() if len(r.text) > 600] for x in ("en", "fr", "de")}
+    model = lang.train(docs.where(~lang.held_out(docs["doc_id"])))
+    mixed = [lang.normalised((a[:500] + "\n" + b[:500]).encode()) for a, b in zip(by["en"], by["fr"] + by["de"], strict=False)]
+    rejected = [j[4] for j in model.judge(mixed)]
+    assert len(rejected) > 20 and sum(rejected) <= 0.05 * len(rejected)
+
+
+def test_every_labelled_language_is_learned(spark):
+    words = {"aa": ["alba", "ara", "abala"], "bb": ["tok", "tik", "kot"], "cc": ["nu", "mu", "nunu"]}
+    rng = random.Random(2)
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(i, say("aa", 30_000), "aa") for i in range(4)] + [(10, say("bb", 5), "bb")] + [(20 + i, "nu mu nunu " * 3, "cc") for i in range(40)]
+    rows += [(100, "?!", "dd"), (101, None, "ee"), (102, "word", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.train(df, train_chars=20_000)
+    assert model.langs == ["aa", "bb", "cc"]
+    assert [model.judge([lang.normalised(say(x, 20).encode())])[0][0] for x in words] == list(words)
+    with pytest.raises(ValueError):
+        lang.train(spark.range(1001).selectExpr("CAST(id AS STRING) AS lang", "'a' AS text"))
+
+
 # ------------------------------------------------------------------- packing
 def test_boundaries_are_optimal():
     rng = random.Random(4)
@@ -132,6 +164,26 @@ def test_pseudonyms_keep_format_and_link():
         assert text[s:e] not in out, kind
 
 
+def test_every_date_moves_to_one_of_its_own():
+    days = [pii.dt.date.fromordinal(pii.FIRST_DAY + i).isoformat() for i in range(pii.DAYS)]
+    out = [pii.pseudonym("date", d, KEY) for d in days]
+    assert sorted(out) == days and all(a != b for a, b in zip(days, out, strict=True))
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 500])
+def test_moves_are_permutations_without_fixed_points(size):
+    out = [pii._moved(v, size, KEY, "t") for v in range(size)]
+    assert sorted(out) == list(range(size)) and all(v != o for v, o in enumerate(out))
+    assert [pii._moved(o, size, KEY, "t", -1) for o in out] == list(range(size))
+
+
+@pytest.mark.parametrize("value", ["3 May 1984", "May 3, 1984", "1984-5-3", "03-05-1984", "1984-05-03", "3/5/1984", "3.5.1984", "12 December 2001"])
+def test_dates_in_other_layouts(value):
+    out, spans = pii.replace_text(f"born {value}.", KEY)
+    assert spans == [("date", 5, 5 + len(value))] and value not in out
+    assert pii._day(out[5:-1])[1] == pii._day(value)[1]
+
+
 PHONES = ["+49 1512 3456789", "+49 30 12345678", "+44 7911 123456", "2125551234", "+33 6 12 34 56 78", "1-800-555-0199", "030 12345678", "12125551234"]
 IBANS = ["ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034", "NO9386011117947", "DE89 3704 0044 0532 0130 00"]
 
