@@ -142,9 +142,10 @@ def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN,
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", span: int = SPAN,
-                  broadcast_fingerprints: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+                  broadcast_fingerprints: int = BROADCAST_FINGERPRINTS, with_hash: bool = False) -> DataFrame:
     """``id_col, n_words, n_hit, n_items, items_sha256, contaminated`` for every
-    row of ``docs``: contaminated if a twentieth of its words or more are hit."""
+    row of ``docs``: contaminated if a twentieth of its words or more are hit.
+    ``with_hash`` adds ``hash``, the xxhash64 of the text (a null one as empty)."""
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     hits, sets, sizes = find_hits(docs, items, span, broadcast_fingerprints)
@@ -164,7 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select(
         F.col("d.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *([F.col("d.hash")] if with_hash else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +173,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not contaminated, unchanged."""
-    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: documents that are not contaminated, unchanged.  A document
+    is its id (null or not) and its text: of two with one id each has its own verdict."""
+    judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_hash=True)
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")).distinct()
+    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = r"""
