@@ -13,7 +13,8 @@ Spans count code points and are found without Python: the pieces between the
 matches (``split``) and the matches (``regexp_extract_all``) alternate, so a
 running sum of their lengths gives every offset.
 
-Scale: one narrow row per candidate is shuffled, by document for the offsets
+Scale: texts are scanned once; candidates are written and read for both the
+spans and the counts.  One narrow row per candidate is shuffled, by document for the offsets
 and by secret for the counts.  Counting goes over distinct (secret, owner,
 repository) with map-side partial steps, so a secret in a third of all rows is
 reduced before it is shuffled; the join back is an ordinary shuffle join, which
@@ -29,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.llm.scratch import written
+
 EXAMPLE_OWNERS = 3
 KINDS = ("assign", "access", "hex", "owned")
 #: Java patterns. For access and hex the length is part of the pattern, which
@@ -40,6 +43,7 @@ PATTERNS = {
     "owned": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}",
 }
 ASSIGN_MIN = 8
+BLOCK = 4096  # code points that are cut out of a text at once
 OWNED_DISTINCT = 10
 
 
@@ -104,11 +108,13 @@ def _of_kind(rows: str, kind: str) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                  example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row per document: counts by kind, ``base_sha256``, ``spans`` (all
-    spans), ``n_live`` and ``n_example``, and ``found``, the spans as an array."""
+    spans), ``n_live`` and ``n_example``, and ``found``, the spans as an array, each
+    with the numbers of owners and repositories that carry its secret."""
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.col(source_col).cast("string").alias("source"))
-    per = (judged(candidates(docs), example_owners).groupBy("id", "hash")
-           .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "live"))).alias("found")))
+    found = written(candidates(docs), "secret-candidates")
+    per = (judged(found, example_owners).groupBy("id", "hash")
+           .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "live", "n_owners", "n_repos"))).alias("found")))
     base = docs.select("id", F.xxhash64("text", "source").alias("hash"))
     out = base.alias("d").join(per.alias("p"), F.expr("d.id <=> p.id AND d.hash = p.hash"), "left")
     found = F.coalesce("found", F.array().cast(per.schema["found"].dataType))
@@ -124,28 +130,49 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """``id, hash, spans``: overlapping spans of a text as one, in order."""
+    line = Window.partitionBy("id", "hash").orderBy("start", "end")
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = (spans.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+                .withColumn("number", F.sum("new").over(upto)))
+    return (numbered.groupBy("id", "hash", "number").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("live").alias("live"))
+            .groupBy("id", "hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "live"))).alias("spans")))
+
+
+def _masked(text: str, spans: str) -> tuple[Column, Column]:
+    """The text's ``_blocks``, and from them the text with each span replaced.  It is cut into blocks once, so that a
+    piece between two spans is taken from its own blocks and the work is linear."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(begin: Column, end: Column) -> Column:
+        i, j = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        own = F.array_join(F.slice("_blocks", i + 1, j - i + 1), "")
+        return F.substring(own, (begin % BLOCK + 1).cast("int"), (end - begin).cast("int"))
+
+    end_of = lambda i: F.coalesce(F.get(spans, i)["end"], F.lit(0).cast("long"))
+    label = lambda x: F.when(x["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
+    parts = F.transform(spans, lambda x, i: F.concat(piece(end_of(i - 1), x["start"]), label(x)))
+    tail = piece(F.element_at(spans, -1)["end"], F.char_length(text).cast("long"))
+    return blocks, F.concat(F.array_join(parts, ""), tail)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; each span (overlapping ones as one)
     becomes ``[SECRET]`` if one of its secrets looks live, else ``[EXAMPLE]``,
     and ``n_chars`` follows.  Texts without spans are unchanged."""
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.col("source")))
     own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "source")
-    per = (judged(candidates(own)).groupBy("id", "hash")
-           .agg(F.array_sort(F.collect_list(F.struct("start", "end", "live"))).alias("found")))
-    rows = keyed.alias("d").join(per.alias("p"), F.expr("d.doc_id <=> p.id AND d._hash = p.hash"), "left")
-    # 'done' is the text up to 'upto'; a span that begins before 'upto' only widens it
-    masked = F.expr("""
-        aggregate(found, named_struct('done', '', 'upto', 0L, 'live', false, 'open', false),
-          (a, s) -> CASE WHEN a.open AND s.start < a.upto
-              THEN named_struct('done', a.done, 'upto', greatest(a.upto, s.end), 'live', a.live OR s.live, 'open', true)
-              ELSE named_struct('done', a.done || CASE WHEN NOT a.open THEN '' WHEN a.live THEN '[SECRET]' ELSE '[EXAMPLE]' END
-                                        || substring(text, CAST(a.upto AS INT) + 1, CAST(s.start - a.upto AS INT)),
-                                'upto', s.end, 'live', s.live, 'open', true) END,
-          a -> a.done || CASE WHEN a.live THEN '[SECRET]' ELSE '[EXAMPLE]' END || substring(text, CAST(a.upto AS INT) + 1))""")
-    text = F.when(F.col("found").isNotNull(), masked).otherwise(F.col("text"))
-    rows = rows.withColumn("_masked", text)
-    changed = {"text": F.col("_masked"), "n_chars": F.when(F.col("found").isNotNull(), F.char_length("_masked").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*(changed.get(c, F.col(c)).alias(c) if c in changed else F.col(f"d.{c}") for c in docs.columns))
+    per = _merged(judged(written(candidates(own), "secret-candidates")).select("id", "hash", "start", "end", "live"))
+    per = per.select(F.col("id").alias("_id"), F.col("hash").alias("_of"), F.col("spans").alias("_spans"))
+    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit("")), F.col("source")).alias("_hash"))
+    rows = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
+    blocks, masked = _masked("text", "_spans")
+    some = F.col("_spans").isNotNull()
+    rows = rows.withColumn("_blocks", F.when(some, blocks)).withColumn("_masked", F.when(some, masked))
+    changed = {"text": F.when(some, F.col("_masked")).otherwise(F.col("text")),
+               "n_chars": F.when(some, F.char_length("_masked").cast("long")).otherwise(F.col("n_chars"))}
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = r"""

@@ -129,6 +129,38 @@ def test_masking_stage(spark):
     assert got[10] == ("[EXAMPLE]", 9)
 
 
+def test_masking_of_many_spans_equals_a_plain_mask(spark):
+    rng, parts, want = random.Random(6), [], []
+    for i in range(20_000):
+        gap = rng.choice(["é", "𝄞 ", " and ", "\n"]) * rng.randrange(1, 6)
+        parts.append(f"{gap} password=Ab{i:07d}xY ")
+        want.append(f"{gap} [SECRET] ")
+    rows = [(1, "".join(parts), "en", "s1", 0, "f"), (None, "x" * 5000 + " token=abcdefgh12", "en", "s1", 0, "f"), (1, "plain", "en", "s1", 5, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, found string")
+    df = df.withColumns({c: F.lit(7) for c in ("spans", "start", "live", "id", "hash")})
+    out = op5_secrets.mask_secrets(spark, df, "")
+    assert out.columns == df.columns
+    got = {(r.doc_id, r.n_chars): r.text for r in out.collect()}
+    masked = "".join(want)
+    assert got == {(1, len(masked)): masked, (None, 5009): "x" * 5000 + " [SECRET]", (1, 5): "plain"}
+
+
+def test_owners_and_repositories_of_each_span(spark):
+    rows = [(i, "password=abcdefgh1", f"o{i % 2}/r{i}") for i in range(4)]
+    found = op5_secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("found").collect()
+    assert {(s.live, s.n_owners, s.n_repos) for r in found for s in r.found} == {(True, 2, 4)}
+
+
+def test_decontamination_stage_by_id_and_text(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, passage), (5, f"so {passage}"), (5, "clean text"), (None, "clean too"), (6, None), (5, "clean text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("hash", "words", "contaminated")})
+    out = op2_winnow.drop_contaminated(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(5, "clean text"), (None, "clean too"), (6, None), (5, "clean text")], key=str)
+
+
 def verdict(url, rules, default="allow"):
     host = path = ""
     if url and "://" in url:
