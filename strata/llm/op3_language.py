@@ -53,8 +53,8 @@ MAX_LANGUAGES = 1000
 MIN_CHARS = 20
 PIECE_CHARS = 100  # a text that mixes languages is judged by pieces
 TRAIN_PIECE = 10_000  # characters of a text that are drawn together
-KEPT_GAP, NEAR_SD, ALONE_SD, LEAST_SD, FEW = 0.3, 6.0, 8.0, 0.05, 5
-SHORT = 50.0
+KEPT_GAP, NEAR_SD, ALONE_SD, LEAST_SD, FEW = 0.5, 6.0, 8.0, 0.05, 5
+SHORT = 200.0
 ALPHABET = 2000  # characters that the model without context spreads its last mass over
 PEAK = 20.0  # characters of evidence that the score stands for
 UND = "und"
