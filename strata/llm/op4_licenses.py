@@ -5,13 +5,18 @@ each template and each text every ``GRAM``-word run is hashed and every
 ``WINDOW`` consecutive hashes keep their least, so a shared run of
 ``GRAM + WINDOW - 1`` words shares a fingerprint.  The templates' fingerprints
 form an inverted index (fingerprint -> template, place).  Hits of one template
-on nearby diagonals (place in text less place in template, ``BAND`` words apart
-at most) are one candidate; it is aligned with the template word by word within
-the band, and is reported if the alignment matches ``COVERAGE`` of the
-template's words.  Of overlapping reports the one of more matched words stays.
+on one diagonal (place in text less place in template) form runs; runs that
+follow each other in text and template, with no more words between them than
+the template has (twice as many in all), are chained.  A chain is aligned with the template word by
+word in the band from its lowest to its highest diagonal and ``BAND`` (a quarter
+of a short template) on both sides, and is reported if the alignment matches
+``COVERAGE`` of the template's words: words put in anywhere, or at the head of
+every line, do not hide a template.  Of overlapping reports the one of more
+matched words stays.
 
 Scale: the index is small and fixed, so a text is scanned where it lies, in
-numpy; only texts with hits reach the alignment.
+numpy; only texts with hits reach the alignment, and a chain in whose band too
+few of the template's words occur is not aligned.
 
 Cases: a null or wordless text has no licenses; rows that repeat and null ids
 are kept; ties go to the name that sorts first; an empty table gives no rows;
@@ -20,6 +25,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.llm.textvec import buffers, row_groups, windows, words
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
+MATCH, CHANGED, PUT_IN = 8, -8, -1  # a template word left out costs as much as one changed
 
 #: Public license texts and notices, copyright lines left out.
 TEMPLATES = {
@@ -100,56 +107,99 @@ class Index:
 
 def align(a: np.ndarray, t: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """Best local alignment of template ``t`` in ``a`` within ``band`` of a
-    diagonal: (matched words, first and last + 1 matched place in ``a``).  A
-    match scores 1, a word changed, left out or put in costs 1."""
-    width = 2 * band + 1
-    best = (0, 0, 0, 0)
-    above = [(0, 0, 0)] * (width + 1)  # (score, matched, first)
+    diagonal: (matched words, first and last + 1 matched place in ``a``).  A match
+    scores ``MATCH``, a word changed or left out ``CHANGED``, one put in
+    ``PUT_IN``; of equal scores the one of more matches, then the one that ends
+    first in the template."""
+    lo, width = diagonal - band, 2 * band + 1
+    unit, one = 1 << 44, 1 << 24  # score, matches and first place share one number, so that a maximum carries all three
+    place = np.arange(width)
+    slope = place * (-PUT_IN * unit)
+    above = np.zeros(width + 1, np.int64)
+    best, out = 0, (0, 0, 0)
     for i in range(len(t)):
-        row = []
-        left = (0, 0, 0)
-        for c in range(width):
-            j = i + diagonal + c - band
-            if not 0 <= j < len(a):
-                cell = (0, 0, 0)
-            else:
-                s, m, f = above[c]
-                cell = (s + 1, m + 1, f if s else j) if a[j] == t[i] else (s - 1, m, f)
-                for s, m, f in (above[c + 1], left):
-                    if s - 1 > cell[0]:
-                        cell = (s - 1, m, f)
-                if cell[0] <= 0:
-                    cell = (0, 0, 0)
-                elif a[j] == t[i] and cell[0] > best[0]:
-                    best = (cell[0], cell[1], cell[2], j + 1)
-            row.append(cell)
-            left = cell
-        above = [*row, (0, 0, 0)]
-    return best[1:]
+        j = place + (i + lo)
+        same = np.zeros(width, bool)
+        x, y = max(0, -(i + lo)), min(width, len(a) - i - lo)
+        if x < y:
+            same[x:y] = a[i + lo + x: i + lo + y] == t[i]
+        begun = np.where(above[:-1] > 0, above[:-1], one - 1 - (j - lo))
+        row = np.where(same, begun + (MATCH * unit + one), above[:-1] + CHANGED * unit)
+        row = np.maximum(row, above[1:] + CHANGED * unit)
+        row = np.maximum.accumulate(row + slope) - slope
+        row[row < unit] = 0
+        c = int(np.argmax(np.where(same, row, 0)))
+        if same[c] and row[c] >> 24 > best:
+            best = int(row[c]) >> 24
+            out = (best & ((1 << 20) - 1), one - 1 - int(row[c]) % one + lo, int(j[c]) + 1)
+        above[:-1] = row
+    return out
+
+
+def chains(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Lowest and highest diagonal of each chain of (place in text, place in
+    template) hits; every hit is in one chain."""
+    runs: list[list[int]] = []  # diagonal, first and last place in the template, hits
+    for d, q in sorted((p - q, q) for p, q in hits):
+        if runs and runs[-1][0] == d and q - runs[-1][2] <= BAND:
+            runs[-1][2], runs[-1][3] = q, runs[-1][3] + 1
+        else:
+            runs.append([d, q, q, 1])
+    runs.sort(key=lambda r: (r[0] + r[1], r[1]))
+    value: list[tuple[int, int]] = []  # hits, less diagonals crossed
+    before: list[int | None] = []
+    start, gap = 0, length + GRAM + WINDOW  # a hit covers so many words itself, less one
+    for s, (d, q, _, n) in enumerate(runs):
+        while runs[start][0] + runs[start][1] < d + q - gap - length:
+            start += 1
+        top, frm = (0, 0), None
+        for r in range(start, s):
+            e, _, z, _ = runs[r]
+            crossed = value[r][1] - abs(d - e)
+            if z < q and e + z < d + q <= e + z + gap and crossed >= -2 * length and (value[r][0], crossed) > top:
+                top, frm = (value[r][0], crossed), r
+        value.append((top[0] + n, top[1]))
+        before.append(frm)
+    used, out = [False] * len(runs), []
+    for s in sorted(range(len(runs)), key=lambda s: (-value[s][0], -value[s][1], s)):
+        diagonals, r = [], s
+        while r is not None and not used[r]:
+            used[r] = True
+            diagonals.append(runs[r][0])
+            r = before[r]
+        if diagonals:
+            out.append((min(diagonals), max(diagonals)))
+    return out
 
 
 def found_in(h: np.ndarray, index: Index, hits: np.ndarray, fingerprints: np.ndarray) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, last word + 1) in one text."""
-    by: dict[int, set[int]] = defaultdict(set)
+    by: dict[int, set[tuple[int, int]]] = defaultdict(set)
     for p, m in zip(hits.tolist(), fingerprints.tolist(), strict=True):
         for i, q in index.places[m]:
-            by[i].add(p - q)
-    reports = []
-    for i, diagonals in by.items():
-        t, last = index.words[i], None
-        runs: list[list[int]] = []
-        for d in sorted(diagonals):
-            if last is None or d - runs[-1][0] > BAND:
-                runs.append([d, d])
-            runs[-1][1] = last = d
-        for lo, hi in runs:
-            matched, first, end = align(h, t, (lo + hi) // 2)
+            by[i].add((p, q))
+    reports = set()
+    for i, places in by.items():
+        t = index.words[i]
+        side = min(BAND, -(-len(t) // 4))
+        done: list[tuple[int, int]] = []
+        for lo, hi in chains(list(places), len(t)):
+            near = bisect_left(done, (lo + side + 1,))
+            if near and done[near - 1][0] <= lo + side and hi <= done[near - 1][1] + side:
+                continue  # in the band of a better chain, which has been aligned
+            insort(done, (lo, hi))
+            middle, band = (lo + hi) // 2, (hi - lo + 1) // 2 + side
+            if np.isin(t, h[max(0, middle - band): max(0, middle + band + len(t))]).sum() < COVERAGE * len(t):
+                continue
+            matched, first, end = align(h, t, middle, band)
             if matched >= COVERAGE * len(t):
-                reports.append((matched, index.names[i], matched / len(t), first, end))
-    reports.sort(key=lambda r: (-r[0], r[1], r[3]))
+                reports.add((matched, index.names[i], matched / len(t), first, end))
     out: list[tuple[str, float, int, int]] = []
-    for _, name, coverage, first, end in reports:
-        if all(end <= o[2] or first >= o[3] for o in out):
+    ends: list[tuple[int, int]] = []
+    for _, name, coverage, first, end in sorted(reports, key=lambda r: (-r[0], r[1], r[3])):
+        at = bisect_left(ends, (first, end))
+        if (at == 0 or ends[at - 1][1] <= first) and (at == len(ends) or end <= ends[at][0]):
+            ends.insert(at, (first, end))
             out.append((name, coverage, first, end))
     return sorted(out, key=lambda o: o[2])
 

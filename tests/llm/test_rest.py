@@ -255,6 +255,82 @@ def test_alignment_against_full_table():
         assert matched >= best and end - first >= matched
 
 
+def license_words(text):
+    return [hash(w) % (1 << 62) for w in re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+
+
+def whole_scan(text):
+    """The best template over the whole text with no index, band or chain:
+    (license, coverage, first and last + 1 word)."""
+    a, out = license_words(text), []
+    for name, template in lic.TEMPLATES.items():
+        t = license_words(template)
+        rows = [(0, 0, 0)] * (len(a) + 1)  # (score, matched, -first)
+        best = (0, 0, 0, 0)
+        for w in t:
+            now = [(0, 0, 0)]
+            for j, v in enumerate(a):
+                s, m, f = rows[j]
+                up, left = rows[j + 1], now[-1]
+                cell = max((s + 8, m + 1, f if s else -j) if v == w else (s - 8, m, f), (up[0] - 8, *up[1:]), (left[0] - 1, *left[1:]))
+                now.append(cell if cell[0] > 0 else (0, 0, 0))
+                if v == w and cell[:2] > best[:2]:
+                    best = (*cell, j + 1)
+            rows = now
+        if best[1] >= 0.8 * len(t):
+            out.append((best[1], name, best[1] / len(t), -best[2], best[3]))
+    if not out:
+        return None
+    return min(out, key=lambda r: (-r[0], r[1]))[1:]
+
+
+def edited_licenses():
+    rng = random.Random(12)
+    noise = lambda n: [f"zz{rng.randrange(50)}" for _ in range(n)]
+    texts = []
+    for name in ("MIT", "Apache-2.0-notice", "GPL-3.0-notice", "BSD-2-Clause", "MPL-2.0"):
+        w = lic.TEMPLATES[name].split()
+        for n in (9, 20, 40):
+            texts.append((name, 1.0, [*noise(5), *w[: len(w) // 2], *noise(n), *w[len(w) // 2:], *noise(7)]))
+        for head in ("dnl", "rem", "<br>"):
+            texts.append((name, 1.0, [*noise(3), *(x for i in range(0, len(w), 9) for x in (head, *w[i: i + 9])), *noise(30)]))
+        texts.append((name, None, [*noise(4), *(x for i, x in enumerate(w) if i % 15 != 14), *noise(4)]))
+        texts.append((name, None, [*noise(4), *w[: len(w) // 3], *noise(4)]))
+        texts.append((name, None, [*noise(4), *(f"qq{i}" if i % 11 == 10 else x for i, x in enumerate(w)), *noise(4)]))
+    return [(name, want, " ".join(words)) for name, want, words in texts]
+
+
+def test_scan_of_edited_licenses_equals_a_whole_scan(spark):
+    cases = edited_licenses()
+    rows = [(i, text) for i, (_, _, text) in enumerate(cases)]
+    got = {r.doc_id: (r.licenses, rows[r.doc_id][1]) for r in lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, want, text) in enumerate(cases):
+        best = whole_scan(text)
+        if best is None:
+            assert got[i][0] == [], (name, text)
+            continue
+        places = [m.span() for m in re.finditer(r"[A-Za-z0-9]+", text)]
+        assert [tuple(x) for x in got[i][0]] == [(best[0], best[1], places[best[2]][0], places[best[3] - 1][1])], (name, text)
+        if want:
+            assert best[:2] == (name, want)
+
+
+def test_licenses_in_long_texts_repeats_and_ties(spark):
+    mit, line = " ".join(lic.TEMPLATES["MIT"].split()), lic.TEMPLATES["MIT-line"]
+    long = ("lorem ipsum dolor " * 20_000) + mit + (" sit amet" * 20_000) + " " + line
+    crowd = f"{mit}\n" * 40 + f"{line} " * 500
+    rows = [(1, long), (2, crowd), (2, crowd), (3, "the above copyright notice and this permission notice " * 3_000)]
+    got = lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(x.license, x.start, x.end) for r in got if r.doc_id == 1 for x in r.licenses] == [
+        ("MIT", 360_000, 360_000 + len(mit) - 1), ("MIT-line", len(long) - len(line), len(long) - 1)]
+    for r in got:
+        if r.doc_id == 2:
+            assert [(x.license, x.coverage) for x in r.licenses] == [("MIT", 1.0)] * 40 + [("MIT-line", 1.0)] * 500
+    assert sum(r.doc_id == 2 for r in got) == 2 and [r.n_licenses for r in got if r.doc_id == 3] == [0]
+    tie = lic.scan_licenses(spark.createDataFrame([(1, line)], "doc_id long, text string"), {"b": line, "a": line}).collect()
+    assert [x.license for x in tie[0].licenses] == ["a"]
+
+
 # ------------------------------------------------------------------- quality
 def base(text):
     text = text or ""
