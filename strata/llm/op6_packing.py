@@ -5,11 +5,12 @@ the at most ``BUCKETS`` bucket lengths that minimise padding when each text is
 padded to its bucket's length.  Inside a bucket, texts are numbered and a batch
 takes as many as fit ``BUDGET`` padded tokens (one at least).
 
-Scale: the histogram has exact lengths up to 256 and 128 steps per doubling
-above, so it has some 7,000 cells at most whatever the corpus; each cell keeps
-its count, token sum and greatest length, so padding is computed exactly and
-only the places where a boundary may lie are rounded.  Numbering takes no global sort:
-each bucket is dealt over lanes by a hash, rows are numbered inside a lane, and
+Scale: the histogram has a cell for each length that occurs, so the bounds are
+optimal, not rounded.  Texts of d different lengths have d * d / 2 tokens or more,
+so even 100 TB (some 2.5e13 tokens) give 7 million cells at most, which reach the
+driver as two Arrow columns; real corpora have some 1e5.  A cost that is linear in
+the bound lets each bucket be added in one pass over a convex hull instead of
+over all pairs of lengths, in whole numbers.  Numbering takes no global sort: each bucket is dealt over lanes by a hash, rows are numbered inside a lane, and
 a lane starts at the sum of the lanes before it (one small row per lane).
 
 Cases: a null or empty text has no tokens and forms its own bucket of length 0
@@ -37,40 +38,38 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
 
 
-def cell(n: Column) -> Column:
-    """Histogram cell of a length: itself up to 256, else rounded up to eight
-    significant bits."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 7)
-    return F.when(n <= 256, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
-    """Bucket lengths of least padding for (greatest length, count, token sum)
-    cells in order of length; the fewest buckets among equals."""
+    """Bucket lengths of least padding for (length, count, token sum) cells in
+    order of length; the fewest buckets among equals.
+
+    With the last bucket after cell i and up to cell j the padding is
+    ``best[i] + s[i] - top[j] * n[i]`` and terms of j alone: the least of lines in
+    ``top[j]``, found on the lower hull of the points (n[i], best[i] + s[i])."""
     if not cells:
         return []
-    top, count, total = (np.array(x, float) for x in zip(*cells, strict=True))
+    top, count, total = (np.array(x, np.int64) for x in zip(*cells, strict=True))
     n = np.concatenate([[0], np.cumsum(count)])
     s = np.concatenate([[0], np.cumsum(total)])
     m = len(top)
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
-    back, costs = [], []
+    best, back, costs = np.zeros(1, np.int64), [], []
     for _ in range(min(buckets, m)):
-        now, frm = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        now[0] = 0
-        for j in range(1, m + 1):  # the last bucket holds cells i .. j-1
-            pad = best[:j] + top[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])
-            i = int(np.argmin(pad))
-            now[j], frm[j] = pad[i], i
-        best = now
+        hull: list[tuple[int, int, int]] = []
+        for i, (x, y) in enumerate(zip(n[:len(best)].tolist(), (best + s[:len(best)]).tolist(), strict=True)):
+            while len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (x - hull[-1][0]) >= (y - hull[-1][1]) * (hull[-1][0] - hull[-2][0]):
+                hull.pop()
+            hull.append((x, y, i))
+        steeper = np.array([(q[1] - p[1]) // (q[0] - p[0]) for p, q in zip(hull, hull[1:])], np.int64)
+        frm = np.array([h[2] for h in hull], np.int64)[np.searchsorted(steeper, top, "left")]
+        # a line of i = j means no further bucket
+        best = np.concatenate([[0], best[frm] + top * (n[1:] - n[frm]) - (s[1:] - s[frm])])
         back.append(frm)
-        costs.append(now[m])
+        costs.append(int(best[m]))
     k, j, out = int(np.argmin(costs)), m, []
-    while j > 0 and k >= 0:
-        out.append(int(top[j - 1]))
-        j = int(back[k][j])
-        k -= 1
+    while j > 0:
+        i = int(back[k][j - 1])
+        if i < j:
+            out.append(int(top[j - 1]))
+        j, k = i, k - 1
     return out[::-1]
 
 
@@ -80,9 +79,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None,
     within its bucket and its place there."""
     tokens = token_count(F.col("text")) if tokens is None else tokens
     sized = written(docs.select(F.col(id_col).alias("id"), tokens.alias("n_tokens"), F.xxhash64("text").alias("hash")), "pack-lengths")
-    hist = (sized.groupBy(cell(F.col("n_tokens")).alias("cell"))
-            .agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total")))
-    cells = [(r["top"], r["n"], r["total"]) for r in sorted(hist.collect(), key=lambda r: r["cell"])]
+    hist = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    cells = [(t, n, t * n) for t, n in zip(hist["n_tokens"].to_pylist(), hist["n"].to_pylist(), strict=True)]
     zero = [c for c in cells if c[0] == 0]
     bounds = [0] * bool(zero) + boundaries([c for c in cells if c[0] > 0], buckets)
     rows = sum(c[1] for c in cells)

@@ -116,6 +116,23 @@ def test_boundaries_are_optimal():
         assert len(got) <= k and got[-1] == lengths[-1] and waste(got) == best
 
 
+def test_boundaries_of_long_lengths_are_optimal():
+    rng = random.Random(14)
+    for k in (1, 2, 5, 16):
+        sizes = sorted(int(rng.lognormvariate(6, 1.2)) + 1 for _ in range(1500))
+        lengths = sorted(set(sizes))
+        cells = [(n, sizes.count(n), n * sizes.count(n)) for n in lengths]
+        n = np.cumsum([0] + [c[1] for c in cells]).astype(float)
+        s = np.cumsum([0] + [c[2] for c in cells]).astype(float)
+        least = np.array([0.0] + [np.inf] * len(cells))
+        for _ in range(k):  # every pair of places
+            least = np.array([0.0] + [min(least[:j] + lengths[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])) for j in range(1, len(cells) + 1)])
+        got = packing.boundaries(cells, k)
+        assert len(got) <= k and got[-1] == lengths[-1]
+        assert sum(got[np.searchsorted(got, x)] - x for x in sizes) == least[-1]
+    assert packing.boundaries([(5, 2, 10)], 4) == [5] and packing.boundaries([(5, 2, 10), (9, 1, 9)], 4) == [5, 9]
+
+
 def test_batches(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 3, 3, 9, 300, 700])))) for i in range(400)] + [(7, "w"), (7, "w"), (None, "w w"), (None, None)]
