@@ -26,13 +26,16 @@ least ``doc_id`` in it.
    already joins it.
 6. Components by alternating large-star and small-star steps on the links.
 7. Every link lies inside a class, so ``n_links`` is counted there: all pairs of
-   different texts of a class are compared exactly on their shingle sets, bands
-   and posterior aside.  Classes are dealt in blocks of ``BLOCK`` texts and about
-   ``BLOCK_SHINGLES`` shingles; tasks emit a count for each text of a pair of
-   blocks, not pairs.
+   different texts of a class are compared exactly, bands and posterior aside.
+   Each set is written as its difference from the set of the class's first text:
+   what two sets share follows from the shingles that both add or both lack.
+   Classes are dealt in blocks of ``LINK_BLOCKS * BLOCK`` texts and about
+   ``BLOCK_SHINGLES`` differing shingles; tasks emit a count for each text of a
+   pair of blocks, not pairs.
 
 ``n_links`` is the number of other texts at the threshold or above to a
-document's text.  The comparisons of step 7 grow with the square of a class.
+document's text.  The comparisons of step 7 grow with the square of a class, and
+its differences (not its sets) are sent once for each of its blocks.
 
 Cases: a null or wordless text has no shingles and is a class of its own, with
 its own id.  Rows that repeat are copies of one text.  A null id stays null and
@@ -59,7 +62,8 @@ HASHES, BANDS, ROWS = 256, 32, 4  # the bands take the first 128 values
 STEP = 16
 TOLERANCE = 1e-3
 BLOCK = 1024
-BLOCK_SHINGLES = 1 << 18
+LINK_BLOCKS = 8
+BLOCK_SHINGLES = 1 << 19
 BROADCAST_IDS = 100_000
 _RNG = np.random.RandomState(7)
 _MUL = _RNG.randint(0, 1 << 62, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,16 +125,19 @@ def _sign(batches):
 
 
 def _sets(batches):
-    """(key, set) of texts: distinct shingle hashes."""
+    """(key, set) of texts: distinct shingle hashes; with a wanted key, only of
+    the text that has it."""
     for b in batches:
         data, off = buffers(b.column("text"))
+        want = b.column("want").to_pylist()
         for i, j in row_groups(off, 1 << 22):
             h, at, _, _ = words(data, off[i: j + 1])
             s, to = shingles(h, at, SHINGLE)
             keys, sets = [], []
             for r in range(j - i):
-                if to[r + 1] > to[r]:
-                    keys.append(hashlib.blake2b(h[at[r]: at[r + 1]].tobytes(), digest_size=16).digest())
+                key = hashlib.blake2b(h[at[r]: at[r + 1]].tobytes(), digest_size=16).digest()
+                if to[r + 1] > to[r] and want[i + r] in (None, key):
+                    keys.append(key)
                     sets.append(np.unique(s[to[r]: to[r + 1]]).view(np.int64))
             sizes = pa.array(np.cumsum([0] + [len(x) for x in sets]), pa.int32())
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
@@ -230,12 +237,22 @@ def with_sets(pairs: DataFrame, docs: DataFrame, members: DataFrame, have: DataF
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     if have is not None:
         needed = needed.join(have.select("key"), "key", "left_anti")
-    holders = written(members.join(needed, "key").groupBy("key").agg(F.min("id").alias("id")), "near-holders")
-    ids = holders.select(F.col("id").alias("held")).distinct()
-    if holders.count() <= BROADCAST_IDS:  # else by shuffle
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("held")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "key binary, set array<long>").join(holders.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    # one document of each text: its least id, and how many rows have both
+    holders = (members.join(needed, "key").groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("one")).select("key", "one.id", "one.n"))
+    holders = written(holders, "near-holders")
+    held = holders.groupBy("id").agg(F.min("key").alias("want"), (F.count(F.lit(1)) + F.max("n") == 2).alias("one_row"))
+    plain = held.where("id IS NOT NULL AND one_row").select(F.col("id").alias("held"), "want")
+    others = held.where("id IS NULL OR NOT one_row").select(F.col("id").alias("held"))
+    small = holders.count() <= BROADCAST_IDS  # else by shuffle
+    # an id that stands for one row gives its set as it is read
+    sets = (docs.join(F.broadcast(plain) if small else plain, F.col("id") == F.col("held")).select("text", "want")
+            .mapInArrow(_sets, "key binary, set array<long>"))
+    if not others.isEmpty():
+        keys = holders.join(others, F.col("id").eqNullSafe(F.col("held")), "left_semi").select("key")
+        texts = docs.join(F.broadcast(others) if small else others, F.col("id").eqNullSafe(F.col("held")), "left_semi")
+        more = texts.select("text", F.lit(None).cast("binary").alias("want")).mapInArrow(_sets, "key binary, set array<long>")
+        sets = sets.unionByName(more.join(keys, "key", "left_semi").dropDuplicates(["key"]))
     sets = written(sets, "near-sets")
     return sets if have is None else have.unionByName(sets)
 
@@ -248,41 +265,50 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
             .where(F.col("jaccard") >= threshold))
 
 
-def links_of(sizes: np.ndarray, flat: np.ndarray, near_side: int | None, threshold: float) -> np.ndarray:
-    """For each of the sets laid end to end in ``flat``, to how many others it is
-    similar enough; with ``near_side``, the first so many sets against the rest."""
+def links_of(sizes: np.ndarray, kept: np.ndarray, first: int, counts: np.ndarray, flat: np.ndarray, near_side: int | None,
+             threshold: float) -> np.ndarray:
+    """For each of some sets, to how many others it is similar enough; with
+    ``near_side``, the first so many sets against the rest.
+
+    ``flat`` has their differences from a set of ``first`` shingles end to end,
+    ``counts`` of each; ``kept`` is what each shares with that set."""
     n = len(sizes)
     out = np.zeros(n, np.int64)
     _, code, holders = np.unique(flat, return_inverse=True, return_counts=True)
     shared = holders[code] > 1
-    rows, code = np.repeat(np.arange(n), sizes)[shared], code[shared]
+    rows, code = np.repeat(np.arange(n), counts)[shared], code[shared]
     at = np.searchsorted(rows, np.arange(n + 1))
-    full = np.flatnonzero(np.diff(at))  # the others share nothing
     mark = np.zeros(len(holders), bool)
-    for k, i in enumerate(full.tolist()):
-        if near_side is not None and i >= near_side:
-            break
-        others = full[k + 1:] if near_side is None else full[np.searchsorted(full, near_side):]
-        if not len(others):
+    for i in range(n if near_side is None else near_side):
+        lo = i + 1 if near_side is None else near_side
+        if lo == n:
             break
+        both = kept[i] + kept[lo:] - first
         own = code[at[i]: at[i + 1]]
-        mark[own] = True
-        both = np.add.reduceat(mark[code[at[others[0]]:]], at[others] - at[others[0]], dtype=np.int64)
-        mark[own] = False
-        linked = others[both / (sizes[i] + sizes[others] - both) >= threshold]
-        out[linked] += 1
-        out[i] += len(linked)
+        if len(own):
+            mark[own] = True
+            same = np.concatenate([[0], np.cumsum(mark[code[at[lo]:]])])
+            mark[own] = False
+            both = both + np.diff(same[at[lo:] - at[lo]])
+        linked = both / (sizes[i] + sizes[lo:] - both) >= threshold
+        out[lo:] += linked
+        out[i] += linked.sum()
     return out
 
 
 def _links(threshold: float):
     """Rows come sorted by (bucket, x, y, block): hold one group at a time."""
     def done(t: pa.Table):
-        sets = pa.concat_arrays(t.column("set").chunks)
+        less, more = (pa.concat_arrays(t.column(c).chunks) for c in ("less", "more"))
+        n_less, n_more = (np.diff(x.offsets.to_numpy()) for x in (less, more))
+        first = t.column("first")[0].as_py()
+        # a shingle of the first set can only be lacked, another only be added, so one array holds both
+        order = np.argsort(np.concatenate([np.repeat(np.arange(len(x)), x) for x in (n_less, n_more)]), kind="stable")
+        flat = np.concatenate([less.flatten().to_numpy(), more.flatten().to_numpy()])[order]
         side = None
         if t.column("x")[0].as_py() != t.column("y")[0].as_py():
             side = int((t.column("block").to_numpy() == t.column("x")[0].as_py()).sum())
-        n = links_of(np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy(), side, threshold)
+        n = links_of(first - n_less + n_more, first - n_less, first, n_less + n_more, flat, side, threshold)
         return pa.RecordBatch.from_arrays([pa.concat_arrays(t.column("key").chunks), pa.array(n)], ["key", "n"])
 
     def run(batches):
@@ -305,16 +331,19 @@ def _links(threshold: float):
 
 def degrees(roots: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``key, n_links`` for every key in ``roots``: all pairs inside components."""
-    sized = written(roots.join(sets.select("key", F.size("set").alias("size")), "key"), "near-sized")
-    whole = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
-    sized = sized.join(whole, "root")
-    dealt = (sized.where("n > 2").withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    firsts = roots.select("root").distinct().join(sets.select(F.col("key").alias("root"), F.col("set").alias("base")), "root")
+    differing = written(roots.join(sets, "key").join(firsts, "root").select(
+        "key", "root", F.size("base").alias("first"), F.array_except("base", "set").alias("less"), F.array_except("set", "base").alias("more")), "near-differing")
+    whole = differing.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("less") + F.size("more")).alias("shingles"))
+    sized = differing.join(whole, "root")
+    blocks = F.ceil(F.greatest(F.col("n") / (LINK_BLOCKS * block), F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = (sized.where("n > 2").withColumn("blocks", blocks)
              .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("key", F.xxhash64("root").alias("bucket"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block"))
-    counted = (dealt.join(sets, "key").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "block")
-               .select("bucket", "x", "y", "block", "key", "set").mapInArrow(_links(threshold), "key binary, n long")
-               .groupBy("key").agg(F.sum("n").alias("n_links")))
+             .select(F.xxhash64("root").alias("bucket"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key",
+                     "first", "less", "more"))
+    counted = (dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "block")
+               .mapInArrow(_links(threshold), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n_links")))
     return counted.unionByName(sized.where("n = 2").select("key", F.lit(1).cast("long").alias("n_links")))
 
 
