@@ -6,7 +6,9 @@ of all its words).  Texts are linked if the Jaccard similarity of their sets is
 ``THRESHOLD`` or more; a class is a connected component of links, and its id the
 least ``doc_id`` in it.
 
-1. Each text gets a key (digest of its words) and ``HASHES`` MinHash values.
+1. Each text gets a key (digest of its words) and ``HASHES`` MinHash values, of
+   which 16 bits each are kept: unequal values agree in them by chance once in
+   65,536, far below what bands and posterior allow for.
    Equal keys are one text from here on; copies cost one row each.
 2. ``BANDS`` bands of ``ROWS`` values give buckets: a pair at the threshold
    shares none with probability 5e-8.
@@ -71,10 +73,13 @@ _ADD = _RNG.randint(0, 1 << 62, HASHES).astype(np.uint64)
 
 
 def minhash(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Signatures (rows x HASHES, uint32) of rows of shingle hashes, none empty."""
-    out = np.empty((len(off) - 1, HASHES), np.uint32)
+    """Signatures (rows x HASHES, uint16) of rows of shingle hashes, none empty.
+
+    The least of 64-bit values is taken and its bits 16 to 31 are kept, which are
+    as good as random however many shingles a text has."""
+    out = np.empty((len(off) - 1, HASHES), np.uint16)
     for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat((h * _MUL[k] + _ADD[k]) >> np.uint64(32), off[:-1])
+        out[:, k] = np.minimum.reduceat(h * _MUL[k] + _ADD[k], off[:-1]) >> np.uint64(16)
     return out
 
 
@@ -104,8 +109,8 @@ def survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _matrix(col: pa.Array) -> np.ndarray:
     if not len(col):
-        return np.zeros((0, HASHES), np.uint32)
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(len(col), HASHES)
+        return np.zeros((0, HASHES), np.uint16)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), HASHES)
 
 
 def _sign(batches):
@@ -374,7 +379,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = written(docs.mapInArrow(_sign, f"id {id_type}, key binary, sig binary"), "near-signed")
     members = signed.select("id", "key")
     reps = written(signed.where("key IS NOT NULL").select("key", "sig").dropDuplicates(["key"]), "near-texts")
-    bands = reps.select("key", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}))")).alias("band", "part"))
+    bands = reps.select("key", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(sig, i * {2 * ROWS} + 1, {2 * ROWS}))")).alias("band", "part"))
     bands = bands.select(F.xxhash64("band", "part").alias("bucket"), "band", "key")
     full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1")
     together = written(bands.join(full, "bucket"), "near-buckets")
