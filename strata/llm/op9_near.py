@@ -383,6 +383,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bands = bands.select(F.xxhash64("band", "part").alias("bucket"), "band", "key")
     full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1")
     together = written(bands.join(full, "bucket"), "near-buckets")
+    # from here on only texts that share a bucket matter
+    reps = written(reps.join(together.select("key").distinct(), "key", "left_semi"), "near-busy")
     star = together.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     kept = written(pruned(star, reps), "near-pairs")
     sets = with_sets(kept, docs, members)
