@@ -34,6 +34,15 @@ def register(fn: Query) -> Query:
     return fn
 
 
+def _tree(spark, df, name):
+    """Each row of ``path, content`` as a file at its path. A table in fewer splits
+    than there are cores is dealt over all of them: rows are small, files are many."""
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, "path")
+    return write_text_files(df, scratch_path(spark, name))
+
+
 # ----------------------------------------------------------------- overlay
 @register
 def q_layered_overlay(spark, sf):
@@ -688,7 +697,7 @@ def q_scan_files(spark, sf):
 
 def _script_tree(spark, sf, name):
     """Every script as a file at its path, with its whole content."""
-    return write_text_files(_scripts(spark, sf), scratch_path(spark, name))
+    return _tree(spark, _scripts(spark, sf), name)
 
 
 @register

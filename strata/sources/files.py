@@ -1,21 +1,35 @@
 """File-tree scans: file entries, whole-text scripts, descriptors.
 
-``binaryFile`` reads ``content`` only when it is selected, a ``length``
+``binaryFile`` (``scan_files``) reads ``content`` only when it is selected, a ``length``
 filter is pushed into the scan, and names are filtered in the listing, so
 files of other names or sizes are never opened. Paths are made relative to the scanned root, with ``/``.
+
+It lists on the driver, which then holds every file and plans a task for each few dozen.
+The scans that read whole contents (``scan_files_reported``, ``scan_scripts``,
+``scan_descriptors``, ``scan_lines``) are for trees of many small files: tasks list the
+folders, a level at a time, into a table of paths, and the tasks over that
+table open the files. File systems that ``pyarrow.fs`` does not know are left to Spark's readers.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BinaryType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
-from strata.sources.text_files import filesystem
+from strata.session import scratch_path
+from strata.sources.text_files import entries, filesystem, hidden
 
 OK, FAILED = "OK", "FAILED"
+LISTED = 10_000         # paths in one file of a listing: what a task reads at least
+LISTING_TASKS = 1_000   # tasks over the folders of one level
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20  # contents in one batch of a task, but for the last one
 FILE_SCHEMA = StructType([
     StructField("path", StringType()), StructField("length", LongType()),
     StructField("mtime", TimestampType()), StructField("content", BinaryType())])
@@ -71,6 +85,111 @@ def _tag(df: DataFrame, layer, priority) -> DataFrame:
     return df
 
 
+def _ends(name: str, ext: str, any_case: bool) -> bool:
+    if name.endswith(ext):
+        return True
+    return any_case and len(name) >= len(ext) and all(c in (e.lower(), e.upper()) for c, e in zip(name[len(name) - len(ext):], ext, strict=True))
+
+
+def _listable(full: str) -> bool:
+    """Whether tasks can list ``full``: a folder of a file system that ``pyarrow.fs`` knows."""
+    try:
+        fs, base = filesystem(full)
+        return fs.get_file_info(base or "/").type == pafs.FileType.Directory
+    except (OSError, pa.ArrowException, ImportError):
+        return False
+
+
+def list_paths(spark: SparkSession, full: str, ext: str | None = None, recursive: bool = True, any_case: bool = True) -> DataFrame:
+    """``path`` of every file below ``full`` that Spark's readers would list, taken down now.
+
+    Tasks list the folders of a level and write what they find, folders
+    first to be listed next; the driver sees how many there are. No file is opened."""
+    def run(batches):
+        fs, base = filesystem(full)
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                paths, folders = [], []
+                for name, is_folder in entries(fs, f"{base}/{folder}" if folder else base or "/"):
+                    if hidden(name) or not (is_folder if is_folder else not ext or _ends(name, ext, any_case)):
+                        continue
+                    paths.append(f"{folder}/{name}" if folder else name)
+                    folders.append(is_folder)
+                    if len(paths) == LISTED:
+                        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])
+                        paths, folders = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])
+
+    at = scratch_path(spark, "listing")
+    level, n, depth = spark.createDataFrame([("",)], "path string"), 1, 0
+    while n:
+        out = f"{at}/depth={depth}"
+        (level.repartition(min(n, LISTING_TASKS), "path").mapInArrow(run, "path string, folder boolean")
+         .write.option("maxRecordsPerFile", LISTED).partitionBy("folder").parquet(out))
+        found = spark.read.schema("path string, folder boolean").parquet(out)
+        level, depth = found.where("folder").select("path"), depth + 1
+        n = level.count() if recursive else 0
+    return spark.read.schema("path string, depth int, folder boolean").parquet(at).where("NOT folder").select("path")
+
+
+def _contents(fs: pafs.FileSystem, path: str) -> tuple[int, int, Callable[[], bytes]]:
+    """Size, time of change in microseconds, and what reads the file's bytes."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        st = os.stat(path)
+
+        def read() -> bytes:
+            with open(path, "rb", 0) as f:
+                return f.readall()
+        return st.st_size, st.st_mtime_ns // 1_000_000 * 1000, read
+    info = fs.get_file_info(path)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+
+    def read_stream() -> bytes:
+        with fs.open_input_stream(path) as f:
+            return f.read()
+    return info.size, (info.mtime_ns or 0) // 1_000_000 * 1000, read_stream
+
+
+def _mapped(paths: DataFrame, full: str, schema: pa.Schema, of_file: Callable[[pafs.FileSystem, str, str], Iterator[tuple]], ddl: str) -> DataFrame:
+    """The rows that ``of_file`` (file system, where it is, relative path) gives for each
+    path; a task holds the rows of ``BATCH_ROWS`` or about ``BATCH_BYTES`` at a time, and one file."""
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        fs, base = filesystem(full)
+        held, size = [], 0
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                for row in of_file(fs, f"{base}/{path}", path):
+                    more = sum(len(v) for v in row if isinstance(v, bytes))
+                    if held and (len(held) == BATCH_ROWS or size + more > BATCH_BYTES):
+                        yield batch(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += more
+        if held:
+            yield batch(held)
+
+    return paths.mapInArrow(run, ddl)
+
+
+def _whole(spark: SparkSession, root: str, ext: str, recursive: bool, min_size: int, missing: str, any_case: bool) -> DataFrame:
+    """``path, content`` of the files that ``scan_files`` gives."""
+    full, exists = _qualified(spark, root)
+    if not exists or not _listable(full):
+        return scan_files(spark, root, ext, recursive, min_size, missing, any_case=any_case).select("path", "content")
+
+    def of_file(fs, at, path):
+        size, _, read = _contents(fs, at)
+        if size >= min_size:
+            yield path, read()
+
+    return _mapped(list_paths(spark, full, ext, recursive, any_case), full, pa.schema([("path", pa.string()), ("content", pa.binary())]),
+                   of_file, "path string, content binary")
+
+
 def scan_files_reported(spark: SparkSession, root: str, ext: str | None = None, recursive: bool = True, min_size: int = 1,
                         missing: str = "error", max_size: int = 1 << 30) -> DataFrame:
     """``scan_files`` that outlives files it cannot read: every listed file (but for
@@ -127,8 +246,7 @@ def _text():
 def scan_scripts(spark: SparkSession, root: str, ext: str = ".sql", missing: str = "error") -> DataFrame:
     """``(path, content)``: each non-empty script as one UTF-8 string; bytes that
     are not UTF-8 become U+FFFD."""
-    files = scan_files(spark, root, ext=ext, missing=missing)
-    return files.select("path", _text().alias("content"))
+    return _whole(spark, root, ext, True, 1, missing, True).select("path", _text().alias("content"))
 
 
 def scan_descriptors(spark: SparkSession, root: str, missing: str = "empty") -> DataFrame:

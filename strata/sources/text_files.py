@@ -5,8 +5,9 @@ rows of ``path, content``.  A task writes its files into a hidden folder of its
 own below ``root`` and, when all of them are complete, moves them to their
 paths one by one; a move replaces the file that is there.  So no reader ever
 sees a half file, a task that runs twice writes the same files, and a task that fails has
-moved nothing.  The driver gets a count from each task, and removes the hidden folder
-of the job at its end, whether it was committed or aborted.
+moved nothing.  Paths wait in a file beside the hidden ones, so that a task holds one row
+and the folders it has made, however many files it writes.  The driver gets a count from each task, and removes
+the hidden folder of the job at its end, whether it was committed or aborted.
 
 Files are reached through ``pyarrow.fs`` (local and mounted paths, HDFS and
 object stores).  Other files under ``root`` stay as they are.  A path is relative
@@ -16,6 +17,9 @@ is moved; a null content is an empty file.  Paths must be unique.
 
 from __future__ import annotations
 
+import io
+import json
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -28,6 +32,8 @@ from pyspark.sql.types import StructType
 
 FORMAT = "text_files"
 STAGING = "_staging-"
+PATHS = "paths"           # a task's list of the paths it writes
+KNOWN_FOLDERS = 100_000   # folders a task remembers to have made
 
 
 @dataclass
@@ -52,6 +58,24 @@ def checked(path: str | None) -> str:
     return clean
 
 
+def hidden(name: str) -> bool:
+    """Names that Spark's readers pass over, folders included."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Name and whether it is a folder of what ``folder`` holds, one by one and unopened."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for e in found:
+                yield e.name, e.is_dir()
+    else:
+        for info in fs.get_file_info(pafs.FileSelector(folder)):
+            yield info.base_name, info.type == pafs.FileType.Directory
+
+
 class TextFilesWriter(DataSourceWriter):
     def __init__(self, root: str, schema: StructType):
         if missing := {"path", "content"} - set(schema.names):
@@ -61,18 +85,26 @@ class TextFilesWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         fs, root = filesystem(self.root)
         own = f"{root}/{self.job}/{uuid.uuid4().hex}"
-        made: dict[str, str] = {}
         fs.create_dir(own, recursive=True)
-        for n, row in enumerate(iterator):
-            target = checked(row["path"])
-            with fs.open_output_stream(f"{own}/{n}") as out:
-                out.write((row["content"] or "").encode())
-            made[target] = f"{own}/{n}"
-        for folder in {posixpath.dirname(t) for t in made} - {""}:
-            fs.create_dir(f"{root}/{folder}", recursive=True)
-        for target, staged in made.items():
-            fs.move(staged, f"{root}/{target}")
-        return Written(len(made))
+        local = isinstance(fs, pafs.LocalFileSystem)
+        n, made = 0, {""}
+        with fs.open_output_stream(f"{own}/{PATHS}", buffer_size=1 << 16) as paths:
+            for row in iterator:
+                target = checked(row["path"])
+                with (open(f"{own}/{n}", "wb", 0) if local else fs.open_output_stream(f"{own}/{n}")) as out:
+                    out.write((row["content"] or "").encode())
+                paths.write(json.dumps(target).encode() + b"\n")
+                n += 1
+        with fs.open_input_stream(f"{own}/{PATHS}", buffer_size=1 << 16) as paths:
+            for i, line in enumerate(io.TextIOWrapper(paths, "ascii")):
+                target = json.loads(line)
+                if (folder := posixpath.dirname(target)) not in made:
+                    fs.create_dir(f"{root}/{folder}", recursive=True)
+                    if len(made) >= KNOWN_FOLDERS:
+                        made = {""}
+                    made.add(folder)
+                (os.replace if local else fs.move)(f"{own}/{i}", f"{root}/{target}")
+        return Written(n)
 
     def _clean(self) -> None:
         fs, root = filesystem(self.root)

@@ -91,3 +91,35 @@ def test_scripts_without_a_from_version_are_reported(spark):
     taken, left = packages.upgrade_packages(df, "2.0.0", "1.0.0"), packages.upgrade_rejects(df, "2.0.0")
     assert rows(taken, "source_path") == [("x/update_db_a-1.0.0-2.0.0.sql",)]
     assert rows(left) == [("x/update2.0.0.sql", "no from-version"), ("x/update_db-2.0.0.sql", "no from-version")]
+
+
+SMALL = [(f"d{i % 7}/e{i % 3}/f{i}.sql", f"line {i}\n-- é") for i in range(2000)]
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("many") / "tree")
+    write_text_files(spark.createDataFrame(SMALL, "path string, content string").repartition(4, "path"), root)
+    for name in (".hid.sql", "_hid.sql", "note.txt", "d0/_hid/x.sql"):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w") as f:
+            f.write("x")
+    return root
+
+
+def few_tasks(df):
+    """As many tasks as cores at most, not one for each few dozen files."""
+    return df.rdd.getNumPartitions() <= df.sparkSession.sparkContext.defaultParallelism
+
+
+def test_scripts_of_many_small_files(spark, many):
+    found = files.scan_scripts(spark, many)
+    assert few_tasks(found) and rows(found) == sorted(SMALL, key=repr)
+
+
+def test_odd_paths_are_written_and_listed(spark, tmp_path):
+    root = str(tmp_path / "out")
+    df = spark.createDataFrame([("a\nb/%20 é.sql", "1"), ("c.sql", "first"), ("./c.sql", "last"), ("k=v/_x=1.sql", "2")], "path string, content string")
+    write_text_files(df.coalesce(1), root)
+    assert rows(files.scan_scripts(spark, root)) == sorted([("a\nb/%20 é.sql", "1"), ("c.sql", "last"), ("k=v/_x=1.sql", "2")], key=repr)
+    assert rows(files.scan_scripts(spark, root, ext=".none")) == [] and rows(files.scan_descriptors(spark, root + "/gone")) == []
