@@ -526,7 +526,7 @@ def q_scan_descriptors(spark, sf):
     name = F.substring_index("path", "/", -1)
     place = (F.when(F.col("p_partkey") % 23 == 0, F.concat(F.lit("more/"), name))
              .when(F.col("p_partkey") % 29 == 0, F.upper(name)).otherwise(name))
-    root = write_text_files(d.select(place.alias("path"), F.col("xml").alias("content")), scratch_path(spark, "scan-descriptors"))
+    root = _tree(spark, d.select(place.alias("path"), F.col("xml").alias("content")), "scan-descriptors")
     p = descriptors.parse_descriptors(files.scan_descriptors(spark, root), which="last")
     return p.select("path", "valid", "name_first", F.col("name").alias("name_last"), "version", "db_required")
 

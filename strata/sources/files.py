@@ -252,5 +252,4 @@ def scan_scripts(spark: SparkSession, root: str, ext: str = ".sql", missing: str
 def scan_descriptors(spark: SparkSession, root: str, missing: str = "empty") -> DataFrame:
     """``(path, xml)`` for ``*.xml`` directly in ``root`` (not recursive, case-sensitive
     extension); a missing folder gives an empty result."""
-    files = scan_files(spark, root, ext=".xml", recursive=False, min_size=0, missing=missing, any_case=False)
-    return files.select("path", _text().alias("xml"))
+    return _whole(spark, root, ".xml", False, 0, missing, False).select("path", _text().alias("xml"))

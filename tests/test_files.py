@@ -117,6 +117,14 @@ def test_scripts_of_many_small_files(spark, many):
     assert few_tasks(found) and rows(found) == sorted(SMALL, key=repr)
 
 
+def test_descriptors_of_one_large_folder(spark, tmp_path):
+    root = str(tmp_path / "plugins")
+    want = [(f"p{i}.xml", f"<p>{i}</p>") for i in range(1500)] + [("empty.xml", "")]
+    write_text_files(spark.createDataFrame([*want, ("more/x.xml", "<p/>"), ("k=1/y.xml", "<p/>"), ("u.XML", "<p/>")], "path string, content string"), root)
+    found = files.scan_descriptors(spark, root)
+    assert few_tasks(found) and rows(found) == sorted(want, key=repr)
+
+
 def test_odd_paths_are_written_and_listed(spark, tmp_path):
     root = str(tmp_path / "out")
     df = spark.createDataFrame([("a\nb/%20 é.sql", "1"), ("c.sql", "first"), ("./c.sql", "last"), ("k=v/_x=1.sql", "2")], "path string, content string")
