@@ -680,7 +680,7 @@ def q_last_line_long(spark, sf):
 def q_scan_reported(spark, sf):
     """Documents written as files and scanned with a status each; those beyond 2,000 bytes count as too large."""
     d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    root = write_text_files(d, scratch_path(spark, "scan-reported"))
+    root = _tree(spark, d, "scan-reported")
     found = files.scan_files_reported(spark, root, ext=".txt", max_size=2000)
     return found.select("path", "length", "status", "reason", F.md5("content").alias("content_md5"))
 

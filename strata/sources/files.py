@@ -196,27 +196,34 @@ def scan_files_reported(spark: SparkSession, root: str, ext: str | None = None,
     those deleted before they are reached) is a row with ``status`` OK or FAILED and the ``reason``; a failed one has null
     content. The listing opens no file; tasks then read each on its own (a
     file beyond ``max_size`` bytes is reported, not read)."""
-    listed = scan_files(spark, root, ext, recursive, min_size, missing, ignore_missing=True).select("path", "length", "mtime")
-    full, _ = _qualified(spark, root)
-    schema = pa.schema([("content", pa.binary()), ("status", pa.string()), ("reason", pa.string())])
+    ddl = "path string, length long, mtime timestamp, content binary, status string, reason string"
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("content", pa.binary()),
+                        ("status", pa.string()), ("reason", pa.string())])
+    full, exists = _qualified(spark, root)
 
-    def read(path: str, length: int) -> tuple[bytes | None, str, str | None]:
+    def of_file(fs, at, path):
+        try:
+            size, mtime, read = _contents(fs, at)
+        except FileNotFoundError:
+            return
+        except (OSError, pa.ArrowException) as e:
+            yield path, None, None, None, FAILED, f"{type(e).__name__}: {e}"
+            return
+        if size < min_size:
+            return
         try:
-            if length > max_size:
+            if size > max_size:
                 raise OSError(f"larger than {max_size} bytes")
-            fs, base = filesystem(full)
-            with fs.open_input_stream(f"{base}/{path}") as f:
-                return f.read(), OK, None
+            got = read(), OK, None
         except (OSError, pa.ArrowException) as e:
-            return None, FAILED, f"{type(e).__name__}: {e}"
-
-    def run(batches):
-        for b in batches:
-            for i, (path, length) in enumerate(zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True)):
-                got = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(read(path, length), schema, strict=True)], schema=schema)
-                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, *got.columns], [*b.schema.names, *schema.names])
-
-    return listed.mapInArrow(run, "path string, length long, mtime timestamp, content binary, status string, reason string")
+            got = None, FAILED, f"{type(e).__name__}: {e}"
+        yield path, size, mtime, *got
+
+    if exists and _listable(full):
+        paths = list_paths(spark, full, ext, recursive)
+    else:
+        paths = scan_files(spark, root, ext, recursive, min_size, missing, ignore_missing=True).select("path")
+    return _mapped(paths, full, schema, of_file, ddl)
 
 
 def scan_lines(spark: SparkSession, root: str, ext: str | None = None, any_case: bool = True) -> DataFrame:

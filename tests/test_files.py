@@ -125,6 +125,13 @@ def test_descriptors_of_one_large_folder(spark, tmp_path):
     assert few_tasks(found) and rows(found) == sorted(want, key=repr)
 
 
+def test_reports_of_many_small_files(spark, many):
+    found = files.scan_files_reported(spark, many, ext=".SQL", max_size=12)
+    assert few_tasks(found)
+    want = [(p, len(t.encode()), "OK" if len(t.encode()) <= 12 else "FAILED", t.encode() if len(t.encode()) <= 12 else None) for p, t in SMALL]
+    assert rows(found, "path", "length", "status", "content") == sorted(want, key=repr)
+
+
 def test_odd_paths_are_written_and_listed(spark, tmp_path):
     root = str(tmp_path / "out")
     df = spark.createDataFrame([("a\nb/%20 é.sql", "1"), ("c.sql", "first"), ("./c.sql", "last"), ("k=v/_x=1.sql", "2")], "path string, content string")
