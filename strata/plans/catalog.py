@@ -672,7 +672,7 @@ def q_rewrite_lines_table(spark, sf):
 def q_last_line_long(spark, sf):
     """Documents written as files and read line by line: last line and number of lines."""
     d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    root = write_text_files(d, scratch_path(spark, "last-line-long"))
+    root = _tree(spark, d, "last-line-long")
     return files.last_lines(files.scan_lines(spark, root))
 
 

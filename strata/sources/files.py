@@ -14,7 +14,9 @@ table open the files. File systems that ``pyarrow.fs`` does not know are left to
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -229,15 +231,54 @@ def scan_files_reported(spark: SparkSession, root: str, ext: str | None = None,
 def scan_lines(spark: SparkSession, root: str, ext: str | None = None, any_case: bool = True) -> DataFrame:
     """``path, block, at, line``: the lines of every file, for files of any size.
 
-    A file is split like any other text, so no row holds more than a line.
+    A file beyond ``spark.sql.files.maxPartitionBytes`` is split like any other text, so no row holds more than a line;
+    smaller ones are read whole, many to a task.
     ``(block, at)`` order the lines of a file: where their split begins in it, and the
     reader's order within the split. Empty files have no lines.
     """
-    full, _ = _qualified(spark, root)
+    full, exists = _qualified(spark, root)
+    if not exists or not _listable(full):
+        return _split_lines(spark, full, [root], ext, any_case)
+    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    paths = list_paths(spark, full, ext, any_case=any_case)
+
+    def long(fs, at, path):
+        if _contents(fs, at)[0] > limit:
+            yield path,
+
+    def of_file(fs, at, path):
+        size, _, read = _contents(fs, at)
+        name = _quoted(path)
+        if size <= limit:
+            # as Spark's reader cuts lines: at \n, \r or both, a byte-order mark left out
+            for i, line in enumerate(read().removeprefix(b"\xef\xbb\xbf").splitlines()):
+                yield name, 0, i, line
+
+    lines = _mapped(paths, full, pa.schema([("path", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("line", pa.binary())]), of_file,
+                    "path string, block long, at long, line binary").withColumn("line", F.col("line").cast("string"))
+    large = [r["path"] for r in _mapped(paths, full, pa.schema([("path", pa.string())]), long, "path string").collect()]  # at most one a split of the input
+    return lines.unionByName(_split_lines(spark, full, [f"{full}/{_escaped(p)}" for p in large])) if large else lines
+
+
+# what ``_metadata.file_path`` quotes: all of ASCII but these, and spaces and controls beyond it
+_QUOTED = re.compile(r"[^\w\-!.~'()*,;:$&+=@/\x80-\U0010ffff]|[\x80-\x9f\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _quoted(path: str) -> str:
+    """``path`` as ``_metadata.file_path`` has it."""
+    return _QUOTED.sub(lambda m: quote(m[0], safe=""), path)
+
+
+def _escaped(path: str) -> str:
+    """``path`` as a pattern that matches it alone."""
+    return "".join("\\" + c if c in "\\*?[]{}" else c for c in path)
+
+
+def _split_lines(spark: SparkSession, full: str, roots: list[str], ext: str | None = None, any_case: bool = True) -> DataFrame:
     reader = spark.read.format("text").option("recursiveFileLookup", "true")
     if ext:
         reader = reader.option("pathGlobFilter", _name_glob(ext) if any_case else "*" + ext)
-    df = reader.load(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    df = reader.load(roots).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
     return df.select(_relative(full).alias("path"), "block", F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 

@@ -132,6 +132,20 @@ def test_reports_of_many_small_files(spark, many):
     assert rows(found, "path", "length", "status", "content") == sorted(want, key=repr)
 
 
+def test_lines_of_many_small_files(spark, many):
+    found = files.scan_lines(spark, many, ext=".sql")
+    assert few_tasks(found)
+    assert rows(files.last_lines(found)) == sorted(((p, "-- é", 2) for p, _ in SMALL), key=repr)
+
+
+def test_lines_are_cut_as_by_the_text_reader(spark, tmp_path):
+    (tmp_path / "a b[1].txt").write_bytes(b"\xef\xbb\xbfone\rtwo\r\n\nthree\x0bfour\xff\n\n")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    got = files.scan_lines(spark, str(tmp_path)).orderBy("path", "block", "at").select("path", F.hex("line").alias("line")).collect()
+    want = spark.read.text(str(tmp_path)).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("path"), F.hex("value").alias("line")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(got) == 5
+
+
 def test_odd_paths_are_written_and_listed(spark, tmp_path):
     root = str(tmp_path / "out")
     df = spark.createDataFrame([("a\nb/%20 é.sql", "1"), ("c.sql", "first"), ("./c.sql", "last"), ("k=v/_x=1.sql", "2")], "path string, content string")
