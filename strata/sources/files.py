@@ -103,7 +103,8 @@ def _listable(full: str) -> bool:
 
 
 def list_paths(spark: SparkSession, full: str, ext: str | None = None, recursive: bool = True, any_case: bool = True) -> DataFrame:
-    """``path`` of every file below ``full`` that Spark's readers would list, taken down now.
+    """``path`` of every file below ``full`` that Spark's readers would list, taken down now
+    (also of empty files, which they pass over; those who open them leave them out).
 
     Tasks list the folders of a level and write what they find, folders
     first to be listed next; the driver sees how many there are. No file is opened."""
@@ -185,7 +186,7 @@ def _whole(spark: SparkSession, root: str, ext: str, recursive: bool, min_size:
 
     def of_file(fs, at, path):
         size, _, read = _contents(fs, at)
-        if size >= min_size:
+        if size >= max(min_size, 1):
             yield path, read()
 
     return _mapped(list_paths(spark, full, ext, recursive, any_case), full, pa.schema([("path", pa.string()), ("content", pa.binary())]),
@@ -211,7 +212,7 @@ def scan_files_reported(spark: SparkSession, root: str, ext: str | None = None,
         except (OSError, pa.ArrowException) as e:
             yield path, None, None, None, FAILED, f"{type(e).__name__}: {e}"
             return
-        if size < min_size:
+        if size < max(min_size, 1):
             return
         try:
             if size > max_size:
