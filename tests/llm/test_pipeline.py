@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from strata.llm import op3_language, op5_secrets
+from strata.llm import op2_winnow, op3_language, op5_secrets, op9_near, scratch
 from tests.llm.test_near import brute
 from tests.llm.test_native import contamination
 
@@ -70,3 +70,35 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, SF)
     assert at.count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled_to_drop_some(spark, tmp_path, monkeypatch):
+    """Ids to drop are broadcast up to a limit above the planner's own; beyond it the join goes by shuffle, with the same rows."""
+    rng = random.Random(3)
+    bench = " ".join(f"bench{i}" for i in range(30))
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)), "en", "s", 0) for i in range(30)]
+    rows += [(100 + i, rows[i][1], "en", "s", 0) for i in range(5)]
+    rows += [(200, bench, "en", "s", 0), (200, rows[7][1], "en", "s", 0), (None, bench, "en", "s", 0), (9, rows[9][1], "en", "s", 0), (201, None, "en", "s", 0)]
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, COLUMNS)
+    planned = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {}
+        for limit in (1_000_000, 0):
+            monkeypatch.setattr(scratch, "BROADCAST_KEYS", limit)
+            for stage, at in ((op9_near.keep_one, docs.where("doc_id < 200 AND doc_id != 9")), (op9_near.keep_one, docs), (op2_winnow.drop_contaminated, docs)):
+                out = stage(spark, at, str(tmp_path))
+                got.setdefault(limit, []).append(sorted((tuple(r) for r in out.collect()), key=repr))
+                if at is not docs or stage is op2_winnow.drop_contaminated:
+                    assert ("Exchange hashpartitioning" in plan(out)) == (limit == 0)
+        assert got[1_000_000] == got[0]
+        near, _, clean = got[0]
+        assert {r[0] for r in near} == set(range(30)) - {9} and {r[0] for r in rows} - {r[0] for r in clean} == {None}
+        assert len(clean) == len(rows) - 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", planned)
