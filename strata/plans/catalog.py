@@ -17,14 +17,17 @@ from strata.operators import (artifacts, closure, descriptors, overlay, packages
                               sync, versions)
 from strata.operators import assemble as assemble_op
 from strata.plans.fixtures import FIXTURES, fixture
-from strata.session import scratch_path
+from strata.session import scratch_path, written
 from strata.sources import files, sinks
 from strata.sources.tables import table
-from strata.sources.text_files import write_text_files
+from strata.sources.text_files import remove_text_files, write_text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+ROUND_BYTES = 1 << 30  # disk of the files of one round, if their texts have less
+FILE_BLOCK, INODE = 4096, 1024
+
 LAYER_KEY = ("l_orderkey", "l_linenumber")
 LAYER_TIEBREAK = ("l_shipdate", "l_suppkey", "l_partkey", "l_extendedprice")
 
@@ -43,6 +46,31 @@ def _tree(spark, df, name):
     return write_text_files(df, scratch_path(spark, name))
 
 
+def _over_tree(spark, df, name, job):
+    """What ``job`` (root -> rows) makes of a tree with each row of ``path, content`` as
+    a file at its path.
+
+    A file takes a block and an inode however short it is, so paths are dealt into
+    rounds whose files take ``ROUND_BYTES``, or as much as all texts have if that is
+    more: every row is written as a file, gone over by ``job`` and removed before the
+    next round is written. Rows of one path meet in one round. ``job`` must treat paths one by one."""
+    df = df.select("path", F.col("content").cast("string").alias("content"))
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    total = df.agg(F.sum(F.ceil(size / FILE_BLOCK) * FILE_BLOCK + INODE).alias("disk"), F.sum(size).alias("texts")).first()
+    rounds = -(-(total["disk"] or 0) // max(ROUND_BYTES, total["texts"] or 0))
+    if rounds <= 1:
+        return job(_tree(spark, df, name))
+    dealt = written(df.withColumn("round", F.pmod(F.xxhash64("path"), F.lit(rounds)).cast("int")).hint("rebalance", "round"), name + "-dealt", "round")
+    out = scratch_path(spark, name + "-rows")
+    for k in range(rounds):
+        part = dealt.where(F.col("round") == k).select("path", "content")
+        root = _tree(spark, part, name)
+        found = job(root)
+        found.write.mode("append").parquet(out)
+        remove_text_files(part, root)
+    return spark.read.schema(found.schema).parquet(out)
+
+
 # ----------------------------------------------------------------- overlay
 @register
 def q_layered_overlay(spark, sf):
@@ -526,9 +554,12 @@ def q_scan_descriptors(spark, sf):
     name = F.substring_index("path", "/", -1)
     place = (F.when(F.col("p_partkey") % 23 == 0, F.concat(F.lit("more/"), name))
              .when(F.col("p_partkey") % 29 == 0, F.upper(name)).otherwise(name))
-    root = _tree(spark, d.select(place.alias("path"), F.col("xml").alias("content")), "scan-descriptors")
-    p = descriptors.parse_descriptors(files.scan_descriptors(spark, root), which="last")
-    return p.select("path", "valid", "name_first", F.col("name").alias("name_last"), "version", "db_required")
+
+    def job(root):
+        p = descriptors.parse_descriptors(files.scan_descriptors(spark, root), which="last")
+        return p.select("path", "valid", "name_first", F.col("name").alias("name_last"), "version", "db_required")
+
+    return _over_tree(spark, d.select(place.alias("path"), F.col("xml").alias("content")), "scan-descriptors", job)
 
 
 @register
@@ -672,17 +703,19 @@ def q_rewrite_lines_table(spark, sf):
 def q_last_line_long(spark, sf):
     """Documents written as files and read line by line: last line and number of lines."""
     d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    root = _tree(spark, d, "last-line-long")
-    return files.last_lines(files.scan_lines(spark, root))
+    return _over_tree(spark, d, "last-line-long", lambda root: files.last_lines(files.scan_lines(spark, root)))
 
 
 @register
 def q_scan_reported(spark, sf):
     """Documents written as files and scanned with a status each; those beyond 2,000 bytes count as too large."""
     d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    root = _tree(spark, d, "scan-reported")
-    found = files.scan_files_reported(spark, root, ext=".txt", max_size=2000)
-    return found.select("path", "length", "status", "reason", F.md5("content").alias("content_md5"))
+
+    def job(root):
+        found = files.scan_files_reported(spark, root, ext=".txt", max_size=2000)
+        return found.select("path", "length", "status", "reason", F.md5("content").alias("content_md5"))
+
+    return _over_tree(spark, d, "scan-reported", job)
 
 
 @register
@@ -695,25 +728,23 @@ def q_scan_files(spark, sf):
             .agg(F.sum("length").alias("n_bytes")))
 
 
-def _script_tree(spark, sf, name):
-    """Every script as a file at its path, with its whole content."""
-    return _tree(spark, _scripts(spark, sf), name)
-
-
 @register
 def q_scan_scripts(spark, sf):
     """Whole scripts, written as files and scanned back (empty ones are not listed)."""
-    return files.scan_scripts(spark, _script_tree(spark, sf, "scan-scripts")).select("path", "content")
+    return _over_tree(spark, _scripts(spark, sf), "scan-scripts", lambda root: files.scan_scripts(spark, root).select("path", "content"))
 
 
 @register
 def q_write_back(spark, sf):
     """A tree of scripts after a run: scanned, processed, written back over itself, scanned again."""
-    root = _script_tree(spark, sf, "write-back")
     component, name = F.split("path", "/")[3], F.substring_index("path", "/", -1)
-    found = files.scan_scripts(spark, root).withColumns({"component": component, "file_name": name})
-    sinks.write_back(scripts.process_scripts(found, file_name="file_name"), root)
-    return files.scan_scripts(spark, root).select("path", "content")
+
+    def job(root):
+        found = files.scan_scripts(spark, root).withColumns({"component": component, "file_name": name})
+        sinks.write_back(scripts.process_scripts(found, file_name="file_name"), root)
+        return files.scan_scripts(spark, root).select("path", "content")
+
+    return _over_tree(spark, _scripts(spark, sf), "write-back", job)
 
 
 @register

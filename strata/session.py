@@ -82,12 +82,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", *by: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     The plan above is cut, nothing is kept on executors, and a lost executor
-    does not lose the rows.
+    does not lose the rows. ``by``: columns with a folder for each value.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -138,3 +138,21 @@ def write_text_files(df: DataFrame, root: str, path: str = "path", content: str
     register(df.sparkSession)
     df.selectExpr(f"CAST(`{path}` AS STRING) AS path", f"CAST(`{content}` AS STRING) AS content").write.format(FORMAT).mode("append").save(root)
     return root
+
+
+def remove_text_files(df: DataFrame, root: str, path: str = "path") -> None:
+    """Remove the files ``root/path`` of the rows of ``df`` in tasks, then ``root`` with what is left of it."""
+    def run(batches):
+        fs, base = filesystem(root)
+        for b in batches:
+            for p in b.column("path").to_pylist():
+                try:
+                    fs.delete_file(f"{base}/{checked(p)}")
+                except FileNotFoundError:
+                    pass  # a path that comes twice, or a task that runs again
+            yield b.slice(0, 0)
+
+    spark = df.sparkSession
+    df.selectExpr(f"CAST(`{path}` AS STRING) AS path").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from strata.operators import assemble, overlay, packages, patterns
+from strata.plans import catalog
 from strata.sources import files, sinks
 from strata.sources.text_files import checked, write_text_files
 
@@ -153,3 +154,37 @@ def test_odd_paths_are_written_and_listed(spark, tmp_path):
     write_text_files(df.coalesce(1), root)
     assert rows(files.scan_scripts(spark, root)) == sorted([("a\nb/%20 é.sql", "1"), ("c.sql", "last"), ("k=v/_x=1.sql", "2")], key=repr)
     assert rows(files.scan_scripts(spark, root, ext=".none")) == [] and rows(files.scan_descriptors(spark, root + "/gone")) == []
+
+
+def test_a_tree_larger_than_a_round_is_gone_over_in_rounds(spark, monkeypatch):
+    """Disk holds one round's files; every row is still written and scanned."""
+    want = [(f"p{i % 5}/f{i}.sql", f"text {i} é") for i in range(120)]
+    df = spark.createDataFrame([*want, ("p0/empty.sql", ""), ("p1/null.sql", None), ("p0/f0.sql", want[0][1])], "path string, content string").repartition(3)
+    monkeypatch.setattr(catalog, "ROUND_BYTES", 20 * 5120)
+    roots, most = [], []
+
+    def job(root):
+        roots.append(root.removeprefix("file:"))
+        most.append(len(tree(roots[-1])))
+        return files.scan_scripts(spark, root).select("path", "content")
+
+    out = catalog._over_tree(spark, df, "rounds", job)
+    assert rows(out) == sorted(want, key=repr)
+    assert len(roots) == 7 and max(most) < 60 and sum(most) == 122
+    assert not any(map(os.path.exists, roots))
+
+
+def test_queries_over_trees_give_the_same_rows_in_rounds(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    for name in ("scan_scripts", "write_back"):
+        whole = rows(catalog.REGISTRY[name](spark, sf))
+        with monkeypatch.context() as m:
+            m.setattr(catalog, "ROUND_BYTES", 1 << 22)
+            assert rows(catalog.REGISTRY[name](spark, sf)) == whole
+
+
+def test_a_null_path_fails_in_rounds_too(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "ROUND_BYTES", 5120)
+    df = spark.createDataFrame([("a.sql", "1"), ("b.sql", "2"), (None, "3")], "path string, content string")
+    with pytest.raises(Exception, match="without a path"):
+        catalog._over_tree(spark, df, "rounds", lambda root: files.scan_scripts(spark, root))
