@@ -20,7 +20,7 @@ from strata.plans.fixtures import FIXTURES, fixture
 from strata.session import scratch_path, written
 from strata.sources import files, sinks
 from strata.sources.tables import table
-from strata.sources.text_files import remove_text_files, write_text_files
+from strata.sources.text_files import remove_spare_files, remove_text_files, write_text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -37,37 +37,42 @@ def register(fn: Query) -> Query:
     return fn
 
 
-def _tree(spark, df, name):
+def _tree(spark, df, name, spare=None):
     """Each row of ``path, content`` as a file at its path. A table in fewer splits
     than there are cores is dealt over all of them: rows are small, files are many."""
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores, "path")
-    return write_text_files(df, scratch_path(spark, name))
+    return write_text_files(df, scratch_path(spark, name), spare=spare)
 
 
-def _over_tree(spark, df, name, job):
+def _over_tree(spark, df, name, job, back=None):
     """What ``job`` (root -> rows) makes of a tree with each row of ``path, content`` as
     a file at its path.
 
     A file takes a block and an inode however short it is, so paths are dealt into
     rounds whose files take ``ROUND_BYTES``, or as much as all texts have if that is
     more: every row is written as a file, gone over by ``job`` and removed before the
-    next round is written. Rows of one path meet in one round. ``job`` must treat paths one by one."""
+    next round is written, over the spare files of the last. Rows of one path meet in one round. ``job`` must treat paths one by one;
+    ``back`` is its own folder of spare files, if it writes."""
     df = df.select("path", F.col("content").cast("string").alias("content"))
     size = F.coalesce(F.octet_length("content"), F.lit(0))
     total = df.agg(F.sum(F.ceil(size / FILE_BLOCK) * FILE_BLOCK + INODE).alias("disk"), F.sum(size).alias("texts")).first()
     rounds = -(-(total["disk"] or 0) // max(ROUND_BYTES, total["texts"] or 0))
     if rounds <= 1:
         return job(_tree(spark, df, name))
-    dealt = written(df.withColumn("round", F.pmod(F.xxhash64("path"), F.lit(rounds)).cast("int")).hint("rebalance", "round"), name + "-dealt", "round")
-    out = scratch_path(spark, name + "-rows")
+    key, slots = F.xxhash64("path"), 4 * spark.sparkContext.defaultParallelism  # a round in as many files as keep all cores at work
+    dealt = df.withColumns({"round": F.pmod(key, F.lit(rounds)).cast("int"), "slot": F.pmod(F.shiftright(key, 32), F.lit(slots))}).hint("rebalance", "round", "slot").drop("slot")
+    dealt = written(dealt, name + "-dealt", "round")
+    out, spare = scratch_path(spark, name + "-rows"), scratch_path(spark, name + "-spare")
     for k in range(rounds):
         part = dealt.where(F.col("round") == k).select("path", "content")
-        root = _tree(spark, part, name)
+        root = _tree(spark, part, name, spare)
         found = job(root)
         found.write.mode("append").parquet(out)
         remove_text_files(part, root)
+    for kept in filter(None, (spare, back)):
+        remove_spare_files(spark, kept)
     return spark.read.schema(found.schema).parquet(out)
 
 
@@ -738,13 +743,14 @@ def q_scan_scripts(spark, sf):
 def q_write_back(spark, sf):
     """A tree of scripts after a run: scanned, processed, written back over itself, scanned again."""
     component, name = F.split("path", "/")[3], F.substring_index("path", "/", -1)
+    back = scratch_path(spark, "write-back-spare")
 
     def job(root):
         found = files.scan_scripts(spark, root).withColumns({"component": component, "file_name": name})
-        sinks.write_back(scripts.process_scripts(found, file_name="file_name"), root)
+        sinks.write_back(scripts.process_scripts(found, file_name="file_name"), root, spare=back)
         return files.scan_scripts(spark, root).select("path", "content")
 
-    return _over_tree(spark, _scripts(spark, sf), "write-back", job)
+    return _over_tree(spark, _scripts(spark, sf), "write-back", job, back)
 
 
 @register

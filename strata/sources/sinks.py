@@ -26,12 +26,13 @@ def write_scripts(df: DataFrame, dest: str, dry_run: bool = False, dry_run_dest:
     return out
 
 
-def write_back(df: DataFrame, root: str, dry_run: bool = False, dry_run_dest: str | None = None) -> str:
+def write_back(df: DataFrame, root: str, dry_run: bool = False, dry_run_dest: str | None = None, spare: str | None = None) -> str:
     """Write the TAGGED and FIXED scripts as files at their relative ``path``:
     over the tree under ``root``, or with ``dry_run`` beside it (``dry_run_dest``,
-    else ``root`` with ``-dry-run``). Other files of the tree stay as they are."""
+    else ``root`` with ``-dry-run``). Other files of the tree stay as they are.
+    ``spare``: a folder of spare files for trees that come and go (see ``text_files``)."""
     out = (dry_run_dest or root.rstrip("/") + "-dry-run") if dry_run else root
-    return write_text_files(df.where(F.col("action").isin(TAGGED, FIXED)), out)
+    return write_text_files(df.where(F.col("action").isin(TAGGED, FIXED)), out, spare=spare)
 
 
 def write_state(df: DataFrame, dest: str, header: Sequence[str] = (), key: str = "key", value: str = "value",

@@ -9,7 +9,7 @@ from conftest import rows
 from strata.operators import assemble, overlay, packages, patterns
 from strata.plans import catalog
 from strata.sources import files, sinks
-from strata.sources.text_files import checked, write_text_files
+from strata.sources.text_files import checked, linked, remove_spare_files, remove_text_files, write_text_files
 
 
 def tree(root):
@@ -188,3 +188,55 @@ def test_a_null_path_fails_in_rounds_too(spark, monkeypatch):
     df = spark.createDataFrame([("a.sql", "1"), ("b.sql", "2"), (None, "3")], "path string, content string")
     with pytest.raises(Exception, match="without a path"):
         catalog._over_tree(spark, df, "rounds", lambda root: files.scan_scripts(spark, root))
+
+
+def test_rounds_write_over_the_files_of_the_last_round(spark, monkeypatch):
+    """Files are not made and freed anew for each round, and no spare file is left."""
+    df = spark.createDataFrame([(f"p{i % 5}/f{i}.sql", "é" * (i * 37 % 90 + 1)) for i in range(400)], "path string, content string").repartition(3)
+    monkeypatch.setattr(catalog, "ROUND_BYTES", 40 * 5120)
+    seen, roots = set(), []
+
+    def job(root):
+        roots.append(root.removeprefix("file:"))
+        seen.update(os.stat(os.path.join(d, f)).st_ino for d, _, names in os.walk(roots[-1]) for f in names)
+        return files.scan_scripts(spark, root).select("path", "content")
+
+    out = catalog._over_tree(spark, df, "reused", job)
+    assert rows(out) == rows(df) and len(roots) == 10
+    assert len(seen) < 250
+    assert not [d for d in os.listdir(os.path.dirname(roots[0])) if d.startswith("reused") and "spare" in d]
+
+
+def test_spare_files_in_use_are_not_written_over(spark, tmp_path):
+    a, b, c, spare = (str(tmp_path / n) for n in ("a", "b", "c", "spare"))
+
+    def frame(text, n):
+        return spark.createDataFrame([(f"d/{i}.sql", text[:len(text) - i]) for i in range(n)], "path string, content string").coalesce(2)
+
+    def want(text, n):
+        return {f"d/{i}.sql": text[:len(text) - i] for i in range(n)}
+
+    write_text_files(frame("a long text", 12), a, spare=spare)
+    write_text_files(frame("other", 6), b, spare=spare)
+    assert tree(a) == want("a long text", 12) and tree(b) == want("other", 6)
+    write_text_files(frame("new", 4), a, spare=spare)  # over a tree that is there
+    assert tree(a) == {**want("a long text", 12), **want("new", 4)} and tree(b) == want("other", 6)
+    remove_text_files(frame("", 12), a)
+    with pytest.raises(Exception, match="not a relative path"):
+        write_text_files(frame("bad", 3).union(spark.createDataFrame([("../x", "bad")], "path string, content string")).coalesce(1), c, spare=spare)
+    write_text_files(frame("last", 20), c, spare=spare)
+    assert tree(c) == want("last", 20) and tree(b) == want("other", 6)
+    remove_spare_files(spark, spare)
+    assert not os.path.exists(spare) and tree(c) == want("last", 20)
+
+
+@pytest.mark.parametrize("new", [True, False])
+def test_files_are_moved_where_there_are_no_second_names(tmp_path, monkeypatch, new):
+    def link(at, target):
+        raise PermissionError(target)
+
+    (tmp_path / "a").write_text("a")
+    (tmp_path / "b").write_text("old")
+    monkeypatch.setattr(os, "link", link)
+    linked(str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "link"), new)
+    assert tree(tmp_path) == {"b": "a"}
