@@ -20,7 +20,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BinaryType, LongType, StringType, StructField, StructType,
                                TimestampType)
@@ -107,31 +107,40 @@ def list_paths(spark: SparkSession, full: str, ext: str | None = None, recursive
     (also of empty files, which they pass over; those who open them leave them out).
 
     Tasks list the folders of a level and write what they find, folders
-    first to be listed next; the driver sees how many there are. No file is opened."""
+    first to be listed next; the driver sees how many there are. A folder that is alone in its
+    own is listed by the same task, so a chain of folders is one level. No file is opened."""
+    def batch(paths, folders):
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])
+
     def run(batches):
         fs, base = filesystem(full)
         for b in batches:
             for folder in b.column("path").to_pylist():
-                paths, folders = [], []
-                for name, is_folder in entries(fs, f"{base}/{folder}" if folder else base or "/"):
-                    if hidden(name) or not (is_folder if is_folder else not ext or _ends(name, ext, any_case)):
+                while folder is not None:
+                    paths, folders, more = [], [], False
+                    for name, is_folder in entries(fs, f"{base}/{folder}" if folder else base or "/"):
+                        if hidden(name) or not (is_folder if is_folder else not ext or _ends(name, ext, any_case)):
+                            continue
+                        paths.append(f"{folder}/{name}" if folder else name)
+                        folders.append(is_folder)
+                        if len(paths) == LISTED:
+                            yield batch(paths, folders)
+                            paths, folders, more = [], [], True
+                    if recursive and folders == [True] and not more:
+                        folder = paths[0]
                         continue
-                    paths.append(f"{folder}/{name}" if folder else name)
-                    folders.append(is_folder)
-                    if len(paths) == LISTED:
-                        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])
-                        paths, folders = [], []
-                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])
+                    folder = None
+                    yield batch(paths, folders)
 
     at = scratch_path(spark, "listing")
-    level, n, depth = spark.createDataFrame([("",)], "path string"), 1, 0
+    level, n, depth = spark.range(1).select(F.lit("").alias("path")), 1, 0
     while n:
-        out = f"{at}/depth={depth}"
-        (level.repartition(min(n, LISTING_TASKS), "path").mapInArrow(run, "path string, folder boolean")
+        out, seen = f"{at}/depth={depth}", Observation()
+        level = level.repartition(min(n, LISTING_TASKS), "path") if n > 1 else level.coalesce(1)
+        (level.mapInArrow(run, "path string, folder boolean").observe(seen, F.count_if("folder").alias("folders"))
          .write.option("maxRecordsPerFile", LISTED).partitionBy("folder").parquet(out))
-        found = spark.read.schema("path string, folder boolean").parquet(out)
-        level, depth = found.where("folder").select("path"), depth + 1
-        n = level.count() if recursive else 0
+        level, depth = spark.read.schema("path string, folder boolean").parquet(out).where("folder").select("path"), depth + 1
+        n = seen.get["folders"] if recursive else 0
     return spark.read.schema("path string, depth int, folder boolean").parquet(at).where("NOT folder").select("path")
 
 

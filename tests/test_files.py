@@ -240,3 +240,12 @@ def test_files_are_moved_where_there_are_no_second_names(tmp_path, monkeypatch,
     monkeypatch.setattr(os, "link", link)
     linked(str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "link"), new)
     assert tree(tmp_path) == {"b": "a"}
+
+
+def test_a_chain_of_folders_is_listed_as_one_level(spark, tmp_path):
+    root = str(tmp_path / "chain")
+    want = [("one/two/three/x/1.sql", "1"), ("one/two/three/x/more/2.sql", "2"), ("one/two/three/y/3.sql", "3"), ("one/two/three/z.sql", "4")]
+    write_text_files(spark.createDataFrame([*want, ("one/note.txt", "no script")], "path string, content string"), root)
+    assert rows(files.list_paths(spark, root, ".sql")) == [(p,) for p, _ in want]
+    assert {int(f.partition("/depth=")[2][0]) for f in files.list_paths(spark, root, ".sql").inputFiles()} == {0, 1, 2}
+    assert rows(files.list_paths(spark, root, recursive=False)) == rows(files.list_paths(spark, root + "/one/two", ".none")) == []
